@@ -108,6 +108,7 @@ def format_paths(chosen: DataFrame) -> DataFrame:
     A task reads its rows in order of path and holds one path at a time.
     """
     kind = dict(chosen.dtypes)
+    chosen = chosen.withColumn("tree", F.col("tree").cast("string"))  # pandas would make a float of a null among integers
     n = parts(chosen.sparkSession)
     ordered = chosen.repartition(n, "path").sortWithinPartitions("path", "depth")
 
@@ -130,7 +131,8 @@ def format_paths(chosen: DataFrame) -> DataFrame:
         if key is not None:
             yield pd.DataFrame([one(key, turns)])
 
-    return ordered.mapInPandas(run, f"tree {kind['tree']}, path {kind['path']}, {FORMATTED}")
+    out = ordered.mapInPandas(run, f"tree string, path {kind['path']}, {FORMATTED}")
+    return out.withColumn("tree", F.col("tree").cast(kind["tree"]))
 
 
 def format_conversations(messages: DataFrame, top: int = 1) -> DataFrame:

@@ -59,14 +59,13 @@ def _compare(threshold: float):
     """A pair of blocks of a cell: a from its homes; b the homes of another block, its guests, or a itself (side 2)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
         a = rows[rows.side != 1].sort_values("vec_id", ignore_index=True)
         b = rows[rows.side == 1].sort_values("vec_id", ignore_index=True)
         own = not len(b) and len(a) and (a.side == 2).all()
         if own:
             b = a
         if not len(a) or not len(b):
-            return pd.DataFrame(out, columns=["vec_id", "n", "other"])
+            return pd.DataFrame([], columns=["vec_id", "n", "other"])
         x, y = _units(a.vector), _units(b.vector)
         ca, cb = a["copies"].to_numpy(), b["copies"].to_numpy()
         na, nb = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
@@ -104,13 +103,13 @@ def _compare(threshold: float):
                         up[max(r, mine)] = min(r, mine)
                         mine = min(r, mine)
         ids = a.vec_id.to_list() + ([] if own else b.vec_id.to_list())
-        out = [(ids[u], 0, ids[v]) for u, v in edges]
-        out += [(i, int(n), None) for i, n in zip(a.vec_id, na, strict=True) if n]
+        # Ids are 64-bit hashes: columns of nullable integers, never of floats.
+        linked = [(i, int(n)) for i, n in zip(a.vec_id, na, strict=True) if n]
         if not own:
-            out += [(i, int(n), None) for i, n in zip(b.vec_id, nb, strict=True) if n]
-        frame = pd.DataFrame(out, columns=["vec_id", "n", "other"])
-        frame["other"] = frame["other"].astype("Int64")
-        return frame
+            linked += [(i, int(n)) for i, n in zip(b.vec_id, nb, strict=True) if n]
+        first = [ids[u] for u, _ in edges] + [i for i, _ in linked]
+        other = [ids[v] for _, v in edges] + [None] * len(linked)
+        return pd.DataFrame({"vec_id": pd.array(first, dtype="Int64"), "n": pd.array([0] * len(edges) + [n for _, n in linked], dtype="Int64"), "other": pd.array(other, dtype="Int64")})
 
     return run
 

@@ -131,3 +131,17 @@ def group_bounds(sorted_keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(0, dtype=np.int64)
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+
+
+def slice_name(turn: int, *parts: np.ndarray) -> int:
+    """A name for the turn-th slice of this task: its place and its content, so that equal slices of a table differ.
+
+    A task that runs again over the same rows gives the same name; over other rows it gives another, and what was
+    counted under the first is not mixed with it.
+    """
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    place = np.array([(context.partitionId() if context else 0) << 24 | turn], dtype=U)
+    content = sum((int(mix(x.astype(np.int64).view(U), k).sum()) for k, x in enumerate(parts)), 0) & 0xFFFFFFFFFFFFFFFF
+    return int(mix(mix(place, 21) ^ U(content), 22).astype(np.int64)[0])
