@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Wrappers, tools, flags, markers, severities.
 WRAPPERS = "sudo doas env nice nohup ionice setsid sh bash zsh dash busybox".split()
@@ -22,6 +23,7 @@ SEVERITY = {"archive": 0.6, "archive_whole": 0.9, "credential": 0.9, "bulk_read"
 BANDS = {"block": 0.85, "review": 0.55, "redact": 0.30}
 LEAST_CONFIDENCE = 0.5
 DEPTH = 2
+_WORDS = T.ArrayType(T.ArrayType(T.StringType()))
 
 _LEX = re.compile(r"""(?P<single>'[^']*'?)|(?P<double>"(?:\\.|[^"\\])*\\?"?)|(?P<escaped>\\(?:.|\Z))|(?P<blank>[ \t\r]+)|(?P<end>[\n;]|&&?|\|\|?|>[>&]?|<[<&]?)|(?P<plain>[^'"\\ \t\r\n;&|<>]+)""", re.DOTALL)
 
@@ -76,12 +78,12 @@ def expand_commands(line: str, depth: int = 0) -> list[list[str]]:
     return out
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(_WORDS)
 def words_of(line: pd.Series) -> pd.Series:
     return line.fillna("").map(split_commands)
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(_WORDS)
 def commands_of(line: pd.Series) -> pd.Series:
     return line.fillna("").map(expand_commands)
 

@@ -31,6 +31,6 @@ def incremental(snapshots: DataFrame, ttl_seconds: float | None = None) -> DataF
     before = F.lag("hashes").over(order)
     out = snapshots.withColumn("before", before)
     if ttl_seconds is not None:
-        out = out.withColumn("before", F.when(F.unix_micros("at") - F.unix_micros(F.lag("at").over(order)) <= int(ttl_seconds * 1e6), F.col("before")))
+        out = out.withColumn("before", F.when(F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(order).cast("timestamp")) <= int(ttl_seconds * 1e6), F.col("before")))
     reused = F.coalesce(common_prefix(F.col("before"), F.col("hashes")), F.lit(0))
     return out.withColumn("reused", reused.cast("long")).withColumn("scanned", (F.size("hashes") - reused).cast("long")).drop("before")

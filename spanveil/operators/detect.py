@@ -5,12 +5,12 @@ Boundaries are judged after a match is found, on its ASCII neighbours: a match t
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import fixed
 from spanveil.functions import validators as V
-from spanveil.operators.shapes import shaped_entities
+from spanveil.operators.shapes import add_shaped
 from spanveil.operators.spans import NONE, entity, found, matches, merge, resolve
 
 
@@ -118,14 +118,25 @@ def scan(text: Column, rules: list[str] | None = None) -> Column:
     return F.concat(*[RULES[r](text) for r in (RULES if rules is None else rules)])
 
 
-def detect(text: Column, rules: list[str] | None = None, shapes: bool = True, thresholds: dict[str, float] | None = None, allowed: list[str] | None = None) -> Column:
-    """Resolved entities of a text; null counts as empty. shapes adds numbers written with separators or full width."""
-    text = F.coalesce(text, F.lit(""))
-    own = scan(text, rules)
-    if shapes:
-        own = shaped_entities(text, own)
-    limits = F.create_map(*[F.lit(x) for kv in (thresholds or {}).items() for x in kv]) if thresholds else None
-    return resolve(own, limits, fixed.DEFAULT_THRESHOLD, allowed)
+def detect(text: Column, rules: list[str] | None = None, thresholds: dict[str, float] | None = None, allowed: list[str] | None = None) -> Column:
+    """Resolved entities of a text as it is written; null counts as empty. Built-in expressions only."""
+    return resolve(scan(F.coalesce(text, F.lit("")), rules), _limits(thresholds), fixed.DEFAULT_THRESHOLD, allowed)
+
+
+def _limits(thresholds: dict[str, float] | None) -> Column | None:
+    return F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]) if thresholds else None
+
+
+def add_entities(rows: DataFrame, text: str = "text", into: str = "entities", rules: list[str] | None = None, thresholds: dict[str, float] | None = None, allowed: list[str] | None = None, dictionary: dict[str, str] | None = None) -> DataFrame:
+    """rows with their entities, numbers written with separators, full width or a country code among them.
+
+    A dictionary (value -> type) lies over what is found; thresholds and the allow-list don't touch its hits.
+    """
+    found = rows.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__e", scan(F.col("__t"), rules))
+    out = add_shaped(found, "__t", "__e").withColumn(into, resolve(F.col("__e"), _limits(thresholds), fixed.DEFAULT_THRESHOLD, allowed))
+    if dictionary:
+        out = out.withColumn(into, merge(dictionary_hits(F.col("__t"), dictionary), F.col(into)))
+    return out.drop("__t", "__e")
 
 
 def dictionary_hits(text: Column, values: dict[str, str]) -> Column:

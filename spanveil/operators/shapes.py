@@ -8,8 +8,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanveil.functions import fixed
 from spanveil.operators.spans import ENTITY
@@ -24,6 +25,8 @@ _FOLD = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20}
 #: A text without this has no such run (as a Java pattern).
 GUARD = f"[+０-９．＋]|[0-9][{re.escape(_SEPARATED)}][0-9０-９]|1[0-9]{{2}}\\.[0-9]{{4}}\\.[0-9]{{4}}"
 
+_ENTITY_TYPE = T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
 
 def luhn(v: str) -> bool:
     total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(v))))
@@ -92,7 +95,7 @@ def look_again(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, str,
     return out
 
 
-@F.pandas_udf(f"array<{ENTITY}>")
+@F.pandas_udf(T.ArrayType(_ENTITY_TYPE))
 def _again(text: pd.Series, found: pd.Series) -> pd.Series:
     def one(t: str | None, spans) -> list[dict]:
         taken = [(x["start"], x["end"]) for x in (spans if spans is not None else ())]
@@ -101,7 +104,13 @@ def _again(text: pd.Series, found: pd.Series) -> pd.Series:
     return pd.Series([one(t, f) for t, f in zip(text, found, strict=True)])
 
 
-def shaped_entities(text: Column, found: Column) -> Column:
-    """found with what the second look adds; the guard blanks texts that have nothing to add before they leave the JVM."""
-    worth = text.rlike(GUARD)
-    return F.concat(found, F.coalesce(_again(F.when(worth, text), F.when(worth, found)), F.expr(f"cast(array() as array<{ENTITY}>)")))
+def add_shaped(rows: DataFrame, text: str, found: str) -> DataFrame:
+    """rows with the column `found` extended by the second look.
+
+    The function gets plain columns, blank where the guard says that there is nothing to add, and stands in a projection
+    of its own, so that the optimizer neither repeats the rules for it nor builds filters of it.
+    """
+    worth = F.col(text).rlike(GUARD)
+    given = rows.withColumn("__text", F.when(worth, F.col(text))).withColumn("__found", F.when(worth, F.col(found)))
+    more = given.withColumn("__more", _again.asNondeterministic()(F.col("__text"), F.col("__found")))
+    return more.withColumn(found, F.concat(F.col(found), F.coalesce("__more", F.expr(f"cast(array() as array<{ENTITY}>)")))).drop("__text", "__found", "__more")

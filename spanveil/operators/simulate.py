@@ -100,9 +100,12 @@ def fake_address(v: Column, key: str) -> Column:
 MAKERS = {"zh_phone": fake_phone, "zh_id_card": fake_id_card, "zh_bank_card": fake_bank_card, "email": fake_email, "ip_address": fake_ip, "date": fake_date, "zh_person_name": fake_name, "zh_address": fake_address}
 
 
-def fake(kind: Column, value: Column, key: str, dictionary: Column | None = None, off: list[str] | None = None) -> Column:
+def fake(kind: Column | str, value: Column, key: str, dictionary: Column | None = None, off: list[str] | None = None) -> Column:
     """The fake for a value of a type, null for types that have none; a dictionary's own fake comes first."""
     out = F.lit(None).cast("string")
+    if isinstance(kind, str):
+        out = MAKERS[kind](value, key) if kind in MAKERS and kind not in (off or []) else out
+        kind, off = F.lit(kind), list(MAKERS)
     for k, make in MAKERS.items():
         if k not in (off or []):
             out = F.when(kind == k, make(value, key)).otherwise(out)

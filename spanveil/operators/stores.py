@@ -11,7 +11,7 @@ def first_writers(puts: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
 
     Each accepted put opens a window of ttl seconds; with the puts of one id in order, a fold keeps the accepted times.
     """
-    stamp = F.unix_micros("created_at")
+    stamp = F.unix_micros(F.col("created_at").cast("timestamp"))
     times = puts.groupBy("request_id").agg(F.array_sort(F.collect_set(stamp)).alias("times"))
     ttl = F.lit(ttl_seconds * 1_000_000)
     step = lambda acc, t: F.when((F.size(acc) == 0) | (t > F.try_element_at(acc, F.lit(-1)) + ttl), F.concat(acc, F.array(t))).otherwise(acc)
@@ -65,7 +65,7 @@ def breaker(calls: DataFrame, failures: int = 5, cooldown_seconds: float = 10.0)
     After `failures` failures in a row the breaker opens for the cooldown; the next call is a probe, which closes it or
     opens it again. Calls refused don't count. The state is a fold over the ordered calls of a stream.
     """
-    fold = calls.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("at").alias("t"), "call_id", "ok"))).alias("calls"))
+    fold = calls.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "call_id", "ok"))).alias("calls"))
     cool = F.lit(int(cooldown_seconds * 1_000_000))
     empty = F.struct(F.lit(0).alias("bad"), F.lit(None).cast("bigint").alias("opened"), F.expr("cast(array() as array<struct<call_id:bigint,state:string,allowed:boolean>>)").alias("out"))
 

@@ -14,7 +14,7 @@ from spanveil.functions import fixed
 from spanveil.functions import validators as V
 from spanveil.operators import bodies, commands, conversations, reports, simulate, spans, stores
 from spanveil.operators import replace as R
-from spanveil.operators.detect import detect, detect_with_dictionary, dictionary_hits
+from spanveil.operators.detect import add_entities, detect, detect_with_dictionary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,7 +95,7 @@ def rule_query(source: str, rules: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         name, key, text = INPUTS[source]
         rows = table(spark, sf_dir, name).selectExpr(f"{key} as id", f"{text} as text")
-        return rows.select("id", F.explode(detect(F.col("text"), rules, shapes=False)).alias("e")).select("id", "e.*")
+        return rows.select("id", F.explode(detect(F.col("text"), rules)).alias("e")).select("id", "e.*")
 
     return run
 
@@ -155,18 +155,22 @@ _SCALAR_SQL = f"""
 def shapes_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phones written with separators, full width or a country code."""
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", _SHAPED)
-    return rows.select("id", F.explode(detect(F.col("text"), ["phone", "card"])).alias("e")).select("id", "e.type", "e.value", "e.start", "e.end")
+    return add_entities(rows, rules=["phone", "card"]).select("id", F.explode("entities").alias("e")).select("id", "e.type", "e.value", "e.start", "e.end")
 
 
 _TAIL = "lpad(cast(c_custkey * 7919 % 10000 as string), 4, '0')"
 _WRITTEN = f"(case c_custkey % 6 when 0 then '138-0013-' || {_TAIL} when 1 then '138 0013 ' || {_TAIL} when 2 then '138-0013 ' || {_TAIL} when 3 then '+86-186-1234-' || {_TAIL} when 4 then '138.0013.' || {_TAIL} else '１３８００１３' || {_TAIL} end)"
 _SHAPED = f"'号 ' || {_WRITTEN} || ' 完' as text"
-_SHAPES_SQL = f"""SELECT c_custkey AS id, 'zh_phone' AS type, {_WRITTEN} AS value, 4 AS "start", CAST(4 + strlen({_WRITTEN}) AS INT) AS "end" FROM customer WHERE c_custkey % 6 <> 2"""
+# A country code before a phone makes 13 digits: those with a right check digit are a card, which comes first.
+_SHAPES_SQL = f"""WITH w AS (SELECT c_custkey AS id, {_WRITTEN} AS written, c_custkey % 6 AS k, '86186' || '1234' || {_TAIL} AS value FROM customer WHERE c_custkey % 6 <> 2),
+    c AS (SELECT id, written, k = 3 AND {_LUHN} AS card FROM w)
+    SELECT id, CASE WHEN card THEN 'zh_bank_card' ELSE 'zh_phone' END AS type, CASE WHEN card THEN written[2:] ELSE written END AS value,
+           CAST(4 + card::INT AS INT) AS "start", CAST(4 + strlen(written) AS INT) AS "end" FROM c"""
 
 
 def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("to "), F.lower("n_name"), F.lit(" and CHINA or ["), "n_name", F.lit("] a@b.com")).alias("text"))
-    return rows.select("id", F.explode(detect_with_dictionary(F.col("text"), {"China": "zh_address", "FRANCE": "plate", "b.com": "token"}, rules=["email"], shapes=False)).alias("e")).select("id", "e.*")
+    return rows.select("id", F.explode(detect_with_dictionary(F.col("text"), {"China": "zh_address", "FRANCE": "plate", "b.com": "token"}, rules=["email"])).alias("e")).select("id", "e.*")
 
 
 _DICTIONARY_SQL = """
@@ -180,7 +184,7 @@ _DICTIONARY_SQL = """
 
 def _documents_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select((F.col("doc_id") % 50).alias("request_id"), F.col("doc_id").alias("seq"), "text", detect(F.col("text"), ["email", "ipv4", "card", "key_value"], shapes=False).alias("entities"))
+    return docs.select((F.col("doc_id") % 50).alias("request_id"), F.col("doc_id").alias("seq"), "text", detect(F.col("text"), ["email", "ipv4", "card", "key_value"]).alias("entities"))
 
 
 def replace_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,8 +194,8 @@ def replace_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MAPPING_SQL = f"""
     WITH e AS ({" UNION ALL ".join(rule_sql("documents", r) for r in ("email", "ipv4", "card", "key_value"))}),
-    f AS (SELECT id % 50 AS request_id, type AS entity_type, value AS original, min({{'a': id, 'b': "start"}}) AS at FROM e GROUP BY ALL),
-    n AS (SELECT *, '<<' || entity_type || '_' || row_number() OVER (PARTITION BY request_id, entity_type ORDER BY at) || '>>' AS placeholder, CASE WHEN entity_type IN ('api_key', 'password', 'token') THEN 'redact' WHEN entity_type = 'zh_bank_card' THEN 'mask' ELSE 'reversible' END AS fate FROM f)
+    f AS (SELECT id % 50 AS request_id, type AS entity_type, value AS original, min({{'a': id, 'b': "start"}}) AS seen FROM e GROUP BY ALL),
+    n AS (SELECT *, '<<' || entity_type || '_' || row_number() OVER (PARTITION BY request_id, entity_type ORDER BY seen) || '>>' AS placeholder, CASE WHEN entity_type IN ('api_key', 'password', 'token') THEN 'redact' WHEN entity_type = 'zh_bank_card' THEN 'mask' ELSE 'reversible' END AS fate FROM f)
     SELECT request_id, entity_type, original, placeholder, CASE fate WHEN 'redact' THEN '[REDACTED]' WHEN 'mask' THEN repeat('*', length(original) - 4) || right(original, 4) ELSE placeholder END AS shown, fate FROM n"""
 
 
@@ -261,11 +265,10 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.breaker(e, 3, 3600).groupBy("stream", "state").agg(F.count("*").alias("n"))
 
 
-_EVENT_TYPES = F.when(F.col("event_id") % 4 == 0, F.array(F.lit("email"))).when(F.col("event_id") % 4 == 1, F.array(F.lit("zh_phone"), F.lit("password"))).otherwise(F.expr("cast(array() as array<string>)"))
-
-
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("upstream"), _EVENT_TYPES.alias("types"))
+    k = F.col("event_id") % 4
+    types = F.when(k == 0, F.array(F.lit("email"))).when(k == 1, F.array(F.lit("zh_phone"), F.lit("password"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("upstream"), types.alias("types"))
 
 
 def compliance_gdpr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +354,7 @@ def message_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON bodies redacted and restored: text fields change, others stay."""
     o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.format_string('{"model":"m@x.com","n":1.50,"messages":[{"role":"user","content":"write to u%s@x.com"},{"type":"image","data":"q@x.com"}],"tools":[{"name":"t","arguments":"{\\"cmd\\":\\"ping u%s@x.com\\"}"}]}', F.col("c_custkey"), F.col("c_custkey")).alias("body"))
-    texts = bodies.explode_texts(o).withColumn("entities", detect(F.col("text"), ["email"], shapes=False))
+    texts = bodies.explode_texts(o).withColumn("entities", detect(F.col("text"), ["email"]))
     replaced, _ = R.replace(texts)
     return bodies.collect_texts(o, replaced).select("request_id", "rewritten", "changed")
 
@@ -367,8 +370,8 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simulated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fakes hold what their form demands, for values built from customers."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("138"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"))
-    f = {k: simulate.fake(F.lit(k), v, "key") for k, v in (("zh_phone", F.col("phone")), ("zh_id_card", F.col("phone")), ("zh_bank_card", F.concat(F.col("phone"), F.lit("123456"))), ("email", F.lit("a.b@corp.example")), ("ip_address", F.lit("192.168.1.9")), ("date", F.lit("2024年1月05日")), ("zh_person_name", F.lit("欧阳明华")))}
-    return c.select("id", (V.valid_phone(f["zh_phone"]) & (f["zh_phone"] != F.col("phone"))).alias("phone_ok"), V.valid_id_card(f["zh_id_card"]).alias("id_ok"), (V.luhn_valid(f["zh_bank_card"]) & (F.length(f["zh_bank_card"]) == 17)).alias("card_ok"), f["email"].rlike(r"^[a-z]+\.[a-z]+[0-9]+@corp\.example$").alias("mail_ok"), f["ip_address"].rlike(r"^192\.168\.").alias("ip_ok"), f["date"].rlike("^[0-9]{4}年[0-9]{1,2}月[0-9]{2}日$").alias("date_ok"), (F.length(f["zh_person_name"]) == 4).alias("name_ok"), simulate.fake(F.lit("token"), F.col("phone"), "key").isNull().alias("none_ok"))
+    f = {k: simulate.fake(k, v, "key") for k, v in (("zh_phone", F.col("phone")), ("zh_id_card", F.col("phone")), ("zh_bank_card", F.concat(F.col("phone"), F.lit("123456"))), ("email", F.lit("a.b@corp.example")), ("ip_address", F.lit("192.168.1.9")), ("date", F.lit("2024年1月05日")), ("zh_person_name", F.lit("欧阳明华")))}
+    return c.select("id", (V.valid_phone(f["zh_phone"]) & (f["zh_phone"] != F.col("phone"))).alias("phone_ok"), V.valid_id_card(f["zh_id_card"]).alias("id_ok"), (V.luhn_valid(f["zh_bank_card"]) & (F.length(f["zh_bank_card"]) == 17)).alias("card_ok"), f["email"].rlike(r"^[a-z]+\.[a-z]+[0-9]+@corp\.example$").alias("mail_ok"), f["ip_address"].rlike(r"^192\.168\.").alias("ip_ok"), f["date"].rlike("^[0-9]{4}年[0-9]{1,2}月[0-9]{2}日$").alias("date_ok"), (F.length(f["zh_person_name"]) == 4).alias("name_ok"), simulate.fake("token", F.col("phone"), "key").isNull().alias("none_ok"))
 
 
 def sealed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +385,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, key, text = INPUTS["phones"]
     rows = table(spark, sf_dir, name).selectExpr(f"{key} as id", f"{text} as text")
     label = spans.entity(F.lit("zh_phone"), F.lit(""), F.lit(5), F.lit(16), F.lit(1.0))
-    return reports.detector_quality(rows.select(F.array(label).alias("expect"), detect(F.col("text"), ["phone"], shapes=False).alias("found")), "type")
+    return reports.detector_quality(rows.select(F.array(label).alias("expect"), detect(F.col("text"), ["phone"]).alias("found")), "type")
 
 
 _QUALITY_SQL = "WITH n AS (SELECT count(*) FILTER (c_custkey % 4 IN (0, 1)) AS tp, count(*) FILTER (c_custkey % 4 NOT IN (0, 1)) AS fn FROM customer) SELECT 'zh_phone' AS type, tp, 0::BIGINT AS fp, fn, 1.0::DOUBLE AS precision, tp / (tp + fn) AS recall, 2 * (tp / (tp + fn)) / (1 + tp / (tp + fn)) AS f1 FROM n"
