@@ -52,7 +52,9 @@ def known_digests(spark: SparkSession, texts: dict[str, str] | None = None, titl
     """(license_id, license_sha256) of the known texts, with and without their titles. Digests are of one length, so rows bound the size."""
     texts, titles = texts or KNOWN, TITLES if titles is None else titles
     rows = [(k, v) for k, v in texts.items()] + [(k, f"{t}\n{v}") for k, v in texts.items() for t in titles.get(k, [])]
-    return spark.createDataFrame(rows, "license_id string, body string").select("license_id", digest(F.col("body")).alias("license_sha256")).distinct()
+    # Literals, so that the planner knows how small the table is.
+    listed = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("body")) for k, v in rows])).alias("x"))
+    return listed.select("x.license_id", digest(F.col("x.body")).alias("license_sha256")).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, unit: str = "text") -> DataFrame:

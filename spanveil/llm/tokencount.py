@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from spanveil.llm.words import pieces
 
 CHUNK = 1 << 16
-ENTRIES = 1_000_000  # compiled transitions that a worker holds; beyond it compiling begins anew, results are the same
+ENTRIES = 600_000  # compiled transitions that a worker holds; beyond it compiling begins anew, results are the same
 SPLIT = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 
 
