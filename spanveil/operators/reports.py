@@ -72,3 +72,29 @@ def detector_quality(cases: DataFrame, by: str | None = None) -> DataFrame:
     out = wanted.join(extra, "k", "full").select(F.col("k").alias(by or "scope"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")])
     p, r = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
     return out.withColumn("precision", p).withColumn("recall", r).withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)))
+
+
+def percentile_nearest(values: DataFrame, value: str, labels: list[str], p: float) -> DataFrame:
+    """The other definition: the element at round(p / 100 n) - 1, halves to even, within the group."""
+    from pyspark.sql import Window
+
+    n = F.count("*").over(Window.partitionBy(*labels))
+    place = F.row_number().over(Window.partitionBy(*labels).orderBy(value)) - 1
+    wanted = F.least(F.greatest(F.bround(F.lit(p / 100) * F.col("__n"), 0).cast("long") - 1, F.lit(0)), F.col("__n") - 1)
+    return values.withColumn("__n", n).withColumn("__i", place).where(F.col("__i") == wanted).select(*labels, F.col(value).alias("percentile"))
+
+
+def entity_scores(expect: DataFrame, found: DataFrame, strict: bool = True) -> DataFrame:
+    """(id, type, value, start, end) twice -> tp, fp, fn: strict needs all four equal; span needs the type and one value within the other."""
+    if strict:
+        same = ["id", "type", "value", "start", "end"]
+        tp = expect.join(found, same, "left_semi").agg(F.count("*").alias("tp"))
+        fn = expect.join(found, same, "left_anti").agg(F.count("*").alias("fn"))
+        fp = found.join(expect, same, "left_anti").agg(F.count("*").alias("fp"))
+    else:
+        a, b = expect.alias("a"), found.alias("b")
+        touch = (F.col("a.id") == F.col("b.id")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.value").contains(F.col("b.value")) | F.col("b.value").contains(F.col("a.value")))
+        tp, fn = a.join(b, touch, "left_semi").agg(F.count("*").alias("tp")), a.join(b, touch, "left_anti").agg(F.count("*").alias("fn"))
+        fp = b.join(a, touch, "left_anti").agg(F.count("*").alias("fp"))
+    one = F.lit(1).alias("one")
+    return tp.select(one, "tp").join(fn.select(one, "fn"), "one").join(fp.select(one, "fp"), "one").drop("one")
