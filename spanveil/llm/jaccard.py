@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.components import components
 from spanveil.llm.runtime import materialize, parts
-from spanveil.llm.words import U, group_bounds, mix, pieces, split_words
+from spanveil.llm.words import U, group_bounds, mix, pieces, slice_name, split_words
 
 BITS = 52
 MASK = U((1 << BITS) - 1)
@@ -80,7 +80,7 @@ def _deal_slices(n: int, words: int):
     """Slices -> for each partition the shingles of each document that no other of the slice has, and the others once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, most=8 << 20, rows=4096):
+        for turn, batch in enumerate(pieces(batches, most=8 << 20, rows=4096)):
             code, doc = shingle_sets(batch.column("text"), words)
             size, a, b = _set_names(code, doc, batch.num_rows)
             order = np.argsort(code)
@@ -99,7 +99,7 @@ def _deal_slices(n: int, words: int):
             twice_edge = np.searchsorted((twice * U(n) >> U(BITS)).astype(np.int64), np.arange(n + 1))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             ids, null = np.nan_to_num(ids).astype(np.int64) if ids.dtype.kind == "f" else ids, pd.isna(ids)
-            slice_id = int(mix(np.array([mix(a.view(U) ^ ids.astype(np.int64).view(U)).sum() + U(len(ids))], dtype=U), 5)[0].astype(np.int64))
+            slice_id = slice_name(turn, a, ids)
             meta = np.concatenate([[len(ids)], ids, null, size, a, b, inner]).astype(np.int64).tobytes()
             some = [p for p in range(n) if edge[p] < edge[p + 1] or twice_edge[p] < twice_edge[p + 1]]
             sizes = [np.bincount(doc[alone[edge[p] : edge[p + 1]]], minlength=batch.num_rows).astype(np.uint16 if size.max(initial=0) < 1 << 16 else np.uint32) for p in some]
