@@ -1,7 +1,8 @@
 """Connected components of an edge table by randomised contraction.
 
 Each round every node picks, of itself and its neighbours, the one with the least hash under that round's
-seed; edges between picked nodes remain. The number of nodes falls by a constant factor a round on any graph,
+seed; edges between picked nodes remain. A seed serves two rounds: after the first, the hub of a star stands at its least
+leaf, and the second is done with it. The number of nodes falls by a constant factor a round on any graph,
 only joins and min() are needed, and no node's neighbours meet in one task unaggregated.
 """
 
@@ -24,8 +25,8 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     for turn in range(rounds):
         if links.isEmpty():
             break
-        near = F.min(F.struct(F.xxhash64(F.lit(turn), "v").alias("h"), F.col("v").alias("id"))).alias("near")
-        own = F.struct(F.xxhash64(F.lit(turn), "u").alias("h"), F.col("u").alias("id"))
+        near = F.min(F.struct(F.xxhash64(F.lit(turn // 2), "v").alias("h"), F.col("v").alias("id"))).alias("near")
+        own = F.struct(F.xxhash64(F.lit(turn // 2), "u").alias("h"), F.col("u").alias("id"))
         pick = materialize(links.groupBy("u").agg(near).select(F.col("u").alias("node"), F.least(own, "near")["id"].alias("root")))
         maps.append(pick)
         a = pick.select(F.col("node").alias("u"), F.col("root").alias("a"))

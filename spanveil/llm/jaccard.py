@@ -244,7 +244,7 @@ def _search(percent: int):
         ends = np.append(at[1:], len(flat))
         many = ends - at > 1
         index = {k: owner[i:j].tolist() for k, i, j in zip(flat[at[many]].tolist(), at[many].tolist(), ends[many].tolist(), strict=True)}
-        forest, links = Forest(len(sets)), []
+        forest = Forest(len(sets))
         for q in range(len(sets)):
             if forest.trees == 1:
                 break
@@ -268,7 +268,8 @@ def _search(percent: int):
                 if 100 * both >= percent * (size[q] + size[c] - both):
                     forest.join(q, c)
                     mine = forest.find(q)
-                    links.append((node[q], node[c]))
+        # Each set and the first of its part: stars, which contract in two rounds.
+        links = [(node[q], node[forest.find(q)]) for q in range(len(sets)) if forest.find(q) != q]
         return pd.DataFrame(links, columns=["u", "v"])
 
     return run
