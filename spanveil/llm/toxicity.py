@@ -57,7 +57,7 @@ class Lexicon(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[float, float]:
-        if len(self) > 300_000:
+        if len(self) > 60_000:
             self.clear()
         w = word.strip(_EDGE)
         stem = max((self.weights.get(f"^{w[:k]}", 0.0) for k in STEMS if len(w) > k), default=0.0)
