@@ -62,15 +62,18 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     real = rows.select(F.col("id").alias("parent"))
     level = rows.select("id", "parent", "score").join(real.withColumn("there", F.lit(True)), "parent", "left")
     level = level.select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), "score")
-    levels = [materialize(level)]
+    state = materialize(level)
+    levels = [state.where("up is not null")]
     longest = max(1, rows.count())
-    while levels[-1].where("up is not null").limit(1).count() and 2 ** (len(levels) - 1) < longest:
-        now = levels[-1]
-        far = now.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"), F.col("score").alias("also"))
-        levels.append(materialize(now.join(far, "up", "left").select("id", F.col("far").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("also", F.lit(0.0))).alias("score"))))
-    done = levels[-1].where("up is null").select("id", F.col("steps").alias("depth"), F.col("score").alias("total"))
+    # Only messages that haven't reached their root are joined again.
+    while levels[-1].limit(1).count() and 2 ** (len(levels) - 1) < longest:
+        far = state.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"), F.col("score").alias("also"))
+        nearer = levels[-1].join(far, "up").select("id", F.col("far").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("also")).alias("score"))
+        state = materialize(state.where("up is null").union(nearer))
+        levels.append(state.where("up is not null"))
+    done = state.where("up is null").select("id", F.col("steps").alias("depth"), F.col("score").alias("total"))
     whole = rows.join(done, "id")
-    inner = levels[0].where("up is not null").select(F.col("up").alias("id")).distinct()
+    inner = levels[0].select(F.col("up").alias("id")).distinct()
     leaves = whole.join(inner, "id", "left_anti").select("tree", "id", (F.col("total") / F.col("depth")).alias("rank"))
     if top == 1:
         chosen = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("rank")).alias("rank"), "id")).alias("x")).select(F.col("x.id").alias("leaf"))
@@ -82,8 +85,8 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
             leaves = leaves.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).drop("place")
         chosen = leaves.select(F.col("id").alias("leaf"))
     on = materialize(chosen.select("leaf", F.col("leaf").alias("id")))
-    for step in reversed(levels[:-1] if len(levels) > 1 else levels):
-        up = step.where("up is not null").select("id", "up")
+    for step in reversed(levels):
+        up = step.select("id", "up")
         on = on.union(on.join(up, "id").select("leaf", F.col("up").alias("id")))
         on = materialize(on)
     return on.join(whole, "id").select("tree", F.col("leaf").alias("path"), "depth", "role", "text")
