@@ -73,7 +73,7 @@ def _set_names(code: np.ndarray, doc: np.ndarray, rows: int) -> tuple[np.ndarray
     return n, names[0].astype(np.int64), names[1].astype(np.int64)
 
 
-DEALT = "kind int, part int, slice long, sizes binary, tokens binary, again binary"
+DEALT = "kind int, part int, slice long, width int, sizes binary, tokens binary, again binary"  # width: bytes of each size
 
 
 def _deal_slices(n: int, words: int):
@@ -102,17 +102,19 @@ def _deal_slices(n: int, words: int):
             slice_id = slice_name(turn, a, ids)
             meta = np.concatenate([[len(ids)], ids, null, size, a, b, inner]).astype(np.int64).tobytes()
             some = [p for p in range(n) if edge[p] < edge[p + 1] or twice_edge[p] < twice_edge[p + 1]]
-            sizes = [np.bincount(doc[alone[edge[p] : edge[p + 1]]], minlength=batch.num_rows).astype(np.uint16 if size.max(initial=0) < 1 << 16 else np.uint32) for p in some]
+            width = 2 if size.max(initial=0) < 1 << 16 else 4
+            sizes = [np.bincount(doc[alone[edge[p] : edge[p + 1]]], minlength=batch.num_rows).astype(f"u{width}") for p in some]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([1] * len(some) + [2], pa.int32()),
                     pa.array([*some, slice_id % n], pa.int32()),
                     pa.array([slice_id] * (len(some) + 1), pa.int64()),
-                    pa.array([x.astype(np.uint32).tobytes() if x.dtype != np.uint16 else x.tobytes() for x in sizes] + [meta], pa.binary()),
+                    pa.array([width] * len(some) + [8], pa.int32()),
+                    pa.array([x.tobytes() for x in sizes] + [meta], pa.binary()),
                     pa.array([token[alone[edge[p] : edge[p + 1]]].tobytes() for p in some] + [b""], pa.binary()),
                     pa.array([twice[twice_edge[p] : twice_edge[p + 1]].astype(np.uint32).tobytes() for p in some] + [b""], pa.binary()),
                 ],
-                names=["kind", "part", "slice", "sizes", "tokens", "again"],
+                names=["kind", "part", "slice", "width", "sizes", "tokens", "again"],
             )
 
     return run
@@ -128,13 +130,12 @@ def _count_shared(rows: pd.DataFrame) -> pd.DataFrame:
     at = group_bounds(ordered)
     several = ordered[at[np.diff(np.append(at, len(ordered))) > 1]]
     known = np.sort(np.concatenate([several, *again]))
-    for slice_id, t, sizes in zip(own.slice, tokens, own.sizes, strict=True):
+    for slice_id, t, width, sizes in zip(own.slice, tokens, own.width, own.sizes, strict=True):
         if not len(t) or not len(known):
             continue
         hit = known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t
         if hit.any():
-            n = np.frombuffer(sizes, dtype=np.uint16)
-            n = n if n.sum() == len(t) else np.frombuffer(sizes, dtype=np.uint32)
+            n = np.frombuffer(sizes, dtype=f"u{width}")
             owner = np.repeat(np.arange(len(n)), n)
             out.append((slice_id, None, np.bincount(owner[hit], minlength=len(n)).astype(np.int32).tobytes()))
     return pd.DataFrame(out, columns=["slice", "meta", "counts"])

@@ -107,6 +107,18 @@ def test_jaccard_on_empty_and_repeated_rows(spark, docs, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i in texts if comp[i] == i})
 
 
+def test_jaccard_of_a_text_of_more_than_65536_shingles(spark):
+    long = [f"w{k}" for k in range(66_000)]
+    other = [f"v{k}" for k in range(70_000)]
+    near = long[:30_000] + ["changed"] + long[30_001:]
+    rows = {0: prose(random.Random(17), 50), 1: " ".join(long), 2: "x", 3: " ".join(near), 4: " ".join(long[100:140]), 5: " ".join(other + long[:500]), 6: " ".join(long[100:140]), 7: None}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartitionByRange(8, "doc_id")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()}
+    n, comp = jaccard_brute(rows)
+    assert n[1] > 1 << 16 and (comp[3], comp[6]) == (1, 4)
+    assert got == {i: (n[i], comp[i]) for i in rows}
+
+
 def test_divide_skip_against_counting():
     rng = random.Random(5)
     for _ in range(300):
