@@ -1,17 +1,18 @@
 """Scoring texts by prediction by partial matching (PPM) over bytes, and by a base model over words.
 
-Counting: each task reduces its documents to distinct words with counts; words are dealt by fingerprint, so a word
-that every document holds arrives once per slice and not once per occurrence. Byte contexts of `order` bytes are
-counted from the distinct words. Nothing of the corpus is left out of the counts.
+Counting: each task reduces its documents to distinct words and distinct grams (a byte and the `order` bytes before it)
+with the documents they are in. Words are dealt by fingerprint, grams by the last DEALT_BY bytes of their context, so
+what every document holds arrives once per slice and not once per occurrence. Nothing of the corpus is left out of the
+counts.
 
 PPM: a text is its lower-cased words, each closed by a blank, then one end symbol. The context of a byte is the
 up to `order` bytes before it within its word (a blank marks the word's start). A trie node's symbols share
 (2c - 1) / 2T; the rest, d / 2T, escapes to the context one byte shorter, where the symbols of the longer context are
 excluded; below the empty context all 256 symbols are equal. The probabilities of a context sum to 1.
 
-The trie is broadcast, so its size has a bound: at most `max_nodes` nodes an order. Beyond it, whole contexts with the
-smallest totals are not kept as contexts of that order (their symbols are coded one order lower); all counts of the
-orders below still cover the whole corpus.
+The trie is never in one place. All contexts of DEALT_BY bytes or more that a gram can escape through end in the same
+bytes, so one partition holds them, and scores its grams there. Shorter contexts are broadcast: there are at most 256 ^
+DEALT_BY nodes of them, however large the corpus is. Sums per document go back to the slices.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from spanveil.llm.runtime import in_fold, materialize, parts
 from spanveil.llm.words import U, group_bounds, lowered, mix, pieces, slice_name, split_words
 
 ORDER = 5
-MAX_NODES = 4_000_000
+DEALT_BY = 3
+CONTEXT = np.uint64((1 << 8 * DEALT_BY) - 1)
+SYMBOLS = 1 << 22  # most grams that are sorted at once
 BLANK, END = 0x20, 0x0A
 END_CODE = 0xE17D  # fingerprint that stands for the end token in the base model
 BLOB = 1 << 16
@@ -69,14 +72,25 @@ def _end_gram() -> int:
     return code << 8 | END
 
 
+def _gram_chunks(w) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of all symbols of the texts with the text of each, at most SYMBOLS bytes of words at once."""
+    upto = np.cumsum(w.stop - w.start)
+    cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, SYMBOLS)), len(upto)))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        spelled, at = _spelled(w, np.arange(lo, hi))
+        g, owner = _grams(spelled, at)
+        yield g, w.doc[lo:hi][owner]
+    yield np.full(w.rows, _end_gram(), dtype=U), np.arange(w.rows)
+
+
 COUNTED = "kind int, part int, slice long, docs binary, codes binary, counts binary, words binary, owners binary"
 
 
 def _count_slices(n: int):
-    """Slices of documents -> per partition: distinct words with training counts, and which document has which."""
+    """Slices of documents -> per partition: distinct words with training counts, distinct grams, and which document has which."""
+    dealt = min(n, 1 << 16)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: dict[int, int] | tuple = (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
         for turn, batch in enumerate(pieces(batches)):
             w = split_words(batch.column("text"))
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
@@ -89,14 +103,6 @@ def _count_slices(n: int):
             number[bounds[1:]] = 1
             number = np.cumsum(number)
             counts = np.bincount(number, weights=train[w.doc[order]], minlength=len(bounds)).astype(np.int64)
-            first = order[bounds]
-            used = np.flatnonzero(counts)
-            spelled, at = _spelled(w, first[used])
-            g, owner = _grams(spelled, at)
-            weight = counts[used][owner]
-            if train.any():
-                g, weight = np.append(g, U(_end_gram())), np.append(weight, int(train.sum()))
-            grams = _merge(np.concatenate([grams[0], g]), np.concatenate([grams[1], weight]))
             part_of = _deal(codes[bounds], n)
             edges = np.searchsorted(part_of, np.arange(n + 1))
             rows = {k: [] for k in ("part", "codes", "counts", "words", "owners")}
@@ -120,18 +126,27 @@ def _count_slices(n: int):
                 + [pa.array(rows[k] + [b""], pa.binary()) for k in ("codes", "counts", "words", "owners")],
                 names=["kind", "part", "slice", "docs", "codes", "counts", "words", "owners"],
             )
-        g, c = grams
-        part_of = (mix(g, 3) >> U(32)) * U(n) >> U(32)
-        order = np.argsort(part_of, kind="stable")
-        edges = np.searchsorted(part_of[order], np.arange(n + 1).astype(U))
-        some = [p for p in range(n) if edges[p] < edges[p + 1]]
-        if some:
-            cut = [order[edges[p] : edges[p + 1]] for p in some]
-            blank = pa.array([b""] * len(some), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([3] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([0] * len(some), pa.int64()), blank, pa.array([g[x].tobytes() for x in cut], pa.binary()), pa.array([c[x].tobytes() for x in cut], pa.binary()), blank, blank],
-                names=["kind", "part", "slice", "docs", "codes", "counts", "words", "owners"],
-            )
+            # Of each gram: occurrences, then the documents they are in (2048 at most in a slice); which of them train.
+            flags = len(ids).to_bytes(8, "little") + np.packbits(train).tobytes()
+            for g, doc in _gram_chunks(w):
+                key = (mix(g >> U(8) & CONTEXT, 3) >> U(32)) * U(dealt) >> U(32) << U(48) | g
+                order = np.argsort(key)
+                key = key[order]
+                bounds = group_bounds(key)
+                times = np.diff(np.append(bounds, len(key))).astype(np.uint32)
+                doc = doc[order].astype(np.uint16)
+                part_of = (key[bounds] >> U(48)).astype(np.int32)
+                distinct = key[bounds] & U((1 << 48) - 1)
+                at = group_bounds(part_of)
+                ends = np.append(at[1:], len(part_of))
+                edges = np.append(bounds, len(key))
+                m = len(at)
+                blank = pa.array([b""] * m, pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([3] * m, pa.int32()), pa.array(part_of[at]), pa.array([slice_id] * m, pa.int64()), pa.array([flags] * m, pa.binary()), pa.array([distinct[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), blank]
+                    + [pa.array([times[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), pa.array([doc[edges[i] : edges[j]].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())],
+                    names=["kind", "part", "slice", "docs", "codes", "counts", "words", "owners"],
+                )
 
     return run
 
@@ -143,11 +158,46 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
-GATHERED = "kind int, slice long, docs binary, sums binary, known binary, keys array<long>, counts array<long>, total long, distinct long"
+GATHERED = "kind int, slice long, docs binary, sums binary, known binary, bits binary, total long, distinct long"
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, top: int, low: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of nodes of order top -> those of orders low to top."""
+    out = [(keys, counts)]
+    for k in range(top - 1, low - 1, -1):
+        out.append(_merge(out[-1][0] & U((1 << 8 * (k + 1)) - 1), out[-1][1]))
+    return out[::-1]
 
 
-def _reduce_part(rows: pd.DataFrame) -> pd.DataFrame:
-    """One partition of the words: corpus counts, then each slice's sums over its documents; and its byte contexts."""
+def _low_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of order DEALT_BY - 1 of a task's texts with their counts."""
+    keys, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+    for batch in pieces(batches):
+        for g, _ in _gram_chunks(split_words(batch.column("text"))):
+            own, n = np.unique((g & CONTEXT).astype(np.uint32), return_counts=True)
+            keys, counts = _merge(np.concatenate([keys, own]), np.concatenate([counts, n]))
+    for at in range(0, len(keys), BLOB):
+        part = keys[at : at + BLOB]
+        yield pa.RecordBatch.from_arrays([pa.array([part.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts[at : at + BLOB]], pa.list_(pa.int64()))], names=["keys", "counts"])
+
+
+def low_levels(train: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes under order DEALT_BY over all texts of train."""
+    counted = train.select("text").mapInArrow(_low_grams, "keys array<long>, counts array<long>").select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
+    table = counted.groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.counts").alias("n")).toArrow()
+    return _levels(*_merge(table.column("key").to_numpy().astype(np.int64).view(U), table.column("n").to_numpy().astype(np.int64)), DEALT_BY - 1, 0)
+
+
+def _reduce_part(low):
+    """One partition of the words and grams: corpus counts, then each slice's sums over its documents."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_sums_of_words(rows) + _sums_of_grams(rows[rows.kind == 3], low.value), columns=[x.split()[0] for x in GATHERED.split(", ")])
+
+    return run
+
+
+def _sums_of_words(rows: pd.DataFrame) -> list[tuple]:
     out = []
     own = rows[rows.kind == 1]
     codes = [np.frombuffer(x, dtype=U) for x in own.codes]
@@ -161,16 +211,32 @@ def _reduce_part(rows: pd.DataFrame) -> pd.DataFrame:
             n = int.from_bytes(docs, "little")
             sums = np.bincount(doc, weights=np.repeat(logs[at], times), minlength=n)
             known = np.bincount(doc, weights=np.repeat((total[at] > 0).astype(float), times), minlength=n).astype(np.int64)
-            out.append((1, slice_id, None, sums.tobytes(), known.tobytes(), None, None, 0, 0))
-        out.append((0, 0, None, None, None, None, None, int(total.sum()), int((total > 0).sum())))
+            out.append((1, slice_id, None, sums.tobytes(), known.tobytes(), None, 0, 0))
+        out.append((0, 0, None, None, None, None, int(total.sum()), int((total > 0).sum())))
     for slice_id, docs in rows.loc[rows.kind == 2, ["slice", "docs"]].itertuples(index=False, name=None):
-        out.append((2, slice_id, docs, None, None, None, None, 0, 0))
-    third = rows[rows.kind == 3]
-    if len(third):
-        keys, total = _merge(np.concatenate([np.frombuffer(x, dtype=U) for x in third.codes]), np.concatenate([np.frombuffer(x, dtype=np.int64) for x in third.counts]))
-        for at in range(0, len(keys), BLOB):
-            out.append((3, 0, None, None, None, keys[at : at + BLOB].astype(np.int64), total[at : at + BLOB], 0, 0))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in GATHERED.split(", ")])
+        out.append((2, slice_id, docs, None, None, None, 0, 0))
+    return out
+
+
+def _sums_of_grams(rows: pd.DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+    if not len(rows):
+        return []
+    codes = [np.frombuffer(x, dtype=U) for x in rows.codes]
+    times = [np.frombuffer(x, dtype=np.uint32) for x in rows.words]
+    owners = [np.frombuffer(x, dtype=np.uint16) for x in rows.owners]
+    rank = [int.from_bytes(x[:8], "little") for x in rows.docs]
+    counts = []
+    for t, doc, flags, n in zip(times, owners, rows.docs, rank, strict=True):
+        train = np.unpackbits(np.frombuffer(flags, dtype=np.uint8, offset=8), count=n)
+        counts.append(np.add.reduceat(train[doc].astype(np.int64), np.cumsum(t, dtype=np.int64) - t))
+    keys, total = _merge(np.concatenate(codes), np.concatenate(counts))
+    seen = total > 0
+    logs = Trie([*low, *_levels(keys[seen], total[seen], ORDER, DEALT_BY)], ORDER).log10(keys)
+    out = []
+    for c, t, doc, slice_id, n in zip(codes, times, owners, rows.slice, rank, strict=True):
+        bits = np.bincount(doc, weights=np.repeat(logs[np.searchsorted(keys, c)], t), minlength=n)
+        out.append((3, slice_id, None, None, None, bits.tobytes(), 0, 0))
+    return out
 
 
 def _per_document(rows: pd.DataFrame) -> pd.DataFrame:
@@ -182,11 +248,14 @@ def _per_document(rows: pd.DataFrame) -> pd.DataFrame:
     for s, k in zip(some.sums, some.known, strict=True):
         sums += np.frombuffer(s)
         known += np.frombuffer(k, dtype=np.int64)
-    return pd.DataFrame({"key": head[1 : n + 1], "words": head[n + 1 :], "known": known, "logs": sums})
+    bits = np.zeros(n)
+    for x in rows.bits[rows.bits.notna()]:
+        bits += np.frombuffer(x)
+    return pd.DataFrame({"key": head[1 : n + 1], "words": head[n + 1 :], "known": known, "logs": sums, "score": bits})
 
 
 class Trie:
-    """Sorted node and context keys by order, as arrays; built once on the driver, read by every task."""
+    """Sorted node and context keys by order, as arrays: all of a corpus, or all that the grams of one partition meet."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], order: int):
         """levels[k]: keys (k context bytes and a symbol) and counts of order k."""
@@ -250,53 +319,7 @@ class Trie:
         return out
 
 
-def train_trie(grams: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """grams (key long, n long): counts of the longest codes -> trie within max_nodes nodes an order."""
-    levels = []
-    at = grams
-    for k in range(order, -1, -1):
-        if k < order:
-            at = at.select(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-            at = materialize(at)
-        kept = at
-        if at.count() > max_nodes:  # the contexts with the largest totals, as many as fit
-            ctx = at.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("nodes"))
-            steps = ctx.groupBy(F.floor(F.log2("total") * 8).alias("step")).agg(F.sum("nodes").alias("nodes")).orderBy(F.desc("step")).collect()
-            room, least = max_nodes, None
-            for r in steps:
-                if r.nodes > room:
-                    break
-                room, least = room - r.nodes, r.step
-            keep = ctx.where(F.floor(F.log2("total") * 8) >= (10**6 if least is None else least)).select("ctx")
-            kept = at.withColumn("ctx", F.shiftright("key", 8)).join(keep, "ctx").select("key", "n")
-        table = kept.toArrow()
-        levels.append((table.column("key").to_numpy().astype(np.int64).view(U), table.column("n").to_numpy().astype(np.int64)))
-    return Trie(levels[::-1], order)
-
-
-def _score_slices(model):
-    """Rows with their PPM code length, by distinct words of a slice."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = model.value
-        end = trie.log10(np.array([_end_gram()], dtype=U))[0]
-        for batch in pieces(batches):
-            w = split_words(batch.column("text"))
-            order = np.argsort(w.code)
-            codes = w.code[order]
-            bounds = group_bounds(codes)
-            spelled, at = _spelled(w, order[bounds])
-            g, owner = _grams(spelled, at)
-            each = np.bincount(owner, weights=trie.log10(g), minlength=len(bounds))
-            per = np.zeros(len(codes))
-            per[order] = np.repeat(each, np.diff(np.append(bounds, len(codes))))
-            total = np.bincount(w.doc, weights=per, minlength=w.rows) + end
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("held_out"), pa.array(total)], names=["doc_id", "key", "held_out", "score"])
-
-    return run
-
-
-def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
+def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
     """Rows of docs (doc_id, text) with held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     The models learn from the rows outside the held fold. Null and empty texts are one end token. Repeated rows repeat
@@ -308,15 +331,13 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER, max_
     n = parts(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), in_fold(mod, held).alias("held_out"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("train", ~F.col("held_out"))
+    low = spark.sparkContext.broadcast(low_levels(rows.where("train")))
     counted = rows.select("key", "text", "train").mapInArrow(_count_slices(n), COUNTED)
-    gathered = materialize(counted.groupBy("part").applyInPandas(_reduce_part, GATHERED))
-    grams = gathered.where("kind = 3").select(F.explode(F.arrays_zip("keys", "counts")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
-    model = spark.sparkContext.broadcast(train_trie(grams, order, max_nodes))
+    gathered = materialize(counted.groupBy("part").applyInPandas(_reduce_part(low), GATHERED))
     sums = gathered.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).head()
-    per = gathered.where("kind in (1, 2)").groupBy("slice").applyInPandas(_per_document, "key long, words long, known long, logs double").dropDuplicates(["key"])
+    per = gathered.where("kind > 0").groupBy("slice").applyInPandas(_per_document, "key long, words long, known long, logs double, score double").dropDuplicates(["key"])
     ends = rows.where("train").count()
     tokens, kinds = sums.total + ends, sums.distinct + (1 if ends else 0)
-    scored = rows.select("doc_id", "key", "text", "held_out").mapInArrow(_score_slices(model), "doc_id long, key long, held_out boolean, score double")
-    out = scored.join(per, "key")
+    out = rows.select("doc_id", "key", "held_out").join(per, "key")
     base = F.col("logs") + float(np.log10(ends + 1.0)) - (F.col("words") + 1) * float(np.log10(tokens + kinds + 1.0))
     return out.select("doc_id", "held_out", (F.col("words") + 1).alias("n_tokens"), (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -385,6 +385,23 @@ def test_language_model(spark, docs, texts):
     assert lm.score(docs.union(docs)).count() == 2 * len(texts) and lm.score(empty(spark)).count() == 0
 
 
+def test_scores_by_partition_are_those_of_a_whole_trie_of_over_4_m_nodes(spark):
+    from spanveil.llm.words import split_words
+
+    rng = random.Random(18)
+    col = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/-_", k=100_000)) for _ in range(52)]
+    col = [" ".join(t[k : k + 500] for k in range(0, len(t), 500)) for t in col] + ["", None, "a b", col[0][:50]]
+    df = spark.createDataFrame(list(enumerate(col)), "doc_id long, text string").repartitionByRange(8, "doc_id")
+    got = {r.doc_id: r for r in lm.score(df).collect()}
+    train = [t or "" for i, t in enumerate(col) if not got[i].held_out]
+    keys, counts = np.unique(np.concatenate([g for g, _ in lm._gram_chunks(split_words(pa.array(train)))]), return_counts=True)
+    assert len(keys) > 4_000_000
+    trie = lm.Trie(lm._levels(keys, counts, lm.ORDER, 0), lm.ORDER)
+    for i in range(45, len(col)):
+        own = np.concatenate([g for g, _ in lm._gram_chunks(split_words(pa.array([col[i] or ""])))])
+        assert got[i].score == pytest.approx(trie.log10(own).sum())
+
+
 def test_trie_probabilities_sum_to_one():
     rng = random.Random(15)
     grams = Counter()
