@@ -1,18 +1,19 @@
 """Scoring texts by prediction by partial matching (PPM) over bytes, and by a base model over words.
 
-Counting: each task reduces its documents to distinct words and distinct grams (a byte and the `order` bytes before it)
-with the documents they are in. Words are dealt by fingerprint, grams by the last DEALT_BY bytes of their context, so
+Counting: each slice of documents is reduced to distinct words with the documents they are in, and to distinct grams (a
+byte and the `order` bytes before it). Words are dealt by fingerprint, grams by the last DEALT_BY bytes of their context, so
 what every document holds arrives once per slice and not once per occurrence. Nothing of the corpus is left out of the
 counts.
 
 PPM: a text is its lower-cased words, each closed by a blank, then one end symbol. The context of a byte is the
-up to `order` bytes before it within its word (a blank marks the word's start). A trie node's symbols share
-(2c - 1) / 2T; the rest, d / 2T, escapes to the context one byte shorter, where the symbols of the longer context are
+up to `order` bytes before it in the running text, blanks and words before its own included (blanks stand before the
+first word). A trie node's symbols share (2c - 1) / 2T; the rest, d / 2T, escapes to the context one byte shorter, where the symbols of the longer context are
 excluded; below the empty context all 256 symbols are equal. The probabilities of a context sum to 1.
 
 The trie is never in one place. All contexts of DEALT_BY bytes or more that a gram can escape through end in the same
 bytes, so one partition holds them, and scores its grams there. Shorter contexts are broadcast: there are at most 256 ^
-DEALT_BY nodes of them, however large the corpus is. Sums per document go back to the slices.
+DEALT_BY nodes of them, however large the corpus is. Probabilities go back to the slices, once for each distinct gram,
+and meet the slice's texts there.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spanveil.llm.runtime import in_fold, materialize, parts
 from spanveil.llm.words import U, group_bounds, lowered, mix, pieces, slice_name, split_words
@@ -31,7 +33,7 @@ from spanveil.llm.words import U, group_bounds, lowered, mix, pieces, slice_name
 ORDER = 5
 DEALT_BY = 3
 CONTEXT = np.uint64((1 << 8 * DEALT_BY) - 1)
-SYMBOLS = 1 << 22  # most grams that are sorted at once
+SYMBOLS = 1 << 19  # most grams that are sorted at once
 BLANK, END = 0x20, 0x0A
 END_CODE = 0xE17D  # fingerprint that stands for the end token in the base model
 BLOB = 1 << 16
@@ -42,53 +44,49 @@ def _deal(codes: np.ndarray, n: int) -> np.ndarray:
     return ((codes >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
-def _spelled(words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the chosen words, each as order blanks, the word, a blank; and where each begins."""
-    length = words.stop[first] - words.start[first]
-    span = length + ORDER + 1
-    at = np.concatenate([[0], np.cumsum(span)])
+def _running(words, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts lo to hi, each as order blanks, its words closed by blanks, the end symbol; and where each begins."""
+    some = slice(*np.searchsorted(words.doc, [lo, hi]))
+    start, doc = words.start[some], words.doc[some] - lo
+    length = words.stop[some] - start
+    per = np.bincount(doc, weights=length + 1, minlength=hi - lo).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(per + ORDER + 1)])
     out = np.full(at[-1], BLANK, dtype=np.uint8)
-    owner = np.repeat(np.arange(len(first)), length)
-    inner = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-    out[at[owner] + ORDER + inner] = lowered(words.raw[words.start[first][owner] + inner])
+    out[at[1:] - 1] = END
+    # A word stands behind all words before it and the blanks and end symbols of the texts up to its own.
+    begin = np.cumsum(length + 1) - (length + 1) + doc * (ORDER + 1) + ORDER
+    before = np.cumsum(length) - length
+    step = np.arange(length.sum())
+    out[np.repeat(begin - before, length) + step] = lowered(words.raw[np.repeat(start - before, length) + step])
     return out, at
 
 
-def _grams(spelled: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol to code (word bytes and closing blank): its code of order + 1 bytes, and its word's number."""
-    n = len(spelled) - ORDER
-    code = np.zeros(max(n, 0), dtype=U)
-    for k in range(ORDER + 1):
-        code = (code << U(8)) | spelled[k : k + n]
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at) - ORDER)
-    place = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(np.diff(at) - ORDER)[:-1]]), np.diff(at) - ORDER)
-    return code[at[owner] + place], owner
-
-
-def _end_gram() -> int:
-    code = 0
-    for _ in range(ORDER):
-        code = code << 8 | BLANK
-    return code << 8 | END
-
-
-def _gram_chunks(w) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Grams of all symbols of the texts with the text of each, at most SYMBOLS bytes of words at once."""
-    upto = np.cumsum(w.stop - w.start)
-    cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, SYMBOLS)), len(upto)))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        spelled, at = _spelled(w, np.arange(lo, hi))
-        g, owner = _grams(spelled, at)
-        yield g, w.doc[lo:hi][owner]
-    yield np.full(w.rows, _end_gram(), dtype=U), np.arange(w.rows)
+def _gram_chunks(words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of all symbols (order bytes before each, and it) of the texts with the text of each, at most SYMBOLS at once."""
+    upto = np.cumsum(np.bincount(words.doc, weights=words.stop - words.start, minlength=words.rows))
+    first = 0
+    while first < words.rows:
+        base = upto[first - 1] if first else 0
+        last = max(int(np.searchsorted(upto, base + SYMBOLS, "right")), first + 1)
+        text, at = _running(words, first, last)
+        for lo in range(ORDER, len(text), SYMBOLS):
+            hi = min(lo + SYMBOLS, len(text))
+            code = np.zeros(hi - lo, dtype=U)
+            for k in range(ORDER + 1):
+                code <<= U(8)
+                code |= text[lo - ORDER + k : hi - ORDER + k]
+            place = np.arange(lo, hi)
+            doc = np.searchsorted(at, place, "right") - 1
+            symbol = place - at[doc] >= ORDER
+            yield code[symbol], doc[symbol] + first
+        first = last
 
 
 COUNTED = "kind int, part int, slice long, docs binary, codes binary, counts binary, words binary, owners binary"
 
 
 def _count_slices(n: int):
-    """Slices of documents -> per partition: distinct words with training counts, distinct grams, and which document has which."""
-    dealt = min(n, 1 << 16)
+    """Slices of documents -> per partition: distinct words with training counts, and which document has which."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, batch in enumerate(pieces(batches)):
@@ -107,7 +105,7 @@ def _count_slices(n: int):
             edges = np.searchsorted(part_of, np.arange(n + 1))
             rows = {k: [] for k in ("part", "codes", "counts", "words", "owners")}
             ends = np.append(bounds, len(codes))
-            owners = w.doc[order].astype(np.uint16 if batch.num_rows < 1 << 16 else np.uint32)
+            owners = w.doc[order].astype(np.uint16)  # pieces() gives 2048 rows at most
             for p in range(n):
                 lo, hi = edges[p], edges[p + 1]
                 if lo == hi:
@@ -117,7 +115,7 @@ def _count_slices(n: int):
                 rows["counts"].append(counts[lo:hi].astype(np.uint32).tobytes())
                 # Occurrences per distinct word (most are 1), then the documents they are in.
                 rows["words"].append(np.diff(ends[lo : hi + 1]).astype(np.uint32).tobytes())
-                rows["owners"].append(owners[ends[lo] : ends[hi]].astype(np.uint32).tobytes())
+                rows["owners"].append(owners[ends[lo] : ends[hi]].tobytes())
             m = len(rows["part"])
             docs = np.concatenate([[len(ids)], ids.astype(np.int64), np.bincount(w.doc, minlength=w.rows)]).astype(np.int64).tobytes()
             # The slice's documents go along once, in a row of their own.
@@ -126,27 +124,6 @@ def _count_slices(n: int):
                 + [pa.array(rows[k] + [b""], pa.binary()) for k in ("codes", "counts", "words", "owners")],
                 names=["kind", "part", "slice", "docs", "codes", "counts", "words", "owners"],
             )
-            # Of each gram: occurrences, then the documents they are in (2048 at most in a slice); which of them train.
-            flags = len(ids).to_bytes(8, "little") + np.packbits(train).tobytes()
-            for g, doc in _gram_chunks(w):
-                key = (mix(g >> U(8) & CONTEXT, 3) >> U(32)) * U(dealt) >> U(32) << U(48) | g
-                order = np.argsort(key)
-                key = key[order]
-                bounds = group_bounds(key)
-                times = np.diff(np.append(bounds, len(key))).astype(np.uint32)
-                doc = doc[order].astype(np.uint16)
-                part_of = (key[bounds] >> U(48)).astype(np.int32)
-                distinct = key[bounds] & U((1 << 48) - 1)
-                at = group_bounds(part_of)
-                ends = np.append(at[1:], len(part_of))
-                edges = np.append(bounds, len(key))
-                m = len(at)
-                blank = pa.array([b""] * m, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([3] * m, pa.int32()), pa.array(part_of[at]), pa.array([slice_id] * m, pa.int64()), pa.array([flags] * m, pa.binary()), pa.array([distinct[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), blank]
-                    + [pa.array([times[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), pa.array([doc[edges[i] : edges[j]].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())],
-                    names=["kind", "part", "slice", "docs", "codes", "counts", "words", "owners"],
-                )
 
     return run
 
@@ -158,7 +135,7 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
-GATHERED = "kind int, slice long, docs binary, sums binary, known binary, bits binary, total long, distinct long"
+GATHERED = "kind int, slice long, docs binary, sums binary, known binary, total long, distinct long"
 
 
 def _levels(keys: np.ndarray, counts: np.ndarray, top: int, low: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -188,16 +165,8 @@ def low_levels(train: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return _levels(*_merge(table.column("key").to_numpy().astype(np.int64).view(U), table.column("n").to_numpy().astype(np.int64)), DEALT_BY - 1, 0)
 
 
-def _reduce_part(low):
-    """One partition of the words and grams: corpus counts, then each slice's sums over its documents."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_sums_of_words(rows) + _sums_of_grams(rows[rows.kind == 3], low.value), columns=[x.split()[0] for x in GATHERED.split(", ")])
-
-    return run
-
-
-def _sums_of_words(rows: pd.DataFrame) -> list[tuple]:
+def _reduce_part(rows: pd.DataFrame) -> pd.DataFrame:
+    """One partition of the words: corpus counts, then each slice's sums over its documents."""
     out = []
     own = rows[rows.kind == 1]
     codes = [np.frombuffer(x, dtype=U) for x in own.codes]
@@ -207,36 +176,15 @@ def _sums_of_words(rows: pd.DataFrame) -> list[tuple]:
         for c, (slice_id, docs, words, owners) in zip(codes, own[["slice", "docs", "words", "owners"]].itertuples(index=False, name=None), strict=True):
             at = np.searchsorted(keys, c)
             times = np.frombuffer(words, dtype=np.uint32)
-            doc = np.frombuffer(owners, dtype=np.uint32)
+            doc = np.frombuffer(owners, dtype=np.uint16)
             n = int.from_bytes(docs, "little")
             sums = np.bincount(doc, weights=np.repeat(logs[at], times), minlength=n)
             known = np.bincount(doc, weights=np.repeat((total[at] > 0).astype(float), times), minlength=n).astype(np.int64)
-            out.append((1, slice_id, None, sums.tobytes(), known.tobytes(), None, 0, 0))
-        out.append((0, 0, None, None, None, None, int(total.sum()), int((total > 0).sum())))
+            out.append((1, slice_id, None, sums.tobytes(), known.tobytes(), 0, 0))
+        out.append((0, 0, None, None, None, int(total.sum()), int((total > 0).sum())))
     for slice_id, docs in rows.loc[rows.kind == 2, ["slice", "docs"]].itertuples(index=False, name=None):
-        out.append((2, slice_id, docs, None, None, None, 0, 0))
-    return out
-
-
-def _sums_of_grams(rows: pd.DataFrame, low: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
-    if not len(rows):
-        return []
-    codes = [np.frombuffer(x, dtype=U) for x in rows.codes]
-    times = [np.frombuffer(x, dtype=np.uint32) for x in rows.words]
-    owners = [np.frombuffer(x, dtype=np.uint16) for x in rows.owners]
-    rank = [int.from_bytes(x[:8], "little") for x in rows.docs]
-    counts = []
-    for t, doc, flags, n in zip(times, owners, rows.docs, rank, strict=True):
-        train = np.unpackbits(np.frombuffer(flags, dtype=np.uint8, offset=8), count=n)
-        counts.append(np.add.reduceat(train[doc].astype(np.int64), np.cumsum(t, dtype=np.int64) - t))
-    keys, total = _merge(np.concatenate(codes), np.concatenate(counts))
-    seen = total > 0
-    logs = Trie([*low, *_levels(keys[seen], total[seen], ORDER, DEALT_BY)], ORDER).log10(keys)
-    out = []
-    for c, t, doc, slice_id, n in zip(codes, times, owners, rows.slice, rank, strict=True):
-        bits = np.bincount(doc, weights=np.repeat(logs[np.searchsorted(keys, c)], t), minlength=n)
-        out.append((3, slice_id, None, None, None, bits.tobytes(), 0, 0))
-    return out
+        out.append((2, slice_id, docs, None, None, 0, 0))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in GATHERED.split(", ")])
 
 
 def _per_document(rows: pd.DataFrame) -> pd.DataFrame:
@@ -248,10 +196,7 @@ def _per_document(rows: pd.DataFrame) -> pd.DataFrame:
     for s, k in zip(some.sums, some.known, strict=True):
         sums += np.frombuffer(s)
         known += np.frombuffer(k, dtype=np.int64)
-    bits = np.zeros(n)
-    for x in rows.bits[rows.bits.notna()]:
-        bits += np.frombuffer(x)
-    return pd.DataFrame({"key": head[1 : n + 1], "words": head[n + 1 :], "known": known, "logs": sums, "score": bits})
+    return pd.DataFrame({"key": head[1 : n + 1], "words": head[n + 1 :], "known": known, "logs": sums})
 
 
 class Trie:
@@ -319,6 +264,78 @@ class Trie:
         return out
 
 
+def _name_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the name of their slice, so that later passes agree on it."""
+    for turn, batch in enumerate(pieces(batches, most=16 << 20, rows=8192)):
+        name = slice_name(turn, batch.column("key").to_numpy())
+        yield batch.append_column("slice", pa.array([name] * batch.num_rows, pa.int64()))
+
+
+def _gram_pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of all symbols of a batch with the row of each; words are split in smaller pieces."""
+    first = 0
+    for piece in pieces([batch]):
+        for g, doc in _gram_chunks(split_words(piece.column("text"))):
+            yield g, doc + first
+        first += piece.num_rows
+
+
+def _slice_grams(n: int):
+    """Named rows -> per partition: distinct grams of a slice with training counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            names = whole.column("slice").to_numpy()
+            cuts = np.append(group_bounds(names), len(names))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                batch = whole.slice(lo, hi - lo)
+                train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
+                keys, counts = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+                for g, doc in _gram_pieces(batch.select(["text"])):
+                    own, count = _merge(g, train[doc])
+                    keys, counts = _merge(np.concatenate([keys, own]), np.concatenate([counts, count]))
+                counts = counts.astype(np.uint32)  # a batch has less than 2^31 bytes
+                part_of = ((mix(keys >> U(8) & CONTEXT, 3) >> U(32)) * U(n) >> U(32)).astype(np.int32)
+                order = np.argsort(part_of, kind="stable")
+                keys, counts, part_of = keys[order], counts[order], part_of[order]
+                at = group_bounds(part_of)
+                ends = np.append(at[1:], len(part_of))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part_of[at]), pa.array([names[lo]] * len(at), pa.int64()), pa.array([keys[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), pa.array([counts[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())],
+                    names=["part", "slice", "codes", "counts"],
+                )
+
+    return run
+
+
+def _score_grams(low):
+    """One partition of the grams: corpus counts, then the log10 probabilities of each slice's grams."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        codes = [np.frombuffer(x, dtype=U) for x in rows.codes]
+        keys, total = _merge(np.concatenate(codes), np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows.counts]).astype(np.int64))
+        seen = total > 0
+        logs = Trie([*low.value, *_levels(keys[seen], total[seen], ORDER, DEALT_BY)], ORDER).log10(keys)
+        return pd.DataFrame({"slice": rows.slice, "codes": rows.codes, "logs": [logs[np.searchsorted(keys, c)].tobytes() for c in codes]})
+
+    return run
+
+
+def _score_slice(texts: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
+    """One slice's texts and the log10 probabilities of its grams -> a sum for each text."""
+    keys = np.concatenate([np.frombuffer(x, dtype=U) for x in scored.codes])
+    logs = np.concatenate([np.frombuffer(x) for x in scored.logs])
+    order = np.argsort(keys)
+    keys, logs = keys[order], logs[order]
+    out = np.zeros(len(texts))
+    for g, doc in _gram_pieces(pa.RecordBatch.from_arrays([pa.array(texts.text, pa.large_string())], names=["text"])):
+        order = np.argsort(g)
+        at = group_bounds(g[order])
+        each = logs[np.searchsorted(keys, g[order[at]])]
+        out += np.bincount(doc[order], weights=np.repeat(each, np.diff(np.append(at, len(g)))), minlength=len(out))
+    return pd.DataFrame({"key": texts.key, "score": out})
+
+
 def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
     """Rows of docs (doc_id, text) with held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
@@ -331,13 +348,17 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER) -> D
     n = parts(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), in_fold(mod, held).alias("held_out"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("train", ~F.col("held_out"))
+    rows = materialize(rows.mapInArrow(_name_slices, StructType([*rows.schema.fields, StructField("slice", LongType())])))
     low = spark.sparkContext.broadcast(low_levels(rows.where("train")))
     counted = rows.select("key", "text", "train").mapInArrow(_count_slices(n), COUNTED)
-    gathered = materialize(counted.groupBy("part").applyInPandas(_reduce_part(low), GATHERED))
+    gathered = materialize(counted.groupBy("part").applyInPandas(_reduce_part, GATHERED))
+    grams = rows.select("slice", "text", "train").mapInArrow(_slice_grams(n), "part int, slice long, codes binary, counts binary")
+    logs = grams.groupBy("part").applyInPandas(_score_grams(low), "slice long, codes binary, logs binary")
+    scored = rows.select("slice", "key", "text").groupBy("slice").cogroup(logs.groupBy("slice")).applyInPandas(_score_slice, "key long, score double").dropDuplicates(["key"])
     sums = gathered.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).head()
-    per = gathered.where("kind > 0").groupBy("slice").applyInPandas(_per_document, "key long, words long, known long, logs double, score double").dropDuplicates(["key"])
+    per = gathered.where("kind > 0").groupBy("slice").applyInPandas(_per_document, "key long, words long, known long, logs double").dropDuplicates(["key"])
     ends = rows.where("train").count()
     tokens, kinds = sums.total + ends, sums.distinct + (1 if ends else 0)
-    out = rows.select("doc_id", "key", "held_out").join(per, "key")
+    out = rows.select("doc_id", "key", "held_out").join(per, "key").join(scored, "key")
     base = F.col("logs") + float(np.log10(ends + 1.0)) - (F.col("words") + 1) * float(np.log10(tokens + kinds + 1.0))
     return out.select("doc_id", "held_out", (F.col("words") + 1).alias("n_tokens"), (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -385,6 +385,27 @@ def test_language_model(spark, docs, texts):
     assert lm.score(docs.union(docs)).count() == 2 * len(texts) and lm.score(empty(spark)).count() == 0
 
 
+def test_contexts_cross_words(spark):
+    rng = random.Random(19)
+    pairs = [(f"{a}o", f"{b}u") for a, b in zip("bcdfg", "lmnpq", strict=True)]
+    plain = {i: " ".join(f"{a} {b}" for a, b in (rng.choice(pairs) for _ in range(20))) for i in range(60)}
+    plain |= {100: plain[0].upper().replace(" ", " \n"), 101: " ".join(sorted(plain[0].split())), 102: "", 103: None}
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(plain.items()), "doc_id long, text string").repartitionByRange(8, "doc_id")).collect()}
+
+    def grams(text):
+        run = b" " * lm.ORDER + b"".join(w.encode() + b" " for w in tokens_of(text)) + b"\n"
+        return [int.from_bytes(run[k : k + lm.ORDER + 1], "big") for k in range(len(run) - lm.ORDER)]
+
+    def tokens_of(text):
+        return (text or "").lower().split()
+
+    counts = Counter(g for i, t in plain.items() if not got[i].held_out for g in grams(t))
+    trie = lm.Trie(lm._levels(*lm._merge(np.array(list(counts), dtype=np.uint64), np.array(list(counts.values()))), lm.ORDER, 0), lm.ORDER)
+    for i, t in plain.items():
+        assert got[i].score == pytest.approx(trie.log10(np.array(grams(t), dtype=np.uint64)).sum())
+    assert got[100].score == pytest.approx(got[0].score) and got[101].score < 1.5 * got[0].score
+
+
 def test_scores_by_partition_are_those_of_a_whole_trie_of_over_4_m_nodes(spark):
     from spanveil.llm.words import split_words
 
