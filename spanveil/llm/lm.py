@@ -1,19 +1,20 @@
 """Scoring texts by prediction by partial matching (PPM) over bytes, and by a base model over words.
 
-Counting: each slice of documents is reduced to distinct words with the documents they are in, and to distinct grams (a
-byte and the `order` bytes before it). Words are dealt by fingerprint, grams by the last DEALT_BY bytes of their context, so
-what every document holds arrives once per slice and not once per occurrence. Nothing of the corpus is left out of the
-counts.
+One pass over the texts cuts them into slices and writes, for each slice, its distinct words and its distinct grams (a
+byte and the ORDER bytes before it) with their training counts, and its texts, compressed. Words are dealt by
+fingerprint, grams by the last DEALT_BY bytes of their context, so what every document holds arrives once a slice and not
+once an occurrence. Nothing of the corpus is left out of the counts.
 
-PPM: a text is its lower-cased words, each closed by a blank, then one end symbol. The context of a byte is the
-up to `order` bytes before it in the running text, blanks and words before its own included (blanks stand before the
-first word). A trie node's symbols share (2c - 1) / 2T; the rest, d / 2T, escapes to the context one byte shorter, where the symbols of the longer context are
-excluded; below the empty context all 256 symbols are equal. The probabilities of a context sum to 1.
+PPM: a text is its lower-cased words, each closed by a blank, then one end symbol. The context of a byte is the up to
+ORDER bytes before it in the running text, blanks and words before its own included (blanks stand before the first
+word). A trie node's symbols share (2c - 1) / 2T; the rest, d / 2T, escapes to the context one byte shorter, where the
+symbols of the longer context are excluded; below the empty context all 256 symbols are equal. The probabilities of a
+context sum to 1.
 
 The trie is never in one place. All contexts of DEALT_BY bytes or more that a gram can escape through end in the same
 bytes, so one partition holds them, and scores its grams there. Shorter contexts are broadcast: there are at most 256 ^
-DEALT_BY nodes of them, however large the corpus is. Probabilities go back to the slices, once for each distinct gram,
-and meet the slice's texts there.
+DEALT_BY nodes of them, however large the corpus is. What comes back to a slice is a number for each of its distinct
+words and grams, in their order; there they meet the slice's texts.
 """
 
 from __future__ import annotations
@@ -21,121 +22,152 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from spanveil.llm.runtime import in_fold, materialize, parts
-from spanveil.llm.words import U, group_bounds, lowered, mix, pieces, slice_name, split_words
+from spanveil.llm.runtime import in_fold, materialize, parts, trim, trimmed
+from spanveil.llm.words import INK, U, group_bounds, lowered, mix, pieces, split_words, task_slice, text_buffer
 
 ORDER = 5
 DEALT_BY = 3
 CONTEXT = np.uint64((1 << 8 * DEALT_BY) - 1)
-SYMBOLS = 1 << 19  # most grams that are sorted at once
+SLICE, ROWS = 16 << 20, 1 << 16  # bytes and rows of a slice; rows are 16 bits of a packed gram
+SYMBOLS = 1 << 21  # grams that are sorted at once
 BLANK, END = 0x20, 0x0A
-END_CODE = 0xE17D  # fingerprint that stands for the end token in the base model
-BLOB = 1 << 16
 
 
-def _deal(codes: np.ndarray, n: int) -> np.ndarray:
-    """Sorted fingerprints -> nondecreasing partition numbers, equal shares of the range."""
-    return ((codes >> U(32)) * U(n) >> U(32)).astype(np.int64)
-
-
-def _running(words, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of texts lo to hi, each as order blanks, its words closed by blanks, the end symbol; and where each begins."""
-    some = slice(*np.searchsorted(words.doc, [lo, hi]))
-    start, doc = words.start[some], words.doc[some] - lo
-    length = words.stop[some] - start
-    per = np.bincount(doc, weights=length + 1, minlength=hi - lo).astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(per + ORDER + 1)])
+def running(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, each as ORDER blanks, its words closed by blanks, the end symbol; and where each begins."""
+    raw, offsets = text_buffer(column)
+    ink = INK[raw]
+    closing = ~ink
+    closing[1:] &= ink[:-1]
+    closing[offsets[:-1][offsets[:-1] < len(raw)]] = False
+    body = lowered(raw)
+    body[closing] = BLANK
+    keep = ink | closing
+    upto = np.concatenate([[0], np.cumsum(keep, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)])[offsets]
+    size = np.diff(offsets)
+    open_end = np.zeros(len(size), dtype=bool)  # the last word goes up to the end of the text
+    open_end[size > 0] = ink[offsets[1:][size > 0] - 1]
+    at = np.concatenate([[0], np.cumsum(np.diff(upto) + open_end + ORDER + 1)])
     out = np.full(at[-1], BLANK, dtype=np.uint8)
+    own = np.ones(len(out), dtype=bool)
+    own[(at[:-1, None] + np.arange(ORDER)).ravel()] = False
+    own[at[1:] - 1] = False
+    own[at[1:][open_end] - 2] = False
+    out[own] = body[keep]
     out[at[1:] - 1] = END
-    # A word stands behind all words before it and the blanks and end symbols of the texts up to its own.
-    begin = np.cumsum(length + 1) - (length + 1) + doc * (ORDER + 1) + ORDER
-    before = np.cumsum(length) - length
-    step = np.arange(length.sum())
-    out[np.repeat(begin - before, length) + step] = lowered(words.raw[np.repeat(start - before, length) + step])
     return out, at
 
 
-def _gram_chunks(words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Grams of all symbols (order bytes before each, and it) of the texts with the text of each, at most SYMBOLS at once."""
-    upto = np.cumsum(np.bincount(words.doc, weights=words.stop - words.start, minlength=words.rows))
+def packed_grams(column: pa.Array) -> Iterator[np.ndarray]:
+    """Grams of all symbols of the texts, each over 16 bits that name its row, sorted; at most SYMBOLS at once."""
     first = 0
-    while first < words.rows:
-        base = upto[first - 1] if first else 0
-        last = max(int(np.searchsorted(upto, base + SYMBOLS, "right")), first + 1)
-        text, at = _running(words, first, last)
+    for piece in pieces([pa.RecordBatch.from_arrays([column], names=["text"])], rows=ROWS):
+        text, at = running(piece.column("text"))
         for lo in range(ORDER, len(text), SYMBOLS):
             hi = min(lo + SYMBOLS, len(text))
             code = np.zeros(hi - lo, dtype=U)
             for k in range(ORDER + 1):
                 code <<= U(8)
                 code |= text[lo - ORDER + k : hi - ORDER + k]
-            place = np.arange(lo, hi)
-            doc = np.searchsorted(at, place, "right") - 1
-            symbol = place - at[doc] >= ORDER
-            yield code[symbol], doc[symbol] + first
-        first = last
+            code <<= U(16)
+            share = np.diff(np.clip(at, lo, hi))
+            code |= np.repeat(np.arange(first, first + len(share), dtype=U), share)
+            begin = (at[:-1, None] + np.arange(ORDER)).ravel() - lo  # the blanks before a text are no symbols
+            symbol = np.ones(hi - lo, dtype=bool)
+            symbol[begin[(begin >= 0) & (begin < hi - lo)]] = False
+            code = code[symbol]
+            code.sort()
+            yield code
+        first += piece.num_rows
+
+
+def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = group_bounds(keys)
+    return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
-COUNTED = "kind int, part int, slice long, docs binary, codes binary, counts binary, words binary, owners binary"
+def distinct_grams(column: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams with how many symbols of training rows have each."""
+    keys, counts = [], []
+    for packed in packed_grams(column):
+        gram = packed >> U(16)
+        at = group_bounds(gram)
+        keys.append(gram[at])
+        counts.append(np.add.reduceat(train[(packed & U(0xFFFF)).astype(np.int64)], at) if len(at) else train[:0])
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    return _merge(np.concatenate([*keys, np.zeros(0, dtype=U)]), np.concatenate([*counts, np.zeros(0, dtype=np.int64)]))
+
+
+def distinct_words(column: pa.Array, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted fingerprints of the distinct words with how often training rows have each."""
+    every, known, first = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=U)], 0
+    for piece in pieces([pa.RecordBatch.from_arrays([column], names=["text"])]):
+        w = split_words(piece.column("text"))
+        every.append(w.code)
+        known.append(w.code[train[w.doc + first] > 0])
+        first += piece.num_rows
+    codes, trained = np.unique(np.concatenate(every)), np.sort(np.concatenate(known))
+    return codes, np.searchsorted(trained, codes, "right") - np.searchsorted(trained, codes, "left")
 
 
-def _count_slices(n: int):
-    """Slices of documents -> per partition: distinct words with training counts, and which document has which."""
+def squeeze(x: np.ndarray, width: int = 8) -> bytes:
+    """Integers as compressed planes of bytes; sorted ones and small ones take little."""
+    raw = np.ascontiguousarray(x.astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(x).to_bytes(4, "little") + bytes([width]) + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, batch in enumerate(pieces(batches)):
-            w = split_words(batch.column("text"))
-            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            ids = batch.column("key").to_numpy()
-            slice_id = slice_name(turn, ids)
-            order = np.argsort(w.code)
-            codes = w.code[order]
-            bounds = group_bounds(codes)
-            number = np.zeros(len(codes), dtype=np.int64)
-            number[bounds[1:]] = 1
-            number = np.cumsum(number)
-            counts = np.bincount(number, weights=train[w.doc[order]], minlength=len(bounds)).astype(np.int64)
-            part_of = _deal(codes[bounds], n)
-            edges = np.searchsorted(part_of, np.arange(n + 1))
-            rows = {k: [] for k in ("part", "codes", "counts", "words", "owners")}
-            ends = np.append(bounds, len(codes))
-            owners = w.doc[order].astype(np.uint16)  # pieces() gives 2048 rows at most
-            for p in range(n):
-                lo, hi = edges[p], edges[p + 1]
-                if lo == hi:
-                    continue
-                rows["part"].append(p)
-                rows["codes"].append(codes[bounds[lo:hi]].tobytes())
-                rows["counts"].append(counts[lo:hi].astype(np.uint32).tobytes())
-                # Occurrences per distinct word (most are 1), then the documents they are in.
-                rows["words"].append(np.diff(ends[lo : hi + 1]).astype(np.uint32).tobytes())
-                rows["owners"].append(owners[ends[lo] : ends[hi]].tobytes())
-            m = len(rows["part"])
-            docs = np.concatenate([[len(ids)], ids.astype(np.int64), np.bincount(w.doc, minlength=w.rows)]).astype(np.int64).tobytes()
-            # The slice's documents go along once, in a row of their own.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * m + [2], pa.int32()), pa.array(rows["part"] + [slice_id % n], pa.int32()), pa.array([slice_id] * (m + 1), pa.int64()), pa.array([len(ids).to_bytes(8, "little")] * m + [docs], pa.binary())]
-                + [pa.array(rows[k] + [b""], pa.binary()) for k in ("codes", "counts", "words", "owners")],
-                names=["kind", "part", "slice", "docs", "codes", "counts", "words", "owners"],
-            )
 
-    return run
+def spread(b: bytes) -> np.ndarray:
+    n, width = int.from_bytes(b[:4], "little"), b[4]
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(b[5:], decompressed_size=n * width, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width, n).T
+    return out.reshape(-1).view(np.int64)
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = group_bounds(keys)
-    return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+WORDS, GRAMS, TEXTS, LOW = range(4)
+SLICED = "kind int, part int, slice long, keys binary, counts binary, rows long"
 
 
-GATHERED = "kind int, slice long, docs binary, sums binary, known binary, total long, distinct long"
+def dealt(kind: int, keys: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of sorted keys by partition, and (partition, from, to) in that order."""
+    if kind == WORDS:
+        part = ((keys >> U(32)) * U(n) >> U(32)).astype(np.int32)
+        order = np.arange(len(keys))
+    else:
+        part = ((mix(keys >> U(8) & CONTEXT, 3) >> U(32)) * U(n) >> U(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+    at = group_bounds(part)
+    return order, list(zip(part[at].tolist(), at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True))
+
+
+def _slices(n: int):
+    """(doc_id, held_out, text) -> SLICED."""
+
+    @trimmed
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for turn, batch in enumerate(pieces(batches, most=SLICE, rows=ROWS)):
+            train = (~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)).astype(np.int64)
+            name, rows = task_slice(turn), []
+            for kind, (keys, counts) in ((WORDS, distinct_words(batch.column("text"), train)), (GRAMS, distinct_grams(batch.column("text"), train))):
+                order, shares = dealt(kind, keys, n)
+                k, c = keys[order], counts[order]
+                rows += [(kind, p, name, squeeze(k[i:j], 8 if kind == WORDS else ORDER + 1), squeeze(c[i:j]), 0) for p, i, j in shares]
+            low, at = keys & CONTEXT, counts > 0
+            rows.append((LOW, -1, name, *map(squeeze, _merge(low[at], counts[at])), int(train.sum())))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            rows.append((TEXTS, -1, name, sink.getvalue().to_pybytes(), None, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=[x.split()[0] for x in SLICED.split(", ")])
+
+    return run
 
 
 def _levels(keys: np.ndarray, counts: np.ndarray, top: int, low: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -146,57 +178,19 @@ def _levels(keys: np.ndarray, counts: np.ndarray, top: int, low: int) -> list[tu
     return out[::-1]
 
 
-def _low_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of order DEALT_BY - 1 of a task's texts with their counts."""
-    keys, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-    for batch in pieces(batches):
-        for g, _ in _gram_chunks(split_words(batch.column("text"))):
-            own, n = np.unique((g & CONTEXT).astype(np.uint32), return_counts=True)
-            keys, counts = _merge(np.concatenate([keys, own]), np.concatenate([counts, n]))
-    for at in range(0, len(keys), BLOB):
-        part = keys[at : at + BLOB]
-        yield pa.RecordBatch.from_arrays([pa.array([part.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts[at : at + BLOB]], pa.list_(pa.int64()))], names=["keys", "counts"])
-
-
-def low_levels(train: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Nodes under order DEALT_BY over all texts of train."""
-    counted = train.select("text").mapInArrow(_low_grams, "keys array<long>, counts array<long>").select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
-    table = counted.groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.counts").alias("n")).toArrow()
-    return _levels(*_merge(table.column("key").to_numpy().astype(np.int64).view(U), table.column("n").to_numpy().astype(np.int64)), DEALT_BY - 1, 0)
-
-
-def _reduce_part(rows: pd.DataFrame) -> pd.DataFrame:
-    """One partition of the words: corpus counts, then each slice's sums over its documents."""
-    out = []
-    own = rows[rows.kind == 1]
-    codes = [np.frombuffer(x, dtype=U) for x in own.codes]
-    if codes:
-        keys, total = _merge(np.concatenate(codes), np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in own.counts]).astype(np.int64))
-        logs = np.log10(total + 1.0)
-        for c, (slice_id, docs, words, owners) in zip(codes, own[["slice", "docs", "words", "owners"]].itertuples(index=False, name=None), strict=True):
-            at = np.searchsorted(keys, c)
-            times = np.frombuffer(words, dtype=np.uint32)
-            doc = np.frombuffer(owners, dtype=np.uint16)
-            n = int.from_bytes(docs, "little")
-            sums = np.bincount(doc, weights=np.repeat(logs[at], times), minlength=n)
-            known = np.bincount(doc, weights=np.repeat((total[at] > 0).astype(float), times), minlength=n).astype(np.int64)
-            out.append((1, slice_id, None, sums.tobytes(), known.tobytes(), 0, 0))
-        out.append((0, 0, None, None, None, int(total.sum()), int((total > 0).sum())))
-    for slice_id, docs in rows.loc[rows.kind == 2, ["slice", "docs"]].itertuples(index=False, name=None):
-        out.append((2, slice_id, docs, None, None, 0, 0))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in GATHERED.split(", ")])
-
-
-def _per_document(rows: pd.DataFrame) -> pd.DataFrame:
-    """All partitions' sums of one slice."""
-    head = np.frombuffer(rows.docs[rows.docs.notna()].iloc[0], dtype=np.int64)
-    n = int(head[0])
-    some = rows[rows.sums.notna()]
-    sums, known = np.zeros(n), np.zeros(n, dtype=np.int64)
-    for s, k in zip(some.sums, some.known, strict=True):
-        sums += np.frombuffer(s)
-        known += np.frombuffer(k, dtype=np.int64)
-    return pd.DataFrame({"key": head[1 : n + 1], "words": head[n + 1 :], "known": known, "logs": sums})
+def _sum_low(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of nodes of order DEALT_BY - 1, summed within a task."""
+    keys, counts = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            keys, counts = _merge(np.concatenate([keys, spread(k).view(U)]), np.concatenate([counts, spread(c)]))
+    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+
+
+def low_levels(sliced: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes under order DEALT_BY over all training texts: at most 256 ^ DEALT_BY rows."""
+    table = sliced.where(F.col("kind") == LOW).select("keys", "counts").mapInArrow(_sum_low, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return _levels(*_merge(table.column("key").to_numpy().view(U), table.column("n").to_numpy()), DEALT_BY - 1, 0)
 
 
 class Trie:
@@ -264,101 +258,100 @@ class Trie:
         return out
 
 
-def _name_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the name of their slice, so that later passes agree on it."""
-    for turn, batch in enumerate(pieces(batches, most=16 << 20, rows=8192)):
-        name = slice_name(turn, batch.column("key").to_numpy())
-        yield batch.append_column("slice", pa.array([name] * batch.num_rows, pa.int64()))
-
-
-def _gram_pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Grams of all symbols of a batch with the row of each; words are split in smaller pieces."""
-    first = 0
-    for piece in pieces([batch]):
-        for g, doc in _gram_chunks(split_words(piece.column("text"))):
-            yield g, doc + first
-        first += piece.num_rows
+ANSWERED = "kind int, part int, slice long, values binary, total long, distinct long"
 
 
-def _slice_grams(n: int):
-    """Named rows -> per partition: distinct grams of a slice with training counts."""
+def _answer(low):
+    """One partition of words or grams: corpus counts, then what each slice asked for."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            names = whole.column("slice").to_numpy()
-            cuts = np.append(group_bounds(names), len(names))
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                batch = whole.slice(lo, hi - lo)
-                train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
-                keys, counts = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
-                for g, doc in _gram_pieces(batch.select(["text"])):
-                    own, count = _merge(g, train[doc])
-                    keys, counts = _merge(np.concatenate([keys, own]), np.concatenate([counts, count]))
-                counts = counts.astype(np.uint32)  # a batch has less than 2^31 bytes
-                part_of = ((mix(keys >> U(8) & CONTEXT, 3) >> U(32)) * U(n) >> U(32)).astype(np.int32)
-                order = np.argsort(part_of, kind="stable")
-                keys, counts, part_of = keys[order], counts[order], part_of[order]
-                at = group_bounds(part_of)
-                ends = np.append(at[1:], len(part_of))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part_of[at]), pa.array([names[lo]] * len(at), pa.int64()), pa.array([keys[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), pa.array([counts[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())],
-                    names=["part", "slice", "codes", "counts"],
-                )
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_numpy()
+        out = []
+        for kind in (WORDS, GRAMS):
+            some = table.filter(pa.array(kinds == kind))
+            if not some.num_rows:
+                continue
+            asked = [spread(x).view(U) for x in some.column("keys").to_pylist()]
+            keys, total = _merge(np.concatenate(asked), np.concatenate([spread(x) for x in some.column("counts").to_pylist()]))
+            if kind == GRAMS:
+                seen = total > 0
+                logs = Trie([*low.value, *_levels(keys[seen], total[seen], ORDER, DEALT_BY)], ORDER).log10(keys).astype(np.float32)
+                give = lambda at: pa.compress(logs[at].tobytes(), codec="zstd", asbytes=True)
+            else:
+                give = lambda at: squeeze(total[at])
+                out.append((kind, -1, None, None, int(total.sum()), int((total > 0).sum())))
+            part = table.column("part")[0].as_py()
+            out += [(kind, part, name, give(np.searchsorted(keys, own)), 0, 0) for name, own in zip(some.column("slice").to_pylist(), asked, strict=True)]
+        if table.nbytes > 1 << 22:
+            trim()
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in ANSWERED.split(", ")])
 
     return run
 
 
-def _score_grams(low):
-    """One partition of the grams: corpus counts, then the log10 probabilities of each slice's grams."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        codes = [np.frombuffer(x, dtype=U) for x in rows.codes]
-        keys, total = _merge(np.concatenate(codes), np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows.counts]).astype(np.int64))
-        seen = total > 0
-        logs = Trie([*low.value, *_levels(keys[seen], total[seen], ORDER, DEALT_BY)], ORDER).log10(keys)
-        return pd.DataFrame({"slice": rows.slice, "codes": rows.codes, "logs": [logs[np.searchsorted(keys, c)].tobytes() for c in codes]})
+def _gather(kind: int, keys: np.ndarray, n: int, answers: dict) -> np.ndarray:
+    """What came back for sorted keys, in their order."""
+    order, shares = dealt(kind, keys, n)
+    out = np.zeros(len(keys), dtype=np.int64 if kind == WORDS else np.float32)
+    for p, i, j in shares:
+        b = answers[kind, p]
+        out[order[i:j]] = spread(b) if kind == WORDS else np.frombuffer(pa.decompress(b, decompressed_size=4 * (j - i), codec="zstd", asbytes=True), dtype=np.float32)
+    return out
+
+
+def _score_slice(n: int):
+    """The texts of one slice and what came back for it -> a row for each text."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        got = dict(zip(zip(answers.column("kind").to_pylist(), answers.column("part").to_pylist(), strict=True), answers.column("values").to_pylist(), strict=True))
+        whole = pa.ipc.open_stream(texts.column("keys")[0].as_py()).read_all().combine_chunks()
+        column = whole.column("text").combine_chunks()
+        rows = len(column)
+        every = np.zeros(rows, dtype=np.int64)
+        words, _ = distinct_words(column, every)
+        grams, _ = distinct_grams(column, every)
+        count, logs = _gather(WORDS, words, n, got), _gather(GRAMS, grams, n, got)
+        log_count = np.log10(count + 1.0)
+        tokens, known, base, score, first = every.copy(), every.copy(), np.zeros(rows), np.zeros(rows), 0
+        for piece in pieces([pa.RecordBatch.from_arrays([column], names=["text"])]):
+            w = split_words(piece.column("text"))
+            at, doc = np.searchsorted(words, w.code), w.doc + first
+            tokens += np.bincount(doc, minlength=rows)
+            known += np.bincount(doc[count[at] > 0], minlength=rows)
+            base += np.bincount(doc, weights=log_count[at], minlength=rows)
+            first += piece.num_rows
+        for packed in packed_grams(column):
+            gram = packed >> U(16)
+            at = group_bounds(gram)
+            each = np.repeat(logs[np.searchsorted(grams, gram[at])], np.diff(np.append(at, len(gram))))
+            score += np.bincount((packed & U(0xFFFF)).astype(np.int64), weights=each, minlength=rows)
+        trim()
+        return pa.table([whole.column("doc_id"), whole.column("held_out"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "words", "known", "logs", "score"])
 
     return run
 
 
-def _score_slice(texts: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
-    """One slice's texts and the log10 probabilities of its grams -> a sum for each text."""
-    keys = np.concatenate([np.frombuffer(x, dtype=U) for x in scored.codes])
-    logs = np.concatenate([np.frombuffer(x) for x in scored.logs])
-    order = np.argsort(keys)
-    keys, logs = keys[order], logs[order]
-    out = np.zeros(len(texts))
-    for g, doc in _gram_pieces(pa.RecordBatch.from_arrays([pa.array(texts.text, pa.large_string())], names=["text"])):
-        order = np.argsort(g)
-        at = group_bounds(g[order])
-        each = logs[np.searchsorted(keys, g[order[at]])]
-        out += np.bincount(doc[order], weights=np.repeat(each, np.diff(np.append(at, len(g)))), minlength=len(out))
-    return pd.DataFrame({"key": texts.key, "score": out})
-
-
-def score(docs: DataFrame, mod: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     """Rows of docs (doc_id, text) with held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     The models learn from the rows outside the held fold. Null and empty texts are one end token. Repeated rows repeat
-    and each counts. With no training rows all words are unknown. An empty table gives no rows.
+    and each counts; doc_id may be null and of any type. With no training rows all words are unknown. An empty table
+    gives no rows. Columns other than these two are left out. One document must fit in a task's memory. Words are known
+    by 64-bit fingerprints; log probabilities travel as 32-bit floats, so a score is right to about 7 digits.
     """
-    if order != ORDER:
-        raise ValueError(f"codes hold {ORDER} context bytes")
     spark = docs.sparkSession
-    n = parts(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), in_fold(mod, held).alias("held_out"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("train", ~F.col("held_out"))
-    rows = materialize(rows.mapInArrow(_name_slices, StructType([*rows.schema.fields, StructField("slice", LongType())])))
-    low = spark.sparkContext.broadcast(low_levels(rows.where("train")))
-    counted = rows.select("key", "text", "train").mapInArrow(_count_slices(n), COUNTED)
-    gathered = materialize(counted.groupBy("part").applyInPandas(_reduce_part, GATHERED))
-    grams = rows.select("slice", "text", "train").mapInArrow(_slice_grams(n), "part int, slice long, codes binary, counts binary")
-    logs = grams.groupBy("part").applyInPandas(_score_grams(low), "slice long, codes binary, logs binary")
-    scored = rows.select("slice", "key", "text").groupBy("slice").cogroup(logs.groupBy("slice")).applyInPandas(_score_slice, "key long, score double").dropDuplicates(["key"])
-    sums = gathered.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).head()
-    per = gathered.where("kind > 0").groupBy("slice").applyInPandas(_per_document, "key long, words long, known long, logs double").dropDuplicates(["key"])
-    ends = rows.where("train").count()
+    n = parts(spark, docs)
+    rows = docs.select("doc_id", in_fold(mod, held).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    sliced = materialize(rows.mapInArrow(_slices(n), SLICED))
+    low = spark.sparkContext.broadcast(low_levels(sliced))
+    asked = sliced.where(F.col("kind") < TEXTS).select("kind", "part", "slice", "keys", "counts")
+    answers = materialize(asked.groupBy("part").applyInArrow(_answer(low), ANSWERED))
+    sums = answers.where("slice is null").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).head()
+    ends = sliced.where(F.col("kind") == LOW).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).head().n
     tokens, kinds = sums.total + ends, sums.distinct + (1 if ends else 0)
-    out = rows.select("doc_id", "key", "held_out").join(per, "key").join(scored, "key")
+    texts = sliced.where(F.col("kind") == TEXTS).select("slice", "keys")
+    kind = dict(docs.dtypes)["doc_id"]
+    per = texts.groupBy("slice").cogroup(answers.where("slice is not null").select("kind", "part", "slice", "values").groupBy("slice"))
+    out = per.applyInArrow(_score_slice(n), f"doc_id {kind}, held_out boolean, words long, known long, logs double, score double")
     base = F.col("logs") + float(np.log10(ends + 1.0)) - (F.col("words") + 1) * float(np.log10(tokens + kinds + 1.0))
     return out.select("doc_id", "held_out", (F.col("words") + 1).alias("n_tokens"), (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -71,7 +71,7 @@ def _read_back(frames):
         out = []
         for conv, text, loss in zip(frame["tree"], frame["text"], frame["loss"], strict=True):
             turns = chat.read_turns(text)
-            said = chat.unescape("".join(text[x["start"] : x["stop"]] for x in loss))
+            said = "".join(chat.unescape(text[x["start"] : x["stop"]]) for x in loss)  # joined first, two texts could make a control string
             whole = "".join(f"{r}\n{t}\n" for r, t in turns)
             out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), len(text)))
         yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -24,7 +26,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,9 +37,44 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def parts(spark: SparkSession) -> int:
-    """Shuffle partitions that the session asks for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parts(spark: SparkSession, df: DataFrame | None = None, each: int = 32 << 20) -> int:
+    """Shuffle partitions: what the session asks for, or more where df would give each more than `each` bytes.
+
+    The size is the planner's estimate, which for files is that of the files; one without bound is left out.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if df is not None else 0
+    return max(n, -(-size // each)) if size < 1 << 50 else n
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker serves all later stages, and what it keeps adds up."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def trimmed(run):
+    """A function of batches that gives memory back when its task ends."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
 
 
 def in_fold(mod: int, value: int, name: str = "doc_id"):

@@ -27,8 +27,8 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_INK = np.ones(256, dtype=bool)
-_INK[list(WHITE)] = False
+INK = np.ones(256, dtype=bool)
+INK[list(WHITE)] = False
 _CODE = mix(_LOWER.astype(U), 7)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
@@ -72,15 +72,15 @@ def split_words(column: pa.Array) -> Words:
     while lo < end:
         hi = min(lo + CHUNK, end)
         if hi < end:  # cut where a word ends, so that no word lies in two chunks
-            back = np.flatnonzero(~_INK[raw[lo:hi]])
+            back = np.flatnonzero(~INK[raw[lo:hi]])
             while not len(back) and hi < end:
                 wider = min(hi + CHUNK, end)
-                back = np.flatnonzero(~_INK[raw[hi:wider]])[:1] + (hi - lo)
+                back = np.flatnonzero(~INK[raw[hi:wider]])[:1] + (hi - lo)
                 hi = wider
             hi = lo + int(back[-1]) + 1 if len(back) else end
         part = raw[lo:hi]
         n = len(part)
-        ink = _INK[part]
+        ink = INK[part]
         fresh = np.zeros(n + 1, dtype=bool)
         inside = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo
         fresh[inside] = True
@@ -145,3 +145,11 @@ def slice_name(turn: int, *parts: np.ndarray) -> int:
     place = np.array([(context.partitionId() if context else 0) << 24 | turn], dtype=U)
     content = sum((int(mix(x.astype(np.int64).view(U), k).sum()) for k, x in enumerate(parts)), 0) & 0xFFFFFFFFFFFFFFFF
     return int(mix(mix(place, 21) ^ U(content), 22).astype(np.int64)[0])
+
+
+def task_slice(turn: int) -> int:
+    """A name for the turn-th slice of this task: unique in its job. Slices must be written before they are named again."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 32 | turn

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -247,6 +248,8 @@ def test_token_counts(spark):
     parts = ["a", " ", "  ", "\n", "\t", "\r\n", "é", "▁", "語", "the ", "</s>", "<s>", "😀", ".", "tion", ");\r", " ", "<0x0A>"]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(400)] + [(1000, None), (1001, ""), (1002, "word " * 20000), (1003, "x" * 70000 + " y" * 40000)]
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    twice = spark.createDataFrame([("a", "x y"), ("a", "x y"), (None, "z")], "doc_id string, text string").withColumn("n_tokens", F.lit("clash"))
+    assert sorted((r.doc_id or "", r.n_tokens) for r in tokencount.count_tokens(twice, path).collect()) == [("", 1), ("a", 2), ("a", 2)] and tokencount.count_tokens(twice.limit(0), path).count() == 0
     for i, t in rows:
         n = len(library.encode(t or ""))
         assert got[i] == (len((t or "").encode()), n, n > 4096), repr(t)[:80]
@@ -254,18 +257,36 @@ def test_token_counts(spark):
 
 def test_chunk_maps_compose_in_any_cut():
     tokenizers = pytest.importorskip("public_tokenizers")
-    with open(tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
         machine = tokencount.Transducer(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(11)
-    assert machine.splits
-    for _ in range(300):
-        text = "".join(rng.choice(["ab", " ", "  ", "\n", "é", "the", "▁", "."]) for _ in range(rng.randint(1, 30)))
-        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text), 4)))
-        chunks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        chunks[0] = " " + chunks[0]
-        whole = machine.scan([machine.chunk_map(c.replace("▁", " ")) for c in chunks])
-        n = machine.emitted(tokencount.SPLIT.findall(whole.head)) + whole.inner + (machine.emitted([whole.tail]) if whole.tail is not None else 0)
-        assert n == len(machine.library.encode(text)), (text, chunks)
+    vocabulary = list(machine.rank)
+    for k in range(1500):
+        parts = ["ab", " ", "  ", "\n", "é", "the", "▁", ".", "語"] if k % 2 else vocabulary
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        n = len(library.encode(text))
+        assert machine.count(text) == machine.count(text, chunk=rng.randint(1, 9)) == n, text
+        maps = [machine.chunk_map(x) for x in text]
+        left = functools.reduce(machine.compose, maps)
+        right = functools.reduce(lambda b, a: machine.compose(a, b), reversed(maps))
+        assert left == right == machine.scan(maps), text
+
+
+def test_transducer_begins_anew_when_full(monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    with open(tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    text = prose(random.Random(21), 400)
+    n = tokencount.Transducer(model).count(text)
+    monkeypatch.setattr(tokencount, "STATES", 5)
+    small = tokencount.Transducer(model)
+    assert small.count(text) == n and len(small.states) <= 10
+    with pytest.raises(ValueError):
+        tokencount.read_model(b"")
 
 
 def test_toxicity_held_out(spark):
@@ -385,6 +406,44 @@ def test_language_model(spark, docs, texts):
     assert lm.score(docs.union(docs)).count() == 2 * len(texts) and lm.score(empty(spark)).count() == 0
 
 
+def ppm_brute(training):
+    """log10 probability of a run of bytes under PPM with escape method D and exclusion, straight from its definition."""
+    after = defaultdict(Counter)
+    for run in training:
+        for k in range(lm.ORDER, len(run)):
+            for order in range(lm.ORDER + 1):
+                after[run[k - order : k]][run[k]] += 1
+
+    def symbol(context, x):
+        out, gone = 0.0, set()
+        for order in range(len(context), -1, -1):
+            full = after.get(context[len(context) - order :])
+            if not full:
+                continue
+            here = {s: c for s, c in full.items() if s not in gone}
+            total = sum(here.values())
+            if x in here:
+                return out + math.log10((2 * here[x] - 1) / (2 * total))
+            if total:
+                out += math.log10(len(here) / (2 * total))
+            gone = set(full)
+        return out + math.log10(1 / (256 - len(gone)))
+
+    return lambda run: sum(symbol(run[k - lm.ORDER : k], run[k]) for k in range(lm.ORDER, len(run)))
+
+
+def test_scores_against_brute_force_ppm(spark, docs, texts):
+    run = lambda t: b" " * lm.ORDER + b"".join(w.encode() + b" " for w in tokens(t)) + b"\n"
+    brute = ppm_brute([run(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    for r in lm.score(docs.withColumn("train", F.lit("clash")).withColumn("key", F.lit(0))).collect():
+        assert r.score == pytest.approx(brute(run(texts[r.doc_id]))), r.doc_id
+
+
+def test_scores_keep_ids_of_any_type(spark):
+    got = lm.score(spark.createDataFrame([("a", "x y"), ("a", "x y"), (None, "long " * 50_000), ("b", None)], "doc_id string, text string"))
+    assert sorted((r.doc_id or "", r.n_tokens) for r in got.collect()) == [("", 50_001), ("a", 3), ("a", 3), ("b", 1)]
+
+
 def test_contexts_cross_words(spark):
     rng = random.Random(19)
     pairs = [(f"{a}o", f"{b}u") for a, b in zip("bcdfg", "lmnpq", strict=True)]
@@ -394,6 +453,7 @@ def test_contexts_cross_words(spark):
 
     def grams(text):
         run = b" " * lm.ORDER + b"".join(w.encode() + b" " for w in tokens_of(text)) + b"\n"
+        assert lm.running(pa.array([text]))[0].tobytes() == run
         return [int.from_bytes(run[k : k + lm.ORDER + 1], "big") for k in range(len(run) - lm.ORDER)]
 
     def tokens_of(text):
@@ -407,20 +467,18 @@ def test_contexts_cross_words(spark):
 
 
 def test_scores_by_partition_are_those_of_a_whole_trie_of_over_4_m_nodes(spark):
-    from spanveil.llm.words import split_words
-
+    every = lambda col: np.concatenate([p >> np.uint64(16) for p in lm.packed_grams(pa.array(col))])
     rng = random.Random(18)
     col = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/-_", k=100_000)) for _ in range(52)]
     col = [" ".join(t[k : k + 500] for k in range(0, len(t), 500)) for t in col] + ["", None, "a b", col[0][:50]]
     df = spark.createDataFrame(list(enumerate(col)), "doc_id long, text string").repartitionByRange(8, "doc_id")
     got = {r.doc_id: r for r in lm.score(df).collect()}
     train = [t or "" for i, t in enumerate(col) if not got[i].held_out]
-    keys, counts = np.unique(np.concatenate([g for g, _ in lm._gram_chunks(split_words(pa.array(train)))]), return_counts=True)
+    keys, counts = np.unique(every(train), return_counts=True)
     assert len(keys) > 4_000_000
     trie = lm.Trie(lm._levels(keys, counts, lm.ORDER, 0), lm.ORDER)
     for i in range(45, len(col)):
-        own = np.concatenate([g for g, _ in lm._gram_chunks(split_words(pa.array([col[i] or ""])))])
-        assert got[i].score == pytest.approx(trie.log10(own).sum())
+        assert got[i].score == pytest.approx(trie.log10(every([col[i] or ""])).sum())
 
 
 def test_trie_probabilities_sum_to_one():
