@@ -136,6 +136,8 @@ SLICED = "kind int, part int, slice long, keys binary, counts binary, rows long"
 
 def dealt(kind: int, keys: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order of sorted keys by partition, and (partition, from, to) in that order."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), []
     if kind == WORDS:
         part = ((keys >> U(32)) * U(n) >> U(32)).astype(np.int32)
         order = np.arange(len(keys))

@@ -88,14 +88,14 @@ def jaccard_brute(texts):
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     ids = sorted(sets)
     edges = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    return {i: len(s) for i, s in sets.items()}, groups(edges, ids)
+    return {i: len(s) for i, s in sets.items()}, groups(edges, ids), Counter(x for e in edges for x in e)
 
 
 @pytest.mark.parametrize("block", [1024, 3])
 def test_jaccard_join(docs, texts, block):
-    n, comp = jaccard_brute(texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, block=block).collect()}
-    assert got == {i: (n[i], comp[i]) for i in texts}
+    n, comp, links = jaccard_brute(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(docs, block=block).collect()}
+    assert got == {i: (n[i], comp[i], links[i]) for i in texts}
 
 
 def test_jaccard_on_empty_and_repeated_rows(spark, docs, texts):
@@ -115,18 +115,31 @@ def test_jaccard_of_a_text_of_more_than_65536_shingles(spark):
     rows = {0: prose(random.Random(17), 50), 1: " ".join(long), 2: "x", 3: " ".join(near), 4: " ".join(long[100:140]), 5: " ".join(other + long[:500]), 6: " ".join(long[100:140]), 7: None}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartitionByRange(8, "doc_id")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()}
-    n, comp = jaccard_brute(rows)
+    n, comp, _ = jaccard_brute(rows)
     assert n[1] > 1 << 16 and (comp[3], comp[6]) == (1, 4)
     assert got == {i: (n[i], comp[i]) for i in rows}
 
 
-def test_divide_skip_against_counting():
+def test_jaccard_keeps_ids_of_any_type(spark, texts):
+    n, comp, links = jaccard_brute(texts)
+    name = lambda i: f"{i:03}"
+    rows = [(name(i), t, 1) for i, t in texts.items()] + [(None, texts[0], 2), (None, None, 3)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id string, text string, node int")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id} == {name(i): (n[i], name(comp[i])) for i in texts}
+    assert sorted(r.n_shingles for r in got if r.doc_id is None) == [0, n[0]]
+
+
+@pytest.mark.parametrize("light", [0, 96])
+def test_divide_skip_against_counting(light, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIGHT", light)
     rng = random.Random(5)
-    for _ in range(300):
-        lists = [sorted(rng.sample(range(30), rng.randint(0, 20))) for _ in range(rng.randint(0, 12))]
-        least, lowest = rng.randint(1, 8), rng.randint(0, 10)
-        counts = Counter(x for y in lists for x in y)
-        assert sorted(jaccard.divide_skip(lists, least, lowest)) == sorted(k for k, v in counts.items() if v >= least and k >= lowest)
+    for _ in range(200):
+        sets = sorted((np.array(sorted(rng.sample(range(30), rng.randint(1, 20)))) for _ in range(rng.randint(2, 40))), key=len)
+        index = jaccard.Index(sets)
+        for q in range(len(sets)):
+            low, least = rng.randint(0, q), rng.randint(1, 12)
+            got = dict(zip(*map(np.ndarray.tolist, index.search(q, low, least)), strict=True))
+            assert got == {c: len({*sets[q].tolist()} & {*sets[c].tolist()}) for c in range(low, q) if len({*sets[q].tolist()} & {*sets[c].tolist()}) >= least}
 
 
 def test_embeddings(spark):
@@ -433,7 +446,7 @@ def ppm_brute(training):
 
 
 def test_scores_against_brute_force_ppm(spark, docs, texts):
-    run = lambda t: b" " * lm.ORDER + b"".join(w.encode() + b" " for w in tokens(t)) + b"\n"
+    run = lambda t: b" " * lm.ORDER + b"".join(w + b" " for w in tokens(t)) + b"\n"
     brute = ppm_brute([run(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2])
     for r in lm.score(docs.withColumn("train", F.lit("clash")).withColumn("key", F.lit(0))).collect():
         assert r.score == pytest.approx(brute(run(texts[r.doc_id]))), r.doc_id
