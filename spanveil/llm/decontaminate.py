@@ -3,7 +3,7 @@
 Texts are normalised: ASCII letters in lower case, every run of other ASCII characters one blank. An item of m
 characters occurs with at most k = floor(rate m) edits only where the text shares m - q + 1 - k q of its q-grams within
 k diagonals. Shared q-grams are counted in overlapping bands of diagonals; regions that reach the bound are verified by
-an alignment that leaves at most 2k + 1 diagonals open around the region's own.
+an alignment that leaves k diagonals open on either side of the region's own.
 
 Items are the stated query set: they go to every task in blocks of at most `block_chars` characters, each block against
 all rows.
@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from spanveil.llm.runtime import materialize, trimmed
 from spanveil.llm.words import U, group_bounds, pieces, text_buffer
 
 Q = 10
@@ -90,38 +92,54 @@ class Index:
         self.table[self.distinct >> U(64 - self.bits)] = True
 
 
+def _words(b: bytes, pad: bytes) -> np.ndarray:
+    """The eight bytes from each place on; pad stands behind the last."""
+    return np.ndarray((len(b) + 1,), dtype="<u8", buffer=b + pad * 16, strides=(1,)).copy()
+
+
 def align(item: bytes, text: bytes, edits: int) -> tuple[int, int, int] | None:
     """Least edits at which item lies in text, with the place: (edits, start, stop); None above the limit.
 
-    text is the region of the band: its length exceeds the item's by at most twice the band.
+    Banded: of each diagonal within `edits` of one that item can begin and end on, only the furthest place of item that
+    e edits reach is kept, for e = 0, 1, ...; equal stretches are passed eight bytes at a time. text is the region of
+    the band, so there are a few times `edits` diagonals, and the work does not grow with their length.
     """
     at = text.find(item)
     if at >= 0:
         return 0, at, at + len(item)
-    if not edits:
+    m, n = len(item), len(text)
+    if not edits or n < m - edits:
         return None
-    t = np.frombuffer(text, dtype=np.uint8)
-    n = len(t)
-    cost = np.zeros(n + 1, dtype=np.int32)
-    begin = np.arange(n + 1)
-    steps = np.arange(n + 1)
-    for i, x in enumerate(item):
-        new = np.empty(n + 1, dtype=np.int32)
-        origin = np.empty(n + 1, dtype=np.int64)
-        new[0], origin[0] = i + 1, 0
-        diagonal = cost[:-1] + (t != x)
-        above = cost[1:] + 1
-        new[1:] = np.minimum(diagonal, above)
-        origin[1:] = np.where(diagonal <= above, begin[:-1], begin[1:])
-        # A run of insertions: the least of new[j] - j so far, plus j.
-        level = new - steps
-        least = np.minimum.accumulate(level)
-        source = np.maximum.accumulate(np.where(level == least, steps, 0))
-        cost, begin = least + steps, origin[source]
-        if cost.min() > edits:
-            return None
-    end = int(np.argmin(cost))
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= edits else None
+    a, b = _words(item, b"\0"), _words(text, b"\1")
+    diagonal = np.arange(-edits, n - m + edits + 1)
+
+    def extend(i: np.ndarray) -> np.ndarray:
+        todo = np.flatnonzero((i >= 0) & (i < m) & (i + diagonal >= 0) & (i + diagonal < n))
+        while len(todo):
+            x = a[i[todo]] ^ b[i[todo] + diagonal[todo]]
+            low = x & (~x + U(1))
+            same = np.where(x == 0, 8, np.log2(np.maximum(low, U(1)).astype(np.float64)).astype(np.int64) >> 3)
+            i[todo] += same
+            todo = todo[(same == 8) & (i[todo] < m) & (i[todo] + diagonal[todo] < n)]
+        return i
+
+    off = -1 << 40
+    begin = np.maximum(diagonal, 0)
+    reach = extend(np.where((diagonal >= 0) & (diagonal <= n), 0, off))
+    for e in range(1, edits + 1):
+        lower, upper = np.append(off, reach[:-1]), np.append(reach[1:], off)
+        options = np.stack([reach + 1, upper + 1, lower])  # another character, one of item left out, one of text left out
+        options[:, :] = np.where((options <= m) & (options + diagonal <= n) & (options + diagonal >= 0), options, off)
+        which = options.argmax(0)
+        begins = np.stack([begin, np.append(begin[1:], 0), np.append(0, begin[:-1])])
+        new = options[which, np.arange(len(diagonal))]
+        begin = np.where(new > reach, begins[which, np.arange(len(diagonal))], begin)
+        reach = extend(np.maximum(new, reach))
+        done = np.flatnonzero(reach >= m)
+        if len(done):
+            d = done[np.lexsort((diagonal[done], begin[done]))[0]]
+            return e, int(begin[d]), m + int(diagonal[d])
+    return None
 
 
 def find(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, int]]:
@@ -186,20 +204,34 @@ def find(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, int]]
     return sorted((r, k, s, e, d) for (r, k), (d, s, e) in found.items())
 
 
+HITS = ArrayType(StructType([StructField("item_id", LongType()), StructField("start", LongType()), StructField("stop", LongType()), StructField("edits", IntegerType())]))
+_ARROW_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())]))
+
+
 def _mark(index, into: str):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, names = index.value
         for batch in pieces(batches, rows=1 << 16):
-            hits: list[list] = [[] for _ in range(batch.num_rows)]
+            hits = batch.column(into).to_pylist()
             for r, k, s, e, d in find(own, batch.column("text")):
                 hits[r].append({"item_id": names[k], "start": s, "stop": e, "edits": d})
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in batch.schema.names], pa.array(hits, kind)], names=[*batch.schema.names, into])
+            yield batch.set_column(batch.schema.get_field_index(into), into, pa.array(hits, _ARROW_HITS))
 
     return run
 
 
-HITS = "array<struct<item_id: bigint, start: bigint, stop: bigint, edits: int>>"
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list]:
+    """Items in blocks of at most `most` characters (one item at least); one block is held at a time."""
+    block, room = [], most
+    for x in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator():
+        if block and room < len(x.text):
+            yield block
+            block, room = [], most
+        block.append((x.item_id, x.text))
+        room -= len(x.text)
+    if block:
+        yield block
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, into: str = "hits") -> DataFrame:
@@ -207,26 +239,23 @@ def find_items(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
 
     Items that normalise to fewer than q characters must occur exactly, between blanks; null and empty items never do.
     Null and empty texts have no hits. Repeated rows repeat; items with equal texts are all reported. A column of docs
-    named as `into` is replaced.
+    named as `into` is replaced. Blocks of items run one after another, each over what the last one has written, so
+    that the driver and a task hold one block's index whatever the size of the benchmark.
     """
     spark = docs.sparkSession
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator()]
-    blocks, room = [[]], block_chars
-    for x in items:
-        if room < len(x[1]) and blocks[-1]:
-            blocks.append([])
-            room = block_chars
-        blocks[-1].append(x)
-        room -= len(x[1])
-    out = docs.withColumn(into, F.expr(f"cast(array() as {HITS})"))
-    for block in blocks if items else []:
-        index = spark.sparkContext.broadcast((Index([t for _, t in block], q, rate), [i for i, _ in block]))
-        before = out.withColumnRenamed(into, "__before")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in before.schema) + f", `{into}` {HITS}"
-        out = before.mapInArrow(_mark(index, into), schema).withColumn(into, F.concat("__before", into)).drop("__before")
+    out, before = docs.drop(into).withColumn(into, F.array().cast(HITS)), None
+    for block in _blocks(benchmark, block_chars):
+        if before is not None:
+            out = materialize(out)
+            before.unpersist()
+        before = spark.sparkContext.broadcast((Index([t for _, t in block], q, rate), [i for i, _ in block]))
+        out = out.mapInArrow(_mark(before, into), out.schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without a benchmark item."""
-    return find_items(docs, benchmark, into="__hits", **options).where(F.size("__hits") == 0).drop("__hits")
+    """The rows of docs without a benchmark item, all columns as they are."""
+    into = "hits"
+    while into.lower() in (c.lower() for c in docs.columns):
+        into += "_"
+    return find_items(docs, benchmark, into=into, **options).where(F.size(into) == 0).drop(into)
