@@ -31,8 +31,8 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the words it takes of each."""
-    return mixing.mix(docs).where("taken > 0")
+    """Documents that the mix takes, whole, with the words it takes of each."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
