@@ -7,10 +7,12 @@
    rarest shingles (ties by fingerprint): two classes that match share one of them. Shingles kept by two classes link
    them loosely, and loose components are the cells of the join: each set is sent to its cell once.
 3. In a cell, each set is searched in an inverted index by DivideSkip: the longest lists are set aside, the short ones
-   are merged by a heap that skips, candidates are probed for in the long lists by binary search, and those that reach
-   the overlap are verified exactly. Documents already known to be connected need no search of each other. A cell over
-   `block` sets is cut into blocks by size, and pairs of blocks whose sizes are compatible are searched.
-4. Links join classes into components.
+   are merged (by a heap that skips; where they are long, by counting), candidates are probed for in the long lists by
+   binary search and leave once they cannot reach the overlap. The count of those that stay is the exact overlap. A cell
+   over `block` sets is cut by size and hash, and pairs of its parts whose sizes are compatible are searched.
+4. Every link between classes counts for its documents; links that connect become components.
+
+Sets are compared by fingerprints, not by words: two different shingles agree with a chance of 2^-52.
 """
 
 from __future__ import annotations
@@ -18,21 +20,24 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from math import ceil, log2
+from math import log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm.components import components
-from spanveil.llm.runtime import materialize, parts
+from spanveil.llm.runtime import materialize, parts, trim, trimmed
 from spanveil.llm.words import U, group_bounds, mix, pieces, slice_name, split_words
 
 BITS = 52
 MASK = U((1 << BITS) - 1)
 BLOCK = 1024
+BAND = 1.12  # ratio of the sizes of sets in one part of a cut cell
+LIGHT = 96  # postings that a heap merges faster than an array counts
 MU = 0.0085  # weight of binary search against merging, in choosing how many lists are long
 
 
@@ -79,8 +84,9 @@ DEALT = "kind int, part int, slice long, width int, sizes binary, tokens binary,
 def _deal_slices(n: int, words: int):
     """Slices -> for each partition the shingles of each document that no other of the slice has, and the others once."""
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, batch in enumerate(pieces(batches, most=8 << 20, rows=4096)):
+        for turn, batch in enumerate(pieces(batches, rows=4096)):
             code, doc = shingle_sets(batch.column("text"), words)
             size, a, b = _set_names(code, doc, batch.num_rows)
             order = np.argsort(code)
@@ -97,8 +103,8 @@ def _deal_slices(n: int, words: int):
             edge = np.searchsorted(part[alone], np.arange(n + 1))
             twice = ordered[at[run_of > 1]]
             twice_edge = np.searchsorted((twice * U(n) >> U(BITS)).astype(np.int64), np.arange(n + 1))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            ids, null = np.nan_to_num(ids).astype(np.int64) if ids.dtype.kind == "f" else ids, pd.isna(ids)
+            column = batch.column("doc_id")
+            ids, null = pc.fill_null(column, 0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
             slice_id = slice_name(turn, a, ids)
             meta = np.concatenate([[len(ids)], ids, null, size, a, b, inner]).astype(np.int64).tobytes()
             some = [p for p in range(n) if edge[p] < edge[p + 1] or twice_edge[p] < twice_edge[p + 1]]
@@ -138,6 +144,8 @@ def _count_shared(rows: pd.DataFrame) -> pd.DataFrame:
             n = np.frombuffer(sizes, dtype=f"u{width}")
             owner = np.repeat(np.arange(len(n)), n)
             out.append((slice_id, None, np.bincount(owner[hit], minlength=len(n)).astype(np.int32).tobytes()))
+    if len(ordered) > 1 << 20:
+        trim()
     return pd.DataFrame(out, columns=["slice", "meta", "counts"])
 
 
@@ -152,6 +160,7 @@ def _join_counts(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(words: int):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, rows=4096):
             code, doc = shingle_sets(batch.column("text"), words)
@@ -187,20 +196,9 @@ def needed(x: int, y: int, percent: int = 80) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
-def divide_skip(lists: list[list[int]], least: int, lowest: int = 0) -> Iterator[int]:
-    """Numbers over `lowest` that occur in at least `least` of the sorted lists, by DivideSkip."""
-    lists = sorted((x for x in lists if x and x[-1] >= lowest), key=len)
-    if least < 1 or len(lists) < least:
-        return
-    most = max(len(x) for x in lists)
-    long_n = min(least - 1, int(least / (MU * log2(most + 1) + 1)))
-    short, long = lists[: len(lists) - long_n], lists[len(lists) - long_n :]
-    quota = least - len(long)  # occurrences that a candidate needs in the short lists
-    heap = []
-    for k, x in enumerate(short):
-        at = bisect_left(x, lowest)
-        if at < len(x):
-            heap.append((x[at], k, at))
+def heap_merge(lists: list[list[int]], quota: int) -> Iterator[tuple[int, int]]:
+    """(number, lists that hold it) for numbers in at least `quota` of the sorted lists; lists skip what cannot reach it."""
+    heap = [(x[0], k, 0) for k, x in enumerate(lists) if x]
     heapq.heapify(heap)
     while len(heap) >= quota:
         value = heap[0][0]
@@ -208,15 +206,7 @@ def divide_skip(lists: list[list[int]], least: int, lowest: int = 0) -> Iterator
         while heap and heap[0][0] == value:
             popped.append(heapq.heappop(heap))
         if len(popped) >= quota:
-            count, left = len(popped), len(long)
-            for x in long:
-                left -= 1
-                at = bisect_left(x, value)
-                count += at < len(x) and x[at] == value
-                if count >= least or count + left < least:
-                    break
-            if count >= least:
-                yield value
+            yield value, len(popped)
             target = value + 1
         else:  # quota - 1 lists may be popped in all: none below the new top can reach the quota
             while heap and len(popped) < quota - 1:
@@ -225,73 +215,120 @@ def divide_skip(lists: list[list[int]], least: int, lowest: int = 0) -> Iterator
                 return
             target = heap[0][0]
         for _, k, _ in popped:
-            at = bisect_left(short[k], target)
-            if at < len(short[k]):
-                heapq.heappush(heap, (short[k][at], k, at))
+            at = bisect_left(lists[k], target)
+            if at < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at], k, at))
+
+
+class Index:
+    """Inverted lists of sets in order of size: of each shingle that two sets hold, the numbers of the sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(flat, kind="stable")  # owners ascend within a list
+        self.owner = owner[order]
+        self.first = group_bounds(flat[order])
+        self.last = np.append(self.first[1:], len(flat))
+        number = np.zeros(len(flat), dtype=np.int64)
+        number[self.first[1:]] = 1
+        lists = np.empty(len(flat), dtype=np.int64)
+        lists[order] = np.cumsum(number)
+        several = (self.last - self.first > 1)[lists]
+        upto = np.concatenate([[0], np.cumsum(several)])[np.concatenate([[0], np.cumsum(self.size)])]
+        self.lists, self.upto = lists[several], upto
+
+    def search(self, q: int, low: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets from low to q that share at least `least` shingles with set q, and how many they share, by DivideSkip."""
+        own = self.lists[self.upto[q] : self.upto[q + 1]]
+        none = own[:0], own[:0]
+        if least < 1 or len(own) < least:
+            return none
+        length = self.last[own] - self.first[own]
+        own = own[np.argsort(length, kind="stable")]
+        long_n = min(least - 1, int(least / (MU * log2(int(length.max()) + 1) + 1)))
+        short, long = own[: len(own) - long_n], own[len(own) - long_n :]
+        quota = least - long_n  # what a candidate needs in the short lists
+        count = self.last[short] - self.first[short]
+        if count.sum() <= LIGHT:
+            lists = [[x for x in self.owner[i:j].tolist() if low <= x < q] for i, j in zip(self.first[short].tolist(), self.last[short].tolist(), strict=True)]
+            some = list(heap_merge(lists, quota))
+            c, shared = np.array([x for x, _ in some], dtype=np.int64), np.array([n for _, n in some], dtype=np.int64)
+        else:
+            ends = np.cumsum(count)
+            at = np.repeat(self.first[short] - (ends - count), count) + np.arange(ends[-1])
+            x = self.owner[at]
+            n = np.bincount(x[(x >= low) & (x < q)] - low, minlength=1)
+            c = np.flatnonzero(n >= quota)
+            c, shared = c + low, n[c]
+        for k, (i, j) in enumerate(zip(self.first[long].tolist(), self.last[long].tolist(), strict=True)):
+            if not k % 16:
+                stay = shared + (long_n - k) >= least
+                c, shared = c[stay], shared[stay]
+                if not len(c):
+                    return none
+            x = self.owner[i:j]
+            shared += x[np.minimum(np.searchsorted(x, c), j - i - 1)] == c
+        stay = shared >= least
+        return c[stay], shared[stay]
+
+
+FOUND = "u long, v long, links long"  # two sets that a link connects; or v null, and how many documents u has links with
 
 
 def _search(percent: int):
-    """One pair of blocks (or one block with itself): links that connect its sets, as few as it takes."""
+    """Two parts of a cell, or one with itself: how many links each set has there, and links that connect its sets."""
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values(["n", "node"], ignore_index=True)
-        sets = [np.asarray(t) for t in cell.tokens]
-        node, side, size = cell.node.to_list(), cell.side.to_list(), [len(x) for x in sets]
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(flat, kind="stable")  # owners ascend within a list
-        flat, owner = flat[order], owner[order]
-        at = group_bounds(flat)
-        ends = np.append(at[1:], len(flat))
-        many = ends - at > 1
-        index = {k: owner[i:j].tolist() for k, i, j in zip(flat[at[many]].tolist(), at[many].tolist(), ends[many].tolist(), strict=True)}
-        forest = Forest(len(sets))
-        for q in range(len(sets)):
-            if forest.trees == 1:
-                break
+        index = Index([np.asarray(t) for t in cell.tokens])
+        size, node, side, copies = index.size, cell.node.to_list(), cell.side.to_numpy(), cell["copies"].to_numpy()
+        links = np.zeros(len(size), dtype=np.int64)
+        forest = Forest(len(size))
+        for q in range(len(size)):
             # Partners come before q in order of size; the smallest that can match has percent of q's size.
-            low = bisect_left(size, -(-percent * size[q] // 100))
+            low = int(np.searchsorted(size, -(-percent * int(size[q]) // 100)))
             if low >= q:
                 continue
-            mine = forest.find(q)
-            least = needed(size[q], size[low], percent)
-            lists = []
-            for t in sets[q].tolist():
-                x = index.get(t)
-                if x is not None:
-                    x = x[bisect_left(x, low) : bisect_left(x, q)]
-                    if x:
-                        lists.append(x)
-            for c in divide_skip(lists, least, low):
-                if (side[c] == side[q] and side[q] >= 0) or forest.find(c) == mine:
-                    continue
-                both = len(np.intersect1d(sets[q], sets[c], assume_unique=True))
-                if 100 * both >= percent * (size[q] + size[c] - both):
-                    forest.join(q, c)
-                    mine = forest.find(q)
-        # Each set and the first of its part: stars, which contract in two rounds.
-        links = [(node[q], node[forest.find(q)]) for q in range(len(sets)) if forest.find(q) != q]
-        return pd.DataFrame(links, columns=["u", "v"])
+            c, shared = index.search(q, low, needed(int(size[q]), int(size[low]), percent))
+            good = (100 * shared >= percent * (size[q] + size[c] - shared)) & ((side[c] != side[q]) | (side[c] < 0))
+            c = c[good]
+            links[q] += copies[c].sum()
+            links[c] += copies[q]
+            for x in c.tolist():
+                forest.join(q, x)
+        # Each set and the first of its tree: stars, which contract in two rounds.
+        rows = [(node[q], node[forest.find(q)], 0) for q in range(len(size)) if forest.find(q) != q] + [(node[q], None, n) for q, n in enumerate(links.tolist()) if n]
+        return pd.DataFrame({k: pd.array([r[i] for r in rows], dtype="Int64") for i, k in enumerate(("u", "v", "links"))})
 
     return run
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """Rows of docs (doc_id, text) with n_shingles and component_id, the least doc_id reachable by links.
+    """Rows of docs (doc_id, text) with n_shingles, component_id (the least doc_id reachable by links) and n_links (rows linked directly).
 
     A text of fewer words is one shingle, the whole sequence; a null or empty text has none and is linked with nothing.
-    Repeated rows repeat. A row without doc_id takes no part in naming components. An empty table gives no rows.
+    Repeated rows repeat and are linked. A row without doc_id takes no part in naming components. An empty table gives
+    no rows. doc_id may be of any type that has an order; other columns are left out.
     """
     spark = docs.sparkSession
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):  # by numbers, then back to ids
+        keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("key"), "doc_id", "text")
+        ids = keyed.where("key is not null").select("key", "doc_id").distinct()
+        out = join(keyed.select(F.col("key").alias("doc_id"), "text"), words, percent, block).withColumnsRenamed({"doc_id": "key", "component_id": "root"}).join(ids, "key", "left")
+        names = out.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        return out.join(names, "root", "left").select("doc_id", "n_shingles", "component_id", "n_links")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.mapInArrow(_deal_slices(parts(spark), words), DEALT)
+    dealt = rows.mapInArrow(_deal_slices(parts(spark, docs), words), DEALT)
     counted = dealt.groupBy("part").applyInPandas(_count_shared, "slice long, meta binary, counts binary")
     known = materialize(counted.groupBy("slice").applyInPandas(_join_counts, "doc_id long, n long, a long, b long, shared long"))
     least = F.ceil(F.col("n") * percent / 100)
     maybe = known.where((F.col("n") > 0) & (F.col("shared") >= least))
-    classes = materialize(maybe.groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    classes = materialize(maybe.groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     sets = rows.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "a long, b long, tokens array<long>")
-    sets = materialize(sets.join(classes.drop("doc_id", "copies"), ["a", "b"]).dropDuplicates(["a", "b"]).select(F.col("a").alias("node"), "n", "tokens"))
+    sets = materialize(sets.join(classes.drop("doc_id"), ["a", "b"]).dropDuplicates(["node"]).select("node", "n", "copies", "tokens"))
     token = sets.select("node", "n", F.explode("tokens").alias("token"))
     often = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     common = materialize(token.join(often, "token"))
@@ -303,22 +340,25 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK)
     heads = keys.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
     loose = components(keys.join(heads, "token").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct())
     placed = sets.join(loose, "node")
-    order = Window.partitionBy("root").orderBy("n", "node")
-    cells = placed.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > block).select("root")
-    ranked = placed.select("root", "n", "node").join(cells, "root", "left_semi").select("node", F.floor((F.row_number().over(order) - 1) / block).alias("chunk"))
-    one = materialize(placed.join(ranked, "node", "left").select("root", "node", "n", "tokens", F.coalesce("chunk", F.lit(0)).alias("chunk")))
-    spans = one.groupBy("root", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = spans.select(F.col("root").alias("r"), F.col("chunk").alias("later"), F.col("lo").alias("later_lo"))
-    tasks = spans.join(other, (F.col("root") == F.col("r")) & (F.col("chunk") <= F.col("later")) & (F.col("hi") * 100 >= F.col("later_lo") * percent)).select("root", F.col("chunk").alias("i"), F.col("later").alias("j"))
-    sides = tasks.select("root", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("chunk"), F.lit(-1).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side"))))).alias("x"))
-    sides = sides.select("root", "i", "j", F.col("x.chunk").alias("chunk"), F.col("x.side").alias("side"))
-    links = one.join(sides, ["root", "chunk"]).groupBy("root", "i", "j").applyInPandas(_search(percent), "u long, v long")
-    linked = components(links)
-    named = classes.join(linked.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    large = placed.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > block).select("root", F.lit(True).alias("large"))
+    band = F.when(F.col("large"), F.floor(F.log("n") / F.log(F.lit(BAND)))).otherwise(0).cast("int")
+    one = materialize(placed.join(large, "root", "left").select("root", "node", "n", "copies", "tokens", band.alias("band")))
+    spans = materialize(one.groupBy("root", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("shares")))
+    chunks = spans.select("root", "lo", "hi", F.explode(F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda x: F.struct("band", x.alias("share")))).alias("i"))
+    later = chunks.select(F.col("root").alias("r"), F.col("i").alias("j"), F.col("lo").alias("later_lo"))
+    tasks = chunks.join(later, (F.col("root") == F.col("r")) & (F.col("i") <= F.col("j")) & (F.col("hi") * 100 >= F.col("later_lo") * percent)).select("root", "i", "j")
+    side = lambda chunk, n: F.struct(chunk.alias("chunk"), F.lit(n).alias("side"))
+    both = F.when(F.col("i") == F.col("j"), F.array(side(F.col("i"), -1))).otherwise(F.array(side(F.col("i"), 0), side(F.col("j"), 1)))
+    sides = tasks.select("root", "i", "j", F.explode(both).alias("x")).select("root", "i", "j", F.col("x.chunk.band").alias("band"), F.col("x.chunk.share").alias("share"), "x.side")
+    shared = one.join(spans.select("root", "band", "shares"), ["root", "band"]).withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).drop("shares")
+    found = materialize(shared.join(sides, ["root", "band", "share"]).groupBy("root", "i", "j").applyInPandas(_search(percent), FOUND))
+    linked = components(found.where("v is not null").select("u", "v"))
+    links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    grouped = materialize(named.join(least_id, "root").where("component_id is not null").select("a", "b", "component_id"))
+    grouped = materialize(named.join(least_id, "root").select("a", "b", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = known.join(grouped, ["a", "b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
