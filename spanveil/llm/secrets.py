@@ -1,13 +1,15 @@
 """Secret scan: a base grammar of known forms, and stochastic automata inferred from the credentials it labels.
 
 For each kind of credential a prefix tree of its values, over classes of characters, is folded into a probabilistic
-automaton by merging states whose outgoing frequencies agree within a Hoeffding bound, from the root outwards. Every
-other long run of credential characters in a text is a candidate: its likelihood under the best automaton, against that
-of ordinary runs, decides whether it has the format of a credential.
+automaton by merging states whose outgoing frequencies, and those of all states that follow on common symbols, agree
+within a Hoeffding bound, from the root outwards. Every other long run of credential characters in a text is a
+candidate: its likelihood under the best automaton, against that of ordinary runs, decides whether it has the format of
+a credential. From where a value leaves the automaton, it is as likely as ordinary text.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -18,18 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.llm.runtime import materialize, trimmed
 from spanveil.llm.words import pieces
 
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE = 1500  # distinct labelled values a kind that an automaton learns from, those with the least hashes
-LONGEST = 128  # characters of a value that learning reads
 LEAST = 16  # characters of a candidate
 MARGIN = 12.0  # nats by which a candidate must be likelier as a credential
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}+")
-_DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}+" % LEAST)
 #: Classes of characters and how many characters each holds; other symbols are classes of their own.
 CLASSES = {"0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "G": "GHIJKLMNOPQRSTUVWXYZ"}
 _CLASS = {c: k for k, v in CLASSES.items() for c in v}
@@ -49,13 +50,19 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Long runs of credential characters with a digit and a letter."""
-    if any(len(w) >= LEAST and _DIGIT.search(w) for w in text.split()):
-        for m in _RUN.finditer(text):
-            run = m[0]
-            if _DIGIT.search(run) and not run.isdigit() and any(c.isalpha() for c in run):
-                yield m.span()
+def candidates(text: str, base: list[tuple[int, str, int, str]] = ()) -> Iterator[tuple[int, int]]:
+    """Long runs of credential characters; of a run that base spans cover in part, what they leave if it is long enough."""
+    for m in _RUN.finditer(text):
+        at, stop = m.span()
+        for s, _, e, _ in base:
+            if s >= stop:
+                break
+            if e > at:
+                if s - at >= LEAST:
+                    yield at, s
+                at = max(at, e)
+        if stop - at >= LEAST:
+            yield at, stop
 
 
 @dataclass
@@ -70,7 +77,7 @@ class Automaton:
         tree: list[dict[str, list[int]]] = [{}]
         for v in sorted(values):
             s = 0
-            for c in [*v[:LONGEST].translate(_TO_CLASS), STOP]:
+            for c in [*v.translate(_TO_CLASS), STOP]:
                 step = tree[s].setdefault(c, [-1, 0])
                 step[1] += 1
                 if c != STOP:
@@ -81,16 +88,18 @@ class Automaton:
         bound_c = math.sqrt(0.5 * math.log(2 / alpha))
         total = lambda s: sum(n for _, n in tree[s].values())
 
-        def alike(a: int, b: int, depth: int = 0) -> bool:
-            na, nb = total(a), total(b)
-            if not na or not nb:
-                return True
-            limit = bound_c * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
-            for c in tree[a].keys() | tree[b].keys():
-                x, y = tree[a].get(c, [-1, 0]), tree[b].get(c, [-1, 0])
-                if abs(x[1] / na - y[1] / nb) > limit:
+        def alike(a: int, b: int) -> bool:
+            todo = [(a, b)]  # what follows b is a tree, so this ends
+            while todo:
+                a, b = todo.pop()
+                na, nb = total(a), total(b)
+                if not na or not nb:
+                    continue
+                limit = bound_c * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
+                if any(abs(tree[a].get(c, (0, 0))[1] / na - tree[b].get(c, (0, 0))[1] / nb) > limit for c in tree[a].keys() | tree[b].keys()):
                     return False
-            return depth > 12 or all(alike(tree[a][c][0], tree[b][c][0], depth + 1) for c in tree[a].keys() & tree[b].keys() if c != STOP)
+                todo += [(tree[a][c][0], tree[b][c][0]) for c in tree[a].keys() & tree[b].keys() if c != STOP]
+            return True
 
         def fold(a: int, b: int) -> None:
             """Add what follows b, still a tree, to a."""
@@ -105,9 +114,9 @@ class Automaton:
                         if c != STOP and tree[a][c][0] != t:
                             todo.append((tree[a][c][0], t))
 
-        red = [0]
+        red, kept = [0], {0}
         while True:
-            blue = [(s, c) for s in red for c, (t, _) in tree[s].items() if c != STOP and t not in red]
+            blue = [(s, c) for s in red for c, (t, _) in tree[s].items() if c != STOP and t not in kept]
             if not blue:
                 break
             s, c = max(blue, key=lambda x: (tree[x[0]][x[1]][1], -x[0], x[1]))
@@ -119,57 +128,63 @@ class Automaton:
                     break
             else:
                 red.append(b)
+                kept.add(b)
         number = {s: i for i, s in enumerate(red)}
         return cls([{c: (number.get(t, -1), n) for c, (t, n) in tree[s].items()} for s in red])
 
-    def log_likelihood(self, value: str) -> float:
-        """Of the value and its end, characters of a class being equal; steps that learning never saw have half a count."""
-        s, out = 0, 0.0
+    def evidence(self, value: str) -> float:
+        """Log likelihood of the value and its end, over that as ordinary text. A class's characters are equal among themselves.
+
+        At each state half a count stands for symbols that learning never saw there; behind one, nothing more is known.
+        """
+        s, out, before = 0, 0.0, ""
         for c in [*value.translate(_TO_CLASS), STOP]:
             arcs = self.next[s]
             total = sum(n for _, n in arcs.values()) + 0.5
-            to, n = arcs.get(c, (-1, 0))
-            out += math.log((n or 0.5 / 16) / total) - (math.log(_SIZE.get(c, 1)) if c != STOP else 0.0)
-            if c != STOP and to < 0:  # off the automaton: from there on as unlikely as ordinary text at best
-                return out - 3.5 * (len(value))
-            s = max(to, 0)
+            if c not in arcs:
+                return out + math.log(0.5 / total)
+            s, n = arcs[c]
+            out += math.log(n / total) - (math.log(_SIZE.get(c, 1)) if c != STOP else 0.0) - ordinary(before, c)
+            before = c
         return out
 
 
-def ordinary(value: str) -> float:
-    """Log likelihood of a run as ordinary text: letters by case, few digits and marks, one word in eight ending at each character."""
-    rate = {"a": 0.22 / 6, "g": 0.68 / 20, "A": 0.012 / 6, "G": 0.038 / 20, "0": 0.03 / 10}
-    return sum(math.log(rate.get(c, 0.004)) for c in value.translate(_TO_CLASS)) + len(value) * math.log(7 / 8) + math.log(1 / 8)
+#: Ordinary runs: the chance of a character's kind after the kind before it; small letters, capitals, digits, marks, the end.
+_KIND = {"a": 0, "g": 0, "A": 1, "G": 1, "0": 2, STOP: 4}
+_AFTER = ((0.84, 0.01, 0.01, 0.04, 0.10), (0.30, 0.52, 0.03, 0.05, 0.10), (0.02, 0.02, 0.70, 0.16, 0.10), (0.55, 0.13, 0.12, 0.10, 0.10), (0.75, 0.15, 0.06, 0.04, 0.0))
+#: And of a class of characters within its kind.
+_WITHIN = {"a": 0.25 / 6, "g": 0.75 / 20, "A": 0.25 / 6, "G": 0.75 / 20, "0": 0.1, STOP: 1.0}
+
+
+@functools.cache
+def ordinary(before: str, c: str) -> float:
+    """Log likelihood of a class of characters behind another ("" at the start) in ordinary text."""
+    return math.log(_AFTER[_KIND.get(before, 3) if before else 4][_KIND.get(c, 3)] * _WITHIN.get(c, 0.2))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
-    """An automaton a kind, from the values that the base grammar finds in all of docs."""
+    """An automaton a kind, from whole values that the base grammar finds in all of docs: distinct ones, `sample` a kind at most."""
 
+    @trimmed
     def values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=16 << 20, rows=1 << 16):
-            got = sorted({(k, v[:LONGEST]) for t in batch.column("text").to_pylist() if t for _, k, _, v in base_spans(t)})
+            got = sorted({(k, v) for t in batch.column("text").to_pylist() if t for _, k, _, v in base_spans(t)})
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], names=["kind", "value"])
 
-    found = docs.select("text").mapInArrow(values, "kind string, value string").distinct()
-    picked = None
-    for kind in KINDS[:3]:
-        one = found.where(F.col("kind") == kind).withColumn("h", F.xxhash64("value")).orderBy("h", "value").limit(sample).drop("h")
-        picked = one if picked is None else picked.union(one)
+    found = materialize(docs.select("text").mapInArrow(values, "kind string, value string").distinct().withColumn("h", F.xxhash64("value")))
     by_kind: dict[str, list[str]] = {}
-    for r in picked.collect():
-        by_kind.setdefault(r.kind, []).append(r.value)
-    return {k: Automaton.infer(v) for k, v in sorted(by_kind.items()) if len(v) >= 8}
+    for kind in KINDS[:3]:
+        by_kind[kind] = [r.value for r in found.where(F.col("kind") == kind).orderBy("h", "value").limit(sample).collect()]
+    return {k: Automaton.infer(v) for k, v in by_kind.items() if len(v) >= 8}
 
 
 def find(text: str, automata: dict[str, Automaton], margin: float = MARGIN) -> tuple[list[tuple[int, str, int, str]], list[tuple[int, str, int, str]]]:
-    """Base spans, and spans that the automata add."""
+    """Base spans, and spans that the automata add; those don't overlap base spans."""
     base = base_spans(text)
     added = []
-    for start, stop in candidates(text) if automata else ():
-        if any(s < stop and start < e for s, _, e, _ in base):
-            continue
+    for start, stop in candidates(text, base) if automata else ():
         value = text[start:stop]
-        if max(a.log_likelihood(value) for a in automata.values()) - ordinary(value) >= margin:
+        if max(a.evidence(value) for a in automata.values()) >= margin:
             added.append((start, "format", stop, value))
     return base, added
 
@@ -190,6 +205,7 @@ def scan(docs: DataFrame, automata: dict[str, Automaton] | None = None, margin:
     docs = docs.drop("secrets")
     known = learn(docs) if automata is None else automata
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, rows=1 << 14):
             out = []
@@ -216,6 +232,7 @@ def redact(docs: DataFrame, automata: dict[str, Automaton] | None = None, sign:
     """docs with the secrets in text replaced, all other columns as they are."""
     known = learn(docs) if automata is None else automata
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, rows=1 << 14):
             out = []
