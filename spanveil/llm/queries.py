@@ -23,9 +23,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence scan: the licence that a whole text is, and the lines that are known notices."""
-    docs = table(spark, sf_dir, "documents")
-    lines = licenses.scan(docs, unit="line").groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.min("license_id").alias("first_notice"))
-    return licenses.scan(docs).join(lines, "doc_id", "left").select("doc_id", F.col("sha256").alias("text_sha256"), "license_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), "first_notice")
+    return licenses.scan_all(table(spark, sf_dir, "documents"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +109,11 @@ def _canonical_sql(column: str) -> str:
 
 
 def _license_sql() -> str:
-    rows = [(k, v) for k, v in licenses.KNOWN.items()] + [(k, f"{t}\n{v}") for k, v in licenses.KNOWN.items() for t in licenses.TITLES.get(k, [])]
-    values = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in rows)
+    values = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in licenses.known_texts())
+    given = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in licenses.DIGESTS.items())
     return f"""
-    WITH known AS (SELECT DISTINCT license_id, sha256({_canonical_sql("body")}) AS digest FROM (VALUES {values}) v(license_id, body)),
+    WITH every AS (SELECT license_id, sha256({_canonical_sql("body")}) AS digest FROM (VALUES {values}) v(license_id, body) UNION ALL SELECT * FROM (VALUES {given})),
+    known AS (SELECT min(license_id) AS license_id, digest FROM every GROUP BY digest),
     own AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN sha256({_canonical_sql("text")}) END AS text_sha256 FROM documents),
     pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
     found AS (SELECT doc_id, count(*) AS n_notices, min(license_id) AS first_notice FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM pieces) JOIN known USING (digest) GROUP BY doc_id)

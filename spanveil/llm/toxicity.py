@@ -2,7 +2,8 @@
 
 Labelled rows of the training folds are split by a hash: on a third the lexicon is learnt (words and word beginnings
 with their log odds), on a third the trees, on a third the calibration; so no feature has seen its own label. Learning
-takes at most `sample` labelled rows, those with the least hashes; scoring covers every row and whole texts.
+takes at most `sample` labelled rows, those with the least hashes, and writes their texts once; scoring covers every row
+and whole texts. The lexicon holds all units that qualify: its size is bounded by the sample's texts.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.runtime import in_fold
+from spanveil.llm.runtime import in_fold, materialize, trimmed
 from spanveil.llm.words import pieces
 
 SAMPLE = 18_000
-ENTRIES = 20_000  # lexicon entries at most, by weight of evidence
 THRESHOLD = 0.3
 # Second-person words of the languages at hand.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner euch ihr sie ihnen tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros vuestro".split())
@@ -57,7 +57,7 @@ class Lexicon(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[float, float]:
-        if len(self) > 60_000:
+        if len(self) > 30_000:  # looked up anew, to the same end
             self.clear()
         w = word.strip(_EDGE)
         stem = max((self.weights.get(f"^{w[:k]}", 0.0) for k in STEMS if len(w) > k), default=0.0)
@@ -177,6 +177,7 @@ class Isotonic:
 
 
 def _features_of(lexicon):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(lexicon)
         for batch in pieces(batches, rows=1 << 14):
@@ -186,16 +187,16 @@ def _features_of(lexicon):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, mod: int = 4, held: int = 2) -> tuple[dict[str, float], Trees, Isotonic]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mod: int = 4, held: int = 2) -> tuple[dict[str, float], Trees, Isotonic]:
     """Lexicon, trees and calibration, from labelled rows outside the held fold. Several labels of a document: the highest counts."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~in_fold(mod, held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.withColumn("h", F.xxhash64(F.lit(17), "doc_id")).orderBy("h", "doc_id").limit(sample).withColumn("third", F.pmod("h", F.lit(3)).cast("int")).drop("h")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "third", "toxic")
-    size = {r.toxic: r.n for r in ids.where("third = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # At most `sample` ids of a few bytes: the broadcast is bounded.
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "third", "toxic"))
+    size = {r.toxic: r.n for r in rows.where("third = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     per = rows.where("third = 0").select("text", "toxic").mapInArrow(_unit_counts, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     weight = F.log((F.col("a") + 0.5) / F.lit(size.get(1, 0) + 1.0)) - F.log((F.col("b") + 0.5) / F.lit(size.get(0, 0) + 1.0))
-    top = per.where("a >= 3").withColumn("weight", weight).where("weight >= 1.5").orderBy(F.desc(F.col("weight") * F.sqrt("a")), "unit").limit(entries)
-    lexicon = {r.unit: r.weight for r in top.select("unit", "weight").collect()}
+    lexicon = {r.unit: r.weight for r in per.where("a >= 3").withColumn("weight", weight).where("weight >= 1.5").select("unit", "weight").orderBy("unit").collect()}
     table = rows.where("third > 0").mapInArrow(_features_of(lexicon), "third int, toxic int, x array<double>").toArrow()
     x = np.array(table.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y, third = table.column("toxic").to_numpy().astype(float), table.column("third").to_numpy()
@@ -205,14 +206,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
     return lexicon, trees, Isotonic(trees.margin(x[third == 2]), y[third == 2])
 
 
+def _scored(model, threshold: float, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with score and whether it reaches the threshold."""
+    lexicon, trees, calibrated = model.value
+    own = Lexicon(lexicon)
+    for batch in pieces(batches, rows=1 << 14):
+        x = np.array([features(t, own) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+        s = np.clip(calibrated(trees.margin(x)), 0.0, 1.0)
+        yield batch, s, s >= threshold
+
+
 def _score(model, threshold: float):
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, trees, calibrated = model.value
-        own = Lexicon(lexicon)
-        for batch in pieces(batches, rows=1 << 14):
-            x = np.array([features(t, own) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
-            s = np.clip(calibrated(trees.margin(x)), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in batch.schema.names], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+        for batch, s, toxic in _scored(model, threshold, batches):
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in batch.schema.names], pa.array(s), pa.array(toxic.astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     return run
 
@@ -220,8 +228,9 @@ def _score(model, threshold: float):
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_on: DataFrame | None = None, **options) -> DataFrame:
     """All columns of docs with score and predicted (score >= threshold); only the text is scored.
 
-    Null and empty texts get the score of a text without words. Repeated rows repeat. Without labelled rows every score
-    is 0.5 or what the base rate gives. Columns of docs named score or predicted are replaced.
+    Null and empty texts get the score of a text without words. Repeated rows repeat, equal texts score alike. Without
+    labelled rows every score is 0.5 or what the base rate gives. Columns of docs named score or predicted are replaced.
+    An empty table gives no rows.
     """
     docs = docs.drop("score", "predicted")
     model = docs.sparkSession.sparkContext.broadcast(learn(docs if fit_on is None else fit_on, labels, **options))
@@ -233,11 +242,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """The rows of docs that score below the threshold, all columns as they are."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **options))
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bare = pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])
-            marks = [x.column("predicted").to_numpy() for x in _score(model, threshold)([bare])]
-            if marks:
-                yield batch.filter(pa.array(np.concatenate(marks) == 0))
+        for batch, _, toxic in _scored(model, threshold, batches):
+            yield batch.filter(pa.array(~toxic))
 
     return docs.mapInArrow(run, docs.schema)

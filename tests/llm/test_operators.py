@@ -4,6 +4,7 @@ import functools
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -171,10 +172,23 @@ def test_embeddings(spark):
 
 def test_licences(spark):
     mit = licenses.KNOWN["MIT"]
-    rows = [(1, "Copyright (c) 2020 Somebody\n\n" + mit), (2, "# MIT License\n# Copyright 1999 X\n" + "\n".join("# " + x for x in mit.split("\n"))), (3, mit + " More."), (4, None), (5, ""), (6, mit.replace("sublicense", "sub-licence").replace('"', "”").upper()), (7, "prose\nLicensed under CC BY-NC 4.0.\nprose")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.license_id for r in licenses.scan(df).collect()} == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: "MIT", 7: None}
-    assert [(r.doc_id, r.line, r.license_id) for r in licenses.scan(df, unit="line").collect()] == [(7, 2, "CC-BY-NC-4.0-notice")]
+    rows = [(1, "Copyright (c) 2020 Somebody\n\n" + mit), (2, "# MIT License\n# Copyright 1999 X\n" + "\n".join("# " + x for x in mit.split("\n"))), (3, mit + " More."), (4, None), (5, ""), (6, mit.replace("sublicense", "sub-licence").replace('"', "”").upper()), (7, "prose\nLicensed under CC BY-NC 4.0.\nprose"), (8, licenses.KNOWN["BSD-3-Clause"].replace("1.", "*")), (9, licenses.KNOWN["Zlib"] + "\n"), (10, "x\n" * 100_000 + "Released under the MIT License.\n"), (None, "// SPDX-License-Identifier: GPL-3.0"), (11, "Released under the MIT License\nLicense: ISC\nreleased under the mit license!"), (11, "Released under the MIT License\nLicense: ISC\nreleased under the mit license!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license_id", F.lit("clash")).withColumn("sha256", F.lit("clash")).withColumn("line", F.lit(0))
+    assert {r.doc_id: r.license_id for r in licenses.scan(df.where("doc_id < 11")).collect()} == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: "MIT", 7: None, 8: None, 9: "Zlib", 10: None}
+    assert sorted((r.doc_id, r.line, r.license_id) for r in licenses.scan(df.where("doc_id < 11 and doc_id > 6"), unit="line").collect()) == [(7, 2, "CC-BY-NC-4.0-notice"), (10, 100_001, "MIT-notice")]
+    every = licenses.scan_all(df)
+    assert sorted((r.doc_id or 0, r.n_notices, r.first_notice) for r in every.where("n_notices > 0").collect()) == [(0, 1, "GPL-3.0-notice"), (7, 1, "CC-BY-NC-4.0-notice"), (10, 1, "MIT-notice"), (11, 3, "ISC-notice"), (11, 3, "ISC-notice")]
+    assert every.count() == len(rows) and licenses.scan_all(df.limit(0)).count() == 0 and licenses.scan(df.limit(0)).count() == 0
+    own = spark.createDataFrame([("own", hashlib.sha256(b"my terms").hexdigest())], "license_id string, license_sha256 string")
+    assert [r.license_id for r in licenses.scan(spark.createDataFrame([(1, "My  terms!")], "doc_id long, text string"), own).collect()] == ["own"]
+
+
+def test_long_licences_by_digest(spark):
+    path = "/usr/share/common-licenses/"
+    if not os.path.exists(f"{path}GPL-3"):
+        pytest.skip("no licence texts here")
+    rows = [(i, open(path + n, encoding="utf-8").read()) for i, n in enumerate(("GPL-2", "GPL-3", "LGPL-2.1", "Apache-2.0", "MPL-2.0", "CC0-1.0"))]
+    assert [r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "Apache-2.0", "MPL-2.0", "CC0-1.0"]
 
 
 def secrets_brute(text):
@@ -387,6 +401,68 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(df.limit(0), lab).count() == 0 and toxicity.score(df, lab.limit(0)).count() == len(rows)
 
 
+def test_boosted_trees_against_exhaustive_search():
+    """Each tree's splits are the best of all, by trying every one; the margins add up to the same."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, size=(120, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)).astype(float)
+    y[:10] = 1 - y[:10]
+    model = toxicity.Trees(rounds=5, depth=2, least=4).fit(x, y)
+    margin = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
+
+    def grow(rows, depth, g, h):
+        leaf = lambda: {tuple(rows): model.rate * g[rows].sum() / (h[rows].sum() + model.ridge)}
+        if depth == model.depth:
+            return leaf()
+        score = lambda k: g[k].sum() ** 2 / (h[k].sum() + model.ridge)
+        best = (1e-3, None)
+        for f in range(x.shape[1]):
+            for c in sorted({*np.quantile(x[:, f], np.linspace(0, 1, model.bins)[1:-1]), 0.0}):
+                left, right = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                if len(left) >= model.least and len(right) >= model.least and (gain := score(left) + score(right) - score(rows)) > best[0]:
+                    best = (gain, (left, right))
+        return leaf() if best[1] is None else grow(best[1][0], depth + 1, g, h) | grow(best[1][1], depth + 1, g, h)
+
+    for feature, cut, value in model.trees:
+        p = 1 / (1 + np.exp(-margin))
+        want = grow(np.arange(len(y)), 0, y - p, np.maximum(p * (1 - p), 1e-6))
+        got = toxicity.Trees._apply(x, feature, cut, value)
+        for rows, v in want.items():
+            assert got[list(rows)] == pytest.approx(v)
+        margin += got
+    assert model.margin(x) == pytest.approx(margin) and ((margin > 0) == y).mean() > 0.6
+
+
+def test_calibration_is_the_isotonic_regression():
+    """Pools are the least-squares fit: at each place the max over starts of the min over ends of means."""
+    rng = np.random.default_rng(4)
+    s = np.sort(rng.normal(size=40))
+    y = (rng.random(40) < 1 / (1 + np.exp(-2 * s))).astype(float)
+    fit = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    model = toxicity.Isotonic(s, y)
+    assert sorted(set(np.round(fit, 9))) == list(np.round(model.y, 9))
+    assert np.all(np.diff(model(np.linspace(-4, 4, 200))) > 0) and len(toxicity.Isotonic(s[:0], y[:0])(s)) == 40
+
+
+def test_features_against_plain_counts():
+    lexicon = toxicity.Lexicon({"vexo": 2.0, "^quze": 1.5, "vile": 3.0})
+    text = "You VEXO, quzemor! hello v1le THE 12 end you"
+    f = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon), strict=True))
+    n, size = 9, len(text)
+    assert f["lexicon_density"] == pytest.approx(2 / n) and f["lexicon_peak"] == 2 and f["lexicon_log_hits"] == pytest.approx(math.log(2)) and f["stem_density"] == pytest.approx(1.5 / n)
+    assert f["second_person"] == pytest.approx(2 / n) and f["near_second"] == pytest.approx(2 / n) and f["capital_rate"] == pytest.approx(8 / size) and f["shouted_rate"] == pytest.approx(2 / n)
+    assert f["digit_rate"] == pytest.approx(3 / size) and f["strong_mark_rate"] == pytest.approx(1 / size) and f["obfuscated_rate"] == pytest.approx(1 / n) and f["obfuscated_hits"] == 1
+    assert f["kinds"] == pytest.approx(math.log(3)) and toxicity.features(None, lexicon) == toxicity.features("", lexicon)
+
+
+def test_toxicity_of_repeated_rows_and_ties(spark):
+    rows = [(i, "bad bad word" if i % 2 else "good nice word") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("third", F.lit("clash")).withColumn("predicted", F.lit("clash"))
+    lab = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.score(df.union(df), lab).collect()
+    assert len(got) == 160 and len({(r.text, r.score) for r in got}) == 2
+
+
 def water_fill(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: 1.0 + k % 3 for k, s in enumerate(names)}
