@@ -55,3 +55,10 @@ class Settings:
             return [walk(x) for x in v] if isinstance(v, list) else v
 
         return cls(**walk(values))
+
+    @classmethod
+    def read(cls, spark, path: str, env: dict[str, str] | None = None) -> Settings:
+        """Settings of a JSON file anywhere that Spark can read."""
+        import json
+
+        return cls.load(json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())), env)

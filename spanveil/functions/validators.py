@@ -125,3 +125,52 @@ def clamp01(v: Column) -> Column:
 def percentile_at(values: Column, q: float) -> Column:
     """values: an array; its sorted element at int(q (n - 1))."""
     return F.element_at(F.array_sort(values), F.floor(F.lit(q) * (F.size(values) - 1)).cast("int") + 1)
+
+
+# Error codes by status; all others are 500.
+STATUS = {400: ["invalid_request", "invalid_config"], 401: ["unauthorized"], 404: ["not_found"], 502: ["detector_timeout", "circuit_open", "upstream_error"]}
+LOG_BYTES, CUT = 4096, "...[truncated]"
+
+
+def status_of(code: Column) -> Column:
+    """The status of an error code."""
+    out = F.lit(500)
+    for status, codes in STATUS.items():
+        out = F.when(code.isin(*codes), status).otherwise(out)
+    return out
+
+
+def log_text(text: Column, with_values: bool = False) -> Column:
+    """A text for the log: cut after some bytes, with a sign that says so; whole where values may be logged."""
+    cut = F.concat(F.decode(F.substring(text.cast("binary"), 1, LOG_BYTES), "UTF-8"), F.lit(CUT))
+    return text if with_values else F.when(F.octet_length(text) > LOG_BYTES, cut).otherwise(text)
+
+
+def truncate_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of whole characters within so many bytes."""
+    raw = F.substring(text.cast("binary"), 1, most)
+    return F.when(F.octet_length(text) > most, F.regexp_replace(F.decode(raw, "UTF-8"), "\uFFFD+$", "")).otherwise(text)
+
+
+def local_endpoint(url: str) -> bool:
+    """Whether a backend's address is on this machine or a private network: localhost or a literal address, no other name."""
+    import ipaddress
+    from urllib.parse import urlsplit
+
+    try:
+        parts = urlsplit(url)
+        host = parts.hostname or ""
+        parts.port  # noqa: B018  a bad port is an error
+    except ValueError:
+        return False
+    if parts.scheme not in ("http", "https") or not host:
+        return False
+    if host.lower() == "localhost" or host.lower().endswith(".localhost"):
+        return True
+    try:
+        at = ipaddress.ip_address(host.partition("%")[0])
+    except ValueError:
+        return False
+    at = getattr(at, "ipv4_mapped", None) or at
+    private = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7")]
+    return at.is_loopback or at.is_link_local or at.is_unspecified or any(at.version == n.version and at in n for n in private)

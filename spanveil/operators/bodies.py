@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keys and block types that decide what is text.
 TEXT_KEYS = frozenset("content text input prompt system instructions output_text".split())
@@ -22,6 +23,7 @@ DATA_URLS = ("data:image/", "data:audio/", "data:video/", "data:application/octe
 COMMAND_KEYS = "command cmd script code shell url file_path path pattern".split()
 TOOL_BLOCKS = ("tool_use", "server_tool_use", "mcp_tool_use")
 PRESERVED = ("file_path", "path")
+FILE_TOOLS = ("read", "write", "edit", "multiedit", "notebookedit")
 
 
 class Number(str):
@@ -81,13 +83,13 @@ def walk(value, visit: Callable[[str, str], str], everything: bool = False, path
 
 
 def texts_in(body: str | None, everything: bool = False, skip: tuple[str, ...] = ()) -> list[tuple[str, str]]:
-    """(path, text) of a body; a body that isn't JSON is one text."""
+    """(path, text) of a body; a body that isn't JSON, or is nested too deeply to walk, is one text."""
     out: list[tuple[str, str]] = []
     if body is None:
         return out
     try:
         walk(parse(body), lambda p, s: out.append((p, s)) or s, everything, skip=skip)
-    except ValueError:
+    except (ValueError, RecursionError):
         return [("", body)]
     return out
 
@@ -143,8 +145,8 @@ def write_back(body: Column, texts: Column, everything: bool = False, skip: tupl
             rest = iter(new)
             try:
                 return dump(walk(parse(b), lambda p, s: next(rest), everything, skip=skip))
-            except ValueError:
-                return next(rest)
+            except (ValueError, RecursionError):
+                return new[0]
 
         return pd.Series([one(b, n) for b, n in zip(bodies, replaced, strict=True)], dtype=object)
 
@@ -157,7 +159,7 @@ def tool_calls(body: Column) -> Column:
         def one(b: str | None) -> list[dict]:
             try:
                 return list(_tools(parse(b))) if b else []
-            except ValueError:
+            except (ValueError, RecursionError):
                 return []
 
         return bodies.map(one)
@@ -186,3 +188,87 @@ def collect_texts(bodies: DataFrame, texts: DataFrame, column: str = "replaced",
 def blocked(entities: Column, block_types: list[str] | None = None) -> Column:
     """Whether a gate stops the text: an entity of the listed types, or of any when none are listed."""
     return F.exists(entities, lambda e: e["type"].isin(*block_types)) if block_types else F.size(entities) > 0
+
+
+#: What gates and reports return of an entity.
+SEEN = "array<struct<type:string,value:string,path:string,start:int,end:int,score:double>>"
+
+
+def redact(bodies: DataFrame, strategy: str = "placeholder", gate_only: bool = False, block_types: list[str] | None = None, include_values: bool = False, everything: bool = True, preserve: tuple[str, ...] = (), overrides: dict[str, str] | None = None, fakes: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame | None]:
+    """(request_id, body) -> bodies with rewritten, changed, has_pii, blocked, entities and tool_arguments, and the mapping table.
+
+    everything: all strings of a document count, keys never; else those that a chat body holds as text. A body that isn't
+    JSON is a text. Values under the keys in `preserve` stay. gate_only looks and rewrites nothing; without include_values
+    entities carry no values. block_types: what a gate stops, any type when empty. Bodies are walked once for their texts
+    and once to write them back. Request ids are distinct.
+    """
+    from spanveil.operators.detect import add_entities
+    from spanveil.operators.replace import replace
+    from spanveil.operators.tables import settled
+
+    texts = settled(add_entities(settled(explode_texts(bodies, everything, preserve)), "text", **options))
+    value = (lambda e: e["value"]) if include_values else (lambda e: F.lit(None).cast("string"))
+    seen = F.transform("entities", lambda e: F.struct(e["type"].alias("type"), value(e).alias("value"), F.col("path").alias("path"), e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score")))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", seen.alias("e")))), lambda x: x["e"]))
+    calls = F.count_distinct(F.when(F.col("path").contains("!"), F.substring_index("path", "!", 1)))
+    found = texts.groupBy("request_id").agg(listed.alias("entities"), calls.alias("tool_arguments"))
+    if gate_only:
+        out, mapping = bodies.withColumn("rewritten", F.col("body")).withColumn("changed", F.lit(False)), None
+    else:
+        replaced, mapping = replace(texts.select("request_id", "seq", "text", "entities"), strategy, overrides, fakes)
+        out = collect_texts(bodies, replaced, everything=everything, skip=preserve)
+    out = out.join(found, "request_id", "left").withColumn("entities", F.coalesce("entities", F.expr(f"cast(array() as {SEEN})"))).withColumn("tool_arguments", F.coalesce("tool_arguments", F.lit(0)).cast("long"))
+    return out.withColumn("has_pii", F.size("entities") > 0).withColumn("blocked", blocked(F.col("entities"), block_types)), mapping
+
+
+def restore_bodies(bodies: DataFrame, mapping: DataFrame, everything: bool = True) -> DataFrame:
+    """(request_id, body) with restored: every string of a document restored from its request's mapping, keys never."""
+    from spanveil.operators.replace import restore
+    from spanveil.operators.tables import settled
+
+    texts = settled(explode_texts(bodies, everything))
+    back = restore(texts.select("request_id", "seq", "text"), mapping)
+    return collect_texts(bodies, back, "restored", everything).withColumn("restored", F.col("rewritten")).drop("rewritten", "changed")
+
+
+def scan_tool_params(calls: DataFrame, strategy: str = "placeholder", tool: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(request_id, body) of tool inputs -> with rewritten, has_pii and recommendation (redact, or proceed), and the mapping.
+
+    Given the column of the tool's name, the paths of tools that work on files stay as they are.
+    """
+    from functools import reduce
+
+    if tool is None:
+        out, mapping = redact(calls, strategy, **options)
+    else:
+        files = F.lower(F.coalesce(F.col(tool), F.lit(""))).isin(*FILE_TOOLS)
+        both = [redact(calls.where(files), strategy, preserve=PRESERVED, **options), redact(calls.where(~files), strategy, **options)]
+        out, mapping = (reduce(DataFrame.unionByName, x) for x in zip(*both, strict=True))
+    return out.withColumn("has_pii", F.col("changed")).withColumn("recommendation", F.when(F.col("changed"), "redact").otherwise("proceed")), mapping
+
+
+@F.pandas_udf(T.BooleanType())
+def json_equal(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two texts are the same JSON value: order of keys and writing of numbers aside; false where one isn't JSON."""
+
+    def value(t: str | None):
+        return json.loads(t, parse_int=float, parse_constant=_no_constant)
+
+    def same(x, y) -> bool:
+        if type(x) is not type(y):
+            return False
+        if isinstance(x, dict):
+            return x.keys() == y.keys() and all(same(v, y[k]) for k, v in x.items())
+        return len(x) == len(y) and all(map(same, x, y)) if isinstance(x, list) else x == y
+
+    def one(x: str | None, y: str | None) -> bool:
+        try:
+            return same(value(x), value(y))
+        except (TypeError, ValueError, RecursionError):
+            return False
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")

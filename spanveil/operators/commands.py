@@ -210,11 +210,15 @@ def judge(actions: DataFrame, hosts: list[str] | None = None) -> DataFrame:
     return out.withColumn("category", F.coalesce(F.col("__best")["category"], nothing)).withColumn("severity", F.coalesce(F.col("__best")["severity"], F.lit(0.0))).drop("__commands", "__s", "__best")
 
 
+def check_bands(bands: dict[str, float]) -> None:
+    if not 1 >= bands["block"] > bands["review"] > bands["redact"] >= 0:
+        raise ValueError("bands must fall strictly")
+
+
 def action(category: Column, severity: Column, confidence: Column | None = None, bands: dict[str, float] | None = None) -> Column:
     """What evidence leads to: unknown and unsure go to review, the rest by bands of severity."""
     b = bands or BANDS
-    if not 1 >= b["block"] > b["review"] > b["redact"] >= 0:
-        raise ValueError("bands must fall strictly")
+    check_bands(b)
     unsure = F.coalesce(confidence, F.lit(1.0)) < LEAST_CONFIDENCE if confidence is not None else F.lit(False)
     return F.when((category == "unknown") | unsure, "review").when(severity >= b["block"], "block").when(severity >= b["review"], "review").when(severity >= b["redact"], "redact").otherwise("allow")
 
@@ -233,3 +237,9 @@ def judge_report(cases: DataFrame, want: str = "want", got: str = "category") ->
         F.count("*").alias("total"), n(bad).cast("long").alias("dangerous"), n(bad & ~flagged).cast("long").alias("missed"), n(~bad & flagged).cast("long").alias("false_alarms"),
         (n(bad & ~flagged) / F.nullif(n(bad), F.lit(0))).alias("miss_rate"), (n(~bad & flagged) / F.nullif(n(~bad), F.lit(0))).alias("false_alarm_rate"), (n(F.col(want) == F.col(got)) / F.nullif(F.count("*"), F.lit(0))).alias("category_accuracy"),
     )
+
+
+def judge_by_category(cases: DataFrame, want: str = "want", got: str = "category") -> DataFrame:
+    """Labelled actions by what they are: how many, how many were seen as that, and how many passed as benign."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    return cases.groupBy(F.col(want).alias("want")).agg(F.count("*").alias("total"), n(F.col(want) == F.col(got)).alias("same"), n(F.col(got) == "benign").alias("as_benign"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from spanveil.functions import fixed
 from spanveil.functions import validators as V
 from spanveil.operators.shapes import add_shaped
-from spanveil.operators.spans import NONE, entity, found, matches, merge, resolve
+from spanveil.operators.tables import settled
+from spanveil.operators.spans import NONE, entity, first_wins, found, let, matches, merge, resolve
 
 
 def _plain(kind: str, score: float):
@@ -77,7 +78,7 @@ def _names(text: Column) -> Column:
     cued = _part(text, f"{fixed.NAME_CUE}{fixed.NAME}", f"^{fixed.NAME_CUE}({fixed.NAME})$", make(0.75, True))
     titled = _part(text, f"{fixed.NAME}{fixed.NAME_TITLE}", f"^({fixed.NAME}){fixed.NAME_TITLE}$", make(0.7, False))
     cued, titled = (F.filter(x, lambda e: is_name(e["value"])) for x in (cued, titled))
-    return F.concat(cued, F.filter(titled, lambda e: ~F.exists(cued, lambda c: (c["start"] == e["start"]) & (c["end"] == e["end"]))))
+    return let(cued, lambda known: F.concat(known, F.filter(titled, lambda e: ~F.exists(known, lambda c: (c["start"] == e["start"]) & (c["end"] == e["end"])))))
 
 
 def _plates(text: Column) -> Column:
@@ -98,15 +99,15 @@ RULES = {
     "id_15": lambda t: found(t, fixed.ID_15, _plain("zh_id_card", 0.85), _all(_ID, lambda m: V.valid_id_card(m["value"]))),
     "phone": lambda t: found(t, fixed.PHONE, _plain("zh_phone", 0.95), _all(_DIGIT, lambda m: V.valid_phone(m["value"]))),
     "card": _cards,
-    "email": lambda t: found(t, fixed.EMAIL, _plain("email", 0.9)),
-    "ipv4": lambda t: found(t, fixed.IPV4, _plain("ip_address", 0.8), _DIGIT),
+    "email": lambda t: found(t, fixed.EMAIL, _plain("email", 0.9), hint="@"),
+    "ipv4": lambda t: found(t, fixed.IPV4, _plain("ip_address", 0.8), _DIGIT, hint="."),
     "date": lambda t: found(t, fixed.DATE, _plain("date", 0.7)),
     "address": lambda t: found(t, fixed.ADDRESS, _plain("zh_address", 0.7)),
-    "api_key": lambda t: found(t, fixed.WORD + fixed.API_KEY, _plain("api_key", 0.9)),
-    "jwt": lambda t: found(t, fixed.WORD + fixed.JWT, _plain("token", 0.9)),
+    "api_key": lambda t: found(t, fixed.WORD + fixed.API_KEY, _plain("api_key", 0.9), hint="-"),
+    "jwt": lambda t: found(t, fixed.WORD + fixed.JWT, _plain("token", 0.9), hint="eyJ"),
     "plate": lambda t: found(t, fixed.PLATE, _plain("plate", 0.85)),
-    "url": lambda t: found(t, fixed.WORD + fixed.URL, _plain("url", 0.9), lambda m: V.valid_url(m["value"])),
-    "ssn": lambda t: found(t, f"{fixed.WORD}{fixed.SSN}{fixed.WORD}", _plain("us_ssn", 0.9), _all(_DIGIT, lambda m: V.valid_ssn(m["value"]))),
+    "url": lambda t: found(t, fixed.WORD + fixed.URL, _plain("url", 0.9), lambda m: V.valid_url(m["value"]), hint="://"),
+    "ssn": lambda t: found(t, f"{fixed.WORD}{fixed.SSN}{fixed.WORD}", _plain("us_ssn", 0.9), _all(_DIGIT, lambda m: V.valid_ssn(m["value"])), hint="-"),
     "key_value": _secrets,
     "name": _names,
     "plate_english": _plates,
@@ -119,11 +120,15 @@ def scan(text: Column, rules: list[str] | None = None) -> Column:
 
 
 def detect(text: Column, rules: list[str] | None = None, thresholds: dict[str, float] | None = None, allowed: list[str] | None = None) -> Column:
-    """Resolved entities of a text as it is written; null counts as empty. Built-in expressions only."""
+    """Resolved entities of a text as it is written; null counts as empty. Built-in expressions only.
+
+    thresholds: least scores by type, instead of the fixed ones; {} leaves the default for every type.
+    """
     return resolve(scan(F.coalesce(text, F.lit("")), rules), _limits(thresholds), fixed.DEFAULT_THRESHOLD, allowed)
 
 
 def _limits(thresholds: dict[str, float] | None) -> Column | None:
+    thresholds = fixed.THRESHOLDS if thresholds is None else thresholds
     return F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]) if thresholds else None
 
 
@@ -152,3 +157,78 @@ def dictionary_hits(text: Column, values: dict[str, str]) -> Column:
 def detect_with_dictionary(text: Column, values: dict[str, str], **options) -> Column:
     """Detection with a dictionary over it, which thresholds and the allow-list don't touch."""
     return merge(dictionary_hits(F.coalesce(text, F.lit("")), values), detect(text, **options))
+
+
+def detect_by_settings(rows: DataFrame, settings, text: str = "text", into: str = "entities") -> DataFrame:
+    """rows with entities under the thresholds, the allow-list and the dictionary of the settings."""
+    return add_entities(rows, text, into, thresholds=settings.thresholds, allowed=settings.allowed, dictionary=settings.dictionary)
+
+
+def detect_cached(requests: DataFrame, conversation: str = "conversation_id", text: str = "text", version: int = 0, **options) -> DataFrame:
+    """requests with entities and cached: each text of a conversation is looked at once, under one version of the dictionaries.
+
+    The first row of a text by `at` (where there is such a column) is the miss; a new version is a cache of its own.
+    """
+    key = F.struct(F.lit(version).alias("version"), F.col(conversation).alias("conversation"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("hash"))
+    keyed = requests.withColumn("__key", key)
+    once = settled(add_entities(keyed.groupBy("__key").agg(F.min(text).alias("__text"), *([F.min("at").alias("__first")] if "at" in requests.columns else [])), "__text", **options).drop("__text"))
+    out = keyed.join(once, "__key")
+    return out.withColumn("cached", F.col("at") > F.col("__first") if "at" in requests.columns else F.lit(None).cast("boolean")).drop("__key", "__first")
+
+
+def detect_growing(segments: DataFrame, **options) -> DataFrame:
+    """(conv_id, version, place, text) -> with entities and reused: what the version before has up to there is taken over, the rest is looked at.
+
+    A segment is known by the hashes of all segments up to its own, so a change cuts what follows; equal prefixes of all
+    versions of a conversation are looked at once.
+    """
+    from pyspark.sql import Window
+
+    upto = Window.partitionBy("conv_id", "version").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    hashed = segments.withColumn("__h", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    chained = hashed.withColumn("__chain", F.sha2(F.array_join(F.collect_list("__h").over(upto), "").cast("binary"), 256))
+    first = chained.groupBy("conv_id", "place", "__chain").agg(F.min("version").alias("__first"), F.min("text").alias("__text"))
+    known = settled(add_entities(first, "__text", **options).drop("__text"))
+    out = chained.join(known, ["conv_id", "place", "__chain"])
+    return out.withColumn("reused", F.col("version") > F.col("__first")).drop("__h", "__chain", "__first")
+
+
+def dictionary_table(rows: DataFrame, entries: DataFrame, text: str = "text", into: str = "entities", block: int = 200_000) -> DataFrame:
+    """rows with hits of a dictionary that is a table (value, type) of any length, as dictionary_hits finds them.
+
+    Entries go to the tasks in blocks, as automata that find all values of a block in one pass over a text; blocks run one
+    after another over what the last one has written, so that a task holds one block. The longest of the values at a
+    place counts, whatever its block.
+    """
+    import ahocorasick
+
+    from pyspark.sql import types as T
+
+    folded = entries.select(V.fold_ascii(F.col("value")).alias("value"), "type").where("value <> ''").groupBy("value").agg(F.max("type").alias("type"))
+    hit = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("type", T.StringType())]))
+    out = rows.withColumn("__hits", F.array().cast(hit))
+    lower = {c: c + 32 for c in range(65, 91)}
+
+    def look(known):
+        def run(frames):
+            machine = ahocorasick.Automaton()
+            for v, k in known.value:
+                machine.add_word(v, (len(v), k))
+            machine.make_automaton()
+            for frame in frames:
+                more = [[(end + 1 - n, end + 1, k) for end, (n, k) in machine.iter(t.translate(lower))] if t else [] for t in frame[text]]
+                yield frame.assign(__hits=[[*({"start": x["start"], "stop": x["stop"], "type": x["type"]} for x in (h if h is not None else ())), *({"start": s, "stop": e, "type": k} for s, e, k in m)] for h, m in zip(frame["__hits"], more, strict=True)])
+
+        return run
+
+    some: list[tuple[str, str]] = []
+    for r in folded.orderBy("value").toLocalIterator():
+        some.append((r.value, r.type))
+        if len(some) == block:
+            out, some = settled(out.mapInPandas(look(rows.sparkSession.sparkContext.broadcast(some)), out.schema)), []
+    if some:
+        out = out.mapInPandas(look(rows.sparkSession.sparkContext.broadcast(some)), out.schema)
+    t = F.col(text)
+    bytes_at = lambda n: F.octet_length(F.left(t, n))
+    made = F.transform("__hits", lambda h: entity(h["type"], F.substring(t, h["start"] + 1, h["stop"] - h["start"]), bytes_at(h["start"]), bytes_at(h["stop"]), F.lit(1.0)))
+    return out.withColumn(into, first_wins(made)).drop("__hits")

@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 # Histogram bounds in seconds, classes of data.
 DETECT_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0]
+HISTOGRAMS = {
+    "detect": (["engine"], DETECT_BUCKETS),
+    "request": (["endpoint"], [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]),
+    "restore": (["endpoint"], [0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1]),
+    "judge": (["engine"], [0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.3, 0.5, 1.0]),
+}
+#: Counters and their labels.
+COUNTERS = {
+    "requests": ["endpoint", "outcome"], "replaced": ["fate"], "restored": ["endpoint"], "blocked": ["reason"], "upstream_errors": ["endpoint", "status"], "stream_orphans": ["endpoint"],
+    "cache_hits": ["conversation"], "cache_misses": ["conversation"], "incremental_segments": ["action"], "pii_detected": ["entity_type", "fate"], "tool_calls_scanned": [], "verdicts": ["action", "category", "engine"], "judge_unavailable": ["engine", "reason"],
+}
 SENSITIVE = ["zh_id_card", "zh_bank_card", "api_key", "password", "token"]
 DATA_CLASSES = ("敏感/重要数据", "一般个人信息", "非敏感")
 
@@ -42,13 +53,97 @@ def histogram(values: DataFrame, value: str, labels: list[str], bounds: list[flo
     return sums.select(*labels, F.explode(pairs).alias("x"), "count", "sum").select(*labels, "x.le", "x.n", "count", "sum")
 
 
-def percentile(values: DataFrame, value: str, labels: list[str], q: float) -> DataFrame:
-    """The element at int(q (n - 1)) of each group's sorted values, by rank and not by gathering a group."""
+def latency(values: DataFrame, name: str, value: str = "seconds") -> DataFrame:
+    """One of the named histograms, under its labels and bounds."""
+    labels, bounds = HISTOGRAMS[name]
+    return histogram(values, value, labels, bounds)
+
+
+def counter(events: DataFrame, name: str, amount: str | None = None) -> DataFrame:
+    """(metric, labels, value) of a counter: rows of events, or the sum of a column, by the counter's labels."""
+    labels = COUNTERS[name]
+    total = F.count("*") if amount is None else F.sum(amount)
+    made = F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in labels])) if labels else F.expr("cast(map() as map<string,string>)")
+    grouped = events.groupBy(*labels).agg(total.cast("long").alias("value"))
+    return grouped.select(F.lit(name).alias("metric"), made.alias("labels"), F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def counters(sources: dict[str, DataFrame | tuple[DataFrame, str]]) -> DataFrame:
+    """Several counters as one table; a source is events, or events and the column that is summed."""
+    made = [counter(*((x, name) if isinstance(x, DataFrame) else (x[0], name, x[1]))) for name, x in sources.items()]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def store_size(tables: DataFrame, now: Column) -> DataFrame:
+    """A gauge: mapping tables alive."""
+    return tables.where(now <= F.col("expires_at")).agg(F.count("*").alias("value")).select(F.lit("store_size").alias("metric"), "value")
+
+
+def active_streams(streams: DataFrame, now: Column) -> DataFrame:
+    """A gauge: streams begun and not ended (opened_at, closed_at; null while open)."""
+    return streams.where((F.col("opened_at") <= now) & (F.col("closed_at").isNull() | (F.col("closed_at") > now))).agg(F.count("*").alias("value")).select(F.lit("active_streams").alias("metric"), "value")
+
+
+def exposition(metrics: DataFrame) -> DataFrame:
+    """(metric, labels, value) as lines of the text format that scrapers read."""
+    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda x: F.concat(x["key"], F.lit('="'), F.replace(F.replace(x["value"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+    return metrics.select(F.concat("metric", F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+CELLS = 4096
+
+
+def ranked(values: DataFrame, value: str, labels: list[str], place: Column) -> DataFrame:
+    """(labels.., percentile): of each group the element at `place` (a function of n) of its sorted values.
+
+    A group isn't sorted in one task: its range is cut into cells, counted, and only the cell that holds the place is
+    looked at, cut again while it has many values of different size.
+    """
+    from spanveil.operators.tables import settled
+
+    v = F.col(value).cast("double")
+    rows = settled(values.select(*labels, F.col(value).alias("v"), v.alias("d")).where(F.col(value).isNotNull()))
+    spans = rows.groupBy(*labels).agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    goal = settled(spans.select(*labels, place.cast("long").alias("at"), "lo", "hi"))
+    same = lambda a, b: _all_same(a, b, labels)
+    for _ in range(8):
+        if goal.where("hi > lo").isEmpty():
+            break
+        cell = F.least(F.floor((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))
+        near = rows.join(goal.withColumnsRenamed({k: f"g_{k}" for k in labels}), same("", "g_")).where("d >= lo and d <= hi")
+        counts = near.groupBy(*labels, "at", F.when(F.col("hi") > F.col("lo"), cell).otherwise(0).alias("cell")).agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+        w = _window(labels)
+        upto = counts.withColumn("upto", F.sum("n").over(w)).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
+        goal = settled(upto.select(*labels, (F.col("at") - (F.col("upto") - F.col("n"))).alias("at"), "lo", "hi"))
+    near = rows.join(goal.withColumnsRenamed({k: f"g_{k}" for k in labels}), same("", "g_")).where("d >= lo and d <= hi")
+    from pyspark.sql import Window
+
+    # Values of one cell whose ends agree are equal: what is left to rank is a handful, or all the same.
+    number = F.row_number().over(Window.partitionBy(*labels).orderBy("v")) - 1
+    equal = near.where("lo = hi").groupBy(*labels).agg(F.min("v").alias("percentile"))
+    rest = near.where("lo < hi").withColumn("i", number).where("i = at").select(*labels, F.col("v").alias("percentile"))
+    return equal.unionByName(rest)
+
+
+def _window(labels: list[str]):
     from pyspark.sql import Window
 
-    n = F.count("*").over(Window.partitionBy(*labels))
-    place = F.row_number().over(Window.partitionBy(*labels).orderBy(value)) - 1
-    return values.withColumn("__n", n).withColumn("__i", place).where(F.col("__i") == F.floor(F.lit(q) * (F.col("__n") - 1))).select(*labels, F.col(value).alias("percentile"))
+    return Window.partitionBy(*labels).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _all_same(a: str, b: str, labels: list[str]) -> Column:
+    out = F.lit(True)
+    for k in labels:
+        out = out & F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}"))
+    return out
+
+
+def percentile(values: DataFrame, value: str, labels: list[str], q: float) -> DataFrame:
+    """The element at int(q (n - 1)) of each group's sorted values; nulls don't count."""
+    return ranked(values, value, labels, F.floor(F.lit(q) * (F.col("n") - 1)))
 
 
 def greedy_match(labels: Column, found: Column) -> Column:
@@ -76,12 +171,12 @@ def detector_quality(cases: DataFrame, by: str | None = None) -> DataFrame:
 
 def percentile_nearest(values: DataFrame, value: str, labels: list[str], p: float) -> DataFrame:
     """The other definition: the element at round(p / 100 n) - 1, halves to even, within the group."""
-    from pyspark.sql import Window
+    return ranked(values, value, labels, F.least(F.greatest(F.bround(F.lit(p / 100) * F.col("n"), 0).cast("long") - 1, F.lit(0)), F.col("n") - 1))
+
 
-    n = F.count("*").over(Window.partitionBy(*labels))
-    place = F.row_number().over(Window.partitionBy(*labels).orderBy(value)) - 1
-    wanted = F.least(F.greatest(F.bround(F.lit(p / 100) * F.col("__n"), 0).cast("long") - 1, F.lit(0)), F.col("__n") - 1)
-    return values.withColumn("__n", n).withColumn("__i", place).where(F.col("__i") == wanted).select(*labels, F.col(value).alias("percentile"))
+def gate(scores: DataFrame, least: dict[str, float]) -> DataFrame:
+    """Quality figures against least values: (figure, value, least, passed); a missing figure doesn't pass."""
+    return scores.select(F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.col(k).cast("double").alias("value"), F.lit(float(v)).alias("least")) for k, v in least.items()])).alias("x")).select("x.*", F.coalesce(F.col("x.value") >= F.col("x.least"), F.lit(False)).alias("passed"))
 
 
 def entity_scores(expect: DataFrame, found: DataFrame, strict: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import fixed
@@ -11,9 +11,14 @@ from spanveil.functions import validators as V
 # Small public pools that fakes are drawn from.
 PROVINCES = "11 12 13 14 15 21 22 23 31 32 33 34 35 36 37 41 42 43 44 45 46 50 51 52 53 54 61 62 63 64 65".split()
 BINS = "622202 622848 621700 621661 622588 622700 621483 622260".split()
-GIVEN = list("伟芳娜敏静丽强磊军洋勇艳杰涛明超秀霞平刚桂英华玉兰")
-MAIL_WORDS = "river stone cloud maple amber cedar lotus pearl olive quartz".split()
-PLACES = ["北京市海淀区中关村大街", "上海市浦东新区世纪大道", "广东省深圳市南山区科技路", "浙江省杭州市西湖区文三路", "四川省成都市武侯区人民路"]
+GIVEN = list("伟芳娜敏静丽强磊军洋勇艳杰涛明超秀霞平刚桂英华玉兰文志海燕红梅波辉鹏飞琳雪峰婷宇浩凯健俊帆佳欣怡晨阳悦然雨晴子涵思远博文")
+MAIL_WORDS = "river stone cloud maple amber cedar lotus pearl olive quartz meadow harbor falcon willow ember lagoon summit canyon orchid breeze".split()
+CITIES = {
+    "北京市": "北京市", "上海市": "上海市", "天津市": "天津市", "重庆市": "重庆市", "河北省": "石家庄市 唐山市 保定市", "山西省": "太原市 大同市", "吉林省": "长春市 吉林市", "黑龙江省": "哈尔滨市 大庆市", "江苏省": "南京市 苏州市 扬州市", "浙江省": "杭州市 宁波市 金华市",
+    "江西省": "南昌市 九江市", "山东省": "济南市 青岛市 威海市", "河南省": "郑州市 洛阳市 开封市", "湖北省": "武汉市 荆州市", "湖南省": "长沙市 岳阳市", "广东省": "广州市 深圳市 中山市", "海南省": "海口市 三亚市", "四川省": "成都市 乐山市", "贵州省": "贵阳市 遵义市", "甘肃省": "兰州市 天水市", "青海省": "西宁市",
+}
+DISTRICTS = "东城区 西城区 南城区 北城区 新城区 城关区 城中区 高新区 开发区 河东区 河西区 临江区".split()
+STREETS = "人民路 中山路 和平路 解放路 建国路 青年路 花园路 学院路 滨河路 迎宾大道 文化大道 工业大道 朝阳街 光明街 胜利街 新华街".split()
 
 
 def pick(value: Column, kind: str, n: int, size: int | Column, key: str) -> Column:
@@ -94,7 +99,9 @@ def fake_name(v: Column, key: str) -> Column:
 
 
 def fake_address(v: Column, key: str) -> Column:
-    return F.concat(choose(v, "address", 0, PLACES, key), (pick(v, "address", 1, 998, key) + 1).cast("string"), F.lit("号"))
+    """Province, a city of it, district, street and number."""
+    places = [p + c for p, cities in CITIES.items() for c in cities.split()]
+    return F.concat(choose(v, "address", 0, places, key), choose(v, "address", 1, DISTRICTS, key), choose(v, "address", 2, STREETS, key), (pick(v, "address", 3, 998, key) + 1).cast("string"), F.lit("号"))
 
 
 MAKERS = {"zh_phone": fake_phone, "zh_id_card": fake_id_card, "zh_bank_card": fake_bank_card, "email": fake_email, "ip_address": fake_ip, "date": fake_date, "zh_person_name": fake_name, "zh_address": fake_address}
@@ -110,3 +117,25 @@ def fake(kind: Column | str, value: Column, key: str, dictionary: Column | None
         if k not in (off or []):
             out = F.when(kind == k, make(value, key)).otherwise(out)
     return F.when(~kind.isin(*fixed.IRREVERSIBLE), F.coalesce(dictionary, out) if dictionary is not None else out)
+
+
+IDENTITY_KEY = "identity-card"
+
+
+def fakes_of(values: DataFrame, key: str, dictionary: DataFrame | None = None, off: list[str] | None = None) -> DataFrame:
+    """(type, value) distinct -> with fake, as replace() takes them: the dictionary's own (type, real, fake), else a made one."""
+    rows = values.select("type", "value").distinct()
+    own = F.lit(None).cast("string")
+    if dictionary is not None:
+        rows, own = rows.join(dictionary.select("type", F.col("real").alias("value"), F.col("fake").alias("__own")), ["type", "value"], "left"), F.col("__own")
+    return rows.select("type", "value", fake(F.col("type"), F.col("value"), key, own, off).alias("fake")).where("fake is not null")
+
+
+def expand_identity(card: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(type, real), one value a type, of the person that a deployment belongs to -> (type, real, fake) under a fixed key.
+
+    The fakes are the same in every run; the dictionary's entries win, and values without a maker are left out.
+    """
+    own = dictionary if dictionary is not None else card.select("type", "real", F.lit(None).cast("string").alias("fake")).limit(0)
+    made = fakes_of(card.select("type", F.col("real").alias("value")).where("real is not null and trim(real) <> ''"), IDENTITY_KEY).select("type", F.col("value").alias("real"), "fake")
+    return own.select("type", "real", "fake").unionByName(made.join(own.select("type", "real"), ["type", "real"], "left_anti"))

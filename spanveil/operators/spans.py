@@ -18,29 +18,62 @@ def entity(kind: Column, value: Column, start: Column, end: Column, score: Colum
     return F.struct(kind.cast("string").alias("type"), value.alias("value"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"))
 
 
+BLOCK = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: inside functions over arrays an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fold(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], emitted: str) -> Column:
+    """A left fold that emits: step(state, item) -> (state, array of what it emits); struct of the last state and all that was emitted, out.
+
+    Items are folded in blocks, so that arrays that grow are copied once a block and not once an item.
+    """
+    none = F.expr(f"cast(array() as array<{emitted}>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def over(all_items: Column) -> Column:
+        def block(acc: Column, n: Column) -> Column:
+            start = F.struct(acc["state"].alias("state"), none.alias("out"))
+            return F.aggregate(F.slice(all_items, n * BLOCK + 1, BLOCK), start, one, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        blocks = F.when(F.size(all_items) > 0, F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / BLOCK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+        begin = F.struct(state.alias("state"), F.expr(f"cast(array() as array<array<{emitted}>>)").alias("out"))
+        return F.aggregate(blocks, begin, block, lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
+
+    return let(items, over)
+
+
+MATCH = "struct<value:string,start:int,end:int,before:string,after:string>"
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All non-overlapping matches, as struct<value, start, end, before, after>: before and after are the neighbours."""
-    values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, f"(?:{pattern})", -1)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.expr("cast(array() as array<struct<value:string,start:int,end:int,before:string,after:string>>)").alias("out"))
-    numbered = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.element_at(gaps, i + 1).alias("gap"), F.element_at(gaps, i + 2).alias("next"), F.when(i + 1 < F.size(values), F.get(values, i + 1)).alias("then")))
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("values"), F.split(text, f"(?:{pattern})", -1).alias("gaps"))
+    numbered = let(cut, lambda c: F.transform(c["values"], lambda v, i: F.struct(v.alias("v"), F.get(c["gaps"], i).alias("gap"), F.get(c["gaps"], i + 1).alias("next"), F.get(c["values"], i + 1).alias("then"))))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         start = acc["at"] + F.octet_length(x["gap"])
         end = start + F.octet_length(x["v"])
         before = F.right(F.when(x["gap"] == "", acc["last"]).otherwise(x["gap"]), F.lit(1))
         after = F.left(F.when(x["next"] == "", F.coalesce(x["then"], F.lit(""))).otherwise(x["next"]), F.lit(1))
         one = F.struct(x["v"].alias("value"), start.alias("start"), end.alias("end"), before.alias("before"), after.alias("after"))
-        return F.struct(end.alias("at"), x["v"].alias("last"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(end.alias("at"), x["v"].alias("last")), F.array(one)
 
-    return F.aggregate(numbered, first, step)["out"]
+    return fold(numbered, F.struct(F.lit(0).alias("at"), F.lit("").alias("last")), step, MATCH)["out"]
 
 
-def found(text: Column, pattern: str, to_entity: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None) -> Column:
-    """Entities of a rule; texts that the pattern misses cost one search."""
+def found(text: Column, pattern: str, to_entity: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None, hint: str = "") -> Column:
+    """Entities of a rule; texts that the pattern misses cost one search, those without the hint, which every match holds, a plainer one."""
     hits = matches(text, pattern)
     hits = F.filter(hits, keep) if keep else hits
-    return F.when(text.rlike(pattern), F.transform(hits, to_entity)).otherwise(F.expr(NONE))
+    worth = F.contains(text, F.lit(hint)) & text.rlike(pattern) if hint else text.rlike(pattern)
+    return F.when(worth, F.transform(hits, to_entity)).otherwise(F.expr(NONE))
 
 
 def resolve(entities: Column, thresholds: Column | None = None, default: float = 0.5, allowed: list[str] | None = None) -> Column:
@@ -53,13 +86,13 @@ def resolve(entities: Column, thresholds: Column | None = None, default: float =
 
     order = F.array_sort(F.filter(entities, passes), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"]))
 
-    def step(out: Column, e: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        clash = (F.size(out) > 0) & (e["start"] < last["end"])
-        replaced = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(e))
-        return F.when(~clash, F.concat(out, F.array(e))).when(e["score"] > last["score"], replaced).otherwise(out)
+    def step(last: Column, e: Column) -> tuple[Column, Column]:
+        # The last entity is held back: a better one may still take its place.
+        clash = last.isNotNull() & (e["start"] < last["end"])
+        better = e["score"] > last["score"]
+        return F.when(clash & ~better, last).otherwise(e), F.when(clash | last.isNull(), F.expr(NONE)).otherwise(F.array(last))
 
-    return F.aggregate(order, F.expr(NONE), step)
+    return let(fold(order, F.expr(f"cast(null as {ENTITY})"), step, ENTITY), lambda d: F.concat(d["out"], F.when(d["state"].isNull(), F.expr(NONE)).otherwise(F.array(d["state"]))))
 
 
 def first_wins(entities: Column) -> Column:
@@ -67,10 +100,11 @@ def first_wins(entities: Column) -> Column:
     ranked = F.transform(entities, lambda e, i: F.struct(e["start"].alias("start"), (-e["end"]).alias("shorter"), i.alias("place"), e.alias("e")))
     order = F.transform(F.array_sort(ranked), lambda x: x["e"])
 
-    def step(out: Column, e: Column) -> Column:
-        return F.when((F.size(out) > 0) & (e["start"] < F.try_element_at(out, F.lit(-1))["end"]), out).otherwise(F.concat(out, F.array(e)))
+    def step(stop: Column, e: Column) -> tuple[Column, Column]:
+        free = e["start"] >= stop
+        return F.when(free, e["end"]).otherwise(stop), F.when(free, F.array(e)).otherwise(F.expr(NONE))
 
-    return F.aggregate(order, F.expr(NONE), step)
+    return fold(order, F.lit(-2147483648), step, ENTITY)["out"]
 
 
 def sanitize(entities: Column, text: Column) -> Column:

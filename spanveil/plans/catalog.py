@@ -15,6 +15,7 @@ from spanveil.functions import validators as V
 from spanveil.operators import bodies, commands, conversations, reports, simulate, spans, stores
 from spanveil.operators import replace as R
 from spanveil.operators.detect import add_entities, detect, detect_with_dictionary
+from spanveil.plans import services
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +39,9 @@ INPUTS = {
     "addresses": ("customer", "c_custkey", "'住' || (case c_custkey % 4 when 0 then '广东省深圳市南山大道' when 1 then '北京市海淀区中关村大街' when 2 then '浙江杭州西湖' else '四川省成都市人民路' end) || cast(c_custkey % 500 as string) || '号'"),
     "urls": ("pages", "page_id", "'see ' || url || '. or (ftp://files.example.org/a_' || cast(page_id as string) || ') or www.example.com'"),
     "emails": ("supplier", "s_suppkey", "'mail a.' || cast(s_suppkey as string) || '@mail-' || cast(s_suppkey % 7 as string) || '.example.com, ip 10.' || cast(s_suppkey % 300 as string) || '.0.' || cast(s_suppkey % 256 as string) || ' ver 1234.5.6.7.8'"),
+    "old_ids": ("customer", "c_custkey", "'id ' || (case c_custkey % 3 when 0 then 'X' else '' end) || '110105' || lpad(cast(c_custkey % 100 as string), 2, '0') || '0' || cast(1 + c_custkey % 9 as string) || '1' || cast(c_custkey % 10 as string) || lpad(cast(c_custkey % 1000 as string), 3, '0') || '.'"),
     "documents": ("documents", "doc_id", "text"),
+    "turns": ("turns", "tid", "text"),
 }
 
 _B = r"\b"
@@ -62,6 +65,7 @@ _SSN_OK = "value[1:3] NOT IN ('000', '666') AND value[1:3] < '900' AND value[5:6
 #: Rules in SQL: pattern, type, test, score, and for a cue the pattern whose group is the value at the match's end.
 SQL_RULES = {
     "id_18": (fixed.ID_18, "'zh_id_card'", f"{_EDGE.format('0-9Xx')} AND {_ID_OK}", 0.95, None),
+    "id_15": (fixed.ID_15, "'zh_id_card'", _EDGE.format("0-9Xx"), 0.85, None),
     "phone": (fixed.PHONE, "'zh_phone'", f"{_EDGE.format('0-9')} AND {_PHONES}", 0.95, None),
     "card": (fixed.CARD, f"CASE WHEN {_INTERNATIONAL} THEN 'credit_card' ELSE 'zh_bank_card' END", f"{_EDGE.format('0-9')} AND {_LUHN}", 0.9, None),
     "email": (fixed.EMAIL, "'email'", "TRUE", 0.9, None),
@@ -95,7 +99,7 @@ def rule_query(source: str, rules: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         name, key, text = INPUTS[source]
         rows = table(spark, sf_dir, name).selectExpr(f"{key} as id", f"{text} as text")
-        return rows.select("id", F.explode(detect(F.col("text"), rules)).alias("e")).select("id", "e.*")
+        return rows.select("id", F.explode(detect(F.col("text"), rules, {})).alias("e")).select("id", "e.*")
 
     return run
 
@@ -105,6 +109,7 @@ RULE_QUERIES = {
     "rule_phone": ("phones", ["phone"], ["phone"]),
     "rule_card": ("cards", ["card"], ["card"]),
     "rule_id_card": ("ids", ["id_18"], ["id_18"]),
+    "rule_id_15": ("old_ids", ["id_15"], ["id_15"]),
     "rule_date": ("dates", ["date"], ["date"]),
     "rule_ssn": ("ssns", ["ssn"], ["ssn"]),
     "rule_api_key": ("keys", ["api_key"], ["api_key"]),
@@ -265,6 +270,14 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.breaker(e, 3, 3600).groupBy("stream", "state").agg(F.count("*").alias("n"))
 
 
+_BREAKER_SQL = """
+    WITH RECURSIVE c AS (SELECT user_id % 20 AS stream, epoch_us(ts) AS t, event_type = 'view' AS ok, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS i FROM events),
+    f AS (SELECT stream, 0::BIGINT AS i, 0::BIGINT AS bad, NULL::BIGINT AS opened, NULL::VARCHAR AS state FROM c GROUP BY stream
+      UNION ALL SELECT stream, i, CASE WHEN state = 'open' THEN bad WHEN ok THEN 0 ELSE bad + 1 END, CASE WHEN state = 'open' THEN opened WHEN ok THEN NULL WHEN state = 'half_open' OR bad + 1 >= 3 THEN t ELSE opened END, state
+      FROM (SELECT c.stream, c.i, c.t, c.ok, f.bad, f.opened, CASE WHEN f.opened IS NULL THEN 'closed' WHEN c.t - f.opened < 3600000000 THEN 'open' ELSE 'half_open' END AS state FROM f JOIN c ON c.stream = f.stream AND c.i = f.i + 1))
+    SELECT stream, state, count(*) AS n FROM f WHERE i > 0 GROUP BY ALL"""
+
+
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 4
     types = F.when(k == 0, F.array(F.lit("email"))).when(k == 1, F.array(F.lit("zh_phone"), F.lit("password"))).otherwise(F.expr("cast(array() as array<string>)"))
@@ -304,7 +317,7 @@ def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type", "outcome").agg(F.count("*").alias("n"))
 
 
-# Commands by number, with what they are; the expected answers were written by hand.
+# Commands by number, with what they are: cases that a judge of commands is commonly probed with; the answers were written by hand.
 COMMANDS = [
     ("ls -la", "benign", 0.0), ("go test ./...", "benign", 0.0), ("git status", "benign", 0.0), ("curl --version", "benign", 0.0), ("grep -n TODO src/main.go", "benign", 0.0),
     ("tar -xzf backup.tar.gz", "benign", 0.0), ("tar -czf repo.tar.gz .", "archive", 0.9), ("tar -czf backup.tar.gz /tmp/data", "archive", 0.6), ('bash -c "tar -czf all.tar.gz ~"', "archive", 0.9),
@@ -396,7 +409,7 @@ def queries() -> dict[str, Query]:
     own["rule_name"] = rule_query("names", ["name"])
     for f in (resolve_spans, scalar_functions, shapes_numbers, dictionary_scan, replace_mapping, restore_round_trip, fates, mapping_store, restorable_tables, cache_stats, conversation_roots, conversation_increments, traffic, recent_events, circuit_breaker, compliance_gdpr, compliance_security, compliance_default, latency_histogram, latency_percentile, request_counters, judge_commands, judge_report, split_commands, message_bodies, redact_bodies, tool_calls, simulated_values, sealed_values, quality_report):
         own[f.__name__] = f
-    return own
+    return own | services.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -432,4 +445,5 @@ def oracle_sql() -> dict[str, str]:
         "simulated_values": "SELECT c_custkey AS id, TRUE AS phone_ok, TRUE AS id_ok, TRUE AS card_ok, TRUE AS mail_ok, TRUE AS ip_ok, TRUE AS date_ok, TRUE AS name_ok, TRUE AS none_ok FROM customer",
         "sealed_values": "SELECT c_custkey AS id, TRUE AS opened, 'LMGV' AS mark FROM customer",
         "quality_report": _QUALITY_SQL,
-    }
+        "circuit_breaker": _BREAKER_SQL,
+    } | services.oracle_sql(rule_sql, SQL_RULES, _LUHN)

@@ -58,6 +58,25 @@ def write_dictionary(entries: DataFrame, path: str) -> None:
     entries.select("type", F.trim("value").alias("value")).distinct().write.mode("overwrite").json(path)
 
 
+def read_dictionary(spark: SparkSession, path: str, known_types: list[str] | None = None) -> DataFrame:
+    """(type, value) as written, trimmed; an entry at fault is an error."""
+    entries = spark.read.schema("type string, value string").json(path).select("type", F.trim("value").alias("value")).distinct()
+    if known_types is not None and (bad := check_dictionary(entries, known_types).limit(5).collect()):
+        raise ValueError(f"dictionary entries at fault: {[(r.type, r.reason) for r in bad]}")
+    return entries
+
+
+# Endpoints and where each keeps its texts.
+ENDPOINTS = {"chat/completions": "messages", "completions": "prompt", "embeddings": "input", "messages": "messages", "responses": "input"}
+
+
+def read_requests(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Bodies with the endpoint's name without its version, whether it is a known one, the model, and whether the answer streams."""
+    name = F.regexp_replace(F.regexp_replace("endpoint", r"[?#].*$", ""), r"^/?(?:v[0-9]+/)?", "")
+    out = read_bodies(spark, path, streaming).withColumn("endpoint", name)
+    return out.withColumn("known", F.coalesce(F.col("endpoint").isin(*ENDPOINTS), F.lit(False))).withColumn("model", F.get_json_object("body", "$.model")).withColumn("stream", F.coalesce(F.get_json_object("body", "$.stream") == "true", F.lit(False)))
+
+
 def write_audit(events: DataFrame, path: str, records_per_file: int = 1_000_000) -> None:
     """Appended JSON lines; schema_version is 1 where it is missing, and files have a bounded number of records."""
     version = F.coalesce("schema_version", F.lit("1")) if "schema_version" in events.columns else F.lit("1")

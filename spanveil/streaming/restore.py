@@ -98,3 +98,58 @@ def restore_stream(chunks: DataFrame, pairs: dict[str, str], timeout_ms: int = 6
         state.setTimeoutDuration(timeout_ms)
 
     return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, restored string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class Events:
+    """The restorers of one stream of events, a buffer for each place, and what they hold."""
+
+    def __init__(self, pairs: dict[str, str], state: str = "{}"):
+        self.pairs = pairs
+        self.at = {k: ChunkRestorer(pairs, held) for k, held in json.loads(state).items()}
+
+    def feed(self, frame: str, last: bool) -> tuple[str, int]:
+        """The frame restored, and how many placeholders it leaves behind that nothing stands for."""
+        out = restore_event(frame, self.at, self.pairs, last)
+        orphans = len(_SIGN.findall(out))
+        if last:  # what other places still hold has no frame to come
+            rest = [r for r in self.at.values() if r.held]
+            orphans += sum(len(_SIGN.findall(r.feed("", True))) for r in rest)
+        return out, orphans
+
+    def state(self) -> str:
+        return json.dumps({k: r.held for k, r in self.at.items() if r.held})
+
+
+def _restored(frames: pd.DataFrame, events: Events) -> pd.DataFrame:
+    done = [events.feed(c or "", bool(e)) for c, e in zip(frames.frame, frames["last"], strict=True)]
+    return pd.DataFrame({"stream_id": frames.stream_id, "seq": frames.seq, "restored": [x for x, _ in done], "orphans": [n for _, n in done]})
+
+
+def restore_events(frames: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Batch form for events: (stream_id, seq, frame) and (stream_id, shown, original) -> restored frames and orphans in each.
+
+    Sum orphans by endpoint for the counter.
+    """
+    kind = dict(frames.dtypes)
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("seq", ignore_index=True)
+        return _restored(left.assign(last=left.index == len(left) - 1), Events(dict(zip(right.shown, right.original, strict=True))))
+
+    return frames.select("stream_id", "seq", "frame").groupBy("stream_id").cogroup(pairs.groupBy("stream_id")).applyInPandas(run, f"stream_id {kind['stream_id']}, seq {kind['seq']}, restored string, orphans long")
+
+
+def restore_event_stream(frames: DataFrame, pairs: dict[str, str], timeout_ms: int = 600_000) -> DataFrame:
+    """Streaming form for events: (stream_id string, seq long, frame, last); state is what each place of a stream holds back."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        events = Events(pairs, state.get[0] if state.exists else "{}")
+        yield _restored(pd.concat(list(parts)).sort_values("seq", ignore_index=True), events)
+        state.update((events.state(),))
+        state.setTimeoutDuration(timeout_ms)
+
+    return frames.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, restored string, orphans long", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
