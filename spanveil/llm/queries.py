@@ -152,5 +152,32 @@ _CHAT_SQL = f"""
     FROM t GROUP BY conv_id"""
 
 
+_IN_ORDER = "source IS NULL, source"
+_BLOCK = "CASE " + " ".join(f"WHEN total <= {n * 65536} THEN {n}" for n in (16, 32, 64, 128, 256, 512, 1024, 2048)) + f" ELSE {mixing.BLOCKS[1]} END"
+_MIX_SQL = f"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy FROM d),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM n GROUP BY source),
+    r AS (SELECT *, CAST([1, 2, 3][(row_number() OVER (ORDER BY {_IN_ORDER}) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * {mixing.PASSES}::DOUBLE AS lim FROM s),
+    l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, {_IN_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY lim / weight, {_IN_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+    t AS (SELECT source, source_size, coalesce(least(lim, weight * (SELECT level FROM l WHERE lim >= level * weight ORDER BY lim / weight, level LIMIT 1)), lim) AS target FROM l),
+    b AS (SELECT *, greatest(1, least({_BLOCK}, CAST(floor(least(target, source_size) / {mixing.SHARES}) AS BIGINT))) AS words FROM t, (SELECT sum(source_size) AS total FROM t) WHERE source_size > 0),
+    c AS (SELECT *, CAST(ceil(source_size / words) AS BIGINT) AS blocks, CAST(floor(target / source_size) AS BIGINT) AS whole FROM b),
+    k AS (SELECT source, words, blocks, least(blocks * {mixing.PASSES}, whole * blocks + least(blocks, CAST(floor((target - whole * source_size) / words + 0.5) AS BIGINT))) AS slots FROM c),
+    o AS (SELECT *, sum(slots) OVER (ORDER BY {_IN_ORDER}) AS near, sum(slots) OVER () AS every FROM k WHERE slots > 0),
+    ring AS (SELECT *, floor(CAST(near - slots AS DOUBLE) / every * {mixing.RING}) AS lo, floor(CAST(near AS DOUBLE) / every * {mixing.RING}) AS hi FROM o),
+    points AS (SELECT i AS slot, i % {mixing.RING} * {mixing.STEP} % {mixing.RING} AS point FROM (SELECT unnest(range((SELECT CAST(max(every) AS BIGINT) FROM o))) AS i)),
+    ranks AS (SELECT source, blocks, slots, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN ring ON point >= lo AND point < hi),
+    got AS (SELECT o.source, o.blocks, o.slots, count(ranks.rank) AS had FROM o LEFT JOIN ranks ON o.source IS NOT DISTINCT FROM ranks.source GROUP BY ALL),
+    used AS (SELECT source, blocks, rank FROM ranks WHERE rank < slots UNION ALL SELECT source, blocks, unnest(range(had, slots)) FROM got WHERE had < slots),
+    times AS (SELECT source, rank % blocks AS block, count(*) AS times FROM used GROUP BY ALL),
+    h AS (SELECT *, md5(concat_ws(':', '0', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR), CAST(copy AS VARCHAR))) AS h FROM n WHERE size > 0),
+    placed AS (SELECT h.*, words, CAST(coalesce(sum(size) OVER (PARTITION BY h.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h JOIN k ON h.source IS NOT DISTINCT FROM k.source),
+    parts AS (SELECT doc_id, source, size, copy, words, start, unnest(range(start // words, (start + size - 1) // words + 1)) AS block FROM placed),
+    taken AS (SELECT doc_id, parts.source, size, copy, sum((least(start + size, (parts.block + 1) * words) - greatest(start, parts.block * words)) * times) AS taken FROM parts JOIN times ON parts.source IS NOT DISTINCT FROM times.source AND parts.block = times.block GROUP BY ALL)
+    SELECT n.doc_id, n.source, n.size, t.source_size, t.target, CAST(coalesce(taken.taken, 0) AS BIGINT) AS taken FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+    LEFT JOIN taken ON n.doc_id IS NOT DISTINCT FROM taken.doc_id AND n.source IS NOT DISTINCT FROM taken.source AND n.size = taken.size AND n.copy = taken.copy"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": _EMBEDDING_SQL, "op2_license_scan": _license_sql(), "op4_ngram_jaccard": _JACCARD_SQL, "op9_chat_format": _CHAT_SQL}
+    return {"op1_embedding_near_dedup": _EMBEDDING_SQL, "op2_license_scan": _license_sql(), "op4_ngram_jaccard": _JACCARD_SQL, "op8_source_mixing": _MIX_SQL, "op9_chat_format": _CHAT_SQL}
