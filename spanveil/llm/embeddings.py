@@ -23,7 +23,7 @@ from spanveil.llm.runtime import materialize
 THRESHOLD = 0.93
 CELL = 3000
 MAX_PIVOTS = 4096
-BLOCK = 2000
+BLOCK = 4000
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -37,7 +37,7 @@ def _place(pivots, reach: float):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for label, part in frame.groupby("label", sort=False):
-                p = pivots.value.get(int(label))
+                p = pivots.value.get(label)
                 if p is None:
                     yield part.assign(cell=0, home=True)
                     continue
@@ -120,30 +120,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
     Only vectors with equal labels are compared. A vector that is null, zero, or holds null or non-finite components, and
     one without a label, links with nothing. Vectors of another length than most link with nothing of that length: they
     are compared among themselves. Rows that agree in all three columns are one vector; a vec_id with several vectors
-    gives a row for each. An empty table gives no rows.
+    gives a row for each. vec_id and label may be of any type that has an order; other columns are left out. An empty
+    table gives no rows. Vectors are told apart by their components, never by a hash. A cell over `block` vectors is sent
+    to each pair of its blocks; in high dimensions, where pivots prune little, the cost is quadratic in a label's vectors.
     """
     spark = vectors.sparkSession
-    rows = materialize(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("label")).distinct())
+    rows = materialize(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label")).distinct())
     good = F.col("vector").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     sound = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = good & F.coalesce(sound, F.lit(False)) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
-    # Vectors of one length and label are compared; both go into the group's number.
-    named = rows.where(usable).withColumn("group", F.xxhash64("label", F.size("vector")))
-    merged = materialize(named.groupBy("group", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
-    # A row id of its own for each merged vector: its least vec_id may stand for several vectors.
-    merged = merged.withColumn("key", F.xxhash64("group", "vector"))
+    # Vectors of one length and label are compared; both go into the group's name.
+    group = F.concat("label", F.lit(":"), F.size("vector").cast("string"))
+    merged = rows.where(usable).groupBy(group.alias("group"), "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    # A number of its own for each distinct vector, given as it is written: its least vec_id may stand for several vectors.
+    merged = materialize(merged.withColumn("key", F.monotonically_increasing_id()))
     sizes = merged.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > cell)
     large = sizes.agg(F.sum("n").alias("n")).head().n or 0
     share = min(1.0 / cell, max_pivots / large) if large else 0.0
-    picked = merged.join(sizes, "group", "left_semi").where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    pivots: dict[int, list] = {}
-    for r in picked.select("group", "key", "vector").orderBy("group", "key").limit(2 * max_pivots).collect():
+    drawn = F.xxhash64(F.lit(5), "group", "vector")
+    picked = merged.join(sizes, "group", "left_semi").where(F.pmod(drawn, F.lit(1 << 30)) < int(share * (1 << 30)))
+    pivots: dict[str, list] = {}
+    for r in picked.select("group", drawn.alias("h"), "vector").orderBy("group", "h").limit(2 * max_pivots).collect():
         v = np.array(r.vector)
         pivots.setdefault(r.group, []).append(v / np.linalg.norm(v))
     known = spark.sparkContext.broadcast({k: np.stack(v) for k, v in pivots.items()})
     reach = 2 * float(np.sqrt(2 - 2 * threshold)) + 1e-9
     source = merged.select(F.col("group").alias("label"), F.col("key").alias("vec_id"), "copies", "vector")
-    placed = materialize(source.mapInPandas(_place(known, reach), "label long, vec_id long, copies long, vector array<double>, cell int, home boolean"))
+    placed = materialize(source.mapInPandas(_place(known, reach), "label string, vec_id long, copies long, vector array<double>, cell int, home boolean"))
     counts = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / block).cast("int").alias("homes"), F.ceil(F.count(F.when(~F.col("home"), 1)) / block).cast("int").alias("guests"))
     chunk = F.when(F.col("home"), F.pmod(F.xxhash64("vec_id"), F.greatest("homes", F.lit(1)))).otherwise(F.pmod(F.xxhash64("vec_id"), F.greatest("guests", F.lit(1))))
     dealt = placed.join(counts, ["label", "cell"]).withColumn("chunk", chunk.cast("int"))
@@ -166,7 +169,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
     each = merged.join(links.withColumnRenamed("vec_id", "key"), "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     each = each.select("group", "key", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"))
     least = each.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    each = materialize(each.join(least, "root").select("key", "n_links", "component_id"))
-    keyed = rows.withColumn("key", F.when(usable, F.xxhash64(F.xxhash64("label", F.size("vector")), "vector")))
-    out = keyed.join(each, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    each = materialize(each.join(least, "root").select("key", "n_links", "component_id").join(merged.select("key", F.col("group").alias("g"), F.col("vector").alias("v")), "key"))
+    same = (F.col("h") == F.xxhash64("g", "v")) & (F.col("group") == F.col("g")) & (F.col("vector") == F.col("v"))
+    keyed = rows.withColumn("group", F.when(usable, group)).withColumn("h", F.when(usable, F.xxhash64("group", "vector")))
+    out = keyed.join(each, same, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -168,6 +168,11 @@ def test_embeddings(spark):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, **options).collect()}
         assert got == {r[0]: (n[r[0]], comp[r[0]], comp[r[0]] == r[0]) for r in rows}
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+    named = df.select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("vec_id"), "embedding", F.concat(F.lit("l:"), F.col("label").cast("string")).alias("label"), F.lit(1).alias("key"), F.lit(2).alias("group"), F.lit(3).alias("cell"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(named.union(named)).collect()}
+    assert got == {f"v{r[0]:03}": (n[r[0]], f"v{comp[r[0]]:03}") for r in rows}
+    again = embeddings.near_duplicates(df.union(df.where("vec_id = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))).where("vec_id = 0").collect()
+    assert len(again) == 2  # a vec_id with two vectors
 
 
 def test_licences(spark):
