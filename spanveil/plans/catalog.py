@@ -248,7 +248,7 @@ def conversation_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", conversations.segment_hash(F.col("text")).alias("h")))), lambda x: x["h"]).alias("hs"))
-    grown = turns.select("conv_id", "hs", F.explode(F.sequence(F.lit(1), F.size("hs"))).alias("version"))
+    grown = turns.select("conv_id", "hs", F.explode(F.array(F.size("hs") - 1, F.size("hs"))).alias("version")).where("version > 0")
     return conversations.incremental(grown.select("conv_id", "version", F.slice("hs", F.lit(1), F.col("version")).alias("hashes"))).select("conv_id", "version", "reused", "scanned")
 
 
@@ -330,9 +330,9 @@ COMMANDS = [
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(COMMANDS)], "k int, line string")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % len(COMMANDS)).cast("int").alias("k"))
-    return rows.join(F.broadcast(commands.judge(listed, [".trusted.example.com", "trusted.example.com"])), "k")
+    k = (F.col("o_orderkey") % len(COMMANDS)).cast("int")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.element_at(F.array(*[F.lit(c) for c, _, _ in COMMANDS]), k + 1).alias("line"))
+    return commands.judge(rows, [".trusted.example.com", "trusted.example.com"])
 
 
 def judge_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,9 +367,8 @@ def message_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON bodies redacted and restored: text fields change, others stay."""
     o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.format_string('{"model":"m@x.com","n":1.50,"messages":[{"role":"user","content":"write to u%s@x.com"},{"type":"image","data":"q@x.com"}],"tools":[{"name":"t","arguments":"{\\"cmd\\":\\"ping u%s@x.com\\"}"}]}', F.col("c_custkey"), F.col("c_custkey")).alias("body"))
-    texts = bodies.explode_texts(o).withColumn("entities", detect(F.col("text"), ["email"]))
-    replaced, _ = R.replace(texts)
-    return bodies.collect_texts(o, replaced).select("request_id", "rewritten", "changed")
+    out, _ = bodies.redact(o, everything=False, rules=["email"])
+    return out.select("request_id", "rewritten", "changed")
 
 
 _BODIES_SQL = r"""SELECT c_custkey AS request_id, '{"model":"m@x.com","n":1.50,"messages":[{"role":"user","content":"write to <<email_1>>"},{"type":"image","data":"q@x.com"}],"tools":[{"name":"t","arguments":"{\"cmd\":\"ping <<email_1>>\"}"}]}' AS rewritten, TRUE AS changed FROM customer"""
@@ -427,7 +426,7 @@ def oracle_sql() -> dict[str, str]:
         "restorable_tables": "SELECT event_id FROM events WHERE event_id % 3 = 0 AND ts + INTERVAL 30 MINUTE >= TIMESTAMP '2024-01-10 00:00:00'",
         "cache_stats": "SELECT CAST(sum(n - 1) AS BIGINT) AS hits, count(*) AS misses, count(*) AS size FROM (SELECT conv_id, sha256(text), count(*) AS n FROM conversations GROUP BY 1, 2)",
         "conversation_roots": "SELECT conv_id, count(*) AS segments, sha256(unhex(string_agg(sha256(coalesce(text, '')), '' ORDER BY turn))) AS root FROM conversations GROUP BY conv_id",
-        "conversation_increments": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS version, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS reused, 1::BIGINT AS scanned FROM conversations",
+        "conversation_increments": "WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(n - 1 AS INT) AS version, 0::BIGINT AS reused, n - 1 AS scanned FROM n WHERE n > 1 UNION ALL SELECT conv_id, CAST(n AS INT), n - 1, 1::BIGINT FROM n",
         "traffic": _TRAFFIC_SQL,
         "recent_events": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 75",
         "compliance_gdpr": f"SELECT event_id, upstream, array_to_string(types, ',') AS subject_categories, 'consent' AS lawful_basis, 'session' AS retention FROM ({_AUDIT_SQL})",
