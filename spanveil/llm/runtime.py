@@ -6,6 +6,9 @@ import ctypes
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +25,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/spanveil-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def write(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and where it lies."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it again: it cuts the lineage and survives lost executors.
+
+    The table stays for as long as the folder does, or to the end of scratch().
+    """
+    out, path = write(df)
+    if (own := _scratch.get()) is not None:
+        own.append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end; what was made from them must have been written by then."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        own = _scratch.get()
+        _scratch.reset(token)
+        for path in own:
+            delete(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table of this application; results must have been written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def parts(spark: SparkSession, df: DataFrame | None = None, each: int = 32 << 20) -> int:

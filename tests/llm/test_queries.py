@@ -56,6 +56,16 @@ def test_pipeline_stages_take_effect(spark):
     assert abs(sum(taken.values()) - sum(map(size, before.values()))) <= 0.01 * sum(map(size, before.values())) + len(taken)
 
 
+def test_pipeline_leaves_only_its_result(spark):
+    import corpus_pipeline as P
+    from spanveil.llm.runtime import shared_dir
+
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = P.run(spark, DIR)
+    assert len(set(os.listdir(folder)) - before) == 1 and out.count() > 0 and "text" in out.columns
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     """Nulls, empty and repeated rows, ties, a long text, clashing columns, and no rows at all: each stage ends with a defined result."""
     import corpus_pipeline as P
