@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.llm import decontaminate, jaccard, mixing, secrets, toxicity
-from spanveil.llm.runtime import materialize
+from spanveil.llm.runtime import delete, scratch, write
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's rows are written before the next one begins; then what the stage itself had written goes, and its input."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs, path = write(stage(spark, docs, sf_dir))
+        if before:
+            delete(spark, before)
+        before = path
     return docs
