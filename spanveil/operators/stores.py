@@ -24,6 +24,26 @@ def live(tables: DataFrame, now: Column) -> DataFrame:
     return tables.where(now <= F.col("expires_at"))
 
 
+def lookup(tables: DataFrame, request_ids: DataFrame, now: Column) -> DataFrame:
+    """The tables alive of the ids asked for; an id without one gives no row."""
+    return live(tables, now).join(request_ids.select("request_id").distinct(), "request_id", "left_semi")
+
+
+def forget(tables: DataFrame, keys: DataFrame, key: str = "request_id") -> DataFrame:
+    """Tables, or cached conversations, without those named."""
+    return tables.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def size(tables: DataFrame, now: Column) -> DataFrame:
+    """How many are alive."""
+    return live(tables, now).agg(F.count("*").alias("size"))
+
+
+def renewed(uses: DataFrame, ttl_seconds: int = 1800, key: str = "conv_id") -> DataFrame:
+    """(key, at) uses of cached entries -> the entries with the expiry that their last use gives."""
+    return uses.groupBy(key).agg(F.max("at").alias("used_at")).withColumn("expires_at", F.timestamp_micros(F.unix_micros(F.col("used_at").cast("timestamp")) + ttl_seconds * 1_000_000))
+
+
 def restorable(tables: DataFrame, now: Column, origin: str = "control") -> DataFrame:
     """Tables that the control interface may restore: its own, and not expired; all others look as if they didn't exist."""
     return live(tables, now).where(F.col("origin") == origin)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +88,25 @@ def write_audit(events: DataFrame, path: str, records_per_file: int = 1_000_000)
 def stream_audit(events: DataFrame, path: str, checkpoint: str):
     """The same as a stream."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def write_metrics(lines: DataFrame, path: str) -> None:
+    """Lines of the text format for scrapers, in one file; a line a metric and label, so they are few."""
+    lines.select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def publish(events: DataFrame, connect: Callable[[], Callable[[str], None]]) -> None:
+    """Events as JSON to subscribers: each partition connects once and sends its rows; at least once, in no order between partitions."""
+
+    def send(rows: Iterable) -> None:
+        put = None
+        for row in rows:
+            put = put or connect()
+            put(row.value)
+
+    events.select(F.to_json(F.struct(*events.columns)).alias("value")).foreachPartition(send)
+
+
+def publish_stream(events: DataFrame, connect: Callable[[], Callable[[str], None]], checkpoint: str):
+    """The same as a stream, batch by batch."""
+    return events.writeStream.foreachBatch(lambda batch, _: publish(batch, connect)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

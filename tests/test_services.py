@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import config
 from spanveil.functions import validators as V
-from spanveil.operators import backends, bodies, reports, shapes, simulate, spans
+from spanveil.operators import backends, bodies, reports, shapes, simulate, spans, stores
 from spanveil.operators import replace as R
 from spanveil.operators.detect import add_entities, detect, dictionary_table
 from spanveil.operators.spans import ENTITY
@@ -181,3 +181,36 @@ def test_restoring_needs_the_right_request(spark):
     texts = spark.createDataFrame([("r", "<<email_1>> fake@d.org <<email_2>>"), ("s", "<<email_1>> fake@d.org ***"), ("t", "<<email_1>>"), ("r", None), ("r", "<<email_1>> fake@d.org <<email_2>>")], "request_id string, text string")
     got = sorted((r.request_id, r.restored or "") for r in R.restore(texts, mapping).collect())
     assert got == [("r", ""), ("r", "a@b.org fake@d.org <<email_2>>"), ("r", "a@b.org fake@d.org <<email_2>>"), ("s", "c@d.org e@f.org ***"), ("t", "<<email_1>>")]
+
+
+def test_long_requests_are_numbered_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(R, "STRETCH", 2)
+    texts = [f"u{k % 9}@x.org and v{k}@y.org" for k in range(40)]
+    rows = spark.createDataFrame([("r", k, t) for k, t in enumerate(texts)] + [(None, 0, "a@b.org")], "request_id string, seq int, text string").withColumn("entities", detect(F.col("text"), ["email"]))
+    _, mapping = R.replace(rows)
+    got = {(r.request_id, r.original): r.placeholder for r in mapping.collect()}
+    order = list(dict.fromkeys(x for t in texts for x in re.findall(r"[a-z0-9]+@[a-z.]+", t)))
+    assert got == {("r", x): f"<<email_{i}>>" for i, x in enumerate(order, 1)} | {(None, "a@b.org"): "<<email_1>>"}
+
+
+def test_store_and_sinks(spark, tmp_path):
+    tables = spark.sql("select * from values ('a', timestamp'2024-01-01 00:10:00'), ('b', timestamp'2024-01-01 00:30:00') as t(request_id, expires_at)")
+    now = F.lit("2024-01-01 00:20:00").cast("timestamp")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "request_id string")
+    assert [r.request_id for r in stores.lookup(tables, asked, now).collect()] == ["b"] and stores.size(tables, now).head()["size"] == 1
+    assert [r.request_id for r in stores.forget(tables, asked.where("request_id = 'b'")).collect()] == ["a"]
+    uses = spark.sql("select * from values (1, timestamp'2024-01-01 00:00:00'), (1, timestamp'2024-01-01 00:05:00') as t(conv_id, at)")
+    assert str(stores.renewed(uses, 60).head().expires_at) == "2024-01-01 00:06:00"
+    out = tmp_path / "sent"
+    out.mkdir()
+
+    def connect(folder=str(out)):
+        import uuid
+
+        name = f"{folder}/{uuid.uuid4().hex}"
+        return lambda line: open(name, "a").write(line + "\n")
+
+    io.publish(asked, connect)
+    assert sorted(json.loads(x)["request_id"] for f in out.iterdir() for x in f.read_text().splitlines()) == ["a", "b", "c"]
+    io.write_metrics(reports.exposition(reports.counter(asked, "tool_calls_scanned")), str(tmp_path / "m"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "m")).collect()] == ["tool_calls_scanned 3"]
