@@ -351,6 +351,7 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
             UNION ALL SELECT 'active_streams', count(*) FROM events WHERE ts <= TIMESTAMP '2024-01-10 00:00:00' AND (event_id % 5 = 0 OR ts + INTERVAL 2 HOUR > TIMESTAMP '2024-01-10 00:00:00')""",
         "percentile_nearest": "SELECT event_type, list_sort(list(value))[greatest(1, CAST(round_even(0.95 * count(value), 0) AS BIGINT))] AS percentile FROM events WHERE value IS NOT NULL GROUP BY event_type",
         "entity_scores": _SCORES_SQL,
+        "quality_gate": f"""WITH {_LABELLED_SQL}, n AS (SELECT count(*) FILTER (p % 4 <> 0) / count(*) AS rate FROM li) SELECT figure, round(rate, 9) AS value, least, rate >= least AS passed FROM n, (VALUES ('recall', 0.7::DOUBLE), ('precision', 0.99::DOUBLE)) v(figure, least)""",
         "judge_lines": _LINES_SQL,
         "judge_categories": f"SELECT CASE WHEN id % 4 = 0 THEN 'benign' ELSE category END AS want, count(*) AS total, count(*) FILTER (category = CASE WHEN id % 4 = 0 THEN 'benign' ELSE category END) AS same, count(*) FILTER (category = 'benign') AS as_benign FROM ({_LINES_SQL}) GROUP BY 1",
         "judge_chain": _CHAIN_SQL,
