@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the mark before a sealed body, by which the format is known.
+MARK = "LMGV"
+
 
 def first_writers(puts: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
     """(request_id, created_at, ...) -> the puts that take effect: one is refused while an unexpired table of its id exists.
@@ -51,12 +54,12 @@ def restorable(tables: DataFrame, now: Column, origin: str = "control") -> DataF
 
 def seal(body: Column, key: Column) -> Column:
     """AES-GCM under the caller's key, with the store's mark before it."""
-    return F.concat(F.lit("LMGV").cast("binary"), F.aes_encrypt(body.cast("binary"), key, F.lit("GCM")))
+    return F.concat(F.lit(MARK).cast("binary"), F.aes_encrypt(body.cast("binary"), key, F.lit("GCM")))
 
 
 def unseal(blob: Column, key: Column) -> Column:
     """The body, or null where the mark is missing; a wrong key fails."""
-    return F.when(F.substring(blob, 1, 4) == F.lit("LMGV").cast("binary"), F.aes_decrypt(F.substring(blob, 5, 2_000_000_000), key, F.lit("GCM")).cast("string"))
+    return F.when(F.substring(blob, 1, len(MARK)) == F.lit(MARK).cast("binary"), F.aes_decrypt(F.substring(blob, len(MARK) + 1, 2_000_000_000), key, F.lit("GCM")).cast("string"))
 
 
 def cache_stats(requests: DataFrame, conversation: str = "conv_id", text: str = "text") -> DataFrame:
