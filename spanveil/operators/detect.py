@@ -12,7 +12,7 @@ from spanveil.functions import fixed
 from spanveil.functions import validators as V
 from spanveil.operators.shapes import add_shaped
 from spanveil.operators.tables import settled
-from spanveil.operators.spans import NONE, entity, first_wins, found, let, matches, merge, resolve
+from spanveil.operators.spans import NONE, entity, first_wins, found, let, matches, merge, resolve, worth
 
 
 def _plain(kind: str, score: float):
@@ -36,10 +36,14 @@ def _all(*tests):
     return run
 
 
-def _part(text: Column, pattern: str, own: str, to_entity) -> Column:
+def _ideographs(text: Column) -> Column:
+    return text.rlike("[一-龥]")
+
+
+def _part(text: Column, pattern: str, own: str, to_entity, hint: Column) -> Column:
     """Matches of a cue and what follows; the entity is the match's end, from where `own` begins."""
     hits = F.transform(matches(text, pattern), lambda m: F.struct(F.regexp_extract(m["value"], own, 1).alias("value"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("whole")))
-    return F.when(text.rlike(pattern), F.transform(hits, to_entity)).otherwise(F.expr(NONE))
+    return F.when(worth(text, pattern, hint), F.transform(hits, to_entity)).otherwise(F.expr(NONE))
 
 
 def _secrets(text: Column) -> Column:
@@ -51,7 +55,7 @@ def _secrets(text: Column) -> Column:
         kind = F.when(whole.contains("api_key") | whole.contains("apikey") | whole.contains("access_key"), "api_key").when(whole.contains("token"), "token").otherwise("password")
         return entity(kind, m["value"], m["end"] - F.octet_length(m["value"]), m["end"], F.lit(0.9))
 
-    return _part(text, pattern, own, make)
+    return _part(text, pattern, own, make, F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")))
 
 
 def trim_name(v: Column) -> Column:
@@ -75,8 +79,8 @@ def _names(text: Column) -> Column:
 
         return run
 
-    cued = _part(text, f"{fixed.NAME_CUE}{fixed.NAME}", f"^{fixed.NAME_CUE}({fixed.NAME})$", make(0.75, True))
-    titled = _part(text, f"{fixed.NAME}{fixed.NAME_TITLE}", f"^({fixed.NAME}){fixed.NAME_TITLE}$", make(0.7, False))
+    cued = _part(text, f"{fixed.NAME_CUE}{fixed.NAME}", f"^{fixed.NAME_CUE}({fixed.NAME})$", make(0.75, True), _ideographs(text))
+    titled = _part(text, f"{fixed.NAME}{fixed.NAME_TITLE}", f"^({fixed.NAME}){fixed.NAME_TITLE}$", make(0.7, False), _ideographs(text))
     cued, titled = (F.filter(x, lambda e: is_name(e["value"])) for x in (cued, titled))
     return let(cued, lambda known: F.concat(known, F.filter(titled, lambda e: ~F.exists(known, lambda c: (c["start"] == e["start"]) & (c["end"] == e["end"])))))
 
@@ -84,7 +88,7 @@ def _names(text: Column) -> Column:
 def _plates(text: Column) -> Column:
     def one(body: str) -> Column:
         pattern = f"{fixed.WORD}{fixed.PLATE_CUE}{body}{fixed.WORD}"
-        return _part(text, pattern, f"^{fixed.PLATE_CUE}({body})$", lambda m: entity(F.lit("plate"), m["value"], m["end"] - F.octet_length(m["value"]), m["end"], F.lit(0.75)))
+        return _part(text, pattern, f"^{fixed.PLATE_CUE}({body})$", lambda m: entity(F.lit("plate"), m["value"], m["end"] - F.octet_length(m["value"]), m["end"], F.lit(0.75)), F.contains(F.lower(text), F.lit("plate")))
 
     return F.concat(one(fixed.PLATE_EN), one(fixed.PLATE_CA))
 
@@ -100,12 +104,12 @@ RULES = {
     "phone": lambda t: found(t, fixed.PHONE, _plain("zh_phone", 0.95), _all(_DIGIT, lambda m: V.valid_phone(m["value"]))),
     "card": _cards,
     "email": lambda t: found(t, fixed.EMAIL, _plain("email", 0.9), hint="@"),
-    "ipv4": lambda t: found(t, fixed.IPV4, _plain("ip_address", 0.8), _DIGIT, hint="."),
+    "ipv4": lambda t: found(t, fixed.IPV4, _plain("ip_address", 0.8), _DIGIT, hint=t.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")),
     "date": lambda t: found(t, fixed.DATE, _plain("date", 0.7)),
-    "address": lambda t: found(t, fixed.ADDRESS, _plain("zh_address", 0.7)),
+    "address": lambda t: found(t, fixed.ADDRESS, _plain("zh_address", 0.7), hint=_ideographs(t)),
     "api_key": lambda t: found(t, fixed.WORD + fixed.API_KEY, _plain("api_key", 0.9), hint="-"),
     "jwt": lambda t: found(t, fixed.WORD + fixed.JWT, _plain("token", 0.9), hint="eyJ"),
-    "plate": lambda t: found(t, fixed.PLATE, _plain("plate", 0.85)),
+    "plate": lambda t: found(t, fixed.PLATE, _plain("plate", 0.85), hint=_ideographs(t)),
     "url": lambda t: found(t, fixed.WORD + fixed.URL, _plain("url", 0.9), lambda m: V.valid_url(m["value"]), hint="://"),
     "ssn": lambda t: found(t, f"{fixed.WORD}{fixed.SSN}{fixed.WORD}", _plain("us_ssn", 0.9), _all(_DIGIT, lambda m: V.valid_ssn(m["value"])), hint="-"),
     "key_value": _secrets,

@@ -68,12 +68,17 @@ def matches(text: Column, pattern: str) -> Column:
     return fold(numbered, F.struct(F.lit(0).alias("at"), F.lit("").alias("last")), step, MATCH)["out"]
 
 
-def found(text: Column, pattern: str, to_entity: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None, hint: str = "") -> Column:
-    """Entities of a rule; texts that the pattern misses cost one search, those without the hint, which every match holds, a plainer one."""
+def found(text: Column, pattern: str, to_entity: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None, hint: str | Column = "") -> Column:
+    """Entities of a rule; texts that the pattern misses cost one search, those without the hint, which every match holds (or a plain test that it passes), one that costs less."""
     hits = matches(text, pattern)
     hits = F.filter(hits, keep) if keep else hits
-    worth = F.contains(text, F.lit(hint)) & text.rlike(pattern) if hint else text.rlike(pattern)
-    return F.when(worth, F.transform(hits, to_entity)).otherwise(F.expr(NONE))
+    return F.when(worth(text, pattern, hint), F.transform(hits, to_entity)).otherwise(F.expr(NONE))
+
+
+def worth(text: Column, pattern: str, hint: str | Column) -> Column:
+    if isinstance(hint, str):
+        return F.contains(text, F.lit(hint)) & text.rlike(pattern) if hint else text.rlike(pattern)
+    return hint & text.rlike(pattern)
 
 
 def resolve(entities: Column, thresholds: Column | None = None, default: float = 0.5, allowed: list[str] | None = None) -> Column:
