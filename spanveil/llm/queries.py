@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import chat, decontaminate, embeddings, jaccard, licenses, lm, mixing, secrets, tokencount, toxicity
+from spanveil.llm import chat, decontaminate, embeddings, interactions, jaccard, licenses, lm, mixing, repeats, secrets, sentencepieces, tokencount, toxicity
 from spanveil.llm.runtime import in_fold
 
 
@@ -89,10 +89,49 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text, and the text of the ids."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = sentencepieces.decode(sentencepieces.encode(table(spark, sf_dir, "documents"), model), model)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter interaction audit: five filters in all orders."""
+    failures = interactions.text_failures(table(spark, sf_dir, "documents"))
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    out = interactions.audit(failures.join(marks, "doc_id", "left"), list("ABCDE"), ["good", "toxic"])
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents, where every tenth by crc32(doc_id) repeats a stretch of its words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    at = words.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    cut = at.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    whole = F.concat_ws(" ", F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), again), F.lit(1), F.col("n")))
+    return cut.select("doc_id", F.when(F.col("n") > 0, whole).otherwise(F.col("text")).alias("text"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words, and texts without them."""
+    found = repeats.find_runs(planted(table(spark, sf_dir, "documents")))
+    said = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), repeats.strongest("runs").alias("best"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": op1, "op2_license_scan": op2, "op3_secret_scan": op3, "op4_ngram_jaccard": op4, "op5_benchmark_decontamination": op5,
         "op6_token_counts": op6, "op7_toxicity": op7, "op8_source_mixing": op8, "op9_chat_format": op9, "op10_lm_score": op10,
+        "op11_sentencepiece": op11, "op12_filter_interactions": op12, "op13_periodic_runs": op13,
     }
 
 
@@ -179,5 +218,23 @@ _MIX_SQL = f"""
     LEFT JOIN taken ON n.doc_id IS NOT DISTINCT FROM taken.doc_id AND n.source IS NOT DISTINCT FROM taken.source AND n.size = taken.size AND n.copy = taken.copy"""
 
 
+_AUDIT_SQL = """
+    WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    same AS (SELECT text, min(doc_id) AS least FROM w GROUP BY text),
+    marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+          100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > least, false) AS e
+          FROM w JOIN same USING (text) LEFT JOIN marks USING (doc_id)),
+    g AS (SELECT part, [a, b, c, d, e] AS fails, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+    k AS (SELECT unnest(range(1, 6)) AS k),
+    orders AS (SELECT [v.k, w.k, x.k, y.k, z.k] AS o FROM k v JOIN k w ON w.k <> v.k JOIN k x ON x.k NOT IN (v.k, w.k) JOIN k y ON y.k NOT IN (v.k, w.k, x.k) JOIN k z ON z.k NOT IN (v.k, w.k, x.k, y.k)),
+    steps AS (SELECT o, array_to_string(list_transform(o, lambda i: chr(CAST(64 + i AS INTEGER))), '') AS filter_order, k AS step, o[k] AS f, o[1:k - 1] AS earlier FROM orders, k),
+    f AS (SELECT part, filter_order, step, f, n, fails, good, toxic, len(list_filter(earlier, lambda i: fails[i])) = 0 AS here, fails[f] AS own, len(list_filter(fails, lambda x: x)) = 1 AS once FROM g, steps),
+    r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, f, CAST(coalesce(sum(n) FILTER (here AND NOT own), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (here AND own), 0) AS BIGINT) AS removed,
+          CAST(coalesce(sum(n) FILTER (own AND NOT here), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (own AND once), 0) AS BIGINT) AS unique_fails,
+          CAST(coalesce(sum(n) FILTER (here AND own AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (here AND own AND toxic), 0) AS BIGINT) AS toxic_lost FROM f GROUP BY ALL)
+    SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": _EMBEDDING_SQL, "op2_license_scan": _license_sql(), "op4_ngram_jaccard": _JACCARD_SQL, "op8_source_mixing": _MIX_SQL, "op9_chat_format": _CHAT_SQL}
+    return {"op12_filter_interactions": _AUDIT_SQL, "op1_embedding_near_dedup": _EMBEDDING_SQL, "op2_license_scan": _license_sql(), "op4_ngram_jaccard": _JACCARD_SQL, "op8_source_mixing": _MIX_SQL, "op9_chat_format": _CHAT_SQL}

@@ -34,7 +34,7 @@ BLANK = "▁"
 NORMAL, USER_DEFINED, UNUSED, BPE = 1, 4, 5, 2
 
 
-def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+def read_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of the fields of a protocol buffer message."""
     at = 0
 
@@ -63,18 +63,18 @@ def read_model(data: bytes) -> dict[str, float]:
     """Piece -> score, of a BPE model with byte fallback that leaves texts as they are but for a blank before them."""
     scores: dict[str, float] = {}
     trainer, normalizer = {}, {}
-    for number, value in _fields(data):
+    for number, value in read_fields(data):
         if number == 1:
-            piece = dict(_fields(value))
+            piece = dict(read_fields(value))
             kind = piece.get(3, NORMAL)
             if kind == NORMAL:
                 scores[piece[1].decode()] = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
             elif kind in (USER_DEFINED, UNUSED):
                 raise ValueError("pieces defined by the user, or unused, aren't compiled")
         elif number == 2:
-            trainer = dict(_fields(value))
+            trainer = dict(read_fields(value))
         elif number == 3:
-            normalizer = dict(_fields(value))
+            normalizer = dict(read_fields(value))
     if trainer.get(3) != BPE or not trainer.get(35):
         raise ValueError("only BPE models with byte fallback are compiled")
     if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24):
