@@ -1,19 +1,22 @@
 """JSON bodies: which strings are text, taking them out with their paths, and putting them back.
 
 One Arrow function walks a body to (path, text) rows, detection and replacement then work on plain columns, and another
-writes the replaced texts back. Numbers are kept as they are written.
+writes the replaced texts back into the body as it was written.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanveil.functions.jsontext import Tape, plain, same
+from spanveil.operators.tables import settled
+
 # Keys and block types that decide what is text.
 TEXT_KEYS = frozenset("content text input prompt system instructions output_text".split())
 TEXT_BLOCKS = frozenset("tool_use tool_result server_tool_use mcp_tool_use mcp_tool_result function_call function_call_output custom_tool_call custom_tool_call_output computer_call local_shell_call shell_call web_search_call apply_patch_call file_search_call code_interpreter_call program message".split())
@@ -26,108 +29,137 @@ PRESERVED = ("file_path", "path")
 FILE_TOOLS = ("read", "write", "edit", "multiedit", "notebookedit")
 
 
-class Number(str):
-    """A number as it is written."""
-
-
-def parse(body: str):
-    return json.loads(body, parse_int=Number, parse_float=Number)
-
+def opaque(tape: Tape, i: int) -> bool:
+    """Whether a value is looked at by nothing: by its key, as data in a string, or as a block that isn't text."""
+    if tape.key[i] in OPAQUE_KEYS:
+        return True
+    kind, said = tape.kind[i], tape.string[i]
+    return said is not None and (kind == '"' and said.startswith(DATA_URLS) or kind == "{" and said in OPAQUE_BLOCKS)
 
-def dump(value) -> str:
-    if isinstance(value, Number):
-        return str(value)
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{dump(v)}" for k, v in value.items()) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(dump, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
 
+@dataclass
+class Text:
+    """A string that is text; one that holds JSON under `arguments` holds texts of its own."""
 
-def opaque(key: str, value) -> bool:
-    if key in OPAQUE_KEYS or isinstance(value, str) and not isinstance(value, Number) and value.startswith(DATA_URLS):
-        return True
-    return isinstance(value, dict) and isinstance(value.get("type"), str) and value["type"] in OPAQUE_BLOCKS
+    at: int
+    inner: tuple[Tape, list[Text]] | None = None
 
 
-def walk(value, visit: Callable[[str, str], str], everything: bool = False, path: str = "$", text: bool = False, skip: tuple[str, ...] = ()):
-    """value with visit(path, string) in place of every string that is text.
+def texts_of(tape: Tape, everything: bool = False, skip: tuple[str, ...] = (), text: bool = False) -> list[Text]:
+    """The strings of a body that are text, in order.
 
     everything: all strings are, as for documents handed in to be redacted; else those under text keys or text blocks.
     arguments hold JSON in a string: it is walked as text and written back as a string; other strings there stay.
     """
-    if opaque("", value):
-        return value
-    if isinstance(value, dict):
-        inside = text or value.get("type") in TEXT_BLOCKS if isinstance(value.get("type"), str) else text
-        out = {}
-        for k, v in value.items():
-            here = f"{path}.{k}"
-            if k in skip or opaque(k, v):
-                out[k] = v
-            elif k == "arguments" and isinstance(v, str) and not isinstance(v, Number):
-                try:
-                    inner = parse(v)
-                except ValueError:
-                    out[k] = visit(here, v) if everything else v
-                else:
-                    out[k] = dump(walk(inner, visit, everything, f"{here}!", True, skip))
+    out: list[Text] = []
+    flag = [False] * len(tape.kind)  # of objects and lists: whether they stand in a text
+    i = 0
+    while i < len(flag):
+        up, key, kind, said = tape.up[i], tape.key[i], tape.kind[i], tape.string[i]
+        inside = text if up < 0 else flag[up] or key in TEXT_KEYS or key == "arguments"
+        if key in skip or opaque(tape, i):
+            i = tape.last[i]
+            continue
+        if kind == "{":
+            flag[i] = inside or said in TEXT_BLOCKS
+        elif kind == "[":
+            flag[i] = inside
+        elif kind == '"' and key == "arguments":
+            try:
+                inner = Tape(said)
+            except ValueError:
+                out += [Text(i)] * everything
             else:
-                out[k] = walk(v, visit, everything, here, inside or k in TEXT_KEYS or k == "arguments", skip)
-        return out
-    if isinstance(value, list):
-        return [walk(v, visit, everything, f"{path}[{i}]", text, skip) for i, v in enumerate(value)]
-    if isinstance(value, str) and not isinstance(value, Number) and (text or everything):
-        return visit(path, value)
-    return value
-
-
-def texts_in(body: str | None, everything: bool = False, skip: tuple[str, ...] = ()) -> list[tuple[str, str]]:
-    """(path, text) of a body; a body that isn't JSON, or is nested too deeply to walk, is one text."""
-    out: list[tuple[str, str]] = []
+                out.append(Text(i, (inner, texts_of(inner, everything, skip, True))))
+        elif kind == '"' and (inside or everything):
+            out.append(Text(i))
+        i += 1
+    return out
+
+
+def _listed(tape: Tape, texts: list[Text], before: str = "", call: int | None = None) -> Iterator[tuple[str, str, int | None]]:
+    for n, t in enumerate(texts):
+        path = before + (tape.path(t.at) if not before else tape.path(t.at)[1:])
+        if t.inner:
+            yield from _listed(*t.inner, f"{path}!", n if call is None else call)
+        else:
+            yield path, plain(tape.string[t.at]), call
+
+
+def texts_in(body: str | None, everything: bool = False, skip: tuple[str, ...] = ()) -> list[tuple[str, str, int | None]]:
+    """(path, text, number of the `arguments` it stands in) of a body; a body that isn't JSON is one text."""
     if body is None:
-        return out
+        return []
     try:
-        walk(parse(body), lambda p, s: out.append((p, s)) or s, everything, skip=skip)
-    except (ValueError, RecursionError):
-        return [("", body)]
-    return out
+        tape = Tape(body)
+    except ValueError:
+        return [("", body, None)]
+    return list(_listed(tape, texts_of(tape, everything, skip)))
+
+
+def _filled(tape: Tape, texts: list[Text], new: Iterator[str]) -> str:
+    def exchanged() -> Iterator[tuple[int, str]]:
+        for t in texts:
+            was = tape.string[t.at]
+            if t.inner:
+                yield t.at, _filled(*t.inner, new)
+            else:
+                now = next(new)
+                yield t.at, was if now is None or now == plain(was) else now
 
+    return tape.splice(exchanged())
 
-def _tools(value) -> Iterator[dict]:
-    if isinstance(value, dict):
-        if not opaque("", value):
-            given = value.get("arguments", value.get("input") if value.get("type") in TOOL_BLOCKS else None)
-            if isinstance(value.get("name"), str) and given is not None:
-                if isinstance(given, str):
-                    try:
-                        given = parse(given)
-                    except ValueError:
-                        given = {}
-                yield {"tool": value["name"], "command": command_of(given)}
-            for k, v in value.items():
-                if not opaque(k, v):
-                    yield from _tools(v)
-    elif isinstance(value, list):
-        for v in value:
-            yield from _tools(v)
-
-
-def command_of(given) -> str:
-    """The first of the command keys that holds a text or a list of texts."""
-    for k in COMMAND_KEYS if isinstance(given, dict) else ():
-        v = given.get(k)
-        if isinstance(v, list) and v and all(isinstance(x, str) for x in v):
-            v = " ".join(v)
-        if isinstance(v, str) and v and not isinstance(v, Number):
-            return v
+
+def with_texts(body: str | None, new: list[str] | None, everything: bool = False, skip: tuple[str, ...] = ()) -> str | None:
+    """The body with its texts, in walking order, exchanged for new ones; all else stays as it is written."""
+    if body is None or new is None or not len(new):
+        return body
+    try:
+        tape = Tape(body)
+    except ValueError:
+        return new[0]
+    return _filled(tape, texts_of(tape, everything, skip), iter(new))
+
+
+def _tools(tape: Tape) -> Iterator[dict]:
+    i = 0
+    while i < len(tape.kind):
+        if opaque(tape, i):
+            i = tape.last[i]
+            continue
+        if tape.kind[i] == "{":
+            own = {tape.key[k]: k for k in tape.items(i)}
+            given = own.get("arguments", own.get("input") if tape.string[i] in TOOL_BLOCKS else None)
+            name = own.get("name")
+            if name is not None and tape.kind[name] == '"' and given is not None and not (tape.kind[given] == "v" and tape.text.startswith("null", tape.start[given])):
+                yield {"tool": plain(tape.string[name]), "command": plain(command_of(tape, given))}
+        i += 1
+
+
+def command_of(tape: Tape, given: int = 0) -> str:
+    """The first of the command keys that holds a text or a list of texts; what is given may be JSON in a string."""
+    if tape.kind[given] == '"':
+        try:
+            tape, given = Tape(tape.string[given]), 0
+        except ValueError:
+            return ""
+    if tape.kind[given] != "{":
+        return ""
+    own = {tape.key[k]: k for k in tape.items(given)}
+    for k in COMMAND_KEYS:
+        at = own.get(k, -1)
+        if at < 0:
+            continue
+        words = list(tape.items(at)) if tape.kind[at] == "[" else [at]
+        if words and all(tape.kind[w] == '"' for w in words) and (said := " ".join(tape.string[w] for w in words)):
+            return said
     return ""
 
 
 def text_column(body: Column, everything: bool = False, skip: tuple[str, ...] = ()) -> Column:
-    @F.pandas_udf("array<struct<path:string,text:string>>")
+    @F.pandas_udf("array<struct<path:string,text:string,call:int>>")
     def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: [{"path": p, "text": t} for p, t in texts_in(b, everything, skip)])
+        return bodies.map(lambda b: [{"path": p, "text": t, "call": c} for p, t, c in texts_in(b, everything, skip)])
 
     return run(body)
 
@@ -137,18 +169,7 @@ def write_back(body: Column, texts: Column, everything: bool = False, skip: tupl
 
     @F.pandas_udf("string")
     def run(bodies: pd.Series, replaced: pd.Series) -> pd.Series:
-        def one(b: str | None, new) -> str | None:
-            if b is None:
-                return None
-            if new is None or not len(new):
-                return b
-            rest = iter(new)
-            try:
-                return dump(walk(parse(b), lambda p, s: next(rest), everything, skip=skip))
-            except (ValueError, RecursionError):
-                return new[0]
-
-        return pd.Series([one(b, n) for b, n in zip(bodies, replaced, strict=True)], dtype=object)
+        return pd.Series([with_texts(b, n, everything, skip) for b, n in zip(bodies, replaced, strict=True)], dtype=object)
 
     return run(body, texts)
 
@@ -158,8 +179,8 @@ def tool_calls(body: Column) -> Column:
     def run(bodies: pd.Series) -> pd.Series:
         def one(b: str | None) -> list[dict]:
             try:
-                return list(_tools(parse(b))) if b else []
-            except (ValueError, RecursionError):
+                return list(_tools(Tape(b))) if b else []
+            except ValueError:
                 return []
 
         return bodies.map(one)
@@ -173,15 +194,24 @@ def message_contents(body: Column) -> Column:
     return F.transform(F.filter(messages, lambda m: m["content"].isNotNull()), lambda m: m["content"])
 
 
+#: The number of a body in its table: request ids may be null and repeat.
+ROW = "__row"
+
+
+def numbered(bodies: DataFrame) -> DataFrame:
+    """bodies with a number of their own, written, since texts and bodies are joined by it."""
+    return settled(bodies.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def explode_texts(bodies: DataFrame, everything: bool = False, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(request_id, body) -> (request_id, seq, path, text): the rows that detection and replacement take."""
-    return bodies.select("request_id", F.posexplode(text_column(F.col("body"), everything, skip)).alias("seq", "x")).select("request_id", "seq", "x.path", "x.text")
+    """(number, request_id, body) -> (number, request_id, seq, path, text, call): the rows that detection and replacement take."""
+    return bodies.select(ROW, "request_id", F.posexplode(text_column(F.col("body"), everything, skip)).alias("seq", "x")).select(ROW, "request_id", "seq", "x.path", "x.text", "x.call")
 
 
 def collect_texts(bodies: DataFrame, texts: DataFrame, column: str = "replaced", everything: bool = False, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Put (request_id, seq, column) back into the bodies; changed says whether any text differs."""
+    """Put (number, seq, column) back into the numbered bodies; changed says whether any text differs."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(column).alias("t")))), lambda x: x["t"])
-    joined = bodies.join(texts.groupBy("request_id").agg(ordered.alias("__texts"), F.max(F.col(column) != F.col("text")).alias("changed")), "request_id", "left")
+    joined = bodies.join(texts.groupBy(ROW).agg(ordered.alias("__texts"), F.max(~F.col(column).eqNullSafe(F.col("text"))).alias("changed")), ROW, "left")
     return joined.withColumn("rewritten", write_back(F.col("body"), F.col("__texts"), everything, skip)).withColumn("changed", F.coalesce("changed", F.lit(False))).drop("__texts")
 
 
@@ -200,35 +230,34 @@ def redact(bodies: DataFrame, strategy: str = "placeholder", gate_only: bool = F
     everything: all strings of a document count, keys never; else those that a chat body holds as text. A body that isn't
     JSON is a text. Values under the keys in `preserve` stay. gate_only looks and rewrites nothing; without include_values
     entities carry no values. block_types: what a gate stops, any type when empty. Bodies are walked once for their texts
-    and once to write them back. Request ids are distinct.
+    and once to write them back. Bodies with one request id, or without any, share that request's numbers.
     """
     from spanveil.operators.detect import add_entities
-    from spanveil.operators.replace import replace
-    from spanveil.operators.tables import settled
+    from spanveil.operators.replace import prepared, replace_prepared
 
-    texts = settled(add_entities(settled(explode_texts(bodies, everything, preserve)), "text", **options))
+    rows = numbered(bodies)
+    texts = prepared(add_entities(explode_texts(rows, everything, preserve), "text", **options))
     value = (lambda e: e["value"]) if include_values else (lambda e: F.lit(None).cast("string"))
     seen = F.transform("entities", lambda e: F.struct(e["type"].alias("type"), value(e).alias("value"), F.col("path").alias("path"), e["start"].alias("start"), e["end"].alias("end"), e["score"].alias("score")))
     listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", seen.alias("e")))), lambda x: x["e"]))
-    calls = F.count_distinct(F.when(F.col("path").contains("!"), F.substring_index("path", "!", 1)))
-    found = texts.groupBy("request_id").agg(listed.alias("entities"), calls.alias("tool_arguments"))
+    found = texts.groupBy(ROW).agg(listed.alias("entities"), F.count_distinct("call").alias("tool_arguments"))
     if gate_only:
-        out, mapping = bodies.withColumn("rewritten", F.col("body")).withColumn("changed", F.lit(False)), None
+        out, mapping = rows.withColumn("rewritten", F.col("body")).withColumn("changed", F.lit(False)), None
     else:
-        replaced, mapping = replace(texts.select("request_id", "seq", "text", "entities"), strategy, overrides, fakes)
-        out = collect_texts(bodies, replaced, everything=everything, skip=preserve)
-    out = out.join(found, "request_id", "left").withColumn("entities", F.coalesce("entities", F.expr(f"cast(array() as {SEEN})"))).withColumn("tool_arguments", F.coalesce("tool_arguments", F.lit(0)).cast("long"))
+        replaced, mapping = replace_prepared(texts, strategy, overrides, fakes)
+        out = collect_texts(rows, replaced, everything=everything, skip=preserve)
+    out = out.join(found, ROW, "left").drop(ROW).withColumn("entities", F.coalesce("entities", F.expr(f"cast(array() as {SEEN})"))).withColumn("tool_arguments", F.coalesce("tool_arguments", F.lit(0)).cast("long"))
     return out.withColumn("has_pii", F.size("entities") > 0).withColumn("blocked", blocked(F.col("entities"), block_types)), mapping
 
 
 def restore_bodies(bodies: DataFrame, mapping: DataFrame, everything: bool = True) -> DataFrame:
     """(request_id, body) with restored: every string of a document restored from its request's mapping, keys never."""
     from spanveil.operators.replace import restore
-    from spanveil.operators.tables import settled
 
-    texts = settled(explode_texts(bodies, everything))
-    back = restore(texts.select("request_id", "seq", "text"), mapping)
-    return collect_texts(bodies, back, "restored", everything).withColumn("restored", F.col("rewritten")).drop("rewritten", "changed")
+    rows = numbered(bodies)
+    texts = explode_texts(rows, everything)
+    back = restore(texts.select(ROW, "request_id", "seq", "text"), mapping)
+    return collect_texts(rows, back, "restored", everything).withColumn("restored", F.col("rewritten")).drop("rewritten", "changed", ROW)
 
 
 def scan_tool_params(calls: DataFrame, strategy: str = "placeholder", tool: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
@@ -251,24 +280,10 @@ def scan_tool_params(calls: DataFrame, strategy: str = "placeholder", tool: str
 def json_equal(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two texts are the same JSON value: order of keys and writing of numbers aside; false where one isn't JSON."""
 
-    def value(t: str | None):
-        return json.loads(t, parse_int=float, parse_constant=_no_constant)
-
-    def same(x, y) -> bool:
-        if type(x) is not type(y):
-            return False
-        if isinstance(x, dict):
-            return x.keys() == y.keys() and all(same(v, y[k]) for k, v in x.items())
-        return len(x) == len(y) and all(map(same, x, y)) if isinstance(x, list) else x == y
-
     def one(x: str | None, y: str | None) -> bool:
         try:
-            return same(value(x), value(y))
-        except (TypeError, ValueError, RecursionError):
+            return x is not None and y is not None and same(x, y)
+        except ValueError:
             return False
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-
-def _no_constant(name: str):
-    raise ValueError(f"{name} is no JSON")

@@ -101,6 +101,26 @@ def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("seq").alias("doc_id"), "masked_md5", "bypass_md5")
 
 
+def replace_odd_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without request ids, without places, and with both repeated: every address goes, whatever its row is called."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 4).alias("request_id"), F.when(F.col("doc_id") % 5 > 0, F.lit(7)).alias("seq"), "text", detect(F.col("text"), ["email"]).alias("entities"))
+    out, mapping = R.replace(rows)
+    back = R.restore(out.select("doc_id", "request_id", F.col("replaced").alias("text"), F.col("text").alias("before")), mapping)
+    return back.select("doc_id", F.md5(F.regexp_replace("text", "<<email_[0-9]+>>", "<<email>>").cast("binary")).alias("shown_md5"), F.md5(F.col("restored").cast("binary")).alias("restored_md5"))
+
+
+# A body in SQL that both engines understand: odd blanks and numbers, repeated keys, and lists in lists deeper than a stack goes.
+_DEEP = "'{ \"n\" : 1.7e9 ,\"n\":0.10000000000000000555, \"deep\":' || repeat('[', 1200) || '\"to u' || cast(c_custkey as string) || case when c_custkey % 2 = 0 then '@x.com' else '' end || ' ' || chr(92) || 'u00e9\"' || repeat(']', 1200) || ',\"u@x.com\":[1E5,-0.0] }'"
+
+
+def spliced_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep bodies redacted: only strings with an entity are written anew, the rest stays byte for byte."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey as request_id", f"{_DEEP} as body")
+    out, _ = bodies.redact(rows, rules=["email"])
+    return out.select("request_id", F.md5(F.col("rewritten").cast("binary")).alias("rewritten_md5"), "changed")
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat bodies of conversations, each turn with a mail address of its own."""
     t = table(spark, sf_dir, "conversations")
@@ -132,15 +152,26 @@ def tool_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that cut placeholders in two, restored; one that nothing stands for is counted."""
+    """Events that cut placeholders in two, restored; numbers stay as written, what is held goes out before the end, and what nothing stands for is counted."""
     o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"), F.col("c_name").alias("name"))
-    frame = lambda text: F.concat(F.lit('data: {"choices":[{"index":0,"delta":{"content":"'), text, F.lit('"}}]}'))
-    parts = F.array(frame(F.lit("hi <<zh_person_")), F.concat(F.lit("event: x\n"), frame(F.lit("name_1>> and"))), frame(F.when(F.col("stream_id") % 5 == 0, F.lit(" <<email_9>>")).otherwise(F.lit(" <<emai"))), F.lit("data: [DONE]"))
+    frame = lambda text: F.concat(F.lit('data: {"at":1.7e9, "id":'), F.col("stream_id").cast("string"), F.lit('.50,"choices":[{"index":0,"delta":{"content":"'), text, F.lit('"}}]}'))
+    parts = F.array(frame(F.lit("hi <<zh_person_")), F.concat(F.lit("event: x\n"), frame(F.lit("name_1>> and"))), frame(F.when(F.col("stream_id") % 5 == 0, F.lit(" <<email_9>>")).otherwise(F.lit(" if a <"))), F.lit("data: [DONE]"))
     rows = o.select("stream_id", F.posexplode(parts).alias("seq", "frame"))
     pairs = o.select("stream_id", F.lit("<<zh_person_name_1>>").alias("shown"), F.col("name").alias("original"))
     return S.restore_events(rows, pairs).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "restored"))), lambda x: x["restored"]), "\n\n").alias("restored"), F.sum("orphans").cast("long").alias("orphans"))
 
 
+def byte_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of event streams, cut at every size, inside characters too."""
+    o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"), F.col("c_name").alias("name"))
+    whole = F.encode(F.lit('data: {"n":1.50,"text":"é <<zh_person_"}\n\nevent: x\ndata: {"text":"name_1>> 😀 <<"}\n\ndata: [DONE]\n\n'), "UTF-8")
+    size = (F.col("stream_id") % 60 + 1).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(whole) - 1) / size).cast("int")), lambda i: F.struct(i.alias("seq"), F.substring(whole, i * size + 1, size).alias("bytes")))
+    chunks = o.select("stream_id", F.explode(cut).alias("x")).select("stream_id", "x.seq", "x.bytes")
+    out = S.restore_bytes(chunks, o.select("stream_id", F.lit("<<zh_person_name_1>>").alias("shown"), F.col("name").alias("original")))
+    return S.joined(out.withColumn("restored", F.hex("restored"))).select("stream_id", F.decode(F.unhex("restored"), "UTF-8").alias("restored"), "orphans")
+
+
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders that come a few characters at a time."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("stream_id"), F.concat(F.lit("x <<email_1>><<email_12>> of "), F.col("o_custkey").cast("string"), F.lit(" <<email_1")).alias("t"))
@@ -342,8 +373,11 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
         "restored_bodies": f"""SELECT conv_id, TRUE AS same, CAST(sum({_EMAIL_COUNT} + 1) AS BIGINT) AS placeholders, FALSE AS "left" FROM conversations GROUP BY conv_id""",
         "tool_params": """SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 2 = 1 THEN '{"file_path":"/tmp/f' || o_orderkey || '","text":"none"}' WHEN o_orderkey % 3 = 0 THEN '{"file_path":"/home/u' || o_orderkey || '@x.com/f","text":"to <<email_1>>"}' ELSE '{"file_path":"/home/<<email_1>>/f","text":"to <<email_1>>"}' END AS rewritten,
             o_orderkey % 2 = 0 AS has_pii, CASE WHEN o_orderkey % 2 = 0 THEN 'redact' ELSE 'proceed' END AS recommendation FROM orders""",
-        "event_frames": """SELECT c_custkey AS stream_id, 'data: {"choices":[{"index":0,"delta":{"content":"hi "}}]}' || chr(10) || chr(10) || 'event: x' || chr(10) || 'data: {"choices":[{"index":0,"delta":{"content":"' || c_name || ' and"}}]}' || chr(10) || chr(10)
-            || 'data: {"choices":[{"index":0,"delta":{"content":" ' || CASE WHEN c_custkey % 5 = 0 THEN '<<email_9>>' ELSE '<<emai' END || '"}}]}' || chr(10) || chr(10) || 'data: [DONE]' AS restored, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS orphans FROM customer""",
+        "event_frames": """WITH f AS (SELECT c_custkey, c_name, 'data: {"at":1.7e9, "id":' || c_custkey || '.50,"choices":[{"index":0,"delta":{"content":"' AS a, '"}}]}' AS z, chr(10) || chr(10) AS gap FROM customer)
+            SELECT c_custkey AS stream_id, a || 'hi ' || z || gap || 'event: x' || chr(10) || a || c_name || ' and' || z || gap || CASE WHEN c_custkey % 5 = 0 THEN a || ' <<email_9>>' || z ELSE a || ' if a ' || z || gap || a || '<' || z END || gap || 'data: [DONE]' AS restored, 1::BIGINT AS orphans FROM f""",
+        "byte_frames": """SELECT c_custkey AS stream_id, 'data: {"n":1.50,"text":"é "}' || chr(10) || chr(10) || 'event: x' || chr(10) || 'data: {"text":"' || c_name || ' 😀 "}' || chr(10) || chr(10) || 'event: x' || chr(10) || 'data: {"text":"<<"}' || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10) AS restored, 1::BIGINT AS orphans FROM customer""",
+        "replace_odd_keys": f"SELECT doc_id, md5(regexp_replace(text, '{fixed.EMAIL}', '<<email>>', 'g')) AS shown_md5, md5(text) AS restored_md5 FROM documents",
+        "spliced_bodies": f"""SELECT c_custkey AS request_id, md5(CASE WHEN c_custkey % 2 = 0 THEN replace(replace(body, 'u' || c_custkey || '@x.com', '<<email_1>>'), chr(92) || 'u00e9', 'é') ELSE body END) AS rewritten_md5, c_custkey % 2 = 0 AS changed FROM (SELECT c_custkey, {_DEEP.replace("as string", "as varchar")} AS body FROM customer)""",
         "chunk_texts": "SELECT o_orderkey AS stream_id, 'x a' || o_orderkey || '@b.org<<email_1>> of ' || o_custkey || ' <<email_1' AS restored FROM orders",
         "all_counters": _COUNTERS_SQL,
         "latencies": f"WITH e AS ({_EVENTS_SQL}) " + " UNION ALL ".join(map(_histogram_sql, reports.HISTOGRAMS)),
@@ -360,5 +394,5 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
 
 
 def queries() -> dict:
-    names = (detect_full, detect_shaped, detect_allowed, cached_detection, growing_detection, dictionary_orders, simulated_documents, masked_documents, gate_bodies, restored_bodies, tool_params, event_frames, chunk_texts, all_counters, latencies, gauges, percentile_nearest, entity_scores, quality_gate, judge_lines, judge_categories, judge_chain, small_functions)
+    names = (detect_full, detect_shaped, detect_allowed, cached_detection, growing_detection, dictionary_orders, simulated_documents, masked_documents, gate_bodies, restored_bodies, tool_params, replace_odd_keys, spliced_bodies, event_frames, byte_frames, chunk_texts, all_counters, latencies, gauges, percentile_nearest, entity_scores, quality_gate, judge_lines, judge_categories, judge_chain, small_functions)
     return {f.__name__: f for f in names}

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from spanveil.operators import replace as R
 from spanveil.operators.spans import ENTITY
-from spanveil.streaming.restore import ChunkRestorer, restore_chunks, restore_event
+from spanveil.streaming.restore import ChunkRestorer, Events, restore_chunks
 
 
 def entities(text, *parts):
@@ -54,7 +54,18 @@ def test_chunk_tables_and_events(spark):
     chunks = spark.createDataFrame([("s", i, c) for i, c in enumerate("hi <<a_1>>!")], "stream_id string, seq int, chunk string")
     pairs = spark.createDataFrame([("s", "<<a_1>>", "Bob")], "stream_id string, shown string, original string")
     assert "".join(r.restored for r in restore_chunks(chunks, pairs).orderBy("seq").collect()) == "hi Bob!"
-    state = {}
-    first = restore_event('data: {"choices":[{"index":0,"delta":{"content":"a <<a_"}}]}', state, {"<<a_1>>": "Bob"})
-    second = restore_event('event: x\ndata: {"choices":[{"index":0,"delta":{"content":"1>>"}}]}', state, {"<<a_1>>": "Bob"})
+    events = Events({"<<a_1>>": "Bob"})
+    first = events.feed('data: {"choices":[{"index":0,"delta":{"content":"a <<a_"}}]}', False)[0]
+    second = events.feed('event: x\ndata: {"choices":[{"index":0,"delta":{"content":"1>>"}}]}', False)[0]
     assert '"a "' in first and '"Bob"' in second and second.startswith("event: x\n")
+
+
+def test_null_and_repeated_keys_leave_no_value(spark):
+    t = "mail a@b.org"
+    rows = frame(spark, [(r, q, t, entities(t, ("email", "a@b.org"))) for r, q in ((None, 0), ("r", None), (None, None), ("r", 1), ("r", 1), ("s", 1))] + [("r", 1, "no mail", None), ("r", 1, None, None)])
+    for strategy in ("placeholder", "simulate"):
+        out, mapping = R.replace(rows, strategy)
+        assert sorted(x.replaced or "" for x in out.collect()) == ["", *["mail <<email_1>>"] * 6, "no mail"] and out.columns == [*rows.columns, "replaced"]
+        assert sorted((m.request_id or "", m.original) for m in mapping.collect()) == [("", "a@b.org"), ("r", "a@b.org"), ("s", "a@b.org")]
+        back = R.restore(out.select("request_id", F.col("replaced").alias("text"), F.col("text").alias("was")), mapping)
+        assert all(x.restored == x.was for x in back.collect())

@@ -3,19 +3,17 @@
 import json
 import random
 import re
-import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanveil.functions import config
+from spanveil.functions import config, jsontext
 from spanveil.functions import validators as V
 from spanveil.operators import backends, bodies, reports, shapes, simulate, spans, stores
 from spanveil.operators import replace as R
 from spanveil.operators.detect import add_entities, detect, dictionary_table
 from spanveil.operators.spans import ENTITY
 from spanveil.sources import io
-from spanveil.streaming import restore as S
 
 
 def test_matches_of_texts_with_many(spark):
@@ -65,14 +63,14 @@ def test_dictionary_as_a_table_in_any_blocks(spark):
 
 
 def test_bodies_gate_redact_and_restore(spark):
-    deep = "[" * 5000 + '"a@b.org"' + "]" * 5000
+    deep = "[" * 100_000 + '"a@b.org"' + "]" * 100_000
     given = {"j": '{"k@x.org":"to a@b.org and a@b.org","n":1.50,"arguments":"{\\"c\\":\\"c@d.org\\"}","data":"z@z.org","file_path":"/h/p@q.org"}', "t": "plain a@b.org", "d": deep, "e": '{"a":[]}'}
     rows = spark.createDataFrame(list(given.items()), "request_id string, body string")
     out, mapping = bodies.redact(rows, rules=["email"], block_types=["email"], preserve=("file_path",))
     got = {r.request_id: r for r in out.collect()}
     assert got["j"].rewritten == '{"k@x.org":"to <<email_1>> and <<email_1>>","n":1.50,"arguments":"{\\"c\\":\\"<<email_2>>\\"}","data":"z@z.org","file_path":"/h/p@q.org"}'
     assert got["t"].rewritten == "plain <<email_1>>" and got["e"].rewritten == '{"a":[]}' and not got["e"].has_pii and got["j"].tool_arguments == 1
-    assert "<<email_1>>" in got["d"].rewritten and got["j"].blocked and not got["e"].blocked and all(e.value is None for e in got["j"].entities)
+    assert got["d"].rewritten == deep.replace("a@b.org", "<<email_1>>") and got["j"].blocked and not got["e"].blocked and all(e.value is None for e in got["j"].entities)
     back = {r.request_id: r.restored for r in bodies.restore_bodies(out.select("request_id", F.col("rewritten").alias("body")), mapping).collect()}
     assert back == given
     shown, none = bodies.redact(rows.where("request_id = 't'"), gate_only=True, include_values=True, rules=["email"])
@@ -80,7 +78,56 @@ def test_bodies_gate_redact_and_restore(spark):
     assert none is None and row.rewritten == given["t"] and not row.changed and [e.value for e in row.entities] == ["a@b.org"]
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("1", "1.0", True), ('{"a":1,"b":[2]}', '{"b":[2],"a":1}', True), ("[1,2]", "[2,1]", False), ("true", "1", False), ("null", "null", True), ("x", "x", False), ('{"a":null}', "{}", False), ("NaN", "NaN", False)])
+def test_bodies_come_back_byte_for_byte(spark):
+    odd = ['{ "a" : 1.7e9 ,\n"a":0.1000000000000000055511, "t":"\\u00e9 \\ud800 x" , "arguments" : "{ \\"n\\" : 1.50, \\"deep\\" : \\"y\\" }" }', '[1e400,-0,"\\/"]  ', '""', "null", "not {json", "", '{"text":"x","type":"reasoning"}']
+    rows = spark.createDataFrame(list(enumerate(odd)), "request_id int, body string")
+    out, _ = bodies.redact(rows, rules=["email"])
+    assert {r.request_id: (r.rewritten, r.changed) for r in out.collect()} == {k: (b, False) for k, b in enumerate(odd)}
+    mixed = '{"keep":"\\u00e9","arguments":"{\\"q\\" : \\"to a@b.org\\", \\"n\\":1.50}","n":1.0}'
+    out, _ = bodies.redact(spark.createDataFrame([(1, mixed)], "request_id int, body string"), rules=["email"])
+    assert out.head().rewritten == mixed.replace("a@b.org", "<<email_1>>")
+
+
+def test_json_reader_agrees_with_a_plain_one():
+    rng = random.Random(4)
+
+    def made(depth):
+        r = rng.random()
+        if depth > 4 or r < 0.4:
+            return rng.choice([1, -2.5e10, True, None, 'a"b\n\u00e9', "", 0])
+        return [made(depth + 1) for _ in range(rng.randint(0, 3))] if r < 0.7 else {rng.choice("abc\n"): made(depth + 1) for _ in range(rng.randint(0, 3))}
+
+    for _ in range(3000):
+        text = json.dumps(made(0), indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        if rng.random() < 0.6:
+            k = rng.randrange(len(text) + 1)
+            text = text[:k] + rng.choice(['"', ",", "]", "}", "{", "[", ":", "1", "e", ".", "-", "\\", "\t", "\x01", "tru"]) + text[k + rng.randint(0, 1) :]
+        try:
+            json.loads(text, parse_constant=lambda _: 1 / 0)
+            fine = True
+        except (ValueError, ZeroDivisionError):
+            fine = False
+        try:
+            assert jsontext.Tape(text).splice([]) == text and fine
+        except ValueError:
+            assert not fine
+
+
+@pytest.mark.parametrize("everything", [True, False])
+def test_a_gate_stays_shut_for_null_and_repeated_ids(spark, everything):
+    body = '{"messages":[{"content":"to %s@x.org"}]}'
+    rows = spark.createDataFrame([(None, body % "a"), (None, body % "b"), ("r", body % "a"), ("r", body % "c"), ("s", None)], "request_id string, body string")
+    out, mapping = bodies.redact(rows, rules=["email"], everything=everything)
+    got = out.collect()
+    assert len(got) == 5 and all(r.has_pii and r.blocked and r.changed and "@" not in r.rewritten for r in got if r.body)
+    assert sorted((r.request_id or "", r.original) for r in mapping.collect()) == [("", "a@x.org"), ("", "b@x.org"), ("r", "a@x.org"), ("r", "c@x.org")]
+    back = bodies.restore_bodies(out.select("request_id", F.col("rewritten").alias("body"), F.col("body").alias("was")), mapping)
+    assert all(r.restored == r.was for r in back.collect())
+    shut, _ = bodies.redact(rows, gate_only=True, rules=["email"], everything=everything)
+    assert [r.blocked for r in shut.where("body IS NOT NULL").collect()] == [True] * 4
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("1", "1.0", True), ("9007199254740992", "9007199254740993", False), ("1e2", "100", True), ("-0", "0", True), ("0.10", "1e-1", True), ("[" * 50_000 + "]" * 50_000, "[" * 50_000 + " ]" * 50_000, True), ('{"a":1,"a":2}', '{"a":2}', True), ('"\\u0061"', '"a"', True), ('{"a":1,"b":[2]}', '{"b":[2],"a":1}', True), ("[1,2]", "[2,1]", False), ("true", "1", False), ("null", "null", True), ("x", "x", False), ('{"a":null}', "{}", False), ("NaN", "NaN", False)])
 def test_json_values(spark, a, b, same):
     assert bodies.json_equal.func(*map(lambda v: __import__("pandas").Series([v]), (a, b)))[0] == same
 
@@ -110,33 +157,6 @@ def test_engines_and_probes(spark):
     assert [(r.name, r.kind) for r in backends.probes_of(cases, 2).collect()] == [("a", "benign"), ("b", "dangerous")]
 
 
-def test_events_over_batches_keep_what_they_hold():
-    pairs = {"<<a_1>>": "Bob"}
-    one = S.Events(pairs)
-    first = one.feed('data: {"delta":"x <<a_"}', False)
-    second = S.Events(pairs, one.state()).feed('data: {"delta":"1>> <<b_2>>"}', False)
-    assert first == ('data: {"delta":"x "}', 0) and second == ('data: {"delta":"Bob <<b_2>>"}', 1)
-    assert S.Events(pairs).feed("event: ping\n: note\ndata: [DONE]", True) == ("event: ping\n: note\ndata: [DONE]", 0)
-
-
-def test_stream_of_events(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    frames = ['data: {"delta":"x <<a_"}', 'data: {"delta":"1>>!"}']
-    (folder / "0.json").write_text("\n".join(json.dumps({"stream_id": "s", "seq": k, "frame": x, "last": k == 1}) for k, x in enumerate(frames)))
-    rows = spark.readStream.schema("stream_id string, seq long, frame string, last boolean").json(str(folder))
-    query = S.restore_event_stream(rows, {"<<a_1>>": "Bob"}).writeStream.format("memory").queryName("events_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        for _ in range(120):  # the timeout of state makes further batches, so the stream has no end of its own
-            if spark.table("events_out").count() == 2:
-                break
-            time.sleep(0.5)
-    finally:
-        query.stop()
-    got = {r.seq: r.restored for r in spark.table("events_out").collect()}
-    assert got == {0: 'data: {"delta":"x "}', 1: 'data: {"delta":"Bob!"}'}
-
-
 def test_percentile_of_ties_and_many_values(spark):
     rng = random.Random(3)
     values = {"ties": [5.0] * 900 + [7.0] * 100, "spread": [rng.expovariate(1e-3) ** 3 for _ in range(5000)], "one": [-1.0], None: [float(k) for k in range(100)]}

@@ -7,7 +7,6 @@ from spanveil.functions import fixed
 from spanveil.operators import reports, simulate, stores
 from spanveil.operators.spans import ENTITY
 from spanveil.sources import io
-from spanveil.streaming.restore import restore_stream
 
 
 def test_labelled_lines(spark, tmp_path):
@@ -71,13 +70,3 @@ def test_fakes_repeat_and_keep_their_form(spark):
     import re
 
     assert re.fullmatch(r"[a-z]+_[a-z]+\.[a-z]+\d{3}@x\.org", row.email) and re.fullmatch(r"\d{4}/\d{1,2}/\d{2}", row.date) and re.match(r"172\.(1[6-9]|2\d|3[01])\.", row.ip_address) and len(row.zh_person_name) == 2 and row.none is None
-
-
-def test_stream_of_chunks(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    schema = "stream_id string, seq long, chunk string, last boolean"
-    spark.createDataFrame([("s", i, c, i == 8) for i, c in enumerate("a<<x_1>>b")], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = restore_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), {"<<x_1>>": "Bob"})
-    q = stream.writeStream.format("memory").queryName("restored").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert "".join(r.restored for r in spark.table("restored").orderBy("seq").collect()) == "aBobb"
