@@ -46,6 +46,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df written to the shared folder in n buckets of a key and read again: what groups by the key reads it without a shuffle."""
+    spark = df.sparkSession
+    name = f"spanveil_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    if (own := _scratch.get()) is not None:
+        own.append(path)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved before the catalog forgets it; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialized inside are deleted at the end; what was made from them must have been written by then."""

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.runtime import materialize, parts, trimmed
+from spanveil.llm.runtime import bucketed, parts, trimmed
 from spanveil.llm.tokencount import BLANK, read_fields, read_model
 from spanveil.llm.words import pieces, task_slice
 
 SLICE = 16 << 20  # bytes of text in a slice
 BUCKETS = 1024  # a slice sends a row to each bucket that has a word of it, whatever the size of the input
 WORDS = 1 << 19  # words of a bucket that a worker remembers; beyond it, a word may be segmented again
+SHORT = 64  # characters up to which a word's merges are found by looking at all of them
+NONE = -math.inf
 UNKNOWN, CONTROL, BYTE = 2, 3, 6
 SURFACE = " ⁇ "  # what the library writes for an unknown id unless the model says otherwise
 
@@ -68,6 +72,31 @@ class Segmenter:
     def segment(self, word: str) -> list[int]:
         """Ids of a word as words() gives it: the neighbours that make the best piece merge first, the leftmost of equals."""
         word = (word if self.line and word[:1] == "\n" else f" {word}").replace(" ", BLANK)
+        part = self._short(word) if len(word) <= SHORT else self._long(word)
+        out: list[int] = []
+        for p in part:
+            known = self.ids.get(p)
+            out += [known] if known is not None else [self.bytes[b] for b in p.encode()]
+        return out
+
+    def _short(self, word: str) -> list[str]:
+        part, scores = list(word), self.scores
+        have = [scores.get(x + y, NONE) for x, y in zip(part, word[1:], strict=False)]
+        while have:
+            best = max(have)
+            if best == NONE:
+                break
+            i = have.index(best)
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            del have[i]
+            if i:
+                have[i - 1] = scores.get(part[i - 1] + part[i], NONE)
+            if i < len(have):
+                have[i] = scores.get(part[i] + part[i + 1], NONE)
+        return part
+
+    def _long(self, word: str) -> list[str]:
+        """The same with a heap: n log n steps."""
         part, scores, n = list(word), self.scores, len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -89,12 +118,7 @@ class Segmenter:
                 offer(i, k)
             if before[i] >= 0:
                 offer(before[i], i)
-        out: list[int] = []
-        for p in part:
-            if p:
-                known = self.ids.get(p)
-                out += [known] if known is not None else [self.bytes[b] for b in p.encode()]
-        return out
+        return [p for p in part if p]
 
     def text(self, ids: list[int]) -> str:
         """The text of ids: the first piece's marker goes, bytes make characters, and those that don't make any become U+FFFD."""
@@ -176,84 +200,121 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
         yield held
 
 
+def _pack(*parts: bytes) -> bytes:
+    """Parts in one compressed value."""
+    raw = struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts)
+    return struct.pack("<qq", len(parts), len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> list[bytes]:
+    n, size = struct.unpack_from("<qq", packed)
+    raw = pa.decompress(packed[16:], size, "zstd", asbytes=True)
+    ends = np.cumsum(struct.unpack_from(f"<{n}q", raw)) + 8 * n
+    return [raw[a:b] for a, b in zip([8 * n, *ends[:-1]], ends, strict=True)]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, lowest first: small ones compress."""
+    return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+
+
 def _deal(model: bytes):
-    """Texts (doc_id, text) -> for each text (slice, doc_id, places) and for each slice and bucket (slice, bucket, words)."""
+    """Texts (doc_id, text) -> rows of a slice: its words' buckets (turn -1), its texts' places (turn 0 and on), and its words by bucket.
+
+    Words are numbered as they first appear in the slice; a place is 0 for the next new word, else the word's number and 1.
+    """
 
     @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = _segmenter(model).words
-        for turn, held in enumerate(_slices(batches)):
-            known, own, ids = _Places(), [], []
-            for batch in held:
-                ids.append(batch.column("doc_id"))
+        for number, held in enumerate(_slices(batches)):
+            known, name, out = _Places(), task_slice(number), []
+            for turn, batch in enumerate(held):
+                before, lengths, all_words = len(known), [], []
                 for text in batch.column("text").to_pylist():
                     words = cut(text or "")
-                    own.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                    lengths.append(len(words))
+                    all_words += words
+                at = np.fromiter(map(known.__getitem__, all_words), np.int32, len(all_words))
+                new = at > np.maximum.accumulate(np.append(before - 1, at))[:-1]
+                out.append((turn, batch.column("doc_id"), _pack(_planes(np.array(lengths, np.int32)), _planes(np.where(new, 0, at + 1)))))
             words = list(known)
-            bucket = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % BUCKETS
+            bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % BUCKETS
+            kind = held[0].column("doc_id").type
+            out.append((-1, pa.nulls(0, kind), _pack(_planes(bucket))))
+            ids = pa.chunked_array([x for _, x, _ in out]).combine_chunks()
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for _, x, _ in out)]), pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.int64()), pa.array([t for t, _, _ in out], pa.int32()), lists, pa.nulls(len(out), pa.int32()), pa.array([x for _, _, x in out], pa.binary())], names=DEALT)
             order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words))
-            name = task_slice(turn)
-            doc_id = pa.chunked_array(ids).combine_chunks()
-            yield _rows(doc_id.type, [name] * len(own), doc_id, [place[x].tobytes() for x in own], None, None)
             cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
             full = np.flatnonzero(np.diff(cuts))
-            values = pa.array([words[k] for k in order], pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts[full], len(words)), pa.int32()), values)
-            yield _rows(doc_id.type, [name] * len(full), None, None, full, lists)
+            sent = []
+            for k in full.tolist():
+                own = [words[j] for j in order[cuts[k] : cuts[k + 1]].tolist()]
+                sent.append(_pack(_planes(np.fromiter(map(len, own), np.int32, len(own))), "".join(own).encode()))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.int64()), pa.nulls(len(full), pa.int32()), pa.nulls(len(full), pa.list_(kind)), pa.array(full, pa.int32()), pa.array(sent, pa.binary())], names=DEALT)
 
     return run
 
 
-def _rows(kind: pa.DataType, names: list[int], doc_id, places, bucket, words) -> pa.RecordBatch:
-    none = lambda t: pa.nulls(len(names), t)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.int64()), none(kind) if doc_id is None else doc_id, none(pa.binary()) if places is None else pa.array(places, pa.binary()), none(pa.int32()) if bucket is None else pa.array(bucket, pa.int32()), none(pa.list_(pa.string())) if words is None else words],
-        names=["slice", "doc_id", "places", "bucket", "words"],
-    )
+DEALT = ["slice", "turn", "ids", "bucket", "packed"]
 
 
 def _segment(model: bytes):
-    """(bucket, slice, words) -> (slice, bucket, ids of all its words, how many each word has)."""
+    """(slice, bucket, words) -> (slice, bucket, how many ids each word has, and the ids)."""
 
     @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, now, known = _segmenter(model).segment, None, {}
         for batch in batches:
-            ids, counts = [], []
-            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            out = []
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 if bucket != now or len(known) > WORDS:
                     now, known = bucket, {}
-                own = []
-                for w in words:
+                sizes, text = _unpack(packed)
+                text, own, at = text.decode(), [], 0
+                for n in _numbers(sizes).tolist():
+                    w = text[at : at + n]
+                    at += n
                     got = known.get(w)
                     if got is None:
                         got = known[w] = segment(w)
                     own.append(got)
-                ids.append(np.fromiter(chain.from_iterable(own), np.int32).tobytes())
-                counts.append(np.fromiter(map(len, own), np.int32, len(own)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("bucket"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["slice", "bucket", "ids", "counts"])
+                out.append(_pack(_planes(np.fromiter(map(len, own), np.int32, len(own))), _planes(np.fromiter(chain.from_iterable(own), np.int32))))
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("bucket"), pa.array(out, pa.binary())], names=["slice", "bucket", "found"])
 
     return run
 
 
 def _join(texts: pa.Table, found: pa.Table) -> pa.Table:
-    """A slice's texts (doc_id, places) and its words' ids -> (doc_id, ids)."""
-    found = found.sort_by("bucket")
-    ids = np.frombuffer(b"".join(found["ids"].to_pylist()), np.int32)
-    count = np.frombuffer(b"".join(found["counts"].to_pylist()), np.int32).astype(np.int64)
+    """A slice's texts (turn, ids, packed places) and its words' ids -> (doc_id, ids)."""
+    parts = [_unpack(x) for x in found.sort_by("bucket")["found"].to_pylist()]
+    ids = np.concatenate([np.zeros(0, np.int64), *(_numbers(x[1]) for x in parts)]).astype(np.int32)
+    count = np.concatenate([np.zeros(0, np.int64), *(_numbers(x[0]) for x in parts)])
     start = np.cumsum(count) - count
-    out = []
-    for chunk in texts.to_batches(max_chunksize=256):
-        own = [np.frombuffer(x, np.int32) for x in chunk.column("places").to_pylist()]
-        places = np.concatenate(own)
+    texts = texts.sort_by("turn")
+    kind = texts.schema.field("ids").type.value_type
+    out, by_number, new = [], None, 0
+    for turn, doc_ids, packed in zip(texts["turn"].to_pylist(), texts["ids"], texts["packed"].to_pylist(), strict=True):
+        if turn < 0:  # words by number -> as they stand by bucket
+            order = np.argsort(_numbers(_unpack(packed)[0]), kind="stable")
+            by_number = np.empty(len(order), np.int64)
+            by_number[order] = np.arange(len(order))
+            continue
+        lengths, places = map(_numbers, _unpack(packed))
+        fresh = places == 0
+        places = by_number[np.where(fresh, new + np.cumsum(fresh), places) - 1]
+        new += int(fresh.sum())
         n = count[places]
         ends = np.append(0, np.cumsum(n))
         flat = ids[np.arange(ends[-1]) + np.repeat(start[places] - ends[:-1], n)]
-        offsets = ends[np.cumsum([0, *map(len, own)])]
-        out.append(pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["doc_id", "ids"]))
-    return pa.Table.from_batches(out, pa.schema([("doc_id", texts.schema.field("doc_id").type), ("ids", pa.list_(pa.int32()))]))
+        offsets = ends[np.append(0, np.cumsum(lengths))]
+        out.append(pa.RecordBatch.from_arrays([doc_ids.values, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["doc_id", "ids"]))
+    return pa.Table.from_batches(out, pa.schema([("doc_id", kind), ("ids", pa.list_(pa.int32()))]))
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -266,11 +327,11 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
     spark, model = docs.sparkSession, _read(model_path)
     kind = dict(docs.dtypes)["doc_id"]
-    dealt = materialize(docs.select("doc_id", "text").mapInArrow(_deal(model), f"slice long, doc_id {kind}, places binary, bucket int, words array<string>"))
-    n = parts(spark, dealt)
-    words = dealt.where("bucket IS NOT NULL").select("slice", "bucket", "words").repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = words.mapInArrow(_segment(model), "slice long, bucket int, ids binary, counts binary")
-    texts = dealt.where("places IS NOT NULL").select("slice", "doc_id", "places")
+    dealt = docs.select("doc_id", "text").mapInArrow(_deal(model), f"slice long, turn int, ids array<{kind}>, bucket int, packed binary")
+    dealt = bucketed(dealt, "slice", parts(spark, docs.select("doc_id", "text")))  # texts lie by slice already when the ids return
+    words = dealt.where("bucket IS NOT NULL").select("slice", "bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
+    found = words.mapInArrow(_segment(model), "slice long, bucket int, found binary")
+    texts = dealt.where("turn IS NOT NULL").select("slice", "turn", "ids", "packed")
     return texts.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(_join, f"doc_id {kind}, ids array<int>")
 
 
@@ -279,7 +340,9 @@ def _decode(model: bytes, at: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = _segmenter(model).text
         for batch in batches:
-            said = [None if x is None else text(x) for x in batch.column(at).to_pylist()]
+            ids = batch.column(at)
+            values, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            said = [text(values[a:b].tolist()) if there else None for a, b, there in zip(offsets, offsets[1:], ids.is_valid().to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], names=[str(k) for k in range(batch.num_columns + 1)])
 
     return run
