@@ -93,12 +93,17 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
 
 
 def chain(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) as trees without branches: each row replies to the one before it by turn, then role and text."""
+    """(conv_id, turn, role, text) as trees without branches: each row replies to the one before it by turn, then role and text.
+
+    Nulls come first in each order; rows without a conv_id are one conversation, which isn't that of an empty id. Repeated
+    rows are turns of their own. Other columns are left out; an empty table gives no rows.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     named = turns.select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(w))
-    name = lambda n: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), n.cast("string"))
+    # A null conversation isn't the one whose id is empty.
+    name = lambda n: F.concat_ws(":", F.when(F.col("conv_id").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string"))), n.cast("string"))
     return named.select(F.col("conv_id").alias("tree"), name(F.col("place")).alias("id"), F.when(F.col("place") > 1, name(F.col("place") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 

@@ -11,13 +11,16 @@ all rows.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructField, StructType
 
 from spanveil.llm.runtime import materialize, trimmed
 from spanveil.llm.words import U, group_bounds, pieces, text_buffer
@@ -204,27 +207,38 @@ def find(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, int]]
     return sorted((r, k, s, e, d) for (r, k), (d, s, e) in found.items())
 
 
-HITS = ArrayType(StructType([StructField("item_id", LongType()), StructField("start", LongType()), StructField("stop", LongType()), StructField("edits", IntegerType())]))
-_ARROW_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())]))
+def _hits(kind: DataType) -> ArrayType:
+    """What is found in a text: items by their ids, whatever type these have."""
+    return ArrayType(StructType([StructField("item_id", kind), StructField("start", LongType()), StructField("stop", LongType()), StructField("edits", IntegerType())]))
 
 
-def _mark(index, into: str):
+def _mark(index, into: str, kind: DataType, only: bool):
+    """Batches with what a block of items is found at; only: no other column but the row's number, and no rows without hits."""
+    as_arrow = to_arrow_type(_hits(kind))
+
     @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, names = index.value
         for batch in pieces(batches, rows=1 << 16):
-            hits = batch.column(into).to_pylist()
+            hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for r, k, s, e, d in find(own, batch.column("text")):
                 hits[r].append({"item_id": names[k], "start": s, "stop": e, "edits": d})
-            yield batch.set_column(batch.schema.get_field_index(into), into, pa.array(hits, _ARROW_HITS))
+            if only:
+                some = [r for r, h in enumerate(hits) if h]
+                yield pa.RecordBatch.from_arrays([batch.column(ROW).take(pa.array(some, pa.int64())), pa.array([hits[r] for r in some], as_arrow)], names=[ROW, into])
+            else:
+                yield batch.set_column(batch.schema.get_field_index(into), into, pa.array(hits, as_arrow))
 
     return run
 
 
+ROW = "__row"
+
+
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list]:
     """Items in blocks of at most `most` characters (one item at least); one block is held at a time."""
     block, room = [], most
-    for x in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator():
+    for x in benchmark.select("item_id", "text").where("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator():
         if block and room < len(x.text):
             yield block
             block, room = [], most
@@ -238,19 +252,34 @@ def find_items(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
     """All columns of docs with hits: benchmark items (item_id, text) found in the whole text, with UTF-8 byte spans.
 
     Items that normalise to fewer than q characters must occur exactly, between blanks; null and empty items never do.
-    Null and empty texts have no hits. Repeated rows repeat; items with equal texts are all reported. A column of docs
-    named as `into` is replaced. Blocks of items run one after another, each over what the last one has written, so
-    that the driver and a task hold one block's index whatever the size of the benchmark.
+    Null and empty texts have no hits. Repeated rows repeat; items with equal texts or ids are all reported. Ids of items
+    may be of any type that has an order. A column of docs named as `into` is replaced. Blocks of items run one after
+    another, so that the driver and a task hold one block's index whatever the size of the benchmark; with more than one,
+    the documents are numbered and written once, each block writes only the hits of the rows that it is found in, and the
+    hits are joined at the end.
     """
-    spark = docs.sparkSession
-    out, before = docs.drop(into).withColumn(into, F.array().cast(HITS)), None
-    for block in _blocks(benchmark, block_chars):
-        if before is not None:
-            out = materialize(out)
-            before.unpersist()
-        before = spark.sparkContext.broadcast((Index([t for _, t in block], q, rate), [i for i, _ in block]))
-        out = out.mapInArrow(_mark(before, into), out.schema)
-    return out
+    spark, kind = docs.sparkSession, benchmark.schema["item_id"].dataType
+    index = lambda block: spark.sparkContext.broadcast((Index([t for _, t in block], q, rate), [i for i, _ in block]))
+    out = docs.drop(into).withColumn(into, F.array().cast(_hits(kind)))
+    blocks = _blocks(benchmark, block_chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return out
+    if second is None:
+        return out.mapInArrow(_mark(index(first), into, kind, False), out.schema)
+    row = ROW
+    while row.lower() in (c.lower() for c in out.columns):
+        row += "_"
+    rows, found = materialize(out.drop(into).withColumn(row, F.monotonically_increasing_id())), []
+    numbered = rows.select(F.col(row).alias(ROW), "text")
+    for n, block in enumerate(itertools.chain([first, second], blocks)):
+        held = index(block)
+        hits = numbered.mapInArrow(_mark(held, into, kind, True), StructType([StructField(ROW, LongType()), StructField(into, _hits(kind))]))
+        found.append(materialize(hits.withColumn("block", F.lit(n))))
+        held.unpersist()
+    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", into))), lambda x: x[into]))
+    every = functools.reduce(DataFrame.unionByName, found).groupBy(ROW).agg(in_order.alias(into)).withColumnRenamed(ROW, row)
+    return rows.join(every, row, "left").withColumn(into, F.coalesce(into, F.array().cast(_hits(kind)))).select(*docs.drop(into).columns, into)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -78,7 +78,13 @@ def _set_names(code: np.ndarray, doc: np.ndarray, rows: int) -> tuple[np.ndarray
     return n, names[0].astype(np.int64), names[1].astype(np.int64)
 
 
-DEALT = "kind int, part int, slice long, width int, sizes binary, tokens binary, again binary"  # width: bytes of each size
+DEALT = "kind int, part int, slice long, width int, owners binary, tokens binary, again binary"  # width: bytes of each of the owners' numbers
+
+
+def _owners(doc: np.ndarray, width: int) -> bytes:
+    """Documents of a sorted run and how often each comes: as long as the documents that are in it, whatever the slice holds."""
+    at = group_bounds(doc)
+    return np.concatenate([doc[at], np.diff(np.append(at, len(doc)))]).astype(f"u{width}").tobytes()
 
 
 def _deal_slices(n: int, words: int):
@@ -100,35 +106,35 @@ def _deal_slices(n: int, words: int):
             alone = np.flatnonzero(~shared)
             alone = alone[np.argsort(part[alone], kind="stable")]  # by partition, then document
             token = code.astype(np.uint32)
-            edge = np.searchsorted(part[alone], np.arange(n + 1))
             twice = ordered[at[run_of > 1]]
-            twice_edge = np.searchsorted((twice * U(n) >> U(BITS)).astype(np.int64), np.arange(n + 1))
+            twice_part = (twice * U(n) >> U(BITS)).astype(np.uint32)
+            some = np.union1d(part[alone], twice_part)  # only partitions that get a shingle get a row
+            edge, twice_edge = (np.append(np.searchsorted(x, some), len(x)) for x in (part[alone], twice_part))
             column = batch.column("doc_id")
             ids, null = pc.fill_null(column, 0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
             slice_id = slice_name(turn, a, ids)
             meta = np.concatenate([[len(ids)], ids, null, size, a, b, inner]).astype(np.int64).tobytes()
-            some = [p for p in range(n) if edge[p] < edge[p + 1] or twice_edge[p] < twice_edge[p + 1]]
-            width = 2 if size.max(initial=0) < 1 << 16 else 4
-            sizes = [np.bincount(doc[alone[edge[p] : edge[p + 1]]], minlength=batch.num_rows).astype(f"u{width}") for p in some]
+            width = 2 if max(size.max(initial=0), batch.num_rows) < 1 << 16 else 4
+            owners = [_owners(doc[alone[a_:b_]], width) for a_, b_ in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([1] * len(some) + [2], pa.int32()),
-                    pa.array([*some, slice_id % n], pa.int32()),
+                    pa.array([*some.tolist(), slice_id % n], pa.int32()),
                     pa.array([slice_id] * (len(some) + 1), pa.int64()),
                     pa.array([width] * len(some) + [8], pa.int32()),
-                    pa.array([x.tobytes() for x in sizes] + [meta], pa.binary()),
-                    pa.array([token[alone[edge[p] : edge[p + 1]]].tobytes() for p in some] + [b""], pa.binary()),
-                    pa.array([twice[twice_edge[p] : twice_edge[p + 1]].astype(np.uint32).tobytes() for p in some] + [b""], pa.binary()),
+                    pa.array([*owners, meta], pa.binary()),
+                    pa.array([token[alone[edge[k] : edge[k + 1]]].tobytes() for k in range(len(some))] + [b""], pa.binary()),
+                    pa.array([twice[twice_edge[k] : twice_edge[k + 1]].astype(np.uint32).tobytes() for k in range(len(some))] + [b""], pa.binary()),
                 ],
-                names=["kind", "part", "slice", "width", "sizes", "tokens", "again"],
+                names=["kind", "part", "slice", "width", "owners", "tokens", "again"],
             )
 
     return run
 
 
 def _count_shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """One partition of shingles: for each slice, how many of each document's shingles another slice has too."""
-    out = [(r.slice, r.sizes, None) for r in rows[rows.kind == 2].itertuples()]
+    """One partition of shingles: for each slice, documents and how many of their shingles another slice has too."""
+    out = [(r.slice, r.owners, None) for r in rows[rows.kind == 2].itertuples()]
     own = rows[rows.kind == 1]
     tokens = [np.frombuffer(x, dtype=np.uint32) for x in own.tokens]
     again = [np.frombuffer(x, dtype=np.uint32) for x in own.again]
@@ -136,14 +142,14 @@ def _count_shared(rows: pd.DataFrame) -> pd.DataFrame:
     at = group_bounds(ordered)
     several = ordered[at[np.diff(np.append(at, len(ordered))) > 1]]
     known = np.sort(np.concatenate([several, *again]))
-    for slice_id, t, width, sizes in zip(own.slice, tokens, own.width, own.sizes, strict=True):
+    for slice_id, t, width, owners in zip(own.slice, tokens, own.width, own.owners, strict=True):
         if not len(t) or not len(known):
             continue
         hit = known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t
         if hit.any():
-            n = np.frombuffer(sizes, dtype=f"u{width}")
-            owner = np.repeat(np.arange(len(n)), n)
-            out.append((slice_id, None, np.bincount(owner[hit], minlength=len(n)).astype(np.int32).tobytes()))
+            docs, n = np.frombuffer(owners, dtype=f"u{width}").reshape(2, -1)
+            held = np.bincount(np.repeat(np.arange(len(docs)), n)[hit], minlength=len(docs))
+            out.append((slice_id, None, np.stack([docs[held > 0], held[held > 0]]).astype(np.int32).tobytes()))
     if len(ordered) > 1 << 20:
         trim()
     return pd.DataFrame(out, columns=["slice", "meta", "counts"])
@@ -155,7 +161,8 @@ def _join_counts(rows: pd.DataFrame) -> pd.DataFrame:
     ids, null, size, a, b, inner = meta[1:].reshape(6, n)
     total = inner.copy()
     for x in rows.counts[rows.counts.notna()]:
-        total += np.frombuffer(x, dtype=np.int32)
+        docs, held = np.frombuffer(x, dtype=np.int32).reshape(2, -1)
+        total[docs] += held
     return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64").copy() if not null.any() else pd.array([None if z else i for i, z in zip(ids, null, strict=True)], dtype="Int64"), "n": size, "a": a, "b": b, "shared": total})
 
 
@@ -309,8 +316,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK)
     """Rows of docs (doc_id, text) with n_shingles, component_id (the least doc_id reachable by links) and n_links (rows linked directly).
 
     A text of fewer words is one shingle, the whole sequence; a null or empty text has none and is linked with nothing.
-    Repeated rows repeat and are linked. A row without doc_id takes no part in naming components. An empty table gives
-    no rows. doc_id may be of any type that has an order; other columns are left out.
+    Repeated rows repeat and are linked. A row without doc_id is linked as any other and holds components together, but
+    gives none its name; a component of such rows alone has none. An empty table gives no rows. doc_id may be of any type
+    that has an order; one that isn't a whole number goes by its 64-bit hash, which isn't verified. Other columns are left
+    out.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
@@ -327,7 +336,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK)
     least = F.ceil(F.col("n") * percent / 100)
     maybe = known.where((F.col("n") > 0) & (F.col("shared") >= least))
     classes = materialize(maybe.groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    sets = rows.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "a long, b long, tokens array<long>")
+    # A class without any doc_id has no row to be looked up by: those rows are all looked at.
+    some = rows.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(rows.where("doc_id IS NULL"))
+    sets = some.mapInArrow(_sets(words), "a long, b long, tokens array<long>")
     sets = materialize(sets.join(classes.drop("doc_id"), ["a", "b"]).dropDuplicates(["node"]).select("node", "n", "copies", "tokens"))
     token = sets.select("node", "n", F.explode("tokens").alias("token"))
     often = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")

@@ -211,3 +211,45 @@ def test_failures_of_odd_texts(spark):
     got = sorted(((r.doc_id or 0), r.part, "".join(x for x in "ABCDE" if r[x])) for r in interactions.text_failures(docs).collect())
     assert got == sorted([(1, "", "AC"), (2, "s", "ACE"), (2, "s", "ACE"), (0, "s", "AC"), (3, "s", "A"), (4, "s", "AE"), (5, "s", ""), (6, "t", "B"), (7, "t", "D"), (8, "t", "AC")])
     assert interactions.text_failures(docs.limit(0)).count() == 0
+
+
+# rows that earlier rounds lost
+
+
+def test_null_and_empty_conversations_are_two(spark):
+    from spanveil.llm import chat
+
+    rows = [("", 0, "user", "of the empty id"), (None, 0, "user", "of none"), ("null", 0, "user", "of a word"), ("", 1, "assistant", "a" * 200_000), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumn("tree", F.lit("clash")).withColumn("id", F.lit(1))
+    got = {r.tree: chat.read_turns(r.text) for r in chat.format_conversations(chat.chain(df)).collect()}
+    assert got == {"": [("user", "of the empty id"), ("assistant", "a" * 200_000)], None: [("", ""), ("user", "of none")], "null": [("user", "of a word")]}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_without_ids_keep_their_links(spark, kind):
+    from spanveil.llm import jaccard
+
+    words = [f"w{k}" for k in range(200)]
+    change = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    rows = [(1, change(10, 30, 60, 85)), (None, change(60)), (2, change(60, 110, 150, 180)), (None, "alone and short"), (None, "p q r s t u"), (None, "p q r s t u"), (3, "p q r s t u v w x y z")]
+    # 1 and 2 are linked only by way of the row without an id
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    assert 100 * len(sets[0] & sets[2]) < 80 * len(sets[0] | sets[2]) and all(100 * len(sets[a] & sets[1]) >= 80 * len(sets[a] | sets[1]) for a in (0, 2))
+    df = spark.createDataFrame([(None if i is None else str(i) if kind == "string" else i, t) for i, t in rows], f"doc_id {kind}, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in jaccard.join(df).collect())
+    assert got == sorted([("1", 196, "1", 1), ("None", 196, "1", 2), ("2", 196, "1", 1), ("None", 1, "None", 0), ("None", 2, "None", 1), ("None", 2, "None", 1), ("3", 7, "3", 0)])
+
+
+def test_benchmark_items_of_any_id_in_any_blocks(spark):
+    from spanveil.llm import decontaminate
+
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    other = "seventeen green bottles were standing on a wall behind the old mill"
+    docs = spark.createDataFrame([(1, f"so {item} ended", 5), (1, f"so {item} ended", 5), (None, f"{other} and {item}", 6), (2, None, 7), (3, "", 8), (4, "nothing here " * 20_000, 9)], "doc_id long, text string, __row int").withColumn("block", F.lit("clash"))
+    bench = spark.createDataFrame([("a", item), ("b", other), ("a", item), ("c", None), (None, item), ("d", "")], "item_id string, text string")
+    for chars in (10**6, 1):
+        out = decontaminate.find_items(docs, bench, block_chars=chars)
+        assert out.columns == ["doc_id", "text", "__row", "block", "hits"]
+        got = sorted((r["__row"], sorted(h.item_id for h in r.hits)) for r in out.collect())
+        assert got == [(5, ["a", "a"]), (5, ["a", "a"]), (6, ["a", "a", "b"]), (7, []), (8, []), (9, [])]
+        assert sorted(r["__row"] for r in decontaminate.decontaminate(docs, bench, block_chars=chars).collect()) == [7, 8, 9]
