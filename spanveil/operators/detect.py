@@ -180,23 +180,6 @@ def detect_cached(requests: DataFrame, conversation: str = "conversation_id", te
     return out.withColumn("cached", F.col("at") > F.col("__first") if "at" in requests.columns else F.lit(None).cast("boolean")).drop("__key", "__first")
 
 
-def detect_growing(segments: DataFrame, **options) -> DataFrame:
-    """(conv_id, version, place, text) -> with entities and reused: what the version before has up to there is taken over, the rest is looked at.
-
-    A segment is known by the hashes of all segments up to its own, so a change cuts what follows; equal prefixes of all
-    versions of a conversation are looked at once.
-    """
-    from pyspark.sql import Window
-
-    upto = Window.partitionBy("conv_id", "version").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    hashed = segments.withColumn("__h", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    chained = hashed.withColumn("__chain", F.sha2(F.array_join(F.collect_list("__h").over(upto), "").cast("binary"), 256))
-    first = chained.groupBy("conv_id", "place", "__chain").agg(F.min("version").alias("__first"), F.min("text").alias("__text"))
-    known = settled(add_entities(first, "__text", **options).drop("__text"))
-    out = chained.join(known, ["conv_id", "place", "__chain"])
-    return out.withColumn("reused", F.col("version") > F.col("__first")).drop("__h", "__chain", "__first")
-
-
 def dictionary_table(rows: DataFrame, entries: DataFrame, text: str = "text", into: str = "entities", block: int = 200_000) -> DataFrame:
     """rows with hits of a dictionary that is a table (value, type) of any length, as dictionary_hits finds them.
 

@@ -5,21 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanveil.operators.ordered import first_after, reached
+from spanveil.operators.tables import settled
+
 # Fixed value: the mark before a sealed body, by which the format is known.
 MARK = "LMGV"
 
 
-def first_writers(puts: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
+def first_writers(puts: DataFrame, ttl_seconds: int = 1800, tie: str | None = None) -> DataFrame:
     """(request_id, created_at, ...) -> the puts that take effect: one is refused while an unexpired table of its id exists.
 
-    Each accepted put opens a window of ttl seconds; with the puts of one id in order, a fold keeps the accepted times.
+    Each accepted put opens a window of ttl seconds, and the next accepted one is the first after it: every put has one
+    successor, and the walk from an id's first put meets those that are accepted. Of puts of an id at one instant the one
+    of the least `tie` counts, without that column the one whose row is least as JSON; puts without request_id or
+    created_at are refused. An id of many puts is looked up and walked over many tasks; those of few, FEW at most, are
+    folded one id at a time, which gives the same.
     """
     stamp = F.unix_micros(F.col("created_at").cast("timestamp"))
-    times = puts.groupBy("request_id").agg(F.array_sort(F.collect_set(stamp)).alias("times"))
-    ttl = F.lit(ttl_seconds * 1_000_000)
+    keyed = puts.withColumn("__t", stamp).where("request_id IS NOT NULL AND __t IS NOT NULL")
+    times = settled(keyed.select(F.col("request_id").alias("key"), F.col("__t").alias("at")).distinct())
+    ttl = ttl_seconds * 1_000_000
+    hot = settled(times.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("key"))
+    if hot.isEmpty():
+        accepted = _folded(times, ttl)
+    else:
+        walked = settled(times.join(hot, "key", "left_semi"))
+        jumps = first_after(walked.withColumn("q", F.col("at") + ttl), walked.withColumnRenamed("at", "v")).select("key", "at", F.col("v").alias("to"))
+        accepted = _folded(times.join(hot, "key", "left_anti"), ttl).unionByName(reached(walked.groupBy("key").agg(F.min("at").alias("at")), jumps))
+    own = keyed.join(accepted.select(F.col("key").alias("request_id"), F.col("at").alias("__t")), ["request_id", "__t"])
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in puts.columns]), F.col(tie) if tie else F.to_json(F.struct(*[F.col(f"`{c}`") for c in puts.columns])))
+    return own.groupBy("request_id", "__t").agg(first.alias("__put")).select("__put.*", F.timestamp_micros(F.col("__t") + ttl).alias("expires_at"))
+
+
+FEW = 4096  # instants of an id that one row may hold
+
+
+def _folded(times: DataFrame, ttl: int) -> DataFrame:
+    """(key, at) that are accepted, of keys with few instants."""
     step = lambda acc, t: F.when((F.size(acc) == 0) | (t > F.try_element_at(acc, F.lit(-1)) + ttl), F.concat(acc, F.array(t))).otherwise(acc)
-    accepted = times.select("request_id", F.explode(F.aggregate("times", F.expr("cast(array() as array<bigint>)"), step)).alias("t"))
-    return puts.join(accepted, (puts.request_id == accepted.request_id) & (stamp == F.col("t"))).select(puts["*"], F.timestamp_micros(F.col("t") + ttl).alias("expires_at"))
+    taken = F.aggregate(F.array_sort(F.collect_list("at")), F.expr("cast(array() as array<bigint>)"), step)
+    return times.groupBy("key").agg(taken.alias("at")).select("key", F.explode("at").alias("at"))
 
 
 def live(tables: DataFrame, now: Column) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.functions import fixed
 from spanveil.functions import validators as V
-from spanveil.operators import backends, bodies, commands, reports, simulate, spans
+from spanveil.operators import backends, bodies, caches, commands, reports, simulate, spans
 from spanveil.operators import replace as R
-from spanveil.operators.detect import RULES, add_entities, detect, detect_cached, detect_growing, dictionary_table
+from spanveil.operators.detect import RULES, add_entities, detect, detect_cached, dictionary_table
 from spanveil.streaming import restore as S
 
 
@@ -57,6 +59,15 @@ def cached_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("conversation_id").alias("conv_id")).agg(F.sum(F.col("cached").cast("long")).alias("hits"), F.sum((~F.col("cached")).cast("long")).alias("misses"), F.sum(F.size("entities")).cast("long").alias("entities"))
 
 
+def stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over one stored cache: half of the turns, all of them, all under a new version, and all again when the first entries are 45 minutes old."""
+    rows = _requests(spark, sf_dir)
+    cache = caches.DetectionCache(spark, caches.folder_of(spark))
+    runs = [("half", rows.where("at % 2 = 0"), "0", "2024-01-01 00:00:00"), ("all", rows, "0", "2024-01-01 00:20:00"), ("new", rows, "1", "2024-01-01 00:21:00"), ("late", rows, "0", "2024-01-01 00:45:00")]
+    out = [cache.detect(r, now, version, rules=["email", "ipv4"]).withColumn("run", F.lit(name)) for name, r, version, now in runs]
+    return functools.reduce(DataFrame.unionByName, out).groupBy(F.col("conversation_id").alias("conv_id"), "run").agg(F.sum(F.col("cached").cast("long")).alias("hits"), F.sum((~F.col("cached")).cast("long")).alias("misses"), F.sum(F.size("entities")).cast("long").alias("entities"))
+
+
 def growing_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of a conversation: the second adds a segment and changes the last one of the first."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("place"), "text")
@@ -64,7 +75,7 @@ def growing_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = rows.withColumn("version", F.lit(1))
     edited = rows.join(last, "conv_id").withColumn("text", F.when(F.col("place") == F.col("last"), F.lit("now a@b.org")).otherwise(F.col("text"))).drop("last").withColumn("version", F.lit(2))
     added = last.select("conv_id", (F.col("last") + 1).alias("place"), F.lit("and 10.0.0.1").alias("text"), F.lit(2).alias("version"))
-    out = detect_growing(first.unionByName(edited).unionByName(added), rules=["email", "ipv4"])
+    out = caches.detect_growing(first.unionByName(edited).unionByName(added), rules=["email", "ipv4"])
     return out.groupBy("conv_id", "version").agg(F.sum(F.col("reused").cast("long")).alias("reused"), F.sum((~F.col("reused")).cast("long")).alias("scanned"), F.sum(F.size("entities")).cast("long").alias("entities"))
 
 
@@ -360,6 +371,11 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
         "cached_detection": f"""WITH turns AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS tid, coalesce(text, '') AS text FROM conversations), c AS ({counted}),
             t AS (SELECT conv_id, coalesce(text, '') AS text, coalesce(c.n, 0) AS n FROM conversations LEFT JOIN c ON c.id = CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR))
             SELECT conv_id, CAST(2 * count(*) - count(DISTINCT text) AS BIGINT) AS hits, count(DISTINCT text) AS misses, CAST(2 * sum(n) AS BIGINT) AS entities FROM t GROUP BY conv_id""",
+        "stored_cache": f"""WITH turns AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS tid, coalesce(text, '') AS text FROM conversations), c AS ({counted}),
+            t AS (SELECT conv_id, turn % 2 = 0 AS early, coalesce(text, '') AS text, coalesce(c.n, 0) AS n FROM conversations LEFT JOIN c ON c.id = CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)),
+            k AS (SELECT *, bool_or(early) OVER (PARTITION BY conv_id, text) AS old FROM t),
+            r AS (SELECT conv_id, 'half' AS run, n, FALSE AS hit FROM k WHERE early UNION ALL SELECT conv_id, 'all', n, old FROM k UNION ALL SELECT conv_id, 'new', n, FALSE FROM k UNION ALL SELECT conv_id, 'late', n, NOT old FROM k)
+            SELECT conv_id, run, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, CAST(sum(n) AS BIGINT) AS entities FROM r GROUP BY ALL""",
         "growing_detection": f"""WITH turns AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS tid, coalesce(text, '') AS text FROM conversations), c AS ({counted}),
             t AS (SELECT conv_id, turn, coalesce(c.n, 0) AS n, turn = max(turn) OVER (PARTITION BY conv_id) AS final FROM conversations LEFT JOIN c ON c.id = CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR))
             SELECT conv_id, 1 AS version, 0::BIGINT AS reused, count(*) AS scanned, CAST(sum(n) AS BIGINT) AS entities FROM t GROUP BY conv_id
@@ -394,5 +410,5 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
 
 
 def queries() -> dict:
-    names = (detect_full, detect_shaped, detect_allowed, cached_detection, growing_detection, dictionary_orders, simulated_documents, masked_documents, gate_bodies, restored_bodies, tool_params, replace_odd_keys, spliced_bodies, event_frames, byte_frames, chunk_texts, all_counters, latencies, gauges, percentile_nearest, entity_scores, quality_gate, judge_lines, judge_categories, judge_chain, small_functions)
+    names = (detect_full, detect_shaped, detect_allowed, cached_detection, stored_cache, growing_detection, dictionary_orders, simulated_documents, masked_documents, gate_bodies, restored_bodies, tool_params, replace_odd_keys, spliced_bodies, event_frames, byte_frames, chunk_texts, all_counters, latencies, gauges, percentile_nearest, entity_scores, quality_gate, judge_lines, judge_categories, judge_chain, small_functions)
     return {f.__name__: f for f in names}
