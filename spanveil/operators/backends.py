@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import queue
+import threading
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -24,17 +26,67 @@ PROBES = [
 ]
 
 
-def detect_by(rows: DataFrame, call: Callable[[list[str]], list[list[dict]]], text: str = "text", into: str = "entities", batch: int = 256) -> DataFrame:
+def in_batches(texts: list[str], most: int, most_bytes: int) -> Iterator[list[str]]:
+    """Texts in lists of bounded number and bytes; a longer text is alone."""
+    own: list[str] = []
+    size = 0
+    for t in texts:
+        n = len(t.encode("utf-8", "surrogatepass"))
+        if own and (len(own) == most or size + n > most_bytes):
+            yield own
+            own, size = [], 0
+        own.append(t)
+        size += n
+    if own:
+        yield own
+
+
+def within(call: Callable, deadline: float | None) -> Callable:
+    """call with a deadline in seconds: TimeoutError when it doesn't answer in time, whatever it waits for."""
+    if deadline is None:
+        return call
+
+    def run(*args):
+        answer: queue.Queue = queue.Queue(1)
+
+        def work() -> None:
+            try:
+                answer.put((True, call(*args)))
+            except BaseException as e:  # noqa: BLE001  handed to the caller
+                answer.put((False, e))
+
+        threading.Thread(target=work, daemon=True).start()
+        try:
+            fine, value = answer.get(timeout=deadline)
+        except queue.Empty:
+            raise TimeoutError(f"no answer within {deadline} seconds") from None
+        if not fine:
+            raise value
+        return value
+
+    return run
+
+
+def detect_by(rows: DataFrame, call: Callable[[list[str]], list[list[dict]]], text: str = "text", into: str = "entities", batch: int = 256, batch_bytes: int = 4 << 20, deadline: float | None = None) -> DataFrame:
     """Entities by a function that takes a list of texts (a request to a service, a model), resolved as the rules' are.
 
-    call is sent to the executors; a failure fails the task, so that no text passes unseen.
+    call is sent to the executors and gets lists of bounded number and bytes. A failure, an answer of another length or one
+    that doesn't come within the deadline fails the task, so that no text passes unseen.
     """
+    asked = within(call, deadline)
+
+    def answers(texts: list[str]) -> list[list[dict]]:
+        found = asked(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} answers to {len(texts)} texts")
+        return found
+
     kept = [f for f in rows.schema.fields if f.name != into]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame[text].fillna("").tolist()
-            found = [e for at in range(0, len(texts), batch) for e in call(texts[at : at + batch])]
+            found = [e for own in in_batches(texts, batch, batch_bytes) for e in answers(own)]
             yield frame.assign(**{into: found})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{into}` array<{ENTITY}>"
@@ -65,11 +117,12 @@ def read_answer(text: str | None) -> dict | None:
     return {"category": value["category"], "severity": number("severity", 0.0), "confidence": number("confidence", 1.0), "reasons": reasons}
 
 
-def judge_by(rows: DataFrame, call: Callable[[list[str]], list[str | None]], line: str = "line", into: str = "answer") -> DataFrame:
+def judge_by(rows: DataFrame, call: Callable[[list[str]], list[str | None]], line: str = "line", into: str = "answer", deadline: float | None = None) -> DataFrame:
     """Answers of a model to command lines, cut to the input limit; null where it fails or doesn't keep the contract.
 
-    Where a call for many fails, each of its lines is asked for alone.
+    Where a call for many fails, or gives no answer within the deadline, each of its lines is asked for alone.
     """
+    call = within(call, deadline)
 
     def tried(lines: list[str]) -> list[str | None]:
         try:

@@ -5,7 +5,7 @@ Neither puts the rows of a key into one array or one task: look-ups cut a key's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.operators.tables import settled
@@ -48,3 +48,37 @@ def reached(start: DataFrame, jumps: DataFrame, key: str = "key") -> DataFrame:
         again = far.select(key, F.col("at").alias("to"), F.col("to").alias("__further"))
         far = settled(far.join(again, [key, "to"]).select(key, "at", F.col("__further").alias("to")))
     return at
+
+
+CELL = 1 << 16  # rows of a key that one window holds
+
+
+def before(rows: DataFrame, order: list[str], amount: Column | None = None, key: str = "key", into: str = "i", cell: int | None = None) -> DataFrame:
+    """rows with the sum of a long amount over the rows before, in their key's order; the first column of the order is a long and not null.
+
+    Without an amount that is a row's place, from 0. A key's rows are summed in cells of the order's first column, which
+    hold as many rows as there are cells if they lie evenly, and a cell starts from what the cells before it hold.
+    """
+    spread = rows.groupBy(key).agg(F.min(order[0]).alias("__lo"), F.max(order[0]).alias("__hi"), F.count("*").alias("__n"))
+    width = F.floor((F.col("__hi") - F.col("__lo")) / F.ceil(F.sqrt("__n") if cell is None else F.col("__n") / cell)) + 1
+    cut = rows.join(spread.select(key, "__lo", width.alias("__width")), key).withColumn("__cell", F.floor((F.col(order[0]) - F.col("__lo")) / F.col("__width"))).drop("__lo", "__width")
+    cut = settled(cut.withColumn("__amount", F.lit(1).cast("long") if amount is None else amount))
+    ahead = F.coalesce(F.sum("__own").over(Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cut.groupBy(key, "__cell").agg(F.sum("__amount").alias("__own")).select(key, "__cell", ahead.alias("__before"))
+    inside = F.coalesce(F.sum("__amount").over(Window.partitionBy(key, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn(into, inside).join(cells, [key, "__cell"]).withColumn(into, (F.col(into) + F.col("__before")).cast("long")).drop("__cell", "__before", "__amount")
+
+
+def ranked(rows: DataFrame, order: list[str], key: str = "key", into: str = "i", cell: int | None = None) -> DataFrame:
+    """rows with their place (from 0) in their key's order."""
+    return before(rows, order, None, key, into, cell)
+
+
+def carried(rows: DataFrame, value: str, key: str = "key", at: str = "i", cell: int = CELL) -> DataFrame:
+    """rows (key, at: places without gaps) with the value replaced by the last one that isn't null, up to and including the row's own."""
+    cut = rows.withColumn("__cell", F.floor(F.col(at) / cell))
+    last = cut.where(F.col(value).isNotNull()).groupBy(key, "__cell").agg(F.max_by(value, at).alias("__last"))
+    cells = cut.select(key, "__cell").distinct().join(last, [key, "__cell"], "left")
+    cells = cells.select(key, "__cell", F.last("__last", ignorenulls=True).over(Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy(key, "__cell").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn(value, inside).join(cells, [key, "__cell"]).withColumn(value, F.coalesce(value, "__carry")).drop("__cell", "__carry")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Histogram bounds in seconds, classes of data.
 DETECT_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0]
@@ -146,16 +150,60 @@ def percentile(values: DataFrame, value: str, labels: list[str], q: float) -> Da
     return ranked(values, value, labels, F.floor(F.lit(q) * (F.col("n") - 1)))
 
 
-def greedy_match(labels: Column, found: Column) -> Column:
-    """For each label in order the first found entity of its type that overlaps it and isn't used; -1 if none."""
-    start = F.expr("cast(array() as array<int>)")
-    numbered = F.transform(found, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+class _Live:
+    """Finds of one type that aren't used yet, in their order: the first that reaches into an interval, in logarithmic time.
 
-    def step(used: Column, want: Column) -> Column:
-        fits = F.filter(numbered, lambda x: (x["e"]["type"] == want["type"]) & (x["e"]["start"] < want["end"]) & (want["start"] < x["e"]["end"]) & ~F.array_contains(used, x["i"]))
-        return F.concat(used, F.array(F.when(F.size(fits) > 0, F.get(fits, F.lit(0))["i"]).otherwise(-1)))
+    A tree over the finds holds the furthest end below each node. It answers for finds in order of their starts, as
+    detection gives them; finds in another order are looked through one by one.
+    """
 
-    return F.aggregate(labels, start, step)
+    def __init__(self, finds: list[tuple[int, int, int]]):  # (start, end, number)
+        self.finds = finds
+        self.starts = [s for s, _, _ in finds]
+        self.sorted = all(a <= b for a, b in zip(self.starts, self.starts[1:], strict=False))
+        self.leaves = 1 << max(0, len(finds) - 1).bit_length()
+        self.furthest = [-math.inf] * self.leaves + [e for _, e, _ in finds] + [-math.inf] * (self.leaves - len(finds))
+        for k in range(self.leaves - 1, 0, -1):
+            self.furthest[k] = max(self.furthest[2 * k], self.furthest[2 * k + 1])
+
+    def take(self, start: int, end: int) -> int:
+        """The number of the first find that overlaps, which is used from then on; -1 if none does."""
+        if self.sorted:
+            if self.furthest[1] <= start:
+                return -1
+            k = 1
+            while k < self.leaves:
+                k = 2 * k if self.furthest[2 * k] > start else 2 * k + 1
+            at = k - self.leaves
+            if self.starts[at] >= end:  # all later ones start further on
+                return -1
+        else:
+            at = next((i for i, (s, _, _) in enumerate(self.finds) if s < end and start < self.furthest[self.leaves + i]), -1)
+            if at < 0:
+                return -1
+            k = at + self.leaves
+        self.furthest[k] = -math.inf
+        while k > 1:
+            k //= 2
+            self.furthest[k] = max(self.furthest[2 * k], self.furthest[2 * k + 1])
+        return self.finds[at][2]
+
+
+def matched(labels, found) -> list[int] | None:
+    """For each label in order the number of the first found entity of its type that overlaps it and isn't used; -1 if none."""
+    if labels is None:
+        return None
+    by: dict[str, list[tuple[int, int, int]]] = {}
+    for n, e in enumerate(() if found is None else found):
+        by.setdefault(e["type"], []).append((e["start"], e["end"], n))
+    live = {k: _Live(v) for k, v in by.items()}
+    return [live[w["type"]].take(w["start"], w["end"]) if w["type"] in live else -1 for w in labels]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def greedy_match(labels: pd.Series, found: pd.Series) -> pd.Series:
+    """matched() of two columns of entities."""
+    return pd.Series([matched(a, b) for a, b in zip(labels, found, strict=True)], dtype=object)
 
 
 def detector_quality(cases: DataFrame, by: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.operators.ordered import first_after, reached
+from spanveil.operators.ordered import carried, first_after, ranked, reached
 from spanveil.operators.tables import settled
 
 # Fixed value: the mark before a sealed body, by which the format is known.
@@ -107,14 +107,29 @@ def recent(events: DataFrame, n: int | None = None, at: str = "at", tie: str = "
     return events.orderBy(F.desc(at), F.desc(tie)).limit(min(n, 200))
 
 
+CALLS = 1024  # calls of a stream that one row may hold
+
+
 def breaker(calls: DataFrame, failures: int = 5, cooldown_seconds: float = 10.0) -> DataFrame:
-    """(stream, at, ok) in order -> with allowed and state before the call.
+    """(stream, at, call_id, ok) in order of at, then call_id -> with allowed and state before the call.
 
     After `failures` failures in a row the breaker opens for the cooldown; the next call is a probe, which closes it or
-    opens it again. Calls refused don't count. The state is a fold over the ordered calls of a stream.
+    opens it again. Calls refused don't count. Streams of few calls are folded one by one. Of longer ones, every call has
+    one successor: the probe that would follow if it were a probe; the walk over these from the first time that the
+    breaker opens meets the calls that are probes, and what lies between two of them follows from the first. Rows
+    without a stream are one stream; at and ok are not null.
     """
-    fold = calls.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "call_id", "ok"))).alias("calls"))
-    cool = F.lit(int(cooldown_seconds * 1_000_000))
+    cool = int(cooldown_seconds * 1_000_000)
+    rows = calls.select("stream", F.to_json(F.struct("stream")).alias("key"), F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "call_id", "ok")
+    hot = settled(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CALLS).select("key"))
+    if hot.isEmpty():
+        return _breaker_folded(rows, failures, cool)
+    long = settled(rows.join(hot, "key", "left_semi"))
+    return _breaker_folded(rows.join(hot, "key", "left_anti"), failures, cool).unionByName(_breaker_walked(long, failures, cool))
+
+
+def _breaker_folded(rows: DataFrame, failures: int, cool: int) -> DataFrame:
+    fold = rows.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("t", "call_id", "ok"))).alias("calls"))
     empty = F.struct(F.lit(0).alias("bad"), F.lit(None).cast("bigint").alias("opened"), F.expr("cast(array() as array<struct<call_id:bigint,state:string,allowed:boolean>>)").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -125,3 +140,26 @@ def breaker(calls: DataFrame, failures: int = 5, cooldown_seconds: float = 10.0)
         return F.struct(bad.cast("int").alias("bad"), opened.alias("opened"), F.concat(acc["out"], F.array(F.struct(c["call_id"].alias("call_id"), state.alias("state"), allowed.alias("allowed")))).alias("out"))
 
     return fold.select("stream", F.explode(F.aggregate("calls", empty, step)["out"]).alias("x")).select("stream", "x.*")
+
+
+def _breaker_walked(rows: DataFrame, failures: int, cool: int) -> DataFrame:
+    placed = settled(ranked(rows, ["t", "call_id", "ok"]))
+    good = carried(placed.select("key", "i", "t", "ok", F.when(F.col("ok"), F.col("i")).alias("good")), "good")
+    # the calls at which a breaker that was closed since `since` opens: so many failures in a row, the first not before it
+    trips = settled(good.where(F.col("i") - F.coalesce("good", F.lit(-1)) >= failures).select("key", (F.col("i") - failures + 1).alias("v"), F.col("i").alias("trip")))
+    first_at = placed.groupBy("key", "t").agg(F.min("i").alias("probe"))
+    times = first_at.select("key", F.col("t").alias("v"))
+    after = first_after(placed.where("NOT ok").select("key", "i", (F.col("t") + cool - 1).alias("q")), times).select("key", "i", F.col("v").alias("t"))
+    after = settled(after.join(first_at, ["key", "t"], "left").select("key", F.col("i").alias("trip"), "probe"))  # a failure that opens, and the call that probes
+    closed = placed.where("ok").select("key", "i", F.col("i").alias("q")).unionByName(placed.where("i = 0").select("key", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("q")))
+    opens = first_after(closed, trips.select("key", "v")).select("key", "i", (F.col("v") + failures - 1).alias("trip"))
+    opens = settled(opens.join(after, ["key", "trip"], "left").select("key", "i", "trip", "probe"))  # -1: from the start
+    jumps = opens.where("i >= 0").select("key", F.col("i").alias("at"), F.col("probe").alias("to")).unionByName(after.select("key", F.col("trip").alias("at"), F.col("probe").alias("to")))
+    probes = reached(opens.where("i = -1 AND probe IS NOT NULL").select("key", F.col("probe").alias("at")), jumps)
+    marks = probes.select("key", F.col("at").alias("i"), F.lit(True).alias("probed")).join(placed.select("key", "i", "ok"), ["key", "i"])
+    marks = marks.join(opens.select("key", "i", "trip"), ["key", "i"], "left").select("key", "i", F.struct(F.col("i").alias("p"), F.col("ok").alias("closes"), "trip").alias("mark"))
+    start = opens.where("i = -1").select("key", F.col("trip").alias("first"))
+    out = carried(placed.join(marks, ["key", "i"], "left"), "mark").join(start, "key")
+    still = lambda trip: F.col(trip).isNull() | (F.col("i") <= F.col(trip))
+    state = F.when(F.col("mark").isNull(), F.when(still("first"), "closed").otherwise("open")).when(F.col("mark.p") == F.col("i"), "half_open").when(F.col("mark.closes") & still("mark.trip"), "closed").otherwise("open")
+    return out.select("stream", F.col("call_id").cast("long").alias("call_id"), state.alias("state"), (state != "open").alias("allowed"))

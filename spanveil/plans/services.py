@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import fixed
 from spanveil.functions import validators as V
-from spanveil.operators import backends, bodies, caches, commands, reports, simulate, spans
+from spanveil.operators import backends, bodies, caches, commands, reports, simulate, spans, stores
 from spanveil.operators import replace as R
 from spanveil.operators.detect import RULES, add_entities, detect, detect_cached, dictionary_table
+from spanveil.sources import io
 from spanveil.streaming import restore as S
 
 
@@ -86,6 +87,24 @@ def dictionary_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary_table(rows, entries).select("id", F.explode("entities").alias("e")).select("id", "e.type", "e.value", "e.start", "e.end")
 
 
+def mapping_store_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One id that all puts go to: each put's successor is looked up, and a walk meets those that take effect."""
+    puts = table(spark, sf_dir, "events").select(F.lit("one").alias("request_id"), F.col("ts").alias("created_at"), "event_id")
+    return stores.first_writers(puts, 3600, "event_id").select("event_id", "created_at", "expires_at")
+
+
+def circuit_breaker_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams that all calls belong to."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("stream"), F.col("ts").alias("at"), F.col("event_id").alias("call_id"), (F.col("event_type") == "view").alias("ok"))
+    return stores.breaker(e, 3, 3600).select("stream", "call_id", "state", "allowed")
+
+
+def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit records in files that are cut by bytes."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+    return io.rotated(e, "ts", 50_000).groupBy("file").agg(F.count("*").alias("records"), F.sum(F.octet_length("line") + 1).cast("long").alias("bytes"), F.min(F.md5(F.col("line").cast("binary"))).alias("least_md5"))
+
+
 def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select((F.col("doc_id") % 50).alias("request_id"), F.col("doc_id").alias("seq"), "text", detect(F.col("text"), ["email"]).alias("entities"))
@@ -380,6 +399,17 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
             t AS (SELECT conv_id, turn, coalesce(c.n, 0) AS n, turn = max(turn) OVER (PARTITION BY conv_id) AS final FROM conversations LEFT JOIN c ON c.id = CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR))
             SELECT conv_id, 1 AS version, 0::BIGINT AS reused, count(*) AS scanned, CAST(sum(n) AS BIGINT) AS entities FROM t GROUP BY conv_id
             UNION ALL SELECT conv_id, 2, count(*) - 1, 2::BIGINT, CAST(2 + coalesce(sum(n) FILTER (NOT final), 0) AS BIGINT) FROM t GROUP BY conv_id""",
+        "mapping_store_hot": """WITH p AS (SELECT epoch_us(ts) AS t, min(event_id) AS event_id FROM events GROUP BY ALL), a AS (SELECT list(t ORDER BY t) AS ts FROM p),
+            f AS (SELECT unnest(list_reduce(list_transform(ts, lambda x: [x]), lambda acc, x: CASE WHEN x[1] > acc[len(acc)] + 3600000000 THEN list_concat(acc, x) ELSE acc END)) AS t FROM a)
+            SELECT event_id, make_timestamp(t) AS created_at, make_timestamp(t + 3600000000) AS expires_at FROM f JOIN p USING (t)""",
+        "circuit_breaker_hot": """WITH RECURSIVE c AS (SELECT user_id % 2 AS stream, epoch_us(ts) AS t, event_id, event_type = 'view' AS ok, row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) AS i FROM events),
+            f AS (SELECT stream, 0::BIGINT AS i, 0::BIGINT AS bad, NULL::BIGINT AS opened, NULL::VARCHAR AS state, NULL::BIGINT AS call_id FROM c GROUP BY stream
+              UNION ALL SELECT stream, i, CASE WHEN state = 'open' THEN bad WHEN ok THEN 0 ELSE bad + 1 END, CASE WHEN state = 'open' THEN opened WHEN ok THEN NULL WHEN state = 'half_open' OR bad + 1 >= 3 THEN t ELSE opened END, state, event_id
+              FROM (SELECT c.stream, c.i, c.t, c.ok, c.event_id, f.bad, f.opened, CASE WHEN f.opened IS NULL THEN 'closed' WHEN c.t - f.opened < 3600000000 THEN 'open' ELSE 'half_open' END AS state FROM f JOIN c ON c.stream = f.stream AND c.i = f.i + 1))
+            SELECT stream, CAST(call_id AS BIGINT) AS call_id, state, state <> 'open' AS allowed FROM f WHERE i > 0""",
+        "audit_files": """WITH l AS (SELECT ts, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '","schema_version":"1"}' AS line FROM events),
+            p AS (SELECT line, strlen(line) + 1 AS size, coalesce(sum(strlen(line) + 1) OVER (ORDER BY ts, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l)
+            SELECT CAST(place // 50000 AS BIGINT) AS file, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes, min(md5(line)) AS least_md5 FROM p GROUP BY 1""",
         "dictionary_orders": """SELECT o_orderkey AS id, 'zh_person_name' AS type, 'CUSTOMER#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS value, 8::INT AS "start", 26::INT AS "end" FROM orders JOIN customer ON c_custkey = o_custkey
             UNION ALL SELECT o_orderkey, 'plate', o_orderpriority, 45::INT, CAST(45 + strlen(o_orderpriority) AS INT) FROM orders""",
         "simulated_documents": f"""WITH e AS ({rule_sql("documents", "email")}), v AS (SELECT id % 50 AS request_id, count(DISTINCT value) AS "values" FROM e GROUP BY 1) SELECT request_id, "values", TRUE AS domains_ok, TRUE AS restored_ok FROM v""",
@@ -410,5 +440,5 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
 
 
 def queries() -> dict:
-    names = (detect_full, detect_shaped, detect_allowed, cached_detection, stored_cache, growing_detection, dictionary_orders, simulated_documents, masked_documents, gate_bodies, restored_bodies, tool_params, replace_odd_keys, spliced_bodies, event_frames, byte_frames, chunk_texts, all_counters, latencies, gauges, percentile_nearest, entity_scores, quality_gate, judge_lines, judge_categories, judge_chain, small_functions)
+    names = (detect_full, detect_shaped, detect_allowed, cached_detection, stored_cache, growing_detection, mapping_store_hot, circuit_breaker_hot, audit_files, dictionary_orders, simulated_documents, masked_documents, gate_bodies, restored_bodies, tool_params, replace_odd_keys, spliced_bodies, event_frames, byte_frames, chunk_texts, all_counters, latencies, gauges, percentile_nearest, entity_scores, quality_gate, judge_lines, judge_categories, judge_chain, small_functions)
     return {f.__name__: f for f in names}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanveil.operators.ordered import before
+
 ENTITY_LABEL = "array<struct<type:string,value:string,start:int,end:int>>"
 DETECTOR_CASE = f"id string, subset string, text string, expect {ENTITY_LABEL}"
 COMMAND_CASE = "name string, descriptor struct<kind:string,phase:string,tool:string,command:string,target:string>, want string, note string"
@@ -85,6 +87,33 @@ def write_audit(events: DataFrame, path: str, records_per_file: int = 1_000_000)
     events.withColumn("schema_version", version).write.mode("append").option("maxRecordsPerFile", records_per_file).json(path)
 
 
+def rotated(events: DataFrame, at: str, limit: int, keep: int | None = None) -> DataFrame:
+    """(line, file, at, place) of audit records in order of time: files are numbered from 0 on, and the next begins where one has reached `limit` bytes.
+
+    A record's file follows from the bytes of all records before it, which are summed in cells of time and not in one task;
+    so a file is over the limit by less than a record. keep: only so many of the last files. Records without a time come
+    first; of equal times those of lesser text.
+    """
+    version = F.coalesce("schema_version", F.lit("1")) if "schema_version" in events.columns else F.lit("1")
+    stamp = F.unix_micros(F.col(at).cast("timestamp"))
+    lines = events.withColumn("schema_version", version).select(stamp.isNotNull().alias("key"), F.coalesce(stamp, F.lit(0)).alias("at"), F.to_json(F.struct(*events.columns, *(["schema_version"] if "schema_version" not in events.columns else []))).alias("line"))
+    size = (F.octet_length("line") + 1).cast("long")
+    placed = before(lines, ["at", "line"], size, into="place")
+    timeless = F.broadcast(placed.agg(F.coalesce(F.sum(F.when(~F.col("key"), size)), F.lit(0)).alias("ahead")))  # one row
+    placed = placed.join(timeless).withColumn("place", F.col("place") + F.when(F.col("key"), F.col("ahead")).otherwise(0))
+    out = placed.select("line", F.floor(F.col("place") / limit).cast("long").alias("file"), F.when(F.col("key"), F.col("at")).alias("at"), "place")
+    if keep is not None:
+        last = out.agg(F.max("file").alias("last"))
+        out = out.join(F.broadcast(last), F.col("file") > F.col("last") - keep).drop("last")  # one row
+    return out
+
+
+def write_rotated(events: DataFrame, path: str, at: str = "timestamp", limit: int = 64 << 20, keep: int | None = 3) -> None:
+    """Audit records as JSON lines, a folder file=n of one file for each; a task writes one file's bytes at a time."""
+    out = rotated(events, at, limit, keep)
+    out.repartition("file").sortWithinPartitions("file", "place").select("line", "file").write.mode("overwrite").partitionBy("file").text(path)
+
+
 def stream_audit(events: DataFrame, path: str, checkpoint: str):
     """The same as a stream."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -52,3 +52,39 @@ def test_first_writers_with_ties_nulls_and_a_hot_id(spark, monkeypatch, few):
         assert sorted((r.request_id, r.created_at, r.name) for r in got) == plain_writers(puts, 1800)
         assert all(r.expires_at == r.created_at + timedelta(seconds=1800) for r in got)
     assert stores.first_writers(df.limit(0)).count() == 0 and df.where(F.col("request_id").isNull()).count() == 1
+
+
+def plain_breaker(calls, failures, cool):
+    out, state = {}, {}
+    for stream, at, call_id, ok in sorted(calls, key=lambda c: (c[1], c[2], c[3])):
+        bad, opened = state.get(stream, (0, None))
+        name = "closed" if opened is None else "open" if (at - opened).total_seconds() < cool else "half_open"
+        out[stream, call_id] = (name, name != "open")
+        if name != "open":
+            bad = 0 if ok else bad + 1
+            opened = None if ok else at if name == "half_open" or bad >= failures else opened
+        state[stream] = bad, opened
+    return out
+
+
+@pytest.mark.parametrize(("share", "failures", "cool"), [(0.5, 3, 60), (0.05, 5, 600), (1.0, 2, 100), (0.7, 1, 7), (0.0, 3, 10)])
+def test_a_long_stream_of_calls_is_a_plain_machine(spark, monkeypatch, share, failures, cool):
+    monkeypatch.setattr(stores, "CALLS", 100)
+    rng = random.Random(int(share * 10))
+    at, calls = START, []
+    for k in range(3000):
+        at += timedelta(seconds=rng.choice([0, 0, 1, 1, 5, 90 if rng.random() < 0.05 else 2]))
+        calls.append(("hot" if k % 3 else None, at, k, rng.random() >= share))
+    calls += [("short", START + timedelta(seconds=k), k, False) for k in range(9)] + [("good", START, k, True) for k in range(150)]
+    df = spark.createDataFrame(calls, "stream string, at timestamp, call_id long, ok boolean").repartition(6)
+    got = {(r.stream, r.call_id): (r.state, r.allowed) for r in stores.breaker(df, failures, cool).collect()}
+    assert got == plain_breaker(calls, failures, cool)
+
+
+def test_places_and_carried_values(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(50), n) for k, m in (("a", 300), ("b", 1), ("c", 40)) for n in range(m)]
+    placed = ordered.ranked(spark.createDataFrame(rows, "key string, t long, n int"), ["t", "n"])
+    assert sorted((r.key, r.i, r.t, r.n) for r in placed.collect()) == sorted((k, i, t, n) for k in "abc" for i, (t, n) in enumerate(sorted((t, n) for kk, t, n in rows if kk == k)))
+    given = placed.select("key", "i", F.when(F.col("i") % 7 == 3, F.col("i")).alias("v"))
+    assert all(r.v == (None if r.i < 3 else r.i - (r.i - 3) % 7) for r in ordered.carried(given, "v", cell=10).collect())

@@ -146,3 +146,23 @@ def test_stream_of_events_lets_go_what_it_holds(spark, tmp_path):
     out = run(S.restoring(given, known, "frame", 3000), "restored_events", tmp_path / "c", lambda got: any(r.seq == -1 for r in got), spark)
     got = {(r.stream_id, r.seq): (r.restored, r.orphans) for r in out}
     assert got == {("s", 0): (event("x "), 0), ("s", 1): (event("Bob! "), 0), ("s", 2): (f"{event('<<')}\n\ndata: [DONE]", 1), ("cut", 0): (event("x "), 0), ("cut", 1): (event("Eve! "), 0), ("cut", -1): (event("<<"), 1)}
+
+
+def test_breaker_over_batches(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from spanveil.operators import stores
+    from spanveil.streaming import breaker
+
+    (tmp_path / "in").mkdir()
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    calls = [{"stream": "ab"[k % 2], "at": (start + timedelta(seconds=k)).isoformat(), "call_id": k, "ok": rng.random() < 0.5} for k in range(60)]
+    for n in range(3):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(map(json.dumps, calls[20 * n : 20 * n + 20])))
+        time.sleep(0.05)  # files are read in order of their times
+    schema = "stream string, at timestamp, call_id long, ok boolean"
+    given = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = run(breaker.breaking(given, 2, 7), "breaker_out", tmp_path / "c", lambda got: len({r.call_id for r in got if r.call_id >= 0}) == 60, spark)
+    want = {r.call_id: (r.state, r.allowed) for r in stores.breaker(spark.read.schema(schema).json(str(tmp_path / "in")), 2, 7).collect()}
+    assert {r.call_id: (r.state, r.allowed) for r in out if r.call_id >= 0} == want and {s for s, _ in want.values()} == {"closed", "open", "half_open"}
