@@ -47,7 +47,8 @@ def _part(text: Column, pattern: str, own: str, to_entity, hint: Column) -> Colu
 
 
 def _secrets(text: Column) -> Column:
-    pattern = f"(?i:{fixed.WORD}{fixed.KEY_WORDS}{fixed.WORD}){fixed.KEY_JOINT}{fixed.KEY_VALUE}"
+    # Words begin and end with letters, so a boundary is what stands beside them; the first letter is asked for first.
+    pattern = f"(?=[AaSsPpTt])(?<![0-9A-Za-z_])(?i:{fixed.KEY_WORDS})(?![0-9A-Za-z_]){fixed.KEY_JOINT}{fixed.KEY_VALUE}"
     own = f"^(?i:{fixed.KEY_WORDS}){fixed.KEY_JOINT}({fixed.KEY_VALUE})$"
 
     def make(m: Column) -> Column:
@@ -118,6 +119,18 @@ RULES = {
 }
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where reading them gives less than half as many tasks: looking at a text costs far more than moving it.
+
+    Files of one block can't be split, whatever their number of tasks says; large tables are left as they are read.
+    """
+    spark = rows.sparkSession
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return rows.repartition(cores) if size // each + 1 <= cores // 2 else rows
+
+
 def scan(text: Column, rules: list[str] | None = None) -> Column:
     """Entities of the named rules (all by default), rule by rule, unresolved."""
     return F.concat(*[RULES[r](text) for r in (RULES if rules is None else rules)])

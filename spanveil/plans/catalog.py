@@ -14,7 +14,7 @@ from spanveil.functions import fixed
 from spanveil.functions import validators as V
 from spanveil.operators import bodies, commands, conversations, reports, simulate, spans, stores
 from spanveil.operators import replace as R
-from spanveil.operators.detect import add_entities, detect, detect_with_dictionary
+from spanveil.operators.detect import add_entities, detect, detect_with_dictionary, spread
 from spanveil.plans import services
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,7 +98,7 @@ def rule_sql(source: str, rule: str) -> str:
 def rule_query(source: str, rules: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         name, key, text = INPUTS[source]
-        rows = table(spark, sf_dir, name).selectExpr(f"{key} as id", f"{text} as text")
+        rows = spread(table(spark, sf_dir, name).selectExpr(f"{key} as id", f"{text} as text"))
         return rows.select("id", F.explode(detect(F.col("text"), rules, {})).alias("e")).select("id", "e.*")
 
     return run
@@ -188,7 +188,7 @@ _DICTIONARY_SQL = """
 
 
 def _documents_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select((F.col("doc_id") % 50).alias("request_id"), F.col("doc_id").alias("seq"), "text", detect(F.col("text"), ["email", "ipv4", "card", "key_value"]).alias("entities"))
 
 

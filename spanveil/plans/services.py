@@ -11,7 +11,7 @@ from spanveil.functions import fixed
 from spanveil.functions import validators as V
 from spanveil.operators import backends, bodies, caches, commands, reports, simulate, spans, stores
 from spanveil.operators import replace as R
-from spanveil.operators.detect import RULES, add_entities, detect, detect_cached, dictionary_table
+from spanveil.operators.detect import RULES, add_entities, detect, detect_cached, dictionary_table, spread
 from spanveil.sources import io
 from spanveil.streaming import restore as S
 
@@ -22,19 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def detect_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over whole documents, under the fixed thresholds, overlaps resolved."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("id"), F.explode(detect(F.col("text"))).alias("e")).select("id", "e.*")
 
 
 def detect_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the second look at numbers written with separators, by type."""
-    found = add_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = add_entities(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.type", "e.value", "e.start", "e.end")
 
 
 def detect_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An allow-list and own thresholds: of what overlaps, only what passes counts."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = detect(F.col("text"), list(RULES), {"email": 0.95, "url": 0.2, "credit_card": 0.9}, ["email", "url", "credit_card", "ip_address"])
     return docs.select(F.col("doc_id").alias("id"), F.explode(found).alias("e")).select("id", "e.type", "e.value", "e.start", "e.end")
 
@@ -106,7 +106,7 @@ def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select((F.col("doc_id") % 50).alias("request_id"), F.col("doc_id").alias("seq"), "text", detect(F.col("text"), ["email"]).alias("entities"))
 
 
