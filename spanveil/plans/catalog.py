@@ -5,6 +5,7 @@ Where no table holds a form, inputs are built from key columns by one SQL expres
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,10 @@ INPUTS = {
     "turns": ("turns", "tid", "text"),
 }
 
+# Long documents in which every family of rules has something to find, and things that look like it.
+_FAMILIES = ("phones", "cards", "ids", "old_ids", "dates", "ssns", "keys", "pairs", "plates", "addresses", "emails")
+INPUTS["families"] = ("documents", "doc_id", "coalesce(text, '')" + "".join(f" || ' ; ' || {re.sub('[cos]_(?:cust|order|supp)key', 'doc_id', INPUTS[k][2])}" for k in _FAMILIES) + " || ' see http://h' || cast(doc_id as string) || '.example.org/a?b=c'")
+
 _B = r"\b"
 
 
@@ -173,6 +178,29 @@ _SHAPES_SQL = f"""WITH w AS (SELECT c_custkey AS id, {_WRITTEN} AS written, c_cu
            CAST(4 + card::INT AS INT) AS "start", CAST(4 + strlen(written) AS INT) AS "end" FROM c"""
 
 
+def detect_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over long documents in which all families occur, overlaps resolved."""
+    name, key, text = INPUTS["families"]
+    rows = spread(table(spark, sf_dir, name).selectExpr(f"{key} as id", f"{text} as text"))
+    return rows.select("id", F.explode(detect(F.col("text"))).alias("e")).select("id", "e.*")
+
+
+# What a document says but for its digits, and a number written with separators or at full width behind it.
+_PREFIX = "translate(coalesce(text, ''), '0123456789', '##########') || ' '"
+
+
+def shaped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second look inside long documents."""
+    rows = spread(table(spark, sf_dir, "documents").selectExpr("doc_id as id", f"{_PREFIX} || {_SHAPED.replace('c_custkey', 'doc_id')}"))
+    return add_entities(rows, rules=["phone", "card"]).select("id", F.explode("entities").alias("e")).select("id", "e.type", "e.value", "e.start", "e.end")
+
+
+_SHAPED_SQL = f"""WITH w AS (SELECT doc_id AS id, strlen({_PREFIX}) AS shift, {_WRITTEN.replace("c_custkey", "doc_id")} AS written, doc_id % 6 AS k, '86186' || '1234' || {_TAIL.replace("c_custkey", "doc_id")} AS value FROM documents WHERE doc_id % 6 <> 2),
+    c AS (SELECT id, shift, written, k = 3 AND {_LUHN} AS card FROM w)
+    SELECT id, CASE WHEN card THEN 'zh_bank_card' ELSE 'zh_phone' END AS type, CASE WHEN card THEN written[2:] ELSE written END AS value,
+           CAST(shift + 4 + card::INT AS INT) AS "start", CAST(shift + 4 + strlen(written) AS INT) AS "end" FROM c"""
+
+
 def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("to "), F.lower("n_name"), F.lit(" and CHINA or ["), "n_name", F.lit("] a@b.com")).alias("text"))
     return rows.select("id", F.explode(detect_with_dictionary(F.col("text"), {"China": "zh_address", "FRANCE": "plate", "b.com": "token"}, rules=["email"])).alias("e")).select("id", "e.*")
@@ -406,7 +434,7 @@ _QUALITY_SQL = "WITH n AS (SELECT count(*) FILTER (c_custkey % 4 IN (0, 1)) AS t
 def queries() -> dict[str, Query]:
     own: dict[str, Query] = {k: rule_query(s, r) for k, (s, r, _) in RULE_QUERIES.items()}
     own["rule_name"] = rule_query("names", ["name"])
-    for f in (resolve_spans, scalar_functions, shapes_numbers, dictionary_scan, replace_mapping, restore_round_trip, fates, mapping_store, restorable_tables, cache_stats, conversation_roots, conversation_increments, traffic, recent_events, circuit_breaker, compliance_gdpr, compliance_security, compliance_default, latency_histogram, latency_percentile, request_counters, judge_commands, judge_report, split_commands, message_bodies, redact_bodies, tool_calls, simulated_values, sealed_values, quality_report):
+    for f in (resolve_spans, scalar_functions, shapes_numbers, detect_families, shaped_documents, dictionary_scan, replace_mapping, restore_round_trip, fates, mapping_store, restorable_tables, cache_stats, conversation_roots, conversation_increments, traffic, recent_events, circuit_breaker, compliance_gdpr, compliance_security, compliance_default, latency_histogram, latency_percentile, request_counters, judge_commands, judge_report, split_commands, message_bodies, redact_bodies, tool_calls, simulated_values, sealed_values, quality_report):
         own[f.__name__] = f
     return own | services.queries()
 
@@ -418,6 +446,7 @@ def oracle_sql() -> dict[str, str]:
         "resolve_spans": _RESOLVE_SQL,
         "scalar_functions": _SCALAR_SQL,
         "shapes_numbers": _SHAPES_SQL,
+        "shaped_documents": _SHAPED_SQL,
         "dictionary_scan": _DICTIONARY_SQL,
         "replace_mapping": _MAPPING_SQL,
         "restore_round_trip": "SELECT doc_id, TRUE AS same FROM documents",

@@ -386,6 +386,7 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
     counted = f"SELECT id, count(*) AS n FROM ({both('turns', '')}) GROUP BY id"
     return {
         "detect_full": _resolved_sql(union, f"score >= CASE type {limits} ELSE {fixed.DEFAULT_THRESHOLD} END", ", e.p AS score"),
+        "detect_families": _resolved_sql(" UNION ALL ".join(f"(SELECT *, {n} AS n FROM ({rule_sql('families', r)}))" for n, r in enumerate(rules)), f"score >= CASE type {limits} ELSE {fixed.DEFAULT_THRESHOLD} END", ", e.p AS score"),
         "detect_allowed": _resolved_sql(union, "type IN ('email', 'url', 'credit_card', 'ip_address') AND score >= CASE type WHEN 'email' THEN 0.95 WHEN 'url' THEN 0.2 WHEN 'credit_card' THEN 0.9 ELSE 0.5 END", ""),
         "cached_detection": f"""WITH turns AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS tid, coalesce(text, '') AS text FROM conversations), c AS ({counted}),
             t AS (SELECT conv_id, coalesce(text, '') AS text, coalesce(c.n, 0) AS n FROM conversations LEFT JOIN c ON c.id = CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR))
