@@ -67,18 +67,24 @@ def within(call: Callable, deadline: float | None) -> Callable:
     return run
 
 
-def detect_by(rows: DataFrame, call: Callable[[list[str]], list[list[dict]]], text: str = "text", into: str = "entities", batch: int = 256, batch_bytes: int = 4 << 20, deadline: float | None = None) -> DataFrame:
+def detect_by(rows: DataFrame, call: Callable[[list[str]], list[list[dict]]], text: str = "text", into: str = "entities", batch: int = 256, batch_bytes: int = 4 << 20, deadline: float | None = None, fail_closed: bool = True) -> DataFrame:
     """Entities by a function that takes a list of texts (a request to a service, a model), resolved as the rules' are.
 
     call is sent to the executors and gets lists of bounded number and bytes. A failure, an answer of another length or one
-    that doesn't come within the deadline fails the task, so that no text passes unseen.
+    that doesn't come within the deadline fails the task, so that no text passes unseen; unless fail_closed, the texts of
+    such a call have null instead of entities.
     """
     asked = within(call, deadline)
 
-    def answers(texts: list[str]) -> list[list[dict]]:
-        found = asked(texts)
-        if len(found) != len(texts):
-            raise ValueError(f"{len(found)} answers to {len(texts)} texts")
+    def answers(texts: list[str]) -> list[list[dict] | None]:
+        try:
+            found = asked(texts)
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} answers to {len(texts)} texts")
+        except Exception:
+            if fail_closed:
+                raise
+            return [None] * len(texts)
         return found
 
     kept = [f for f in rows.schema.fields if f.name != into]

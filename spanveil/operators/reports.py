@@ -97,6 +97,22 @@ def exposition(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.concat("metric", F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("line"))
 
 
+def histogram_lines(values: DataFrame, name: str, value: str = "seconds") -> DataFrame:
+    """A histogram of HISTOGRAMS as lines of the text format: buckets with their bounds, the sum, and the count, by label."""
+    (label,), bounds = HISTOGRAMS[name]
+    v = F.col(value).cast("double")
+    own = values.where(v.isNotNull()).groupBy(F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label")).agg(F.array(*[F.sum((v <= b).cast("long")) for b in bounds], F.count("*")).alias("n"), F.sum(v).alias("sum"))
+    said = F.replace(F.replace("label", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    line = lambda what, more, count: F.concat(F.lit(f"{name}_{what}{{{label}=\""), said, F.lit(f'"{more}}} '), count)
+    lines = [line("bucket", f',le="{le}"', F.col("n")[k].cast("string")) for k, le in enumerate([*map(_bound, bounds), "+Inf"])]
+    lines += [line("sum", "", F.format_string("%.6f", "sum")), line("count", "", F.col("n")[len(bounds)].cast("string"))]
+    return own.select(F.explode(F.array(*lines)).alias("line"))
+
+
+def _bound(b: float) -> str:
+    return f"{b:g}"
+
+
 CELLS = 4096
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import fixed
 from spanveil.functions import validators as V
-from spanveil.operators import backends, bodies, caches, commands, reports, simulate, spans, stores
+from spanveil.functions.config import Settings
+from spanveil.operators import backends, bodies, caches, commands, policy, reports, simulate, spans, stores
 from spanveil.operators import replace as R
 from spanveil.operators.detect import RULES, add_entities, detect, detect_cached, dictionary_table, spread
 from spanveil.sources import io
@@ -267,6 +268,27 @@ def _double(b: float) -> str:
     return f"{b:.1E}".replace("E-0", "E-").replace(".0E", ".0E") if b < 0.001 else str(b)
 
 
+def histogram_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four histograms as scrapers read them."""
+    return functools.reduce(DataFrame.unionByName, [reports.histogram_lines(_events(spark, sf_dir), name) for name in reports.HISTOGRAMS])
+
+
+def _lines_sql(name: str) -> str:
+    (label,), bounds = reports.HISTOGRAMS[name]
+    head = lambda what, more: f"'{name}_{what}{{{label}=\"' || coalesce({label}, '') || '\"{more}}} '"
+    buckets = [f"""{head("bucket", f',le="{b:g}"')} || count(*) FILTER (seconds <= {b!r})""" for b in bounds]
+    every = [*buckets, f"""{head("bucket", ',le="+Inf"')} || count(*)""", f"""{head("sum", "")} || printf('%.6f', sum(seconds))""", f"""{head("count", "")} || count(*)"""]
+    return f"SELECT unnest([{', '.join(every)}]) AS line FROM e WHERE seconds IS NOT NULL GROUP BY {label}"
+
+
+def settings_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under settings that mask one type, force another out and give fakes to a third; the mapping is good for ten minutes."""
+    settings = Settings(strategy="simulate", thresholds={"email": 0.5}, allowed=["email", "ip_address"], overrides={"ip_address": "mask"}, fakes={"email": {"nobody@example.org": "some.one@example.net"}}, ttl_seconds=600)
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select((F.col("doc_id") % 50).alias("request_id"), F.col("doc_id").alias("seq"), "text")
+    _, mapping = policy.process(rows, settings, F.lit("2024-01-01 00:00:00"))
+    return mapping.groupBy("entity_type", "fate").agg(F.count("*").alias("n"), F.sum((F.col("expires_at") == F.lit("2024-01-01 00:10:00").cast("timestamp")).cast("long")).alias("good"))
+
+
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, now = table(spark, sf_dir, "events"), F.lit("2024-01-10 00:00:00").cast("timestamp")
     tables = e.select((F.col("ts") + F.expr("interval 30 minutes")).alias("expires_at"))
@@ -428,6 +450,9 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
         "chunk_texts": "SELECT o_orderkey AS stream_id, 'x a' || o_orderkey || '@b.org<<email_1>> of ' || o_custkey || ' <<email_1' AS restored FROM orders",
         "all_counters": _COUNTERS_SQL,
         "latencies": f"WITH e AS ({_EVENTS_SQL}) " + " UNION ALL ".join(map(_histogram_sql, reports.HISTOGRAMS)),
+        "histogram_lines": f"WITH e AS ({_EVENTS_SQL}) " + " UNION ALL ".join(map(_lines_sql, reports.HISTOGRAMS)),
+        "settings_run": f"""WITH e AS (SELECT DISTINCT id % 50 AS request_id, type, value FROM ({rule_sql("documents", "email")} UNION ALL {rule_sql("documents", "ipv4")}))
+            SELECT type AS entity_type, CASE type WHEN 'email' THEN 'reversible' ELSE 'mask' END AS fate, count(*) AS n, count(*) AS good FROM e GROUP BY type""",
         "gauges": """SELECT 'store_size' AS metric, count(*) AS value FROM events WHERE ts + INTERVAL 30 MINUTE >= TIMESTAMP '2024-01-10 00:00:00'
             UNION ALL SELECT 'active_streams', count(*) FROM events WHERE ts <= TIMESTAMP '2024-01-10 00:00:00' AND (event_id % 5 = 0 OR ts + INTERVAL 2 HOUR > TIMESTAMP '2024-01-10 00:00:00')""",
         "percentile_nearest": "SELECT event_type, list_sort(list(value))[greatest(1, CAST(round_even(0.95 * count(value), 0) AS BIGINT))] AS percentile FROM events WHERE value IS NOT NULL GROUP BY event_type",
@@ -441,5 +466,5 @@ def oracle_sql(rule_sql, rules: dict, luhn: str) -> dict[str, str]:
 
 
 def queries() -> dict:
-    names = (detect_full, detect_shaped, detect_allowed, cached_detection, stored_cache, growing_detection, mapping_store_hot, circuit_breaker_hot, audit_files, dictionary_orders, simulated_documents, masked_documents, gate_bodies, restored_bodies, tool_params, replace_odd_keys, spliced_bodies, event_frames, byte_frames, chunk_texts, all_counters, latencies, gauges, percentile_nearest, entity_scores, quality_gate, judge_lines, judge_categories, judge_chain, small_functions)
+    names = (detect_full, detect_shaped, detect_allowed, cached_detection, stored_cache, growing_detection, mapping_store_hot, circuit_breaker_hot, audit_files, dictionary_orders, simulated_documents, masked_documents, gate_bodies, restored_bodies, tool_params, replace_odd_keys, spliced_bodies, event_frames, byte_frames, chunk_texts, all_counters, latencies, histogram_lines, settings_run, gauges, percentile_nearest, entity_scores, quality_gate, judge_lines, judge_categories, judge_chain, small_functions)
     return {f.__name__: f for f in names}

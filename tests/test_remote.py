@@ -115,3 +115,25 @@ def test_matching_is_the_plain_fold():
     began = time.perf_counter()
     assert reports.matched(many, many[::-1][::-1]) == list(range(20_000)) and time.perf_counter() - began < 5
     assert reports.matched(None, many) is None and reports.matched(many[:2], None) == [-1, -1]
+
+
+def test_a_run_follows_its_settings(spark):
+    from spanveil.functions.config import Settings
+    from spanveil.operators import policy
+
+    rows = spark.createDataFrame([("r", 0, "a@b.org and c@d.org, 10.0.0.1, see https://x.org/y"), (None, 1, "Bob"), ("r", 2, None)], "request_id string, seq int, text string")
+    settings = Settings(strategy="simulate", overrides={"ip_address": "mask"}, forced=["url"], dictionary={"Bob": "plate"}, fakes={"email": {"a@b.org": "x@y.net"}}, ttl_seconds=60)
+    out, mapping = policy.process(rows, settings, F.lit("2024-01-01 00:00:00"))
+    assert {r.seq: r.replaced for r in out.collect()} == {0: "x@y.net and <<email_2>>, ****.0.1, see [REDACTED]", 1: "<<plate_1>>", 2: None}
+    assert all((r.expires_at - r.created_at).total_seconds() == 60 for r in mapping.collect())
+
+    def service(texts):
+        if any("Bob" in t for t in texts):
+            raise OSError("down")
+        return [[{"type": "zh_person_name", "value": "and", "start": 8, "end": 11, "score": 0.9}] if "and" in t else [] for t in texts]
+
+    calm = Settings(fail_closed=False, allowed=["email"])
+    got = {r.seq: [e.value for e in r.entities] for r in policy.process(rows.coalesce(3).repartition(3), calm, F.lit("2024-01-01"), lambda ts: service(ts))[0].collect()}
+    assert got[1] == [] and got[0][0] == "a@b.org"
+    with pytest.raises(Exception, match="down"):
+        policy.process(rows.where("seq = 1"), Settings(), F.lit("2024-01-01"), service)[0].collect()
