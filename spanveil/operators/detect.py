@@ -5,6 +5,9 @@ Boundaries are judged after a match is found, on its ASCII neighbours: a match t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,16 +200,17 @@ def dictionary_table(rows: DataFrame, entries: DataFrame, text: str = "text", in
     """rows with hits of a dictionary that is a table (value, type) of any length, as dictionary_hits finds them.
 
     Entries go to the tasks in blocks, as automata that find all values of a block in one pass over a text; blocks run one
-    after another over what the last one has written, so that a task holds one block. The longest of the values at a
-    place counts, whatever its block.
+    after another, so that a task holds one block. With more than one, the rows are numbered and written once, and each
+    block writes only the hits of the rows that it is found in. The longest of the values at a place counts, whatever its
+    block.
     """
     import ahocorasick
 
     from pyspark.sql import types as T
 
+    row = "__row"
     folded = entries.select(V.fold_ascii(F.col("value")).alias("value"), "type").where("value <> ''").groupBy("value").agg(F.max("type").alias("type"))
-    hit = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("type", T.StringType())]))
-    out = rows.withColumn("__hits", F.array().cast(hit))
+    hits = "array<struct<start:int,stop:int,type:string>>"
     lower = {c: c + 32 for c in range(65, 91)}
 
     def look(known):
@@ -216,19 +220,35 @@ def dictionary_table(rows: DataFrame, entries: DataFrame, text: str = "text", in
                 machine.add_word(v, (len(v), k))
             machine.make_automaton()
             for frame in frames:
-                more = [[(end + 1 - n, end + 1, k) for end, (n, k) in machine.iter(t.translate(lower))] if t else [] for t in frame[text]]
-                yield frame.assign(__hits=[[*({"start": x["start"], "stop": x["stop"], "type": x["type"]} for x in (h if h is not None else ())), *({"start": s, "stop": e, "type": k} for s, e, k in m)] for h, m in zip(frame["__hits"], more, strict=True)])
+                found = [[{"start": end + 1 - n, "stop": end + 1, "type": k} for end, (n, k) in machine.iter(t.translate(lower))] if t else [] for t in frame["__t"]]
+                frame = frame.assign(__hits=found)[[row, "__hits"]]
+                yield frame[[bool(x) for x in found]]
 
         return run
 
-    some: list[tuple[str, str]] = []
-    for r in folded.orderBy("value").toLocalIterator():
-        some.append((r.value, r.type))
-        if len(some) == block:
-            out, some = settled(out.mapInPandas(look(rows.sparkSession.sparkContext.broadcast(some)), out.schema)), []
-    if some:
-        out = out.mapInPandas(look(rows.sparkSession.sparkContext.broadcast(some)), out.schema)
+    def blocks() -> Iterator[list[tuple[str, str]]]:
+        some: list[tuple[str, str]] = []
+        for r in folded.orderBy("value").toLocalIterator():
+            some.append((r.value, r.type))
+            if len(some) == block:
+                yield some
+                some = []
+        if some:
+            yield some
+
+    numbered = settled(rows.withColumn(row, F.monotonically_increasing_id()))
+    texts, found = numbered.select(row, F.col(text).alias("__t")), []
+    for some in blocks():
+        known = rows.sparkSession.sparkContext.broadcast(some)
+        found.append(settled(texts.mapInPandas(look(known), T.StructType([T.StructField(row, T.LongType()), T.StructField("__hits", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("type", T.StringType())])))]))))
+        known.unpersist()
+    none = F.expr(f"cast(array() as {hits})")
+    if found:
+        every = reduce(DataFrame.unionByName, found).groupBy(row).agg(F.flatten(F.collect_list("__hits")).alias("__hits"))
+        out = numbered.join(every, row, "left").withColumn("__hits", F.coalesce("__hits", none))
+    else:
+        out = numbered.withColumn("__hits", none)
     t = F.col(text)
     bytes_at = lambda n: F.octet_length(F.left(t, n))
     made = F.transform("__hits", lambda h: entity(h["type"], F.substring(t, h["start"] + 1, h["stop"] - h["start"]), bytes_at(h["start"]), bytes_at(h["stop"]), F.lit(1.0)))
-    return out.withColumn(into, first_wins(made)).drop("__hits")
+    return out.withColumn(into, first_wins(made)).drop("__hits", row)
