@@ -224,7 +224,10 @@ def greedy_match(labels: pd.Series, found: pd.Series) -> pd.Series:
 
 def detector_quality(cases: DataFrame, by: str | None = None) -> DataFrame:
     """(expect, found[, subset]) -> tp, fp, fn, precision, recall, f1 by type, by subset, or in all."""
-    matched = cases.withColumn("m", greedy_match(F.col("expect"), F.col("found")))
+    from spanveil.operators.tables import settled
+
+    # Written, since both plans below read it, and since a function of Python can't stand inside their lambdas.
+    matched = settled(cases.withColumn("m", greedy_match(F.col("expect"), F.col("found"))))
     key = (lambda e: e["type"]) if by == "type" else (lambda e: F.col(by) if by else F.lit("all"))
     wanted = matched.select(F.explode(F.zip_with("expect", "m", lambda e, i: F.struct(key(e).alias("k"), (i >= 0).alias("hit")))).alias("x")).groupBy("x.k").agg(F.sum(F.col("x.hit").cast("int")).alias("tp"), F.sum((~F.col("x.hit")).cast("int")).alias("fn"))
     extra = matched.select(F.explode(F.filter(F.transform("found", lambda e, i: F.struct(key(e).alias("k"), F.array_contains("m", i).alias("used"))), lambda x: ~x["used"])).alias("x")).groupBy("x.k").agg(F.count("*").alias("fp"))
