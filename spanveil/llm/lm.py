@@ -277,7 +277,7 @@ def _answer(low):
             keys, total = _merge(np.concatenate(asked), np.concatenate([spread(x) for x in some.column("counts").to_pylist()]))
             if kind == GRAMS:
                 seen = total > 0
-                logs = Trie([*low.value, *_levels(keys[seen], total[seen], ORDER, DEALT_BY)], ORDER).log10(keys).astype(np.float32)
+                logs = Trie([*low.value, *_levels(keys[seen], total[seen], ORDER, DEALT_BY)], ORDER).log10(keys).astype(np.float64)
                 give = lambda at: pa.compress(logs[at].tobytes(), codec="zstd", asbytes=True)
             else:
                 give = lambda at: squeeze(total[at])
@@ -294,10 +294,10 @@ def _answer(low):
 def _gather(kind: int, keys: np.ndarray, n: int, answers: dict) -> np.ndarray:
     """What came back for sorted keys, in their order."""
     order, shares = dealt(kind, keys, n)
-    out = np.zeros(len(keys), dtype=np.int64 if kind == WORDS else np.float32)
+    out = np.zeros(len(keys), dtype=np.int64 if kind == WORDS else np.float64)
     for p, i, j in shares:
         b = answers[kind, p]
-        out[order[i:j]] = spread(b) if kind == WORDS else np.frombuffer(pa.decompress(b, decompressed_size=4 * (j - i), codec="zstd", asbytes=True), dtype=np.float32)
+        out[order[i:j]] = spread(b) if kind == WORDS else np.frombuffer(pa.decompress(b, decompressed_size=8 * (j - i), codec="zstd", asbytes=True), dtype=np.float64)
     return out
 
 
