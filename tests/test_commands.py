@@ -40,7 +40,8 @@ def test_chain_takes_the_first_that_knows(spark):
 
 def test_bodies_keep_numbers_and_opaque_parts():
     body = '{"a":1.50,"content":"x","type":"message","image":{"type":"image","data":"y"},"arguments":"{\\"q\\":\\"z\\"}","summary":"no"}'
-    assert [t for _, t in bodies.texts_in(body)] == ["x", "message", "z"]
-    out = bodies.dump(bodies.walk(bodies.parse(body), lambda p, s: s.upper()))
+    texts = [t for _, t, _ in bodies.texts_in(body)]
+    assert texts == ["x", "message", "z"]
+    out = bodies.with_texts(body, [t.upper() for t in texts])
     assert '"a":1.50' in out and '"data":"y"' in out and '\\"q\\":\\"Z\\"' in out and '"summary":"no"' in out
-    assert bodies.texts_in("not json") == [("", "not json")]
+    assert bodies.texts_in("not json") == [("", "not json", None)]
