@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,7 +31,9 @@ from spanveil.llm.words import pieces
 
 CHUNK = 1 << 16  # characters
 STATES = 250_000  # states that a worker holds; beyond it compiling begins anew, counts are the same
+WORDS = 400_000  # words whose counts a worker remembers; beyond it counting begins anew, counts are the same
 BLANK = "▁"
+_WORD = re.compile(" *[^ ]+| +")
 NORMAL, USER_DEFINED, UNUSED, BPE = 1, 4, 5, 2
 
 
@@ -96,6 +99,18 @@ class State(dict):
         return step
 
 
+class Words(dict):
+    """Word without the blank before it -> tokens that the machine counts from its start state."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.machine.run(self.machine.start, f" {word}")[1]
+        return n
+
+
 @dataclass(frozen=True)
 class ChunkMap:
     """head: text up to the first place where the state is known; inner: tokens after it; tail: the state at the end, None without such a place."""
@@ -124,6 +139,8 @@ class Transducer:
             self.piece[at] = p
             self.near.update(map("".join, zip(p, p[1:], strict=False)))
         self.near = {y for x in self.near for y in self._spelt(x)}
+        self.words_apart = not any(x[1] == BLANK and x[0] != BLANK for x in self.near if x[0] != " ")
+        self.known_words = Words(self)
         self.split = functools.cache(self._split)
         self.may_follow = functools.cache(self._may_follow)
         self.restart()
@@ -208,9 +225,30 @@ class Transducer:
         at = self.known(text)
         if at < 0:
             return ChunkMap(text, 0, None)
-        tail, inner = self.run(self.start, text[at:])
+        tail, inner = self.run_words(text[at:])
         return ChunkMap(text[:at], inner, tail)
 
+    def run_words(self, text: str) -> tuple[State, int]:
+        """run() from the start state; where blanks are certain places, a word's map is made once and its count taken from then on.
+
+        A word is blanks and what follows up to the next blank: no piece holds a blank behind another character, so the
+        machine stands in its start state before every word.
+        """
+        if not self.words_apart or BLANK in text:
+            return self.run(self.start, text)
+        if "  " in text:  # blanks in a row belong together
+            words = [w[1:] if w[0] == " " else w for w in _WORD.findall(text if text[0] == " " else f" {text}")]
+            head = None if text[0] == " " else words.pop(0)
+        else:
+            head, *words = text.split(" ")
+        state, n = self.run(self.start, head) if head else (self.start, 0)
+        if words:
+            if len(self.known_words) > WORDS:
+                self.known_words.clear()
+            n += sum(map(self.known_words.__getitem__, words))
+            state = self.run(self.start, f" {words[-1]}")[0]
+        return state, n
+
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of two chunks, one after the other."""
         if a.tail is None:

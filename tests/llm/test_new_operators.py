@@ -253,3 +253,52 @@ def test_benchmark_items_of_any_id_in_any_blocks(spark):
         got = sorted((r["__row"], sorted(h.item_id for h in r.hits)) for r in out.collect())
         assert got == [(5, ["a", "a"]), (5, ["a", "a"]), (6, ["a", "a", "b"]), (7, []), (8, []), (9, [])]
         assert sorted(r["__row"] for r in decontaminate.decontaminate(docs, bench, block_chars=chars).collect()) == [7, 8, 9]
+
+
+def test_token_counts_take_words_from_memory(model, library, monkeypatch):
+    from spanveil.llm import tokencount
+
+    with open(model, "rb") as f:
+        machine = tokencount.Transducer(f.read())
+    assert machine.words_apart
+    monkeypatch.setattr(tokencount, "WORDS", 5)
+    rng = random.Random(8)
+    parts = ["the", "ing", " ", "  ", "\n", "▁", "é", "中", "a1", "-", "x" * 20]
+    for _ in range(800):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        assert machine.count(text) == machine.count(text, rng.randint(1, 9)) == len(library.encode(text))
+
+
+@tables
+def test_toxicity_query_is_a_plain_run_of_its_steps(spark):
+    """Sample, thirds, lexicon, trees and calibration in one process, from the tables; the parts themselves are held against brute force elsewhere."""
+    import math
+    from collections import Counter
+
+    from spanveil.llm import toxicity as T
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{DIR}/labels.parquet").collect():
+        if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            labels[r.doc_id] = max(labels.get(r.doc_id, 0), r.toxic)
+    hashes = {r.i: r.h for r in spark.createDataFrame([(i,) for i in labels], "i long").select("i", F.xxhash64(F.lit(17), "i").alias("h")).collect()}
+    chosen = sorted(labels, key=lambda i: (hashes[i], i))[: T.SAMPLE]
+    third = {i: hashes[i] % 3 for i in chosen if i in texts}
+    has, size = [Counter(), Counter()], Counter()
+    for i in (i for i in third if third[i] == 0):
+        size[labels[i]] += 1
+        has[labels[i]].update({u for w in {w.strip(T._EDGE) for w in (texts[i] or "").lower().split()} if w for u in T.units(w)})
+    weights = {u: math.log((n + 0.5) / (size[1] + 1)) - math.log((has[0][u] + 0.5) / (size[0] + 1)) for u, n in has[1].items() if n >= 3}
+    lexicon = {u: w for u, w in sorted(weights.items()) if w >= 1.5}
+    own = T.Lexicon(lexicon)
+    rows = sorted((third[i], float(labels[i]), *T.features(texts[i], own)[::-1]) for i in third if third[i] > 0)
+    of = lambda k: (np.array([r[2:][::-1] for r in rows if r[0] == k]).reshape(-1, len(T.FEATURES)), np.array([r[1] for r in rows if r[0] == k]))
+    trees = T.Trees().fit(*of(1))
+    x, y = of(2)
+    calibrated = T.Isotonic(trees.margin(x), y)
+    got = {r.doc_id: r for r in queries.op7(spark, DIR).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        want = float(np.clip(calibrated(trees.margin(np.array([T.features(text, own)]))), 0, 1)[0])
+        assert got[i].score == pytest.approx(want, abs=1e-9) and got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
