@@ -255,6 +255,51 @@ def test_automata_merge_states_and_prefer_their_own():
     assert b.evidence("k07") == pytest.approx(want) and b.evidence("k0-7") == pytest.approx(math.log(2 / 8.5 / 20) + math.log(6 / 8.5 / 10) + math.log(0.5 / 8.5) - secrets.ordinary("", "g") - secrets.ordinary("g", "0"))
 
 
+def test_ordinary_runs_are_those_of_the_corpus(spark):
+    rng = random.Random(12)
+    sha = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    texts = [prose(rng, 40) + f" token={sha(i)}, ünder a/b_c. 2024-11-05 {i:016}" for i in range(60)] + ["", None, "x", "=", "y" * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = secrets.learn(df.repartition(5))
+    want, runs = Counter(), 0
+    for t in filter(None, texts):
+        for s, _, e, _ in secrets.base_spans(t):
+            t = t[:s] + " " * (e - s) + t[e:]
+        for run in re.findall(r"[A-Za-z0-9+/_.=-]+", t):
+            runs += 1
+            word = "$" + run.translate(secrets._TO_CLASS) + "$"
+            want.update(zip(word, word[1:]))
+    total = Counter(a for a, b in want.elements())
+    size = lambda c: len(secrets.CLASSES.get(c, "1"))
+    for a in secrets.SYMBOLS:
+        for b in secrets.SYMBOLS:
+            assert known.ordinary(a, b) == pytest.approx(math.log((want[a, b] + size(b) / 69) / (total[a] + 1) / size(b))), (a, b)
+        assert sum(math.exp(known.ordinary(a, b)) * size(b) for b in secrets.SYMBOLS) == pytest.approx(1)
+    assert (known.ordinary.runs, known.labelled) == (runs, 120) and known.odds == pytest.approx(math.log(runs / 120))
+    assert known.has(sha(1000)) and not known.has("0" * 16) and not known.has("y" * 30_000)
+    # Where a key is none of the grammar's, the value alone is found; beside other parts of an address too.
+    assert [s[:3] for s in secrets.find(f"see x.org/c/{sha(1001)}?a={sha(1002)[:23]} end", known)[1]] == [(55, "format", 78)]
+    assert list(secrets.formatted(f"sig={sha(1003)} and x.org/{sha(1004)}/b", known)) == [(4, 44), (55, 95)]
+    assert secrets.learn(df.limit(0)).automata == {} and secrets.find("a1b2c3d4e5f60718", secrets.learn(df.limit(0)))[1] == []
+
+
+def test_formats_find_values_without_their_grammar(spark):
+    rng = random.Random(13)
+    sha = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    rows = [(i, f"{prose(rng, 60)} {f'secret: {sha(i)}' if i % 2 else key()} {prose(rng, 5)}") for i in range(600)]
+    df = spark.createDataFrame([*rows, (600, None), (601, ""), (None, "nobody")], "doc_id long, text string")
+    held = [t for i, t in rows if zlib.crc32(str(i).encode()) % 2]
+    n = {k: sum(x[1] == k for t in held for x in secrets.base_spans(t)) for k in secrets.KINDS}
+    got = secrets.quality(df).first()
+    assert (got.n_values, got.n_found) == (sum(n.values()), sum(n.values())) and got.n_added == got.n_right == n["hex"] + n["access"]
+    alone = secrets.quality(df, without="access").first()  # nothing labelled is like these
+    assert (alone.n_values, alone.n_found, alone.n_added) == (n["access"], 0, n["hex"])
+    like = secrets.quality(df, without="hex").first()  # keys' values are
+    assert (like.n_values, like.n_found) == (n["hex"], n["hex"])
+    assert secrets.quality(df.limit(0)).first() == (0, 0, 0, 0)
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(8)
     items = [prose(rng, 30) for _ in range(6)] + ["short", "", None, "Tiny Item!"]
