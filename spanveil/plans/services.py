@@ -205,11 +205,11 @@ def byte_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders that come a few characters at a time."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("stream_id"), F.concat(F.lit("x <<email_1>><<email_12>> of "), F.col("o_custkey").cast("string"), F.lit(" <<email_1")).alias("t"))
+    o = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("stream_id"), "o_custkey")).select("stream_id", F.concat(F.lit("x <<email_1>><<email_12>> of "), F.col("o_custkey").cast("string"), F.lit(" <<email_1")).alias("t"))
     size = (F.col("stream_id") % 7 + 1).cast("int")
     chunks = o.select("stream_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / size).cast("int")), lambda i: F.struct(i.alias("seq"), F.substring(F.col("t"), i * size + 1, size).alias("chunk")))).alias("x")).select("stream_id", "x.seq", "x.chunk")
     pairs = o.select("stream_id", F.explode(F.create_map(F.lit("<<email_1>>"), F.concat(F.lit("a"), F.col("stream_id").cast("string"), F.lit("@b.org")), F.lit("<<email_12>>"), F.lit("<<email_1>>"))).alias("shown", "original"))
-    return S.restore_chunks(chunks, pairs).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "restored"))), lambda x: x["restored"]), "").alias("restored"))
+    return S.restore_chunks(chunks, pairs, whole=True).select("stream_id", "restored")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,28 +22,39 @@ from spanveil.functions.jsontext import Tape, quote
 EVENT_KEYS = ("content", "text", "reasoning_content", "reasoning", "refusal", "output_text", "delta", "arguments", "partial_json")
 _SIGN = re.compile(r"<<[a-z_]+_[0-9]+>>")
 _OPEN = re.compile(r"<(?:<(?:[a-z_]+(?:_[0-9]+>?)?)?)?\Z")
+BATCH = 8 << 20  # characters of restored rows that go out at once
 SIGN = 128  # characters of an unfinished sign that are remembered for counting
 _FRAME_END = re.compile(rb"\r?\n\r?\n")
 
 
+def _tree(keys: tuple[str, ...]) -> tuple[list[dict[str, int]], list[int], re.Pattern | None]:
+    """Steps down by character, where each key ends, and what finds the first character of one."""
+    down: list[dict[str, int]] = [{}]
+    ends = []
+    for key in keys:
+        at = 0
+        for c in key:
+            if c not in down[at]:
+                down[at][c] = len(down)
+                down.append({})
+            at = down[at][c]
+        ends.append(at)
+    return down, ends, re.compile(f"[{''.join(map(re.escape, down[0]))}]") if down[0] else None
+
+
+FEW = 16  # keys of a mapping up to which its tree is remembered: short streams often have the same placeholders
+_few = lru_cache(maxsize=64)(_tree)
+
+
 class Matcher:
     """All keys of a mapping as one automaton: a character is a step down, whatever the number of keys."""
 
     def __init__(self, pairs: dict[str, str]):
-        self.down: list[dict[str, int]] = [{}]
-        self.value: list[str | None] = [None]
-        for key, value in pairs.items():
-            if not key:
-                continue
-            at = 0
-            for c in key:
-                if c not in self.down[at]:
-                    self.down[at][c] = len(self.down)
-                    self.down.append({})
-                    self.value.append(None)
-                at = self.down[at][c]
-            self.value[at] = value
-        self.first = re.compile(f"[{''.join(map(re.escape, self.down[0]))}]") if self.down[0] else None
+        keys = tuple(k for k in pairs if k)
+        self.down, ends, self.first = (_few if len(keys) <= FEW else _tree)(keys)
+        self.value: list[str | None] = [None] * len(self.down)
+        for key, at in zip(keys, ends, strict=True):
+            self.value[at] = pairs[key]
 
 
 class ChunkRestorer:
@@ -50,6 +63,7 @@ class ChunkRestorer:
     def __init__(self, pairs: dict[str, str] | Matcher, held: str = "", tail: str = ""):
         self.keys = pairs if isinstance(pairs, Matcher) else Matcher(pairs)
         self.held, self.tail, self.orphans = held, tail, 0  # tail: an unfinished sign in what has passed, for counting
+        self.walked: tuple | None = None  # how far down the keys what is held has come: node, place, best place and its value
 
     def _pass(self, text: str, out: list[str]) -> None:
         """Text that no key stands in goes out; signs in it have nothing to stand for."""
@@ -64,23 +78,31 @@ class ChunkRestorer:
         self.tail = unfinished[0] if unfinished else ""
 
     def feed(self, chunk: str, last: bool = False) -> str:
-        text, out, at = self.held + chunk, [], 0
-        down, value, end, cut = self.keys.down, self.keys.value, len(self.held) + len(chunk), False
+        held, out, at = self.held, [], 0
+        text = held + chunk
+        down, value, end, cut, first = self.keys.down, self.keys.value, len(text), False, self.keys.first
+        walked, self.walked = self.walked, None
         while at < end:
-            start = self.keys.first.search(text, at) if self.keys.first else None
-            if start is None:
-                self._pass(text[at:], out)
-                at = end
-                break
-            begin = start.start()
-            self._pass(text[at:begin], out)
-            at, node, here, best = begin, 0, begin, -1
+            if walked:  # what is held back has been walked before
+                node, here, best, found = walked
+                walked = None
+            else:
+                start = first.search(text, at) if first else None
+                if start is None:
+                    self._pass(text[at:], out)
+                    at = end
+                    break
+                begin = start.start()
+                if begin > at:
+                    self._pass(text[at:begin], out)
+                at, node, here, best, found = begin, 0, begin, -1, None
             while here < end and (step := down[node].get(text[here])) is not None:
                 node, here = step, here + 1
                 if value[node] is not None:
                     best, found = here, value[node]
             if here == end and down[node]:
                 if not last:
+                    self.walked = node, here - at, best - at if best >= 0 else -1, found
                     break
                 if best < 0 and not cut:
                     cut = True
@@ -207,37 +229,104 @@ def _given(value, column: str):
     return (b"" if missing else bytes(value)) if column == "bytes" else ("" if missing else value)
 
 
-def _restored(rows: DataFrame, pairs: DataFrame, column: str, make) -> DataFrame:
-    kind = dict(rows.dtypes)
+def _walk(rows: Iterator[tuple], column: str, make) -> Iterator[tuple]:
+    """(stream_id, seq, restored, orphans, last) of sorted rows; one is fed when the next has come, which says whether it was its stream's last."""
+    stream, pairs, restorer, before, value = object(), {}, None, None, None
+    plain = make is ChunkRestorer
+    feed = None
+    for own, given, seq, now, shown, original in rows:
+        if own != stream and (own == own or stream == stream):  # of numbers that are none there is one stream
+            if feed:
+                yield (stream, before, feed(value, True), restorer.orphans, True) if plain else (stream, before, *feed(value, True), True)
+            stream, pairs, feed = own, {}, None
+        if not given:
+            pairs[shown] = original
+            continue
+        if feed:
+            yield (stream, before, feed(value, False), 0, False) if plain else (stream, before, *feed(value, False), False)
+        else:
+            restorer = make(pairs)
+            feed = restorer.feed
+        before, value = seq, now if type(now) is str else _given(now, column)
+    if feed:
+        yield (stream, before, feed(value, True), restorer.orphans, True) if plain else (stream, before, *feed(value, True), True)
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("seq", ignore_index=True)
-        return _fed(left.assign(last=left.index == len(left) - 1), column, make(dict(zip(right.shown, right.original, strict=True))))
 
-    out = "binary" if column == "bytes" else "string"
-    return rows.select("stream_id", "seq", column).groupBy("stream_id").cogroup(pairs.groupBy("stream_id")).applyInPandas(run, f"stream_id {kind['stream_id']}, seq {kind['seq']}, restored {out}, orphans long")
+def _values(c: pa.Array) -> list:
+    """The values of an Arrow column; texts and whole numbers by way of arrays, which costs less."""
+    t = c.type
+    if pa.types.is_string(t) or pa.types.is_large_string(t) or not c.null_count and (pa.types.is_integer(t) or pa.types.is_boolean(t)):
+        return c.to_numpy(zero_copy_only=False).tolist()
+    return c.to_pylist()
+
 
+def _restored(rows: DataFrame, pairs: DataFrame, column: str, make, glue: str | bytes | None = None) -> DataFrame:
+    """A stream's mapping and rows come to one task in their order, many streams after one another: a task holds one mapping and a batch of rows.
 
-def restore_chunks(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    glue: a row for each whole stream, its restored rows joined by it.
+    """
+    kind, none = dict(rows.dtypes), F.lit(None).cast("string")
+    given = rows.select("stream_id", F.lit(True).alias("given"), "seq", column, none.alias("shown"), none.alias("original"))
+    known = pairs.select(F.col("stream_id").cast(kind["stream_id"]), F.lit(False).alias("given"), F.lit(0).cast(kind["seq"]).alias("seq"), F.lit(None).cast(kind[column]).alias(column), F.col("shown").cast("string"), F.col("original").cast("string"))
+    both = given.union(known).repartition("stream_id").sortWithinPartitions("stream_id", "given", F.col("seq").asc_nulls_last())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form: list[pa.DataType] = []
+
+        def table() -> Iterator[tuple]:
+            for batch in batches:
+                form[:] = [batch.schema.field(k).type for k in ("stream_id", "seq", column)]
+                yield from zip(*map(_values, batch.columns), strict=True)
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            names, forms = (("stream_id", "seq", "restored", "orphans"), form) if glue is None else (("stream_id", "restored", "orphans"), (form[0], form[2]))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*forms, pa.int64()), strict=True)], names)
+
+        out, size, parts, count = [], 0, [], 0
+        for stream, seq, restored, orphans, last in _walk(table(), column, make):
+            size += len(restored) + 64
+            if glue is None:
+                out.append((stream, seq, restored, orphans))
+            else:
+                parts.append(restored)
+                count += orphans
+                if last:
+                    out.append((stream, glue.join(parts), count))
+                    parts, count = [], 0
+            if size > BATCH and out:
+                yield made(out)
+                out, size = [], 0
+        if out:
+            yield made(out)
+
+    of = f"stream_id {kind['stream_id']}, {'' if glue is not None else f'seq {kind["seq"]}, '}restored {kind[column]}, orphans long"
+    return both.mapInArrow(run, of)
+
+
+def restore_chunks(chunks: DataFrame, pairs: DataFrame, whole: bool = False) -> DataFrame:
     """Batch form: (stream_id, seq, chunk) and (stream_id, shown, original) -> the same rows with restored, and orphans on the stream's last.
 
-    Orphans: signs that nothing stands for, and an end that is only the beginning of a key.
+    Orphans: signs that nothing stands for, and an end that is only the beginning of a key. whole: (stream_id, restored,
+    orphans) of whole streams, a row each.
     """
-    return _restored(chunks, pairs, "chunk", ChunkRestorer)
+    return _restored(chunks, pairs, "chunk", ChunkRestorer, "" if whole else None)
 
 
-def restore_events(frames: DataFrame, pairs: DataFrame) -> DataFrame:
+def restore_events(frames: DataFrame, pairs: DataFrame, whole: bool = False) -> DataFrame:
     """Batch form for events: (stream_id, seq, frame) and (stream_id, shown, original) -> restored frames and orphans in each.
 
     What a place holds back when [DONE] or the last frame comes goes out in an event of its own form, before [DONE]. Sum
-    orphans by endpoint for the counter.
+    orphans by endpoint for the counter. whole: (stream_id, restored, orphans) of whole streams, a row each.
     """
-    return _restored(frames, pairs, "frame", Events)
+    return _restored(frames, pairs, "frame", Events, "\n\n" if whole else None)
+
 
+def restore_bytes(chunks: DataFrame, pairs: DataFrame, whole: bool = False) -> DataFrame:
+    """Batch form for raw bytes of event streams: (stream_id, seq, bytes), cut anywhere -> restored bytes; a chunk that ends no event gives none.
 
-def restore_bytes(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Batch form for raw bytes of event streams: (stream_id, seq, bytes), cut anywhere -> restored bytes; a chunk that ends no event gives none."""
-    return _restored(chunks, pairs, "bytes", Bytes)
+    whole: (stream_id, restored, orphans) of whole streams, a row each.
+    """
+    return _restored(chunks, pairs, "bytes", Bytes, b"" if whole else None)
 
 
 class _Stream(StatefulProcessor):
