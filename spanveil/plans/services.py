@@ -194,13 +194,13 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of event streams, cut at every size, inside characters too."""
-    o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"), F.col("c_name").alias("name"))
+    o = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"), F.col("c_name").alias("name")))
     whole = F.encode(F.lit('data: {"n":1.50,"text":"é <<zh_person_"}\n\nevent: x\ndata: {"text":"name_1>> 😀 <<"}\n\ndata: [DONE]\n\n'), "UTF-8")
     size = (F.col("stream_id") % 60 + 1).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(whole) - 1) / size).cast("int")), lambda i: F.struct(i.alias("seq"), F.substring(whole, i * size + 1, size).alias("bytes")))
     chunks = o.select("stream_id", F.explode(cut).alias("x")).select("stream_id", "x.seq", "x.bytes")
-    out = S.restore_bytes(chunks, o.select("stream_id", F.lit("<<zh_person_name_1>>").alias("shown"), F.col("name").alias("original")))
-    return S.joined(out.withColumn("restored", F.hex("restored"))).select("stream_id", F.decode(F.unhex("restored"), "UTF-8").alias("restored"), "orphans")
+    out = S.restore_bytes(chunks, o.select("stream_id", F.lit("<<zh_person_name_1>>").alias("shown"), F.col("name").alias("original")), whole=True)
+    return out.select("stream_id", F.decode("restored", "UTF-8").alias("restored"), "orphans")
 
 
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
