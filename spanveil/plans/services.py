@@ -184,12 +184,12 @@ def tool_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that cut placeholders in two, restored; numbers stay as written, what is held goes out before the end, and what nothing stands for is counted."""
-    o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"), F.col("c_name").alias("name"))
+    o = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"), F.col("c_name").alias("name")))
     frame = lambda text: F.concat(F.lit('data: {"at":1.7e9, "id":'), F.col("stream_id").cast("string"), F.lit('.50,"choices":[{"index":0,"delta":{"content":"'), text, F.lit('"}}]}'))
     parts = F.array(frame(F.lit("hi <<zh_person_")), F.concat(F.lit("event: x\n"), frame(F.lit("name_1>> and"))), frame(F.when(F.col("stream_id") % 5 == 0, F.lit(" <<email_9>>")).otherwise(F.lit(" if a <"))), F.lit("data: [DONE]"))
     rows = o.select("stream_id", F.posexplode(parts).alias("seq", "frame"))
     pairs = o.select("stream_id", F.lit("<<zh_person_name_1>>").alias("shown"), F.col("name").alias("original"))
-    return S.restore_events(rows, pairs).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "restored"))), lambda x: x["restored"]), "\n\n").alias("restored"), F.sum("orphans").cast("long").alias("orphans"))
+    return S.restore_events(rows, pairs, whole=True)
 
 
 def byte_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
