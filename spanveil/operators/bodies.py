@@ -10,11 +10,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanveil.functions.jsontext import Tape, plain, same
+from spanveil.functions.jsontext import Tape, plain, quote, same
 from spanveil.operators.tables import settled
 
 # Keys and block types that decide what is text.
@@ -77,26 +78,35 @@ def texts_of(tape: Tape, everything: bool = False, skip: tuple[str, ...] = (), t
     return out
 
 
-def _listed(tape: Tape, texts: list[Text], before: str = "", call: int | None = None) -> Iterator[tuple[str, str, int | None]]:
+def _listed(tape: Tape, texts: list[Text], before: str = "", call: int | None = None) -> Iterator[tuple[str, str, int | None, int, int]]:
     for n, t in enumerate(texts):
         path = before + (tape.path(t.at) if not before else tape.path(t.at)[1:])
         if t.inner:
             yield from _listed(*t.inner, f"{path}!", n if call is None else call)
         else:
-            yield path, plain(tape.string[t.at]), call
+            start, stop = (tape.start[t.at], tape.stop[t.at]) if call is None else (0, INSIDE)
+            yield path, plain(tape.string[t.at]), call, start, stop
 
 
-def texts_in(body: str | None, everything: bool = False, skip: tuple[str, ...] = ()) -> list[tuple[str, str, int | None]]:
-    """(path, text, number of the `arguments` it stands in) of a body; a body that isn't JSON is one text."""
+WHOLE, INSIDE = -1, -1  # in place of a start: the body is the text; of a stop: the text stands in a string that holds JSON
+
+
+def placed_texts(body: str | None, everything: bool = False, skip: tuple[str, ...] = ()) -> list[tuple[str, str, int | None, int, int]]:
+    """(path, text, number of the `arguments` it stands in, start, stop) of a body; a body that isn't JSON is one text."""
     if body is None:
         return []
     try:
         tape = Tape(body)
     except ValueError:
-        return [("", body, None)]
+        return [("", body, None, WHOLE, 0)]
     return list(_listed(tape, texts_of(tape, everything, skip)))
 
 
+def texts_in(body: str | None, everything: bool = False, skip: tuple[str, ...] = ()) -> list[tuple[str, str, int | None]]:
+    """(path, text, number of the `arguments` it stands in) of a body."""
+    return [x[:3] for x in placed_texts(body, everything, skip)]
+
+
 def _filled(tape: Tape, texts: list[Text], new: Iterator[str]) -> str:
     def exchanged() -> Iterator[tuple[int, str]]:
         for t in texts:
@@ -156,20 +166,50 @@ def command_of(tape: Tape, given: int = 0) -> str:
     return ""
 
 
+SLICE = 256  # bodies that a task holds as objects at once
+
+
+def _by_slices(one, form: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """one() of each row of the columns; only a slice of them stands beside the Arrow form at a time."""
+    made = [pa.array([one(*r) for r in zip(*(c.slice(i, SLICE).to_pylist() for c in columns), strict=True)], form) for i in range(0, len(columns[0]), SLICE)]
+    return pa.concat_arrays(made) if made else pa.array([], form)
+
+
+_TEXTS = "array<struct<path:string,text:string,call:int,start:int,stop:int>>"
+_TEXT_NAMES = ("path", "text", "call", "start", "stop")
+_TEXTS_FORM = pa.list_(pa.struct([(n, pa.string() if n in ("path", "text") else pa.int32()) for n in _TEXT_NAMES]))
+
+
 def text_column(body: Column, everything: bool = False, skip: tuple[str, ...] = ()) -> Column:
-    @F.pandas_udf("array<struct<path:string,text:string,call:int>>")
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: [{"path": p, "text": t, "call": c} for p, t, c in texts_in(b, everything, skip)])
+    @F.arrow_udf(_TEXTS)
+    def run(bodies: pa.Array) -> pa.Array:
+        return _by_slices(lambda b: [dict(zip(_TEXT_NAMES, x, strict=True)) for x in placed_texts(b, everything, skip)], _TEXTS_FORM, bodies)
 
     return run(body)
 
 
+def put_back(body: str | None, new: list[dict] | None, everything: bool = False, skip: tuple[str, ...] = ()) -> str | None:
+    """The body with those of its texts exchanged that are new (t, not null), by their places; it is walked again only for texts in strings that hold JSON."""
+    if body is None or not new or all(x["t"] is None for x in new):
+        return body
+    if any(x["t"] is not None and x["stop"] == INSIDE for x in new):
+        return with_texts(body, [x["t"] for x in new], everything, skip)
+    out, at = [], 0
+    for x in new:
+        if x["t"] is not None:
+            if x["start"] == WHOLE:
+                return x["t"]
+            out += [body[at : x["start"]], quote(x["t"])]
+            at = x["stop"]
+    return "".join([*out, body[at:]])
+
+
 def write_back(body: Column, texts: Column, everything: bool = False, skip: tuple[str, ...] = ()) -> Column:
-    """body with its texts, in walking order, replaced by those of the array."""
+    """body with its texts, in walking order, replaced by those of the array (t, start, stop) that are not null."""
 
-    @F.pandas_udf("string")
-    def run(bodies: pd.Series, replaced: pd.Series) -> pd.Series:
-        return pd.Series([with_texts(b, n, everything, skip) for b, n in zip(bodies, replaced, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def run(bodies: pa.Array, replaced: pa.Array) -> pa.Array:
+        return _by_slices(lambda b, n: put_back(b, n, everything, skip), pa.string(), bodies, replaced)
 
     return run(body, texts)
 
@@ -196,22 +236,27 @@ def message_contents(body: Column) -> Column:
 
 #: The number of a body in its table: request ids may be null and repeat.
 ROW = "__row"
+#: Where a text stands in its body, in characters.
+START, STOP = "__start", "__stop"
 
 
 def numbered(bodies: DataFrame) -> DataFrame:
-    """bodies with a number of their own, written, since texts and bodies are joined by it."""
-    return settled(bodies.withColumn(ROW, F.monotonically_increasing_id()))
+    """bodies with a number of their own, written over all cores, since texts and bodies are joined by it."""
+    from spanveil.operators.detect import spread
+
+    return settled(spread(bodies).withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def explode_texts(bodies: DataFrame, everything: bool = False, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(number, request_id, body) -> (number, request_id, seq, path, text, call): the rows that detection and replacement take."""
-    return bodies.select(ROW, "request_id", F.posexplode(text_column(F.col("body"), everything, skip)).alias("seq", "x")).select(ROW, "request_id", "seq", "x.path", "x.text", "x.call")
+    """(number, request_id, body) -> (number, request_id, seq, path, text, call, and the text's place): the rows that detection and replacement take."""
+    return bodies.select(ROW, "request_id", F.posexplode(text_column(F.col("body"), everything, skip)).alias("seq", "x")).select(ROW, "request_id", "seq", "x.path", "x.text", "x.call", F.col("x.start").alias(START), F.col("x.stop").alias(STOP))
 
 
 def collect_texts(bodies: DataFrame, texts: DataFrame, column: str = "replaced", everything: bool = False, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Put (number, seq, column) back into the numbered bodies; changed says whether any text differs."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(column).alias("t")))), lambda x: x["t"])
-    joined = bodies.join(texts.groupBy(ROW).agg(ordered.alias("__texts"), F.max(~F.col(column).eqNullSafe(F.col("text"))).alias("changed")), ROW, "left")
+    """Put (number, seq, column, and the text's place) back into the numbered bodies; changed says whether any text differs."""
+    differs = ~F.col(column).eqNullSafe(F.col("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", F.when(differs, F.col(column)).alias("t"), F.col(START).alias("start"), F.col(STOP).alias("stop"))))
+    joined = bodies.join(texts.groupBy(ROW).agg(F.max(differs).alias("changed"), ordered.alias("__texts")).withColumn("__texts", F.when(F.col("changed"), F.col("__texts"))), ROW, "left")
     return joined.withColumn("rewritten", write_back(F.col("body"), F.col("__texts"), everything, skip)).withColumn("changed", F.coalesce("changed", F.lit(False))).drop("__texts")
 
 
@@ -256,7 +301,7 @@ def restore_bodies(bodies: DataFrame, mapping: DataFrame, everything: bool = Tru
 
     rows = numbered(bodies)
     texts = explode_texts(rows, everything)
-    back = restore(texts.select(ROW, "request_id", "seq", "text"), mapping)
+    back = restore(texts.select(ROW, "request_id", "seq", "text", START, STOP), mapping)
     return collect_texts(rows, back, "restored", everything).withColumn("restored", F.col("rewritten")).drop("rewritten", "changed", ROW)
 
 
