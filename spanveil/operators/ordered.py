@@ -20,6 +20,7 @@ def first_after(queries: DataFrame, targets: DataFrame, key: str = "key") -> Dat
     cells = targets.groupBy(key).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.count("*").alias("__n"))
     cells = settled(cells.select(key, "__lo", (F.floor((F.col("__hi") - F.col("__lo")) / F.ceil(F.sqrt("__n"))) + 1).alias("__width")))
     cell = lambda x: F.floor((F.col(x) - F.col("__lo")) / F.col("__width")).cast("long")
+    cells = F.broadcast(cells)  # a row a key: by a shuffle, all rows of a key would come to one task
     asked = queries.join(cells, key, "left").withColumn("__cell", cell("q")).withColumn("__at", F.col("q"))
     there = settled(targets.join(cells, key).select(key, "v", cell("v").alias("__cell")))
     both = asked.unionByName(there.withColumn("__at", F.col("v")).withColumnRenamed("v", "__v"), allowMissingColumns=True)
@@ -61,7 +62,8 @@ def before(rows: DataFrame, order: list[str], amount: Column | None = None, key:
     """
     spread = rows.groupBy(key).agg(F.min(order[0]).alias("__lo"), F.max(order[0]).alias("__hi"), F.count("*").alias("__n"))
     width = F.floor((F.col("__hi") - F.col("__lo")) / F.ceil(F.sqrt("__n") if cell is None else F.col("__n") / cell)) + 1
-    cut = rows.join(spread.select(key, "__lo", width.alias("__width")), key).withColumn("__cell", F.floor((F.col(order[0]) - F.col("__lo")) / F.col("__width"))).drop("__lo", "__width")
+    # a row a key goes to all tasks: by a shuffle, all rows of a key would come to one
+    cut = rows.join(F.broadcast(spread.select(key, "__lo", width.alias("__width"))), key).withColumn("__cell", F.floor((F.col(order[0]) - F.col("__lo")) / F.col("__width"))).drop("__lo", "__width")
     cut = settled(cut.withColumn("__amount", F.lit(1).cast("long") if amount is None else amount))
     ahead = F.coalesce(F.sum("__own").over(Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cut.groupBy(key, "__cell").agg(F.sum("__amount").alias("__own")).select(key, "__cell", ahead.alias("__before"))
