@@ -113,9 +113,9 @@ def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simulated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emails of documents with fakes in their place, restored from them: as they were, and of the same domain."""
-    rows = _emails(spark, sf_dir)
+    rows = R.prepared(_emails(spark, sf_dir))
     values = rows.select(F.explode("entities").alias("e")).select("e.type", "e.value")
-    replaced, mapping = R.replace(rows, "simulate", fakes=simulate.fakes_of(values, "k"))
+    replaced, mapping = R.replace_prepared(rows, "simulate", fakes=simulate.fakes_of(values, "k"))
     back = R.restore(replaced.select("request_id", "seq", F.col("replaced").alias("text"), F.col("text").alias("before")), mapping)
     domain = lambda c: F.substring_index(c, "@", -1)
     kept = mapping.groupBy("request_id").agg(F.count("*").alias("values"), F.bool_and((domain(F.col("shown")) == domain(F.col("original"))) | F.col("shown").startswith("<<")).alias("domains_ok"))
