@@ -5,9 +5,6 @@ Boundaries are judged after a match is found, on its ASCII neighbours: a match t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,56 +196,69 @@ def detect_cached(requests: DataFrame, conversation: str = "conversation_id", te
 def dictionary_table(rows: DataFrame, entries: DataFrame, text: str = "text", into: str = "entities", block: int = 200_000) -> DataFrame:
     """rows with hits of a dictionary that is a table (value, type) of any length, as dictionary_hits finds them.
 
-    Entries go to the tasks in blocks, as automata that find all values of a block in one pass over a text; blocks run one
-    after another, so that a task holds one block. With more than one, the rows are numbered and written once, and each
-    block writes only the hits of the rows that it is found in. The longest of the values at a place counts, whatever its
-    block.
+    Tasks find beginnings of values by one automaton, in one pass over a text: as many characters of each value as leave
+    about `block` different beginnings at most, whole values where those are no longer. Where a longer value may stand, as
+    long a piece of the text is joined with the dictionary. So a text is looked at once, however long the dictionary is.
+    The longest of the values at a place counts.
     """
     import ahocorasick
-
-    from pyspark.sql import types as T
+    import pyarrow as pa
 
     row = "__row"
-    folded = entries.select(V.fold_ascii(F.col("value")).alias("value"), "type").where("value <> ''").groupBy("value").agg(F.max("type").alias("type"))
-    hits = "array<struct<start:int,stop:int,type:string>>"
+    folded = settled(entries.select(V.fold_ascii(F.col("value")).alias("value"), "type").where("value <> ''").groupBy("value").agg(F.max("type").alias("type")))
+    numbered = settled(rows.withColumn(row, F.monotonically_increasing_id()))
+    cut = _beginning(folded, block)
+    longer = F.length("value") > cut
+    known = folded.groupBy(F.left("value", F.lit(cut)).alias("head")).agg(F.max(F.when(~longer, F.struct("type"))).alias("own"), F.sort_array(F.collect_set(F.when(longer, F.length("value")))).alias("lengths"))
+    heads = rows.sparkSession.sparkContext.broadcast([(r.head, r.own is not None, r.own and r.own.type, r.lengths) for r in known.toLocalIterator()])
     lower = {c: c + 32 for c in range(65, 91)}
 
-    def look(known):
-        def run(frames):
-            machine = ahocorasick.Automaton()
-            for v, k in known.value:
-                machine.add_word(v, (len(v), k))
+    def look(batches):
+        machine = ahocorasick.Automaton()
+        for head, *known in heads.value:
+            machine.add_word(head, (len(head), *known))
+        if heads.value:
             machine.make_automaton()
-            for frame in frames:
-                found = [[{"start": end + 1 - n, "stop": end + 1, "type": k} for end, (n, k) in machine.iter(t.translate(lower))] if t else [] for t in frame["__t"]]
-                frame = frame.assign(__hits=found)[[row, "__hits"]]
-                yield frame[[bool(x) for x in found]]
-
-        return run
-
-    def blocks() -> Iterator[list[tuple[str, str]]]:
-        some: list[tuple[str, str]] = []
-        for r in folded.orderBy("value").toLocalIterator():
-            some.append((r.value, r.type))
-            if len(some) == block:
-                yield some
-                some = []
-        if some:
-            yield some
-
-    numbered = settled(rows.withColumn(row, F.monotonically_increasing_id()))
-    texts, found = numbered.select(row, F.col(text).alias("__t")), []
-    for some in blocks():
-        known = rows.sparkSession.sparkContext.broadcast(some)
-        found.append(settled(texts.mapInPandas(look(known), T.StructType([T.StructField(row, T.LongType()), T.StructField("__hits", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("type", T.StringType())])))]))))
-        known.unpersist()
-    none = F.expr(f"cast(array() as {hits})")
-    if found:
-        every = reduce(DataFrame.unionByName, found).groupBy(row).agg(F.flatten(F.collect_list("__hits")).alias("__hits"))
-        out = numbered.join(every, row, "left").withColumn("__hits", F.coalesce("__hits", none))
-    else:
-        out = numbered.withColumn("__hits", none)
+        names = [row, "start", "stop", "type", "value"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        made = []
+        for batch in batches:
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = t.translate(lower) if t else ""
+                for end, (size, whole, kind, lengths) in machine.iter(t) if heads.value and t else ():
+                    start = end + 1 - size
+                    if whole:
+                        made.append((n, start, end + 1, kind, None))
+                    made += [(n, start, start + k, None, t[start : start + k]) for k in lengths if start + k <= len(t)]
+                    if len(made) >= 1 << 15:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), types, strict=True)], names=names)
+                        made = []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), types, strict=True)], names=names)
+
+    some = numbered.select(row, F.col(text)).mapInArrow(look, f"{row} long, start int, stop int, type string, value string")
+    if not folded.where(longer).isEmpty():
+        some = settled(some)
+        some = some.where("value IS NULL").unionByName(some.drop("type").join(folded, "value").select(*some.columns))
+    every = some.groupBy(row).agg(F.collect_list(F.struct("start", "stop", "type")).alias("__hits"))
+    out = numbered.join(every, row, "left").withColumn("__hits", F.coalesce("__hits", F.expr("cast(array() as array<struct<start:int,stop:int,type:string>>)")))
     t = F.col(text)
     bytes_at = lambda n: F.octet_length(F.left(t, n))
     made = F.transform("__hits", lambda h: entity(h["type"], F.substring(t, h["start"] + 1, h["stop"] - h["start"]), bytes_at(h["start"]), bytes_at(h["stop"]), F.lit(1.0)))
     return out.withColumn(into, first_wins(made)).drop("__hits", row)
+
+
+def _beginning(values: DataFrame, block: int) -> int:
+    """Characters of a value's beginning: all, or the most that leave about `block` different beginnings (one character at least)."""
+    longest = values.agg(F.count("*").alias("n"), F.max(F.length("value")).alias("most")).first()
+    if longest.n <= block:
+        return longest.most or 1
+    low, high = 1, longest.most
+    while low < high:  # beginnings never become fewer with more characters; eight lengths a pass
+        step = max((high - low) // 8, 1)
+        tried = range(low + step, high + 1, step)
+        counts = values.agg(*[F.approx_count_distinct(F.left("value", F.lit(k)), 0.02).alias(str(k)) for k in tried]).first()
+        fits = [k for k in tried if counts[str(k)] <= block]
+        low, high = max(fits, default=low), min([k for k in tried if counts[str(k)] > block], default=high + 1) - 1
+        high = max(low, high)
+    return low

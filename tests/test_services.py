@@ -13,6 +13,7 @@ from spanveil.operators import backends, bodies, reports, shapes, simulate, span
 from spanveil.operators import replace as R
 from spanveil.operators.detect import add_entities, detect, dictionary_table
 from spanveil.operators.spans import ENTITY
+from spanveil.operators.tables import settled
 from spanveil.sources import io
 
 
@@ -62,6 +63,20 @@ def test_dictionary_as_a_table_in_any_blocks(spark):
     assert [len(r.entities) for r in dictionary_table(rows, entries.limit(0)).collect()] == [0, 0, 0]
 
 
+def test_texts_are_looked_at_once_however_long_the_dictionary_is(spark, monkeypatch):
+    values = [f"{a}{'x' * (k % 4)}{k}" for k, a in enumerate("abcé" * 15)]
+    entries = spark.createDataFrame([(v, "plate") for v in values], "value string, type string")
+    rows = spark.createDataFrame([(k, f"É {v.upper()}, {v}") for k, v in enumerate(values)], "id int, text string")
+    written = []
+    monkeypatch.setattr("spanveil.operators.detect.settled", lambda df: written.append(df) or settled(df))
+    pattern = re.compile("|".join(sorted(map(re.escape, values), key=len, reverse=True)), re.IGNORECASE | re.ASCII)
+    want = {r.id: [(len(r.text[: m.start()].encode()), m.group()) for m in pattern.finditer(r.text)] for r in rows.collect()}
+    for block in (1000, 7, 2):
+        written.clear()
+        assert {r.id: [(e.start, e.value) for e in r.entities] for r in dictionary_table(rows, entries, block=block).collect()} == want
+        assert len(written) <= 3
+
+
 def test_bodies_gate_redact_and_restore(spark):
     deep = "[" * 100_000 + '"a@b.org"' + "]" * 100_000
     given = {"j": '{"k@x.org":"to a@b.org and a@b.org","n":1.50,"arguments":"{\\"c\\":\\"c@d.org\\"}","data":"z@z.org","file_path":"/h/p@q.org"}', "t": "plain a@b.org", "d": deep, "e": '{"a":[]}'}
