@@ -43,7 +43,7 @@ def _ideographs(text: Column) -> Column:
 def _part(text: Column, pattern: str, own: str, to_entity, hint: Column) -> Column:
     """Matches of a cue and what follows; the entity is the match's end, from where `own` begins."""
     hits = F.transform(matches(text, pattern), lambda m: F.struct(F.regexp_extract(m["value"], own, 1).alias("value"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("whole")))
-    return F.when(worth(text, pattern, hint), F.transform(hits, to_entity)).otherwise(F.expr(NONE))
+    return F.when(worth(text, hint), F.transform(hits, to_entity)).otherwise(F.expr(NONE))
 
 
 def _secrets(text: Column) -> Column:
@@ -80,7 +80,7 @@ def _names(text: Column) -> Column:
 
         return run
 
-    cued = _part(text, f"{fixed.NAME_CUE}{fixed.NAME}", f"^{fixed.NAME_CUE}({fixed.NAME})$", make(0.75, True), _ideographs(text))
+    cued = _part(text, f"(?=[我姓名客联收负申用病患就员同本]){fixed.NAME_CUE}{fixed.NAME}", f"^{fixed.NAME_CUE}({fixed.NAME})$", make(0.75, True), _ideographs(text))
     titled = _part(text, f"{fixed.NAME}{fixed.NAME_TITLE}", f"^({fixed.NAME}){fixed.NAME_TITLE}$", make(0.7, False), _ideographs(text))
     cued, titled = (F.filter(x, lambda e: is_name(e["value"])) for x in (cued, titled))
     return let(cued, lambda known: F.concat(known, F.filter(titled, lambda e: ~F.exists(known, lambda c: (c["start"] == e["start"]) & (c["end"] == e["end"])))))
@@ -88,7 +88,7 @@ def _names(text: Column) -> Column:
 
 def _plates(text: Column) -> Column:
     def one(body: str) -> Column:
-        pattern = f"{fixed.WORD}{fixed.PLATE_CUE}{body}{fixed.WORD}"
+        pattern = f"(?=[LlVvRr]){fixed.WORD}{fixed.PLATE_CUE}{body}{fixed.WORD}"
         return _part(text, pattern, f"^{fixed.PLATE_CUE}({body})$", lambda m: entity(F.lit("plate"), m["value"], m["end"] - F.octet_length(m["value"]), m["end"], F.lit(0.75)), F.contains(F.lower(text), F.lit("plate")))
 
     return F.concat(one(fixed.PLATE_EN), one(fixed.PLATE_CA))
@@ -98,21 +98,23 @@ def _cards(text: Column) -> Column:
     return found(text, fixed.CARD, lambda m: entity(V.card_type(m["value"]), m["value"], m["start"], m["end"], F.lit(0.9)), _all(_DIGIT, lambda m: V.valid_card(m["value"])))
 
 
-#: Rules by name, in the order in which they are tried; each maps a text column to an array of entities.
+#: Rules by name, in the order in which they are tried; each maps a text column to an array of entities. Where a pattern
+#: begins with choices or boundaries, the characters that it can begin with are asked for first; an address begins where
+#: its run of characters does, or where the last one ended.
 RULES = {
     "id_18": lambda t: found(t, fixed.ID_18, _plain("zh_id_card", 0.95), _all(_ID, lambda m: V.valid_id_card(m["value"]))),
     "id_15": lambda t: found(t, fixed.ID_15, _plain("zh_id_card", 0.85), _all(_ID, lambda m: V.valid_id_card(m["value"]))),
     "phone": lambda t: found(t, fixed.PHONE, _plain("zh_phone", 0.95), _all(_DIGIT, lambda m: V.valid_phone(m["value"]))),
     "card": _cards,
-    "email": lambda t: found(t, fixed.EMAIL, _plain("email", 0.9), hint="@"),
-    "ipv4": lambda t: found(t, fixed.IPV4, _plain("ip_address", 0.8), _DIGIT, hint=t.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")),
-    "date": lambda t: found(t, fixed.DATE, _plain("date", 0.7)),
-    "address": lambda t: found(t, fixed.ADDRESS, _plain("zh_address", 0.7), hint=_ideographs(t)),
-    "api_key": lambda t: found(t, fixed.WORD + fixed.API_KEY, _plain("api_key", 0.9), hint="-"),
-    "jwt": lambda t: found(t, fixed.WORD + fixed.JWT, _plain("token", 0.9), hint="eyJ"),
+    "email": lambda t: found(t, f"(?:(?<![A-Za-z0-9._%+\\-])|\\G){fixed.EMAIL}", _plain("email", 0.9), hint="@"),
+    "ipv4": lambda t: found(t, f"(?=[0-9]){fixed.IPV4}", _plain("ip_address", 0.8), _DIGIT, hint=t.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")),
+    "date": lambda t: found(t, f"(?=[12]){fixed.DATE}", _plain("date", 0.7)),
+    "address": lambda t: found(t, f"(?=[一-龥]){fixed.ADDRESS}", _plain("zh_address", 0.7), hint=_ideographs(t)),
+    "api_key": lambda t: found(t, f"(?=[spa]){fixed.WORD}{fixed.API_KEY}", _plain("api_key", 0.9), hint="-"),
+    "jwt": lambda t: found(t, f"(?=eyJ){fixed.WORD}{fixed.JWT}", _plain("token", 0.9), hint="eyJ"),
     "plate": lambda t: found(t, fixed.PLATE, _plain("plate", 0.85), hint=_ideographs(t)),
-    "url": lambda t: found(t, fixed.WORD + fixed.URL, _plain("url", 0.9), lambda m: V.valid_url(m["value"]), hint="://"),
-    "ssn": lambda t: found(t, f"{fixed.WORD}{fixed.SSN}{fixed.WORD}", _plain("us_ssn", 0.9), _all(_DIGIT, lambda m: V.valid_ssn(m["value"])), hint="-"),
+    "url": lambda t: found(t, f"(?=[hf]){fixed.WORD}{fixed.URL}", _plain("url", 0.9), lambda m: V.valid_url(m["value"]), hint="://"),
+    "ssn": lambda t: found(t, f"(?=[0-9]){fixed.WORD}{fixed.SSN}{fixed.WORD}", _plain("us_ssn", 0.9), _all(_DIGIT, lambda m: V.valid_ssn(m["value"])), hint="-"),
     "key_value": _secrets,
     "name": _names,
     "plate_english": _plates,

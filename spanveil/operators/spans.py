@@ -49,12 +49,17 @@ def fold(items: Column, state: Column, step: Callable[[Column, Column], tuple[Co
     return let(items, over)
 
 
+MARK = "\uffff"  # no character: hardly any text holds it
 MATCH = "struct<value:string,start:int,end:int,before:string,after:string>"
 
 
 def matches(text: Column, pattern: str) -> Column:
     """All non-overlapping matches, as struct<value, start, end, before, after>: before and after are the neighbours."""
-    cut = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("values"), F.split(text, f"(?:{pattern})", -1).alias("gaps"))
+    # One pass puts marks around the matches, and the text falls apart at them; a text with a mark of its own takes two.
+    plain = F.contains(text, F.lit(MARK))
+    parts = F.when(~plain, F.split(F.regexp_replace(text, f"(?:{pattern})", f"{MARK}$0{MARK}"), MARK, -1))
+    marked = let(parts, lambda p: F.struct(F.filter(p, lambda _, i: i % 2 == 1).alias("values"), F.filter(p, lambda _, i: i % 2 == 0).alias("gaps")))
+    cut = F.when(plain, F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("values"), F.split(text, f"(?:{pattern})", -1).alias("gaps"))).otherwise(marked)
     numbered = let(cut, lambda c: F.transform(c["values"], lambda v, i: F.struct(v.alias("v"), F.get(c["gaps"], i).alias("gap"), F.get(c["gaps"], i + 1).alias("next"), F.get(c["values"], i + 1).alias("then"))))
 
     def step(acc: Column, x: Column) -> tuple[Column, Column]:
@@ -69,16 +74,16 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def found(text: Column, pattern: str, to_entity: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None, hint: str | Column = "") -> Column:
-    """Entities of a rule; texts that the pattern misses cost one search, those without the hint, which every match holds (or a plain test that it passes), one that costs less."""
+    """Entities of a rule; texts without the hint, which every match holds (or a plain test that it passes), cost less than a search."""
     hits = matches(text, pattern)
     hits = F.filter(hits, keep) if keep else hits
-    return F.when(worth(text, pattern, hint), F.transform(hits, to_entity)).otherwise(F.expr(NONE))
+    return F.when(worth(text, hint), F.transform(hits, to_entity)).otherwise(F.expr(NONE))
 
 
-def worth(text: Column, pattern: str, hint: str | Column) -> Column:
+def worth(text: Column, hint: str | Column) -> Column:
     if isinstance(hint, str):
-        return F.contains(text, F.lit(hint)) & text.rlike(pattern) if hint else text.rlike(pattern)
-    return hint & text.rlike(pattern)
+        return F.contains(text, F.lit(hint)) if hint else text.isNotNull()
+    return hint
 
 
 def resolve(entities: Column, thresholds: Column | None = None, default: float = 0.5, allowed: list[str] | None = None) -> Column:

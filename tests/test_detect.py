@@ -1,8 +1,12 @@
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from spanveil.functions import fixed
 from spanveil.operators import shapes
-from spanveil.operators.detect import add_entities, detect, detect_with_dictionary
+from spanveil.operators.detect import RULES, add_entities, detect, detect_with_dictionary
 from spanveil.operators.spans import ENTITY, byte_slice
 
 CASES = [
@@ -50,3 +54,14 @@ def test_normalised_places_map_back(text):
 def test_schema_is_the_entity(spark):
     df = spark.createDataFrame([("x",)], "text string").select(detect(F.col("text")).alias("e"))
     assert df.dtypes == [("e", f"array<{ENTITY}>")]
+
+
+def test_long_runs_and_marks_are_looked_at_once(spark):
+    texts = ["a@b.com_x@y.org,a@b.c@d.net", "￿é u@x.org￿10.0.0.1 ￿", "x@y.org" * 3, "é a.b+c@d-e.co1m@z.de", "", "none"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: [(e.value, e.start, e.end) for e in r.e] for r in rows.select("id", RULES["email"](F.col("t")).alias("e")).collect()}
+    assert got == {i: [(m.group(), len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in re.finditer(fixed.EMAIL, t)] for i, t in enumerate(texts)}
+    began = time.time()
+    long = rows.limit(1).select(F.concat(F.repeat(F.lit("a"), 300_000), F.lit(" @ u@x.org")).alias("t"))
+    assert [e.value for e in long.select(RULES["email"](F.col("t")).alias("e")).first().e] == ["u@x.org"]
+    assert time.time() - began < 20
